@@ -70,7 +70,8 @@ def value_counts_long(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def distinct_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per column: distinct non-null values, distinct incl. null, top value and its share."""
+    """Per column: distinct non-null values, distinct incl. null, non-null and total rows,
+    and the count of the most frequent non-null value."""
     vc = value_counts_long(df, columns)
     nn = F.col("value").isNotNull()
     return vc.groupBy("column_name").agg(
@@ -78,9 +79,8 @@ def distinct_summary(df: DataFrame, columns: list[str] | None = None) -> DataFra
         F.count(F.lit(1)).alias("nunique_with_null"),
         F.sum(F.when(nn, F.col("cnt")).otherwise(0)).alias("non_null"),
         F.sum("cnt").alias("total"),
-        F.max(F.when(nn, F.struct(F.col("cnt"), F.col("value")))).alias("_top"),
-    ).select("column_name", "nunique", "nunique_with_null", "non_null", "total",
-             F.col("_top.value").alias("top_value"), F.col("_top.cnt").alias("top_count"))
+        F.max(F.when(nn, F.col("cnt"))).alias("top_count"),
+    )
 
 
 def target_candidates(df: DataFrame, max_unique: int = 20, max_results: int = 50) -> DataFrame:
@@ -196,21 +196,15 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str] | None = None, dp: int = 3, max_columns: int = 12) -> DataFrame:
     """count, mean, std, min, q25, q50, q75, max and skew per numeric column."""
     cols = (columns or numeric_columns(df))[:max_columns]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = col_of(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), skew_corrected(x).alias(f"k{i}")]
-    row = df.agg(*aggs)
     q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
-    entries = []
-    for i, c in enumerate(cols):
-        ql = lambda p: round_dp(F.lit(q.get((c, p))), dp)
-        entries.append((c, {"count": F.col(f"n{i}"), "mean": round_dp(F.col(f"m{i}"), dp),
-                            "std": round_dp(F.col(f"s{i}"), dp), "min": round_dp(F.col(f"lo{i}"), dp),
-                            "q25": ql(0.25), "q50": ql(0.5), "q75": ql(0.75),
-                            "max": round_dp(F.col(f"hi{i}"), dp), "skew": round_dp(F.col(f"k{i}"), dp)}))
-    return _one_row_to_long(row, entries)
+    qmap = lambda p: F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(q.get((c, p))).cast("double"))])
+    st = column_stats(df, cols)
+    name = F.col("column_name")
+    return st.select(name, F.col("nn").alias("count"), round_dp(F.col("mean"), dp).alias("mean"),
+                     round_dp(F.col("std"), dp).alias("std"), round_dp(F.col("min"), dp).alias("min"),
+                     round_dp(qmap(0.25)[name], dp).alias("q25"), round_dp(qmap(0.5)[name], dp).alias("q50"),
+                     round_dp(qmap(0.75)[name], dp).alias("q75"), round_dp(F.col("max"), dp).alias("max"),
+                     round_dp(F.col("skew"), dp).alias("skew"))
 
 
 # ---------------------------------------------------------------- correlation
@@ -218,28 +212,54 @@ def _pair_list(cols: list[str]) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
 
-def pearson_pairs(df: DataFrame, columns: list[str] | None = None, dp: int = 4) -> DataFrame:
-    """``(col_a, col_b, r)`` for every pair, pairwise-complete nulls.
+def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Long per-column statistics in one scan and one small aggregate:
+    ``(column_name, n, nulls, nn, zeros, mean, std, std_pop, min, max, skew)``.
 
-    Built from ``covar_pop`` and ``stddev_pop`` restricted to rows where both
-    are present, divided with ``try_divide`` (constant column → null, not an
-    ANSI divide error).
+    The row is unpivoted to ``(column, value)`` and aggregated by column, so
+    the generated code stays small however many columns there are; partial
+    aggregation happens before the shuffle (one row per column per task).
+    Non-numeric columns get null numeric statistics but real null counts.
+    """
+    columns = columns or df.columns
+    structs = []
+    for c in columns:
+        dt = df.schema[c].dataType
+        x = numeric_of(c, dt) if (is_numeric_type(dt) or isinstance(dt, T.BooleanType)) else F.lit(None).cast("double")
+        structs.append(F.struct(F.lit(c).alias("column_name"), col_of(c).isNull().alias("_isnull"), x.alias("_x")))
+    long_df = df.select(F.inline(F.array(*structs)))
+    x = F.col("_x")
+    return long_df.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_isnull")).alias("nulls"), F.count(x).alias("nn"),
+        F.count_if(x == 0).alias("zeros"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.stddev_pop(x).alias("std_pop"), F.min(x).alias("min"), F.max(x).alias("max"),
+        skew_corrected(x).alias("skew"))
+
+
+def pair_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson r of every column pair, pairwise-complete: ``(col_a, col_b, n, r)``.
+
+    Each row is expanded to its complete pairs and aggregated per pair with
+    ``covar_pop`` / ``stddev_pop`` (stable online moments); ``try_divide``
+    turns a constant column into a null r instead of an ANSI error.
     """
+    pairs = _pair_list(columns)
+    xs = {c: numeric_of(c, df.schema[c].dataType) for c in columns}
+    num = df.select(*[xs[c].alias(f"_c{i}") for i, c in enumerate(columns)])
+    structs = [F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
+                        F.col(f"_c{i}").alias("a"), F.col(f"_c{j}").alias("b")) for i, j in pairs]
+    long_df = num.select(F.inline(F.array(*structs))).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return long_df.groupBy("col_a", "col_b").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
+
+
+def pearson_pairs(df: DataFrame, columns: list[str] | None = None, dp: int = 4) -> DataFrame:
+    """``(col_a, col_b, r)`` for every pair of numeric columns, pairwise-complete nulls."""
     cols = columns or numeric_columns(df)
-    pairs = _pair_list(cols)
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    x = {c: numeric_of(c, df.schema[c].dataType) for c in cols}
-    aggs = []
-    for n, (i, j) in enumerate(pairs):
-        a, b = x[cols[i]], x[cols[j]]
-        both = a.isNotNull() & b.isNotNull()
-        aggs.append(F.try_divide(F.covar_pop(a, b),
-                                 F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))).alias(f"r{n}"))
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                        round_dp(F.col(f"r{n}"), dp).alias("r")) for n, (i, j) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*structs)))
+    return pair_stats(df, cols).select("col_a", "col_b", round_dp(F.col("r"), dp).alias("r"))
 
 
 def rank_columns(df: DataFrame, columns: list[str], key: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.functions.exprs import col_of, is_numeric_type, numeric_of, skew_corrected
-from loomstat.operators.profile import distinct_summary, duplicate_count
+from loomstat.operators.profile import column_stats, distinct_summary, duplicate_count, pair_stats
 
 ALERT_SCHEMA = "alert_type string, severity string, column_name string, column_b string, value double"
 
@@ -49,37 +49,27 @@ def _alert(t: str, sev: Column | str, col: str | None, col_b: str | None, value:
 
 
 def _wide_alerts(df: DataFrame, num: list[str], corr_cols: list[str], mode: str) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(df.columns):
-        aggs.append(F.count_if(col_of(c).isNull()).alias(f"_null{i}"))
-    for i, c in enumerate(num):
-        x = numeric_of(c, df.schema[c].dataType)
-        aggs += [F.count_if(x == 0).alias(f"_zero{i}"), skew_corrected(x).alias(f"_skew{i}")]
-    pairs = [(i, j) for i in range(len(corr_cols)) for j in range(i + 1, len(corr_cols))]
-    xs = {c: numeric_of(c, df.schema[c].dataType) for c in corr_cols}
-    for n, (i, j) in enumerate(pairs):
-        a, b = xs[corr_cols[i]], xs[corr_cols[j]]
-        both = a.isNotNull() & b.isNotNull()
-        aggs.append(F.try_divide(F.covar_pop(a, b),
-                                 F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))).alias(f"_r{n}"))
-    row = df.agg(*aggs)
-    n = F.col("_n").cast("double")
-    alerts = []
-    for i, c in enumerate(df.columns):
-        miss = F.try_divide(F.col(f"_null{i}") * 100.0, n)
-        alerts.append(_alert("high_missing", "high", c, None, miss, miss > MISSING_PCT))
-    for i, c in enumerate(num):
-        zp = F.try_divide(F.col(f"_zero{i}") * 100.0, n)
-        alerts.append(_alert("zero_inflated", "medium", c, None, zp, zp > ZERO_PCT))
-        sk = F.col(f"_skew{i}")
-        alerts.append(_alert("extreme_skewness", "medium", c, None, sk, F.abs(sk) > SKEW_ABS))
-    sev = "high" if mode == "check" else "medium"
-    for k, (i, j) in enumerate(pairs):
-        r = F.col(f"_r{k}")
-        alerts.append(_alert("multicollinearity", sev, corr_cols[i], corr_cols[j], F.abs(r), F.abs(r) > CORR_ABS))
-    if not alerts:
-        return df.sparkSession.createDataFrame([], ALERT_SCHEMA)
-    return row.select(F.explode(F.filter(F.array(*alerts), lambda s: s.isNotNull())).alias("a")).select("a.*")
+    """Missing / zero-inflated / skewed columns and correlated pairs."""
+    st = column_stats(df)
+    name = F.col("column_name")
+    n = F.col("n").cast("double")
+    miss = F.try_divide(F.col("nulls") * 100.0, n)
+    zp = F.try_divide(F.col("zeros") * 100.0, n)
+    is_num = name.isin(num or ["\u0000"])
+    alerts = [_alert("high_missing", "high", None, None, miss, miss > MISSING_PCT),
+              _alert("zero_inflated", "medium", None, None, zp, is_num & (zp > ZERO_PCT)),
+              _alert("extreme_skewness", "medium", None, None, F.col("skew"),
+                     is_num & (F.abs(F.col("skew")) > SKEW_ABS))]
+    alerts = [F.when(a.isNotNull(), a.withField("column_name", name)) for a in alerts]
+    out = st.select(F.explode(F.filter(F.array(*alerts), lambda s: s.isNotNull())).alias("a")).select("a.*")
+    if len(corr_cols) >= 2:
+        sev = "high" if mode == "check" else "medium"
+        r = F.abs(F.col("r"))
+        pr = pair_stats(df, corr_cols).where(r > CORR_ABS).select(
+            F.lit("multicollinearity").alias("alert_type"), F.lit(sev).alias("severity"),
+            F.col("col_a").alias("column_name"), F.col("col_b").alias("column_b"), F.round(r, 4).alias("value"))
+        out = out.unionByName(pr)
+    return out
 
 
 def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check") -> DataFrame:
@@ -154,8 +144,7 @@ def quality_score(df: DataFrame, target: str | None = None, mode: str = "check")
     alerts = quality_alerts(df, target, mode)
     dup = duplicate_count(df)
     ncols = len(df.columns)
-    nulls = df.agg(F.count(F.lit(1)).alias("_n"),
-                   sum([F.count_if(col_of(c).isNull()) for c in df.columns], F.lit(0)).alias("_nulls"))
+    nulls = column_stats(df).agg(F.max("n").alias("_n"), F.sum("nulls").alias("_nulls"))
     w = CHECK_WEIGHTS if mode == "check" else EDA_WEIGHTS
     sev_w = F.coalesce(F.create_map(*[x for k, v in w.items() for x in (F.lit(k), F.lit(v))])[F.col("severity")],
                        F.lit(3.0))
