@@ -126,3 +126,33 @@ def average_ranks(values: DataFrame, value_col: str, n_buckets: int | None = Non
     c = cumulative_sums(d, value_col, ["cnt"], n_buckets=n_buckets)
     return c.select(value_col, "cnt",
                     (F.col("cum_cnt") - F.col("cnt") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def dense_positions(values: DataFrame, value_col: str, n_parts: int | None = None) -> tuple[DataFrame, int]:
+    """0-based position of every distinct value in ascending order.
+
+    Distinct values are range-partitioned, the partitioning is pinned with a
+    reliable checkpoint (so partition ids survive recomputation), per-partition
+    counts (one row per partition) give offsets, and positions are numbered
+    inside each partition.  Returns ``(frame(value_col, pos), n_distinct)``.
+    """
+    from loomstat.session import cut_lineage
+
+    n = _n_buckets(values, n_parts)
+    d = values.select(value_col).distinct()
+    ranged = cut_lineage(d.repartitionByRange(n, F.col(value_col))
+                          .withColumn("_pid", F.spark_partition_id()))
+    counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    offs, run = [], 0
+    for pid, c in counts:
+        offs.append((pid, run))
+        run += c
+    spark = values.sparkSession
+    off_df = spark.createDataFrame(offs or [(0, 0)], "_pid int, _off long")
+    w = Window.partitionBy("_pid").orderBy(value_col)
+    out = ranged.join(F.broadcast(off_df), "_pid") \
+                .select(value_col, (F.row_number().over(w) - 1 + F.col("_off")).alias("pos"))
+    return out, run
