@@ -156,3 +156,36 @@ def dense_positions(values: DataFrame, value_col: str, n_parts: int | None = Non
     out = ranged.join(F.broadcast(off_df), "_pid") \
                 .select(value_col, (F.row_number().over(w) - 1 + F.col("_off")).alias("pos"))
     return out, run
+
+
+def row_positions(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
+                  n_buckets: int | None = None, out: str = "pos") -> tuple[DataFrame, dict]:
+    """0-based row position inside each group in ``order_cols`` order (ties broken
+    by the later order columns, which should make the order total).
+
+    Range buckets come from the first order column over the whole table, so a
+    large group is spread over every bucket; offsets are per (group, bucket)
+    — a bounded table of groups × buckets rows.  Returns the frame with
+    ``out`` and the group sizes ``{group tuple: n}``.
+    """
+    group_cols = group_cols or []
+    bdf = with_range_bucket(df, order_cols[0], n_buckets)
+    rows = bdf.groupBy(*group_cols, BUCKET).agg(F.count(F.lit(1)).alias("_c")).collect()
+    per: dict[tuple, list] = {}
+    for r in rows:
+        per.setdefault(tuple(r[g] for g in group_cols), []).append((r[BUCKET], r["_c"]))
+    offs, sizes = [], {}
+    for g, lst in per.items():
+        run = 0
+        for b, c in sorted(lst, key=lambda t: (t[0] is None, t[0])):
+            offs.append((*g, float(b) if b is not None else None, run))
+            run += c
+        sizes[g] = run
+    schema = T.StructType([df.schema[g] for g in group_cols] +
+                          [T.StructField(BUCKET, T.DoubleType()), T.StructField("_off", T.LongType())])
+    off_df = df.sparkSession.createDataFrame(offs, schema)
+    w = Window.partitionBy(*group_cols, BUCKET).orderBy(*[F.col(f"`{c}`") for c in order_cols])
+    res = bdf.join(F.broadcast(off_df), on=[*group_cols, BUCKET], how="left") \
+             .withColumn(out, F.row_number().over(w) - 1 + F.col("_off")) \
+             .drop(BUCKET, "_off")
+    return res, sizes
