@@ -41,11 +41,9 @@ def _pivots(refs: DataFrame, rid: str, vec: str, m: int) -> np.ndarray:
     return np.array([r[vec] for r in rows], dtype=float)
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
-             exclude_self: bool = False, n_pivots: int | None = None) -> DataFrame:
-    """``(qid, rid, dist, rank)``: the k nearest references of every query
-    (ties by ``rid``).  ``exclude_self`` drops the pair ``qid == rid``."""
-    spark = refs.sparkSession
+def assign_cells(refs: DataFrame, rid: str = "rid", vec: str = "vec", n_pivots: int | None = None):
+    """Cell of every reference point (its nearest pivot), frozen by a reliable
+    checkpoint, plus the pivots and per-cell counts and radii (bounded arrays)."""
     n_ref = refs.count()
     m = n_pivots or max(1, min(MAX_PIVOTS, int(math.sqrt(max(n_ref, 1)))))
     P = _pivots(refs, rid, vec, m)
@@ -63,12 +61,21 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
                                 "dpiv": d[np.arange(len(c)), c]})
     ref_schema = T.StructType([T.StructField(rid, rid_type), T.StructField(vec, T.ArrayType(T.DoubleType())),
                                T.StructField("cell", T.IntegerType()), T.StructField("dpiv", T.DoubleType())])
-    refs_c = cut_lineage(refs.select(rid, vec).mapInPandas(assign, ref_schema))
-    stats = refs_c.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dpiv").alias("r")).collect()
+    cells = cut_lineage(refs.select(rid, vec).mapInPandas(assign, ref_schema))
+    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dpiv").alias("r")).collect()
     cnt = np.zeros(m)
     rad = np.zeros(m)
     for r in stats:
         cnt[r["cell"]], rad[r["cell"]] = r["n"], r["r"]
+    return cells, P, cnt, rad
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
+             exclude_self: bool = False, n_pivots: int | None = None) -> DataFrame:
+    """``(qid, rid, dist, rank)``: the k nearest references of every query
+    (ties by ``rid``).  ``exclude_self`` drops the pair ``qid == rid``."""
+    refs_c, P, cnt, rad = assign_cells(refs, rid, vec, n_pivots)
+    m = len(P)
     need = k + (1 if exclude_self else 0)
     qid_type = queries.schema[qid].dataType
 
