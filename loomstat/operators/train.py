@@ -125,7 +125,8 @@ def feature_stages(df: DataFrame, plan: FeaturePlan, scale: bool, poly_degree: i
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
     if with_label:
         if plan.target_is_text:
-            stages.append(StringIndexer(inputCol="__y", outputCol=LABEL, stringOrderType="alphabetAsc"))
+            stages.append(StringIndexer(inputCol="__y", outputCol=LABEL, stringOrderType="alphabetAsc",
+                                        handleInvalid="keep"))
         else:
             stages.append(SQLTransformer(statement=f"SELECT *, `__y` AS {LABEL} FROM __THIS__"))
     cols = [f"__n_{c}" if c in plan.numeric else f"__i_{c}" for c in plan.features]
@@ -172,7 +173,9 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
         if model == "pr":
             return LinearRegression(solver="normal", regParam=0.0, **kw, **wk)
         if model == "lar":
-            return LinearRegression(regParam=float(p.get("alpha", 0.01)), elasticNetParam=1.0,
+            # MLlib scales the L1 term by the label's std (glmnet convention); undo it
+            y_std = float(p.get("label_std") or 1.0)
+            return LinearRegression(regParam=float(p.get("alpha", 0.01)) / y_std, elasticNetParam=1.0,
                                     standardization=False, maxIter=int(p.get("max_iter", 200)), **kw, **wk)
         if model == "rr":
             return LinearRegression(regParam=float(p.get("alpha", 0.01)) / max(n_rows, 1), elasticNetParam=0.0,
@@ -203,6 +206,8 @@ def build_pipeline(df: DataFrame, target: str, model: str, task: str, n_rows: in
         from loomstat.operators.knn import KnnClassifier
         est = KnnClassifier(featuresCol=fcol, labelCol=LABEL, k=int(params.get("n_neighbors", 5)))
     else:
+        if model == "lar" and "label_std" not in params:
+            params = {**params, "label_std": df.agg(F.stddev_samp(col_of(target).cast("double"))).first()[0]}
         est = make_estimator(model, task, n_rows, n_classes, fcol, weight_col, seed, **params)
     stages.append(est)
     return Pipeline(stages=stages), plan
@@ -424,10 +429,17 @@ def learning_curve(df: DataFrame, target: str, model: str, task: str = "classifi
 
 
 # ------------------------------------------------------------------ scoring
-def score(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def _with_target(df: DataFrame, target: str | None) -> DataFrame:
+    # the fitted pipeline also reads the target column; scoring data may not have it
+    if target and target not in df.columns:
+        return df.withColumn(target, F.lit(None).cast("string"))
+    return df
+
+
+def score(model: PipelineModel, df: DataFrame, keep: list[str] | None = None, target: str | None = None) -> DataFrame:
     """All rows with ``prediction`` (and the original class text when the target was text)."""
-    out = model.transform(df)
-    cols = (keep or df.columns) + ["prediction"]
+    out = model.transform(_with_target(df, target))
+    cols = list(keep or df.columns) + ["prediction"]
     if "predicted_label" in out.columns:
         cols.append("predicted_label")
     if "probability" in out.columns:
@@ -442,17 +454,52 @@ def prediction_distribution(scored: DataFrame, task: str = "classification") ->
                       F.avg("prediction").alias("mean"))
 
 
-def score_json(model: PipelineModel, records: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
+def score_json(model: PipelineModel, records: DataFrame, json_col: str, schema: T.StructType,
+               target: str | None = None) -> DataFrame:
     """Score records held as JSON text in ``json_col`` (one record per row)."""
     parsed = records.select("*", F.from_json(col_of(json_col), schema).alias("_rec")).select("*", "_rec.*") \
                     .drop("_rec")
-    return model.transform(parsed)
+    return model.transform(_with_target(parsed, target))
 
 
 def feature_importance(model: PipelineModel, plan: FeaturePlan, top: int = 10) -> list[tuple[str, float]]:
-    est = model.stages[-1]
-    if not hasattr(est, "featureImportances"):
+    est = next((s for s in reversed(model.stages) if hasattr(s, "featureImportances")), None)
+    if est is None:
         return []
     imp = est.featureImportances.toArray()
     pairs = sorted(zip(plan.features, (float(x) for x in imp)), key=lambda t: -t[1])
     return [(f, round(v, 4)) for f, v in pairs[:top]]
+
+
+def fit_coefficients(df: DataFrame, target: str, features: list[str], model: str = "lir", **params) -> DataFrame:
+    """Fit a linear model on the whole table: ``(term, coefficient)`` incl. ``intercept``."""
+    d = VectorAssembler(inputCols=features, outputCol=FEATURES).transform(
+        df.select(*[col_of(c).cast("double").alias(c) for c in features], col_of(target).cast("double").alias(LABEL))
+          .dropna())
+    n = d.count()
+    m = make_estimator(model, "regression", n, 0, FEATURES, **params).fit(d)
+    rows = [(f, float(c)) for f, c in zip(features, m.coefficients.toArray())] + [("intercept", float(m.intercept))]
+    return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
+
+
+def naive_bayes_stats(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """Gaussian NB fitted on the whole table: ``(class, feature, mean, var)`` per class and feature."""
+    plan = FeaturePlan(target, features, [], list(features), {}, not is_numeric_type(df.schema[target].dataType))
+    stages, fcol = feature_stages(df, plan, False)
+    prep = Pipeline(stages=stages).fit(df)
+    d = prep.transform(df)
+    m = NaiveBayes(modelType="gaussian", featuresCol=fcol, labelCol=LABEL).fit(d)
+    label_names = None
+    for st in prep.stages:
+        try:
+            if st.getOutputCol() == LABEL and hasattr(st, "labels"):
+                label_names = list(st.labels)
+        except Exception:  # noqa: BLE001
+            continue
+    theta, sigma = m.theta.toArray(), m.sigma.toArray()
+    rows = []
+    for i in range(theta.shape[0]):
+        cls = label_names[i] if label_names else str(float(i))
+        for j, f in enumerate(features):
+            rows.append((cls, f, float(theta[i, j]), float(sigma[i, j])))
+    return df.sparkSession.createDataFrame(rows, "class string, feature string, mean double, var double")
