@@ -52,4 +52,5 @@ def cols(table: str, kind: str | None = None) -> list[str]:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from loomstat.plans import queries_clean, queries_ml, queries_model, queries_profile  # noqa: F401
+    from loomstat.plans import (queries_clean, queries_ml, queries_model, queries_profile,  # noqa: F401
+                                queries_sources)

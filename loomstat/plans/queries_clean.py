@@ -261,13 +261,12 @@ def _q_scale_mm(spark, sf):
 
 
 @_op("drop_duplicates",
-     "SELECT l_returnflag, l_linestatus, _key, l_quantity FROM (SELECT l_returnflag, l_linestatus, "
-     "l_orderkey * 8 + l_linenumber AS _key, l_quantity, row_number() OVER (PARTITION BY l_returnflag, l_linestatus "
-     "ORDER BY l_orderkey * 8 + l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
+     "SELECT o_orderstatus, o_orderpriority, o_orderkey, o_totalprice FROM (SELECT o_orderstatus, o_orderpriority, "
+     "o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) "
+     "AS rn FROM orders) WHERE rn = 1")
 def _q_dedupe(spark, sf):
-    li = T(spark, sf, "lineitem").select("l_returnflag", "l_linestatus",
-                                         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_key"), "l_quantity")
-    return C.drop_duplicates(li, ["l_returnflag", "l_linestatus"], order_by="_key")[0]
+    o = T(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey", "o_totalprice")
+    return C.drop_duplicates(o, ["o_orderstatus", "o_orderpriority"], order_by="o_orderkey")[0]
 
 
 @_op("drop_duplicates_all", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")

@@ -110,8 +110,8 @@ for _m in ("lir", "pr", "lar", "rr", "dtr", "rfr", "xgb"):
         (lambda m: lambda spark, sf: _metrics(TR.train_model(
             TBL(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
                                               "l_returnflag", "l_extendedprice")
-            .withColumn("_key", F.col("l_orderkey") * 8 + F.col("l_linenumber")).drop("l_orderkey", "l_linenumber"),
-            "l_extendedprice", m, "regression", key="_key", degree=2), spark))(_m))
+            .drop("l_orderkey", "l_linenumber"),
+            "l_extendedprice", m, "regression", degree=2), spark))(_m))  # lineitem has no unique key: content hash
 
 
 @register("train_clf_binary_balanced")
@@ -207,8 +207,9 @@ def _q_report(spark, sf):
 
 @register("red_pca")
 def _q_pca(spark, sf):
-    mat = CL.prepare_matrix(TBL(spark, sf, "lineitem").withColumn("_k", F.col("l_orderkey") * 8 + F.col("l_linenumber")),
-                            "_k", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    li = TBL(spark, sf, "lineitem")
+    li = li.withColumn("_k", F.xxhash64(*li.columns))  # lineitem has no unique key: content hash
+    mat = CL.prepare_matrix(li, "_k", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     out, _ = RD.pca(mat, "_k", 2)
     return out
 

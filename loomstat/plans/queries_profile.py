@@ -312,7 +312,8 @@ def _q_pearson_n(spark, sf):
                       for c in ["l_quantity", "l_extendedprice", "l_discount"])
           + " FROM lineitem) " + sql_pearson("r", ["l_quantity", "l_extendedprice", "l_discount"]))
 def _q_spearman(spark, sf):
-    li = T(spark, sf, "lineitem").withColumn("_key", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    li = T(spark, sf, "lineitem")
+    li = li.withColumn("_key", F.xxhash64(*li.columns))  # carried only; ranks are joined back by value
     return P.spearman_pairs(li, ["l_quantity", "l_extendedprice", "l_discount"], key="_key")
 
 
