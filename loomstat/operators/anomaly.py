@@ -56,7 +56,7 @@ def _build_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 
 def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, size = tree
+    feat, thr, left, right, size, cnode = tree
     node = np.zeros(len(X), dtype=int)
     depth = np.zeros(len(X))
     active = feat[node] >= 0
@@ -66,7 +66,7 @@ def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
         node[active] = np.where(go_left, left[node[active]], right[node[active]])
         depth[active] += 1
         active = feat[node] >= 0
-    return depth + np.array([_c(s) for s in size[node]])
+    return depth + cnode[node]
 
 
 def isolation_forest(mat: DataFrame, key: str, n_trees: int = 100, max_samples: int = 256,
@@ -100,7 +100,7 @@ def isolation_forest(mat: DataFrame, key: str, n_trees: int = 100, max_samples:
     schema = "tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<long>"
     trees = samp.groupBy("tree").applyInPandas(build, schema).collect()  # bounded: n_trees small trees
     forest = [(np.array(r["feat"]), np.array(r["thr"]), np.array(r["left"]), np.array(r["right"]),
-               np.array(r["size"])) for r in trees]
+               np.array(r["size"]), np.array([_c(x) for x in r["size"]])) for r in trees]
     c_psi = _c(psi)
 
     def score(it):

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from loomstat.functions.exprs import col_of, numeric_columns
 from loomstat.functions.ordered import dense_positions
 from loomstat.operators.clean import scale
-from loomstat.operators.knn import assign_cells, euclid
+from loomstat.operators.knn import range_join
 from loomstat.operators.split import sample_n
 from loomstat.session import cut_lineage
 
@@ -116,25 +116,8 @@ def best_k(mat: DataFrame, key: str, max_k: int = 10, seed: int = 42) -> DataFra
 
 # ------------------------------------------------------------------ DBSCAN
 def range_pairs(points: DataFrame, key: str, eps: float) -> DataFrame:
-    """All ``(a, b, dist)`` with ``dist ≤ eps`` (self pairs included), exact:
-    pivot cells prune with ``d(q, p_c) − r_c ≤ eps``."""
-    cells, P, cnt, rad = assign_cells(points.select(F.col(key).alias("rid"), "vec"), "rid", "vec")
-
-    def cand(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["vec"].to_numpy())
-            d = np.sqrt(((X[:, None, :] - P[None, :, :]) ** 2).sum(-1))
-            ok = (d - rad[None, :] <= eps * (1 + 1e-9) + 1e-12) & (cnt[None, :] > 0)
-            qi, ci = np.nonzero(ok)
-            yield pd.DataFrame({"qid": pdf["rid"].to_numpy()[qi], "cell": ci.astype("int32")})
-    schema = T.StructType([T.StructField("qid", cells.schema["rid"].dataType), T.StructField("cell", T.IntegerType())])
-    q = cells.select("rid", "vec")
-    c = q.mapInPandas(cand, schema).join(q.select(F.col("rid").alias("qid"), F.col("vec").alias("_qv")), "qid")
-    pairs = c.join(cells.select("cell", F.col("rid").alias("_rid"), F.col("vec").alias("_rv")), "cell") \
-             .withColumn("dist", euclid("_qv", "_rv")).where(F.col("dist") <= F.lit(eps))
-    return pairs.select(F.col("qid").alias("a"), F.col("_rid").alias("b"), "dist")
+    """All ``(a, b, dist)`` with ``dist ≤ eps`` (self pairs included), exact (pivot-cell pruned block join)."""
+    return range_join(points, key, eps)
 
 
 def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5, max_rounds: int = 1000) -> DataFrame:

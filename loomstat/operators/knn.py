@@ -8,8 +8,10 @@ an upper bound ``u_q`` on its k-th neighbour distance; only cells with
 result is exact while each query meets only its candidate cells.
 
 Pivot assignment and the per-query bound are numpy inside ``mapInPandas``
-(Spark partitions the rows; pivots and per-cell radii are bounded tables);
-the distances of candidate pairs are built-in array expressions.
+(Spark partitions the rows; pivots and per-cell radii are bounded tables).
+Candidate queries meet the references of a cell in a ``cogroup`` keyed by
+(cell, reference chunk, query chunk): every group is bounded in size, the
+distances are numpy blocks, and only each block's top-k leaves the task.
 """
 
 from __future__ import annotations
@@ -70,45 +72,135 @@ def assign_cells(refs: DataFrame, rid: str = "rid", vec: str = "vec", n_pivots:
     return cells, P, cnt, rad
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
-             exclude_self: bool = False, n_pivots: int | None = None) -> DataFrame:
-    """``(qid, rid, dist, rank)``: the k nearest references of every query
-    (ties by ``rid``).  ``exclude_self`` drops the pair ``qid == rid``."""
-    refs_c, P, cnt, rad = assign_cells(refs, rid, vec, n_pivots)
+REF_CHUNK = 2048     # reference rows per block
+QUERY_CHUNK = 2048   # query rows per block
+SUB_BLOCK = 32       # queries per numpy distance step inside a block
+
+
+def _block_join(cand: DataFrame, cells: DataFrame, cnt: np.ndarray, qid: str, emit, out_schema: T.StructType):
+    """Cogroup candidate queries with the reference rows of their cells.
+
+    ``cand``: ``(qid, cell, _u, _qv)``; ``cells``: ``(rid, vec, cell)``.  A cell
+    with many references or many queries is cut into fixed-size chunks on
+    both sides (references replicated over query chunks and vice versa), so
+    no group exceeds REF_CHUNK × QUERY_CHUNK rows however hot a cell is.
+    ``emit(qids, Q, U, rids, R)`` returns the rows of one block.
+    """
+    cand = cut_lineage(cand)
+    qcnt = np.zeros(len(cnt))
+    for r in cand.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        qcnt[r["cell"]] = r["n"]
+    s_r = np.maximum(1, np.ceil(cnt / REF_CHUNK)).astype(int)
+    s_q = np.maximum(1, np.ceil(qcnt / QUERY_CHUNK)).astype(int)
+    sr_arr = F.array(*[F.lit(int(x)) for x in s_r])
+    sq_arr = F.array(*[F.lit(int(x)) for x in s_q])
+    c = F.col("cell")
+    left = cand.select(qid, "cell", "_u", "_qv",
+                       F.explode(F.sequence(F.lit(0), sr_arr[c] - 1)).alias("_rc"),
+                       F.pmod(F.xxhash64(F.col(qid)), sq_arr[c]).cast("int").alias("_qc"))
+    right = cells.select(F.col("rid").alias("_rid"), F.col("vec").alias("_rv"), "cell",
+                         F.pmod(F.xxhash64(F.col("rid")), sr_arr[c]).cast("int").alias("_rc"),
+                         F.explode(F.sequence(F.lit(0), sq_arr[c] - 1)).alias("_qc"))
+
+    def block(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(rpdf) == 0:
+            return pd.DataFrame({f.name: [] for f in out_schema.fields})
+        Q = np.stack(qpdf["_qv"].to_numpy())
+        R = np.stack(rpdf["_rv"].to_numpy())
+        return emit(qpdf[qid].to_numpy(), Q, qpdf["_u"].to_numpy(), rpdf["_rid"].to_numpy(), R)
+    return left.groupBy("cell", "_rc", "_qc").cogroup(right.groupBy("cell", "_rc", "_qc")) \
+               .applyInPandas(block, out_schema)
+
+
+def _candidates(queries: DataFrame, qid: str, vec: str, P: np.ndarray, cnt: np.ndarray, rad: np.ndarray,
+                need: int | None, eps: float | None) -> DataFrame:
+    """``(qid, cell, _u, _qv)``: cells that can hold a neighbour of each query.
+
+    k-NN (``need``): ``_u`` is the distance within which ``need`` references
+    are guaranteed (sum of cell counts ordered by ``d + r``); range (``eps``):
+    ``_u = eps``.  Cells with ``d(q, p_c) − r_c ≤ _u`` are kept."""
     m = len(P)
-    need = k + (1 if exclude_self else 0)
-    qid_type = queries.schema[qid].dataType
 
-    def candidates(it):
+    def cand(it):
         for pdf in it:
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf[vec].to_numpy())
             d = np.sqrt(((X[:, None, :] - P[None, :, :]) ** 2).sum(-1))
-            ub = d + rad[None, :]
-            out_q, out_c, out_u = [], [], []
-            for i in range(len(X)):
-                order = np.argsort(ub[i], kind="stable")
-                csum = np.cumsum(cnt[order])
-                j = int(np.searchsorted(csum, need))
-                u = ub[i][order[min(j, m - 1)]]
-                u = u * (1 + 1e-9) + 1e-12
-                cells = np.nonzero((d[i] - rad <= u) & (cnt > 0))[0]
-                out_q.extend([pdf[qid].iloc[i]] * len(cells))
-                out_c.extend(cells.tolist())
-                out_u.extend([u] * len(cells))
-            yield pd.DataFrame({qid: out_q, "cell": np.array(out_c, dtype="int32"), "_u": out_u})
-    cand_schema = T.StructType([T.StructField(qid, qid_type), T.StructField("cell", T.IntegerType()),
-                                T.StructField("_u", T.DoubleType())])
-    q = queries.select(qid, vec)
-    cand = q.mapInPandas(candidates, cand_schema).join(q.withColumnRenamed(vec, "_qv"), qid)
-    pairs = cand.join(refs_c.select("cell", F.col(rid).alias("_rid"), F.col(vec).alias("_rv")), "cell")
-    pairs = pairs.withColumn("dist", euclid("_qv", "_rv")).where(F.col("dist") <= F.col("_u"))
-    if exclude_self:
-        pairs = pairs.where(F.col("_rid") != F.col(qid))
-    w = Window.partitionBy(qid).orderBy("dist", "_rid")
-    return pairs.select(qid, "_rid", "dist").withColumn("rank", F.row_number().over(w)) \
-                .where(F.col("rank") <= k).withColumnRenamed("_rid", "rid")
+            if eps is None:
+                ub = d + rad[None, :]
+                order = np.argsort(ub, axis=1, kind="stable")
+                csum = np.cumsum(cnt[order], axis=1)
+                j = np.minimum((csum < need).sum(1), m - 1)
+                u = ub[np.arange(len(X)), order[np.arange(len(X)), j]]
+            else:
+                u = np.full(len(X), float(eps))
+            u = u * (1 + 1e-9) + 1e-12
+            ok = (d - rad[None, :] <= u[:, None]) & (cnt[None, :] > 0)
+            qi, ci = np.nonzero(ok)
+            yield pd.DataFrame({qid: pdf[qid].to_numpy()[qi], "cell": ci.astype("int32"), "_u": u[qi],
+                                "_qv": [X[i].tolist() for i in qi]})
+    schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("cell", T.IntegerType()),
+                           T.StructField("_u", T.DoubleType()),
+                           T.StructField("_qv", T.ArrayType(T.DoubleType()))])
+    return queries.select(qid, vec).mapInPandas(cand, schema)
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
+             exclude_self: bool = False, n_pivots: int | None = None) -> DataFrame:
+    """``(qid, rid, dist, rank)``: the k nearest references of every query
+    (ties by ``rid``).  ``exclude_self`` drops the pair ``qid == rid``."""
+    cells, P, cnt, rad = assign_cells(refs.select(F.col(rid).alias("rid"), F.col(vec).alias("vec")), "rid", "vec",
+                                      n_pivots)
+    need = k + (1 if exclude_self else 0)
+    cand = _candidates(queries, qid, vec, P, cnt, rad, need, None)
+    rid_type = cells.schema["rid"].dataType
+    out_schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("rid", rid_type),
+                               T.StructField("dist", T.DoubleType())])
+
+    def emit(qids, Q, U, rids, R):
+        oq, orr, od = [], [], []
+        for s0 in range(0, len(Q), SUB_BLOCK):
+            Qs = Q[s0:s0 + SUB_BLOCK]
+            D = np.sqrt(((Qs[:, None, :] - R[None, :, :]) ** 2).sum(-1))
+            for i in range(len(Qs)):
+                gi = s0 + i
+                ok = D[i] <= U[gi]
+                if exclude_self:
+                    ok &= rids != qids[gi]
+                idx = np.nonzero(ok)[0]
+                if len(idx) == 0:
+                    continue
+                top = idx[np.lexsort((rids[idx], D[i][idx]))][:k]  # block top-k by (dist, rid)
+                oq.extend([qids[gi]] * len(top))
+                orr.extend(rids[top].tolist())
+                od.extend(D[i][top].tolist())
+        return pd.DataFrame({qid: oq, "rid": orr, "dist": od})
+    blocks = _block_join(cand, cells, cnt, qid, emit, out_schema)
+    w = Window.partitionBy(qid).orderBy("dist", "rid")
+    return blocks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def range_join(points: DataFrame, key: str, eps: float, vec: str = "vec") -> DataFrame:
+    """All ``(a, b, dist)`` with ``dist ≤ eps`` among ``points`` (self pairs included)."""
+    cells, P, cnt, rad = assign_cells(points.select(F.col(key).alias("rid"), F.col(vec).alias("vec")), "rid", "vec")
+    q = points.select(F.col(key).alias("qid"), F.col(vec).alias("vec"))
+    cand = _candidates(q, "qid", "vec", P, cnt, rad, None, eps)
+    kt = points.schema[key].dataType
+    out_schema = T.StructType([T.StructField("qid", kt), T.StructField("rid", kt), T.StructField("dist", T.DoubleType())])
+
+    def emit(qids, Q, U, rids, R):
+        oq, orr, od = [], [], []
+        for s0 in range(0, len(Q), SUB_BLOCK):
+            Qs = Q[s0:s0 + SUB_BLOCK]
+            D = np.sqrt(((Qs[:, None, :] - R[None, :, :]) ** 2).sum(-1))
+            qi, ri = np.nonzero(D <= eps)
+            oq.extend(qids[s0 + qi].tolist())
+            orr.extend(rids[ri].tolist())
+            od.extend(D[qi, ri].tolist())
+        return pd.DataFrame({"qid": oq, "rid": orr, "dist": od})
+    blocks = _block_join(cand, cells, cnt, "qid", emit, out_schema)
+    return blocks.select(F.col("qid").alias("a"), F.col("rid").alias("b"), "dist")
 
 
 def vote(neighbours: DataFrame, ref_labels: DataFrame, n_classes: int, k: int,
