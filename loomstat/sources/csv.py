@@ -50,9 +50,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", separator:
     ncols = len(inferred.columns)
     if drop_bad_lines:
         too_many = F.size(F.split(F.col(BAD), _regex_escape(separator))) > ncols
-        # also reference a data column: a scan that needs only the corrupt-record column is refused
-        first = F.col(f"`{inferred.columns[0]}`")
-        raw = raw.where((F.col(BAD).isNull() | ~too_many) & (F.length(F.coalesce(first.cast("string"), F.lit(""))) >= 0))
+        raw = raw.where((F.col(BAD).isNull() | ~too_many) & _touch_all(inferred.columns))
     df = raw.drop(BAD)
     names = [c.strip().lstrip("﻿").strip() for c in inferred.columns]
     df = df.toDF(*names)
@@ -63,6 +61,16 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", separator:
     return df
 
 
+def _touch_all(columns: list[str]):
+    """An always-true predicate over every data column.
+
+    Malformed-row detection needs the whole row parsed: with CSV column
+    pruning a scan that reads a few columns never sees the extra fields, and
+    a scan that reads only the corrupt-record column is refused outright."""
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    return F.length(F.concat_ws("", *parts)) >= 0
+
+
 def _regex_escape(s: str) -> str:
     return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in s)
 
@@ -84,4 +92,5 @@ def bad_line_count(spark: SparkSession, path: str, separator: str = ",", encodin
     inferred = base.option("inferSchema", True).csv(path)
     schema = T.StructType(list(inferred.schema.fields) + [T.StructField(BAD, T.StringType())])
     raw = base.schema(schema).option("columnNameOfCorruptRecord", BAD).csv(path)
-    return raw.where(F.size(F.split(F.col(BAD), _regex_escape(separator))) > len(inferred.columns)).count()
+    too_many = F.size(F.split(F.col(BAD), _regex_escape(separator))) > len(inferred.columns)
+    return raw.where(too_many & _touch_all(inferred.columns)).count()
