@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from loomstat.functions.exprs import col_of, numeric_columns
 from loomstat.functions.ordered import dense_positions
 from loomstat.operators.clean import scale
-from loomstat.operators.knn import range_join
+from loomstat.operators.knn import assign_cells, knn_join, range_join, range_sums
 from loomstat.operators.split import sample_n
 from loomstat.session import cut_lineage
 
@@ -155,6 +155,68 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5, max
     return mat.select(key).join(named, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+# ------------------------------------------------------------------ mean-shift
+def estimate_bandwidth(mat: DataFrame, key: str, quantile: float = 0.3, sample: int = 1000, seed: int = 0) -> float:
+    """Mean distance to the ``quantile·s``-th neighbour over a hash sample of ``s`` rows (exact k-NN join)."""
+    s = sample_n(mat.select(key, "vec"), key, sample, seed)
+    s = cut_lineage(s)
+    n = s.count()
+    k = max(1, int(n * quantile))
+    q = s.withColumnRenamed(key, "qid")
+    nb = knn_join(q, s.withColumnRenamed(key, "rid"), k)
+    return float(nb.where(F.col("rank") == k).agg(F.avg("dist")).first()[0])
+
+
+def mean_shift(mat: DataFrame, key: str, bandwidth: float | None = None, max_iter: int = 300,
+               min_bin_freq: int = 1) -> tuple[DataFrame, list[list[float]]]:
+    """Flat-kernel mean-shift with grid-binned seeds: ``(key, cluster)`` and the centres.
+
+    Each iteration moves every seed to the mean of the points within the
+    bandwidth (one bounded block join over pivot cells, reused between
+    iterations); a seed stops when it moves less than 1e-3·bandwidth.
+    Converged centres closer than the bandwidth are merged, most populated
+    first; every point takes its nearest centre."""
+    bw = bandwidth or estimate_bandwidth(mat, key)
+    grid = F.transform("vec", lambda x: F.round(x / F.lit(bw)))
+    seeds = mat.groupBy(grid.alias("g")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_bin_freq) \
+               .select(F.transform("g", lambda x: x * F.lit(bw)).alias("vec"))
+    seeds = cut_lineage(seeds.withColumn("sid", F.monotonically_increasing_id()))
+    state = assign_cells(mat.select(F.col(key).alias("rid"), "vec"), "rid", "vec")
+    cur = seeds.select("sid", "vec")
+    last = cur.withColumn("n", F.lit(0).cast("long"))
+    for _ in range(max_iter):
+        sums = range_sums(cur, "sid", state, bw)
+        new = cur.join(sums, "sid", "left").select(
+            "sid", F.when(F.col("n") > 0, F.transform("s", lambda x: x / F.col("n"))).otherwise(F.col("vec")).alias("vec"),
+            F.coalesce("n", F.lit(0)).alias("n"), F.col("vec").alias("_old"))
+        new = cut_lineage(new)
+        moved = new.select(F.sqrt(F.aggregate(F.zip_with("vec", "_old", lambda a, b: (a - b) * (a - b)),
+                                              F.lit(0.0), lambda a, x: a + x)).alias("m")) \
+                   .where(F.col("m") >= 1e-3 * bw).limit(1).count()
+        cur, last = new.select("sid", "vec"), new.select("sid", "vec", "n")
+        if not moved:
+            break
+    # merge centres (bounded by the number of seeds), most populated first
+    cents = sorted(((r["n"], r["vec"]) for r in last.collect()), key=lambda t: -t[0])
+    kept: list[np.ndarray] = []
+    for n, v in cents:
+        v = np.array(v)
+        if n > 0 and all(np.linalg.norm(v - k) >= bw for k in kept):
+            kept.append(v)
+    C = np.array(kept)
+
+    def nearest(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf["vec"].to_numpy())
+            d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
+            yield pd.DataFrame({key: pdf[key], "cluster": d.argmin(1).astype("int32")})
+    kt = mat.schema[key].dataType.simpleString()
+    labels = mat.select(key, "vec").mapInPandas(nearest, f"{key} {kt}, cluster int")
+    return labels, [c.tolist() for c in C]
+
+
 # ------------------------------------------------------------------ reports
 def cluster_sizes(labels: DataFrame, label: str = "cluster") -> DataFrame:
     c = labels.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
@@ -179,6 +241,9 @@ def run_clustering(df: DataFrame, key: str, features: list[str] | None = None, a
         info.update(inertia=round(inertia, 4), centres=centres)
     elif algorithm == "dbscan":
         lab = dbscan(mat, key, eps, min_samples)
+    elif algorithm == "meanshift":
+        lab, centres = mean_shift(mat, key)
+        info.update(n_clusters=len(centres))
     else:
         raise ValueError(f"Unknown algorithm '{algorithm}'")
     info["silhouette"] = silhouette(lab.join(mat, key), key)

@@ -181,6 +181,33 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
     return blocks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def range_sums(queries: DataFrame, qid: str, cells_state, eps: float, vec: str = "vec") -> DataFrame:
+    """``(qid, n, s)``: count and vector sum of the references within ``eps`` of each query.
+
+    ``cells_state`` is the result of :func:`assign_cells` (reused across
+    iterations); every block returns one partial (n, sum) per query."""
+    cells, P, cnt, rad = cells_state
+    cand = _candidates(queries, qid, vec, P, cnt, rad, None, eps)
+    out_schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("n", T.LongType()),
+                               T.StructField("s", T.ArrayType(T.DoubleType()))])
+
+    def emit(qids, Q, U, rids, R):
+        oq, on, osum = [], [], []
+        for s0 in range(0, len(Q), SUB_BLOCK):
+            Qs = Q[s0:s0 + SUB_BLOCK]
+            D = np.sqrt(((Qs[:, None, :] - R[None, :, :]) ** 2).sum(-1))
+            W = (D <= eps).astype(float)
+            oq.extend(qids[s0:s0 + len(Qs)].tolist())
+            on.extend(W.sum(1).astype(int).tolist())
+            osum.extend((W @ R).tolist())
+        return pd.DataFrame({qid: oq, "n": on, "s": osum})
+    parts = _block_join(cand, cells, cnt, qid, emit, out_schema)
+    dim = len(P[0])
+    return parts.groupBy(qid).agg(
+        F.sum("n").alias("n"),
+        F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s"))
+
+
 def range_join(points: DataFrame, key: str, eps: float, vec: str = "vec") -> DataFrame:
     """All ``(a, b, dist)`` with ``dist ≤ eps`` among ``points`` (self pairs included)."""
     cells, P, cnt, rad = assign_cells(points.select(F.col(key).alias("rid"), F.col(vec).alias("vec")), "rid", "vec")

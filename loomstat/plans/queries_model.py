@@ -232,3 +232,10 @@ def _q_ano_top(spark, sf):
     ev = TBL(spark, sf, "events")
     mat = CL.prepare_matrix(ev, "event_id", ["value", "user_id"], nulls="zero")
     return AN.top_anomalies(AN.isolation_forest(mat, "event_id"), "event_id", 10)
+
+
+@register("clu_meanshift")
+def _q_meanshift(spark, sf):
+    emb = CL.array_column(TBL(spark, sf, "embeddings"), "embedding", "vec_id")
+    lab, _ = CL.mean_shift(emb, "vec_id")
+    return CL.cluster_sizes(lab)

@@ -398,3 +398,25 @@ def _q_score(spark, sf):
 @register("quality_score_eda_lineitem", sql_quality_score("lineitem", SCHEMAS["lineitem"], "eda", "l_returnflag"))
 def _q_score_eda(spark, sf):
     return Q.quality_score(T(spark, sf, "lineitem"), target="l_returnflag", mode="eda")
+
+
+# ------------------------------------------------------------------ report bundles
+@register("profile_report_orders",
+          " UNION ALL ".join(
+              f"SELECT '{c}' AS column_name, {i} AS position, count({c}) AS count, "
+              f"round(CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*), 1) AS missing_pct, "
+              f"count(DISTINCT {c}) AS unique, '{t}' AS type FROM orders"
+              for i, (c, t) in enumerate(zip(cols("orders"), SPARK_TYPES["orders"]))))
+def _q_profile_report(spark, sf):
+    from loomstat.plans.eda import profile_report
+    return profile_report(T(spark, sf, "orders"))["columns"]
+
+
+@register("eda_report_missing",
+          " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, {i} AS position, count(*) - count({c}) AS "
+                             f"null_count, round(CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*), 2) AS null_pct "
+                             f"FROM {CUSTOMER_N_SQL}) WHERE null_count > 0" for i, c in enumerate(cols("customer"))))
+def _q_eda_missing(spark, sf):
+    from loomstat.plans.eda import eda_report
+    rep = eda_report(customer_n(spark, sf), target="c_mktsegment", key="c_custkey")
+    return rep["missing"]
