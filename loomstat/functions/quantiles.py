@@ -9,7 +9,9 @@ whose driver-side results are bounded by the number of requested ranks:
 2. ``percentile_approx`` (a bounded-size quantile sketch, merged map-side)
    gives, for every wanted rank ``k``, a value bracket ``[lo, hi]`` that holds
    rank ``k`` with the sketch's rank-error guarantee.
-3. One pass counts the values below ``lo`` and inside the bracket.  If a
+3. One pass counts the values below ``lo`` and inside the bracket (bounds
+   come from a literal group → bounds map, one conditional aggregate per
+   target slot, so rows are not multiplied by the number of targets).  If a
    bracket is larger than ``max_bracket`` values it is narrowed with a
    1024-bin histogram pass (bins are monotone in the value, so the rows of a
    bin are exactly ``[min_bin, max_bin]``), repeated until it is small.
@@ -44,6 +46,66 @@ def _targets_frame(spark, rows: list[tuple], key_type: T.DataType) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _slots(brackets: dict) -> tuple[list, dict, int]:
+    """Per group, the ordered list of its targets (slot index → (group, k))."""
+    per: dict = {}
+    for key in sorted(brackets, key=lambda t: (str(t[0]), t[1])):
+        per.setdefault(key[0], []).append(key)
+    return sorted(per, key=str), per, max(len(v) for v in per.values())
+
+
+def _bound_maps(brackets: dict):
+    """Literal maps group → array of lower / upper bounds per slot (±inf when open;
+    empty padding slots get lo=+inf, hi=-inf).  Bounded by groups × targets."""
+    groups, per, n_slots = _slots(brackets)
+    inf = float("inf")
+
+    def arr(g, idx):
+        vals = []
+        for i in range(n_slots):
+            if i < len(per[g]):
+                b = brackets[per[g][i]]
+                v = b[idx]
+                vals.append((-inf if idx == 0 else inf) if v is None else float(v))
+            else:
+                vals.append(inf if idx == 0 else -inf)
+        return F.array(*[F.lit(v) for v in vals])
+    lo = F.create_map(*[x for g in groups for x in (F.lit(g), arr(g, 0))])
+    hi = F.create_map(*[x for g in groups for x in (F.lit(g), arr(g, 1))])
+    return lo[F.col("_g")], hi[F.col("_g")], per, n_slots
+
+
+def _slot_counts(src: DataFrame, brackets: dict) -> dict:
+    lo, hi, per, n_slots = _bound_maps(brackets)
+    v = F.col("_v")
+    aggs = []
+    for i in range(n_slots):
+        aggs += [F.count_if(v < lo[i]).alias(f"b{i}"), F.count_if((v >= lo[i]) & (v <= hi[i])).alias(f"n{i}")]
+    rows = src.where(lo.isNotNull()).groupBy("_g").agg(*aggs).collect()
+    out = {}
+    for r in rows:
+        for i, key in enumerate(per.get(r["_g"], [])):
+            out[key] = (int(r[f"b{i}"]), int(r[f"n{i}"]))
+    return out
+
+
+def _slot_collect(src: DataFrame, brackets: dict) -> dict:
+    """Sorted values inside each bracket (each bracket is bounded by ``max_bracket``)."""
+    lo, hi, per, n_slots = _bound_maps(brackets)
+    v = F.col("_v")
+    inside = [(v >= lo[i]) & (v <= hi[i]) for i in range(n_slots)]
+    any_in = inside[0]
+    for c in inside[1:]:
+        any_in = any_in | c
+    rows = src.where(lo.isNotNull() & any_in).groupBy("_g").agg(
+        *[F.sort_array(F.collect_list(F.when(inside[i], v))).alias(f"c{i}") for i in range(n_slots)]).collect()
+    out = {}
+    for r in rows:
+        for i, key in enumerate(per.get(r["_g"], [])):
+            out[key] = r[f"c{i}"]
+    return out
+
+
 def group_counts(long_df: DataFrame, g: str = "g", v: str = "v") -> dict[Hashable, int]:
     rows = long_df.groupBy(g).agg(F.count(v).alias("n")).collect()
     return {r[g]: int(r["n"]) for r in rows}
@@ -85,19 +147,11 @@ def kth_values(long_df: DataFrame, ranks: dict[Hashable, Iterable[int]],
         hi = qmap[grp][hi_f] if hi_f < 1 else None
         brackets[(grp, k)] = [lo, hi, 0, 0]  # lo, hi, below, inside
 
-    def _join(br: dict) -> DataFrame:
-        t = _targets_frame(spark, [(grp, k, b[0], b[1]) for (grp, k), b in br.items()], key_type)
-        return src.join(F.broadcast(t), on="_g")
-
     in_bracket = ((F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
                   & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
-    # pass 3: counts below / inside
-    rows = _join(brackets).groupBy("_g", "_k").agg(
-        F.count_if(F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))).alias("below"),
-        F.count_if(in_bracket).alias("inside")).collect()
-    for r in rows:
-        b = brackets[(r["_g"], r["_k"])]
-        b[2], b[3] = int(r["below"]), int(r["inside"])
+    # pass 3: values below / inside every bracket, one conditional aggregate per target slot
+    for (key, (below, inside)) in _slot_counts(src, brackets).items():
+        brackets[key][2], brackets[key][3] = below, inside
     for key, b in brackets.items():
         k = key[1]
         if not (b[2] <= k < b[2] + b[3]):  # sketch bracket missed: widen to everything
@@ -147,12 +201,8 @@ def kth_values(long_df: DataFrame, ranks: dict[Hashable, Iterable[int]],
         else:
             collect[key] = b
     if collect:
-        t = _targets_frame(spark, [(grp, k, b[0], b[1]) for (grp, k), b in collect.items()], key_type)
-        rows = (src.join(F.broadcast(t), on="_g").where(in_bracket)
-                .groupBy("_g", "_k").agg(F.sort_array(F.collect_list("_v")).alias("vals")).collect())
-        for r in rows:
-            key = (r["_g"], r["_k"])
-            out[key] = float(r["vals"][key[1] - collect[key][2]])
+        for key, vals in _slot_collect(src, collect).items():
+            out[key] = float(vals[key[1] - collect[key][2]])
     return out
 
 

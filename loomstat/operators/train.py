@@ -153,7 +153,8 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
         if model == "lr":
             C = float(p.get("C", 1.0))
             return LogisticRegression(maxIter=int(p.get("max_iter", 200)), regParam=1.0 / (C * max(n_rows, 1)),
-                                      elasticNetParam=0.0, standardization=False, **kw, **wk)
+                                      elasticNetParam=0.0, standardization=False, tol=float(p.get("tol", 1e-4)),
+                                      **kw, **wk)
         if model == "rf":
             return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=fdepth,
                                           featureSubsetStrategy="sqrt", seed=seed, **kw, **wk)
