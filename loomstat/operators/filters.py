@@ -38,26 +38,32 @@ def _canonical_int(value: str) -> int | None:
     return i if str(i) == value else None
 
 
-def text_equals(df: DataFrame, column: str, value: str) -> Column:
-    """Never-null boolean: the column read as text equals ``value``."""
+def text_equals(df: DataFrame, column: str, value: str, null_safe: bool = False) -> Column:
+    """The column read as text equals ``value``.
+
+    Emitted as a plain ``col = lit`` where that is equivalent, so Parquet gets
+    the filter; a null result means false.  ``null_safe`` wraps it so it can be
+    negated."""
     dt = df.schema[column].dataType
     c = col_of(column)
     if value == NULL_TEXT:
         return text_of(c) == F.lit(value)
     if isinstance(dt, T.StringType):
-        return F.coalesce(c == F.lit(value), F.lit(False))
-    if isinstance(dt, INTEGRAL_TYPES):
+        e = c == F.lit(value)
+    elif isinstance(dt, INTEGRAL_TYPES):
         i = _canonical_int(value)
-        return F.coalesce(c == F.lit(i), F.lit(False)) if i is not None else F.lit(False)
-    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        e = c == F.lit(i) if i is not None else F.lit(False)
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
         # str(x) == value  ⇔  x == float(value) when value is the canonical repr of a float
         f = _canonical_float(value)
-        return F.coalesce(c == F.lit(f), F.lit(False)) if f is not None else F.lit(False)
-    return text_of(c) == F.lit(value)
+        e = c == F.lit(f) if f is not None else F.lit(False)
+    else:
+        return text_of(c) == F.lit(value)
+    return F.coalesce(e, F.lit(False)) if null_safe else e
 
 
 def predicate(df: DataFrame, column: str, operator: str, value=None) -> Column:
-    """The filter condition as a Column (never null)."""
+    """The filter condition as a Column (a null result counts as false)."""
     if column not in df.columns:
         raise ValueError(f"Column '{column}' not found.")
     if operator not in FILTER_OPS:
@@ -68,17 +74,16 @@ def predicate(df: DataFrame, column: str, operator: str, value=None) -> Column:
     if operator == "eq":
         return text_equals(df, column, sval)
     if operator == "ne":
-        eq = text_equals(df, column, sval)
         if isinstance(dt, T.StringType) and sval != NULL_TEXT:
             return (c != F.lit(sval)) | c.isNull()
-        return ~eq
+        return ~text_equals(df, column, sval, null_safe=True)
     if operator in ("gt", "lt", "gte", "lte"):
         v = float(value)
         x = c if is_numeric_type(dt) else numeric_of(c, dt)
         cmp = {"gt": x > F.lit(v), "lt": x < F.lit(v), "gte": x >= F.lit(v), "lte": x <= F.lit(v)}[operator]
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             cmp = cmp & ~F.isnan(c)  # NaN compares false, as a missing value does
-        return F.coalesce(cmp, F.lit(False))
+        return cmp
     if operator == "contains":
         return text_of(c).rlike(sval)
     if operator == "not_contains":
@@ -89,11 +94,11 @@ def predicate(df: DataFrame, column: str, operator: str, value=None) -> Column:
         return c.isNotNull() & (~F.isnan(c) if isinstance(dt, (T.FloatType, T.DoubleType)) else F.lit(True))
     if operator == "starts_with":
         if isinstance(dt, T.StringType) and not NULL_TEXT.startswith(sval):
-            return F.coalesce(c.startswith(sval), F.lit(False))
+            return c.startswith(sval)
         return text_of(c).startswith(sval)
     if operator == "ends_with":
         if isinstance(dt, T.StringType) and not NULL_TEXT.endswith(sval):
-            return F.coalesce(c.endswith(sval), F.lit(False))
+            return c.endswith(sval)
         return text_of(c).endswith(sval)
     raise AssertionError(operator)
 
@@ -105,6 +110,6 @@ def filter_rows(df: DataFrame, column: str, operator: str, value=None) -> DataFr
 
 def filter_counts(df: DataFrame, column: str, operator: str, value=None) -> DataFrame:
     """Dry run: ``(original, kept, removed)`` in one pass, no rows written."""
-    p = predicate(df, column, operator, value)
+    p = F.coalesce(predicate(df, column, operator, value), F.lit(False))
     return df.agg(F.count(F.lit(1)).alias("original"), F.count_if(p).alias("kept")) \
              .withColumn("removed", F.col("original") - F.col("kept"))
