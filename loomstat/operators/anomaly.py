@@ -139,3 +139,20 @@ def local_outlier_factor(mat: DataFrame, key: str, k: int = 20, contamination: f
 def top_anomalies(flagged: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The ``n`` lowest scores (a top-k report)."""
     return flagged.orderBy("anomaly_score", key).limit(n)
+
+
+def anomaly_detection(df: DataFrame, key: str, features: list[str] | None = None, method: str = "isolation_forest",
+                      contamination: float = 0.05, save_labels: bool = False, seed: int = 42):
+    """Numeric nulls → 0, standardise, score.  Returns the flagged ``(key, anomaly_score,
+    is_anomaly)`` table, or — with ``save_labels`` — the input table with both columns added."""
+    from loomstat.operators.cluster import prepare_matrix
+    if not 0 < contamination < 0.5:
+        raise ValueError("contamination must be in (0, 0.5)")
+    mat = prepare_matrix(df, key, features, nulls="zero")
+    if method == "isolation_forest":
+        flagged = isolation_forest(mat, key, contamination=contamination, seed=seed)
+    elif method == "lof":
+        flagged = local_outlier_factor(mat, key, contamination=contamination)
+    else:
+        raise ValueError(f"Unknown method '{method}'")
+    return df.join(flagged, key, "left") if save_labels else flagged

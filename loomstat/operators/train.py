@@ -144,6 +144,8 @@ def feature_stages(df: DataFrame, plan: FeaturePlan, scale: bool, poly_degree: i
 # ------------------------------------------------------------------ estimators
 def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_col: str,
                    weight_col: str | None = None, seed: int = 42, **p):
+    if (model, task) in _REGISTRY:
+        return _REGISTRY[(model, task)](features_col, LABEL, n_rows, n_classes, **p)
     kw = {"featuresCol": features_col, "labelCol": LABEL}
     wk = {"weightCol": weight_col} if weight_col else {}
     depth = p.get("max_depth")
@@ -271,7 +273,7 @@ def train_model(df: DataFrame, target: str, model: str = "rf", task: str = "clas
                 test_size: float = 0.2, key: str | None = None, class_weight: str | None = None,
                 return_train_score: bool = False, seed: int = 42, **params) -> TrainResult:
     """Split (stratified for classification), fit, evaluate on the held-out rows."""
-    allowed = CLASSIFIERS if task == "classification" else REGRESSORS
+    allowed = registered_models(task)
     if model not in allowed:
         raise ValueError(f"Unknown model '{model}'. Allowed: {', '.join(allowed)}")
     data = df.where(col_of(target).isNotNull())
@@ -504,3 +506,59 @@ def naive_bayes_stats(df: DataFrame, target: str, features: list[str]) -> DataFr
         for j, f in enumerate(features):
             rows.append((cls, f, float(theta[i, j]), float(sigma[i, j])))
     return df.sparkSession.createDataFrame(rows, "class string, feature string, mean double, var double")
+
+
+# ------------------------------------------------------------------ extension hook, dry run, evaluation
+_REGISTRY: dict[tuple[str, str], object] = {}
+
+
+def register_estimator(name: str, task: str, factory) -> None:
+    """Add a model key: ``factory(features_col, label_col, n_rows, n_classes, **params)`` → ``pyspark.ml`` Estimator."""
+    _REGISTRY[(name, task)] = factory
+
+
+def registered_models(task: str) -> list[str]:
+    base = list(CLASSIFIERS if task == "classification" else REGRESSORS)
+    return base + [n for (n, t) in _REGISTRY if t == task and n not in base]
+
+
+def train_dry_run(df: DataFrame, target: str) -> DataFrame:
+    """What training would use: feature columns and usable rows (nothing is fitted)."""
+    feats = [c for c in df.columns if c != target]
+    n = df.where(col_of(target).isNotNull()).count()
+    return df.sparkSession.createDataFrame([(f, i, n) for i, f in enumerate(feats)],
+                                           "feature string, position int, rows long")
+
+
+def score_head(model: PipelineModel, df: DataFrame, key: str, n: int = 20, target: str | None = None,
+               cap: int = 100) -> DataFrame:
+    """First ``n`` rows by ``key`` (at most ``cap``) with prediction and class probabilities (4 dp)."""
+    head = df.orderBy(col_of(key)).limit(min(n, cap))
+    out = score(model, head, target=target)
+    if "probability" in out.columns:
+        out = out.withColumn("probability", F.transform("probability", lambda x: F.round(x, 4)))
+    return out
+
+
+def evaluate_model(model: PipelineModel, df: DataFrame, target: str, task: str = "classification") -> DataFrame:
+    """Metrics of a fitted pipeline on a labelled table (the training label encoding is reused)."""
+    pred = model.transform(df.where(col_of(target).isNotNull()))
+    if task == "classification":
+        m = M.classification_metrics(pred, LABEL, "prediction")
+        n_cls = pred.select(LABEL).distinct().limit(3).count()
+        if n_cls == 2 and ("probability" in pred.columns or "rawPrediction" in pred.columns):
+            sc = "probability" if "probability" in pred.columns else "rawPrediction"
+            auc = M.auc_exact(pred.select(LABEL, vector_to_array(sc)[1].alias("_s")), LABEL, "_s", "1.0", 4)
+            return m.withColumn("auc", F.lit(auc.first()["auc"]))
+        return m
+    return M.regression_metrics(pred, LABEL, "prediction")
+
+
+def predictions_vs_actual(model: PipelineModel, df: DataFrame, target: str, key: str, sample: int = 10_000,
+                          seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Regression metrics and a hash sample of ≤ ``sample`` (actual, predicted) points."""
+    from loomstat.operators.split import sample_n
+    pred = model.transform(df.where(col_of(target).isNotNull()))
+    pts = sample_n(pred.select(col_of(key), F.col(LABEL).alias("actual"), F.col("prediction").alias("predicted")),
+                   key, sample, seed)
+    return M.regression_metrics(pred, LABEL, "prediction"), pts

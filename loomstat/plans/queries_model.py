@@ -239,3 +239,62 @@ def _q_meanshift(spark, sf):
     emb = CL.array_column(TBL(spark, sf, "embeddings"), "embedding", "vec_id")
     lab, _ = CL.mean_shift(emb, "vec_id")
     return CL.cluster_sizes(lab)
+
+
+# ------------------------------------------------------------------ encoding reuse, dry run, evaluation
+@register("apply_encoding",
+          "WITH m AS (SELECT p_type AS value, dense_rank() OVER (ORDER BY p_type) - 1 AS code FROM "
+          "(SELECT DISTINCT coalesce(p_type, 'nan') AS p_type FROM part WHERE p_size <= 10)) "
+          "SELECT p.p_partkey, coalesce(m.code, -1) AS p_type FROM part p LEFT JOIN m ON coalesce(p.p_type, 'nan') = m.value")
+def _q_apply_enc(spark, sf):
+    from loomstat.operators import clean as C
+    part = TBL(spark, sf, "part")
+    mapping, n = C.label_mapping(part.where(F.col("p_size") <= 10), "p_type")
+    return C.apply_mapping(part.select("p_partkey", "p_type"), "p_type", mapping, n, unseen=-1)
+
+
+@register("train_dry_run",
+          " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS position, (SELECT count(*) FROM orders WHERE "
+                             f"o_orderstatus IS NOT NULL) AS rows" for i, c in
+                             enumerate(["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])))
+def _q_dry(spark, sf):
+    return TR.train_dry_run(_orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                                      "o_orderpriority"), "o_orderstatus")
+
+
+@register("score_head")
+def _q_score_head(spark, sf):
+    o = _orders(spark, sf)
+    r = TR.train_model(o, "o_orderstatus", "nb", "classification", key="o_orderkey")
+    return TR.score_head(r.model, o.drop("o_orderstatus"), "o_orderkey", 20, target="o_orderstatus")
+
+
+@register("eval_model")
+def _q_eval(spark, sf):
+    d = _docs_labelled(spark, sf)
+    r = TR.train_model(d, "quality", "lr", "classification", key="doc_id")
+    return TR.evaluate_model(r.model, d, "quality")
+
+
+@register("pred_actual")
+def _q_pred_actual(spark, sf):
+    li = TBL(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    li = li.withColumn("_k", F.xxhash64(*li.columns))
+    r = TR.train_model(li, "l_extendedprice", "lir", "regression", key="_k")
+    _, pts = TR.predictions_vs_actual(r.model, li, "l_extendedprice", "_k", 10_000)
+    return pts
+
+
+@register("ano_labels")
+def _q_ano_labels(spark, sf):
+    ev = TBL(spark, sf, "events").drop("ts")
+    return AN.anomaly_detection(ev, "event_id", ["value", "user_id"], "isolation_forest", 0.05, save_labels=True)
+
+
+@register("algo_registry")
+def _q_registry(spark, sf):
+    from pyspark.ml.classification import LinearSVC
+    TR.register_estimator("lsvc", "classification",
+                          lambda fc, lc, n, k, **p: LinearSVC(featuresCol=fc, labelCol=lc, regParam=0.01))
+    r = TR.train_model(_docs_labelled(spark, sf), "quality", "lsvc", "classification", key="doc_id")
+    return r.metrics_frame(spark)
