@@ -196,8 +196,11 @@ def mean_shift(mat: DataFrame, key: str, bandwidth: float | None = None, max_ite
         cur, last = new.select("sid", "vec"), new.select("sid", "vec", "n")
         if not moved:
             break
-    # merge centres (bounded by the number of seeds), most populated first
-    cents = sorted(((r["n"], r["vec"]) for r in last.collect()), key=lambda t: -t[0])
+    # converged seeds sit on a few modes: collapse them in Spark first (grid of 1e-3·bw),
+    # so only distinct modes reach the driver; then merge modes closer than bw, most populated first
+    modes = last.where(F.col("n") > 0).groupBy(F.transform("vec", lambda x: F.round(x / F.lit(bw * 1e-3))).alias("_m")) \
+                .agg(F.max("n").alias("n"), F.first("vec").alias("vec"))
+    cents = sorted(((r["n"], r["vec"]) for r in modes.collect()), key=lambda t: -t[0])
     kept: list[np.ndarray] = []
     for n, v in cents:
         v = np.array(v)
