@@ -7,8 +7,9 @@ distance-based models), so scoring can never drift from training.
 
 Model keys (fixed values): classifiers lr svm rf dtc knn nb xgb; regressors
 lir pr lar rr dtr rfr xgb.  Regularisation is converted to MLlib's
-per-sample scaling: logistic ``C`` → ``regParam = 1/(C·n)``; ridge ``alpha``
-→ ``alpha/n``; lasso ``alpha`` is already per-sample.
+objectives: logistic ``C`` → ``regParam = 1/(C·n)``; ridge ``alpha`` →
+``alpha·std(y)/n`` (the normal solver scales its L2 term by the label std);
+lasso ``alpha`` is already MLlib's L1 weight.
 """
 
 from __future__ import annotations
@@ -176,12 +177,14 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
         if model == "pr":
             return LinearRegression(solver="normal", regParam=0.0, **kw, **wk)
         if model == "lar":
-            # MLlib scales the L1 term by the label's std (glmnet convention); undo it
-            y_std = float(p.get("label_std") or 1.0)
-            return LinearRegression(regParam=float(p.get("alpha", 0.01)) / y_std, elasticNetParam=1.0,
+            # (1/2n)·RSS + α‖w‖₁ is MLlib's L1 objective as is (checked against the 1-D closed form)
+            return LinearRegression(regParam=float(p.get("alpha", 0.01)), elasticNetParam=1.0,
                                     standardization=False, maxIter=int(p.get("max_iter", 200)), **kw, **wk)
         if model == "rr":
-            return LinearRegression(regParam=float(p.get("alpha", 0.01)) / max(n_rows, 1), elasticNetParam=0.0,
+            # RSS + α‖w‖²: the normal-equation solver scales its L2 term by 1/std(y) (population std),
+            # so regParam = α·std(y)/n (checked against the closed form)
+            y_std = float(p.get("label_std") or 1.0)
+            return LinearRegression(regParam=float(p.get("alpha", 0.01)) * y_std / max(n_rows, 1), elasticNetParam=0.0,
                                     standardization=False, solver="normal", **kw, **wk)
         if model == "dtr":
             return DecisionTreeRegressor(maxDepth=depth, seed=seed, **kw, **wk)
@@ -209,8 +212,8 @@ def build_pipeline(df: DataFrame, target: str, model: str, task: str, n_rows: in
         from loomstat.operators.knn import KnnClassifier
         est = KnnClassifier(featuresCol=fcol, labelCol=LABEL, k=int(params.get("n_neighbors", 5)))
     else:
-        if model == "lar" and "label_std" not in params:
-            params = {**params, "label_std": df.agg(F.stddev_samp(col_of(target).cast("double"))).first()[0]}
+        if model == "rr" and "label_std" not in params:
+            params = {**params, "label_std": df.agg(F.stddev_pop(col_of(target).cast("double"))).first()[0]}
         est = make_estimator(model, task, n_rows, n_classes, fcol, weight_col, seed, **params)
     stages.append(est)
     return Pipeline(stages=stages), plan
@@ -479,7 +482,10 @@ def fit_coefficients(df: DataFrame, target: str, features: list[str], model: str
     d = VectorAssembler(inputCols=features, outputCol=FEATURES).transform(
         df.select(*[col_of(c).cast("double").alias(c) for c in features], col_of(target).cast("double").alias(LABEL))
           .dropna())
-    n = d.count()
+    st = d.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
+    n = st["n"]
+    if model == "rr" and "label_std" not in params:
+        params = {**params, "label_std": st["s"]}
     m = make_estimator(model, "regression", n, 0, FEATURES, **params).fit(d)
     rows = [(f, float(c)) for f, c in zip(features, m.coefficients.toArray())] + [("intercept", float(m.intercept))]
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double")

@@ -78,13 +78,13 @@ def _q_lir(spark, sf):
 @register("reg_rr_coef",
           "WITH t AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem), m AS (SELECT avg(x) AS mx, avg(y) "
           "AS my, sum((x - (SELECT avg(x) FROM t)) * (y - (SELECT avg(y) FROM t))) AS sxy, sum((x - (SELECT avg(x) "
-          "FROM t)) * (x - (SELECT avg(x) FROM t))) AS sxx FROM t) SELECT 'l_quantity' AS term, round(sxy / (sxx + 100), 2) "
-          "AS coefficient FROM m UNION ALL SELECT 'intercept', round(my - sxy / (sxx + 100) * mx, 2) FROM m")
+          "FROM t)) * (x - (SELECT avg(x) FROM t))) AS sxx FROM t) SELECT 'l_quantity' AS term, round(sxy / (sxx + 1e6), 4) "
+          "AS coefficient FROM m UNION ALL SELECT 'intercept', round(my - sxy / (sxx + 1e6) * mx, 4) FROM m")
 def _q_rr(spark, sf):
-    # ridge with alpha = 100: slope = Sxy / (Sxx + alpha) on centred data, intercept unpenalised.
-    # 2 dp: the intercept is ~5e4 and MLlib's normal-equation solve is good to ~1e-8 relative.
-    c = TR.fit_coefficients(TBL(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], "rr", alpha=100.0)
-    return c.select("term", F.round("coefficient", 2).alias("coefficient"))
+    # ridge with alpha = 1e6 (large enough to move the slope): slope = Sxy / (Sxx + alpha) on
+    # centred data, intercept unpenalised
+    c = TR.fit_coefficients(TBL(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], "rr", alpha=1e6)
+    return c.select("term", F.round("coefficient", 4).alias("coefficient"))
 
 
 @register("clf_nb_stats",

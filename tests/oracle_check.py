@@ -51,7 +51,13 @@ def main(argv):
     import __spark_entry__ as E
     from loomstat.session import get_session
 
-    spark = get_session()
+    if os.environ.get("PLAIN_SESSION"):
+        # as a driver would: Spark defaults, nothing preset
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_session()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")

@@ -60,3 +60,22 @@ def test_regressor_recovers_line(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(100), "x": x, "y": 3 * x + 2}))
     c = {r["term"]: r["coefficient"] for r in TR.fit_coefficients(df, "y", ["x"]).collect()}
     assert abs(c["x"] - 3) < 1e-9 and abs(c["intercept"] - 2) < 1e-7
+
+
+def test_ridge_and_lasso_match_closed_forms(spark):
+    rng = np.random.default_rng(0)
+    n = 2000
+    x = rng.normal(10, 3, n)
+    y = 50 * x + rng.normal(0, 400, n)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    xc, yc = x - x.mean(), y - y.mean()
+    sxx, sxy = (xc * xc).sum(), (xc * yc).sum()
+    alpha = 1e5  # RSS + α‖w‖²
+    c = {r["term"]: r["coefficient"] for r in TR.fit_coefficients(df, "y", ["x"], "rr", alpha=alpha).collect()}
+    assert abs(c["x"] - sxy / (sxx + alpha)) < 1e-8
+    alpha = 100.0  # (1/2n)·RSS + α‖w‖₁ → soft threshold
+    r = sxy / n
+    exp = np.sign(r) * max(abs(r) - alpha, 0) / (sxx / n)
+    c = {r_["term"]: r_["coefficient"] for r_ in
+         TR.fit_coefficients(df, "y", ["x"], "lar", alpha=alpha, max_iter=500).collect()}
+    assert abs(c["x"] - exp) < 1e-4
