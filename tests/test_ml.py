@@ -79,3 +79,21 @@ def test_ridge_and_lasso_match_closed_forms(spark):
     c = {r_["term"]: r_["coefficient"] for r_ in
          TR.fit_coefficients(df, "y", ["x"], "lar", alpha=alpha, max_iter=500).collect()}
     assert abs(c["x"] - exp) < 1e-4
+
+
+def test_logistic_penalty_matches_objective(spark):
+    """At the MLlib optimum, the gradient of C·Σ logloss + ½‖w‖² (intercept unpenalised) vanishes."""
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(4)
+    n = 1500
+    X = rng.normal(size=(n, 2)) * [1.0, 5.0]
+    y = (X[:, 0] + 0.2 * X[:, 1] + rng.normal(size=n) > 0).astype(float)
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "label": y})))
+    C = 0.01
+    m = TR.make_estimator("lr", "classification", n, 2, "features", C=C, tol=1e-10, max_iter=1000).fit(df)
+    w, b = m.coefficients.toArray(), m.intercept
+    p = 1 / (1 + np.exp(-(X @ w + b)))
+    grad_w = C * X.T @ (p - y) + w
+    grad_b = C * (p - y).sum()
+    assert np.abs(grad_w).max() < 1e-4 and abs(grad_b) < 1e-4
