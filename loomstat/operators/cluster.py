@@ -125,8 +125,9 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5, max
 
     Core points have ≥ ``min_samples`` neighbours within ``eps`` (itself
     included).  Clusters are connected components of core points, found by
-    repeated min-label propagation over core–core edges (each round cut with a
-    reliable checkpoint); a border point joins the adjacent cluster with the
+    repeated min-label propagation over core–core edges plus pointer jumping
+    (``lab ← min(lab, lab(lab))``, so long chains converge in few rounds; each
+    round is cut with a reliable checkpoint); a border point joins the adjacent cluster with the
     smallest label; clusters are numbered by their smallest key.
     """
     pairs = cut_lineage(range_pairs(mat, key, eps))
@@ -141,6 +142,9 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5, max
                     .groupBy("a").agg(F.min("lb").alias("m"))
         new = lab.join(prop.withColumnRenamed("a", "v"), "v", "left") \
                  .select("v", F.least("lab", F.coalesce("m", "lab")).alias("lab"))
+        # pointer jumping: a label is itself a core vertex, so take its label too (log-depth convergence)
+        hop = new.select(F.col("v").alias("lab"), F.col("lab").alias("lab2"))
+        new = new.join(hop, "lab", "left").select("v", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
         new = cut_lineage(new)
         changed = new.join(lab.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).limit(1).count()
         lab = new
