@@ -112,12 +112,11 @@ def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check"
         from pyspark.sql import Window
         elig = F.col("_imb_pos").isNotNull() & (
             (F.col("column_name") == F.lit(target or "\u0000")) | (F.col("nunique") <= IMBALANCE_MAX_UNIQUE))
-        w = Window.orderBy(F.col("_imb_pos"))  # ≤ #columns rows: a bounded single-task window
-        ds2 = ds2.withColumn("_elig", elig)
-        ranked = ds2.where(F.col("_elig")).withColumn("_imb_rank", F.row_number().over(w)) \
-                    .select("column_name", "_imb_rank")
-        ds2 = ds2.join(ranked, "column_name", "left") \
-                 .withColumn("_imb_ok", F.coalesce(F.col("_imb_rank") <= IMBALANCE_MAX_COLUMNS, F.lit(False)))
+        # running count of eligible columns in candidate order; the summary has one row per column (bounded)
+        w = Window.orderBy(F.col("_imb_pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        ds2 = ds2.withColumn("_elig", elig) \
+                 .withColumn("_imb_rank", F.sum(F.col("_elig").cast("int")).over(w)) \
+                 .withColumn("_imb_ok", F.col("_elig") & (F.col("_imb_rank") <= IMBALANCE_MAX_COLUMNS))
     structs = [F.when(s.isNotNull(), s.withField("column_name", F.col("column_name"))) for s in rows]
     dist = ds2.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("a")).select("a.*")
 

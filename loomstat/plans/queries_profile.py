@@ -420,3 +420,17 @@ def _q_eda_missing(spark, sf):
     from loomstat.plans.eda import eda_report
     rep = eda_report(customer_n(spark, sf), target="c_mktsegment", key="c_custkey")
     return rep["missing"]
+
+
+ORDERS_FLAG_SQL = ("(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, "
+                   "CASE WHEN o_totalprice > 475000 THEN 'Y' ELSE 'N' END AS o_big FROM orders)")
+ORDERS_FLAG_SCHEMA = [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "cat"), ("o_totalprice", "num"),
+                      ("o_orderpriority", "cat"), ("o_big", "cat")]
+
+
+@register("quality_alerts_eda_imbalance",
+          sql_quality_alerts(ORDERS_FLAG_SQL, ORDERS_FLAG_SCHEMA, "eda", "o_orderstatus"))
+def _q_alerts_imb(spark, sf):
+    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
+                                      F.when(F.col("o_totalprice") > 475000, "Y").otherwise("N").alias("o_big"))
+    return Q.quality_alerts(o, target="o_orderstatus", mode="eda")
