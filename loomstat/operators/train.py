@@ -56,6 +56,10 @@ DEFAULT_GRIDS: dict[str, dict] = {
     "lir": {},
 }
 LABEL, FEATURES, SCALED = "label", "features", "features_scaled"
+# Text features with more distinct values than this are hash-coded instead of indexed: an indexer
+# keeps every label on the driver, which an ID-like column at scale must not do.
+MAX_INDEXED_LABELS = 100_000
+HASH_BUCKETS = 1 << 20
 
 
 # ------------------------------------------------------------------ features
@@ -67,6 +71,7 @@ class FeaturePlan:
     numeric: list[str]
     medians: dict[str, float]
     target_is_text: bool
+    hashed: list[str] = field(default_factory=list)
 
 
 def plan_features(df: DataFrame, target: str, features: list[str] | None = None,
@@ -80,6 +85,11 @@ def plan_features(df: DataFrame, target: str, features: list[str] | None = None,
             numeric.append(c)
         else:
             text.append(c)
+    hashed: list[str] = []
+    if text:
+        # one HLL pass (bounded memory) decides which text columns are safe to index
+        card = df.agg(*[F.approx_count_distinct(col_of(c), 0.02).alias(c) for c in text]).first()
+        hashed = [c for c in text if card[c] > MAX_INDEXED_LABELS]
     medians: dict[str, float] = {}
     if numeric and null_fill == "median":
         nulls = df.agg(*[F.count_if(col_of(c).isNull()).alias(c) for c in numeric]).first()
@@ -87,8 +97,8 @@ def plan_features(df: DataFrame, target: str, features: list[str] | None = None,
         if need:
             q = column_quantiles(df.select(*[_num(df, c).alias(c) for c in need]), need, [0.5])
             medians = {c: q.get((c, 0.5)) for c in need}
-    return FeaturePlan(target, feats, text, numeric, medians,
-                       not is_numeric_type(df.schema[target].dataType))
+    return FeaturePlan(target, feats, [c for c in text if c not in hashed], numeric, medians,
+                       not is_numeric_type(df.schema[target].dataType), hashed)
 
 
 def _num(df: DataFrame, c: str):
@@ -114,6 +124,9 @@ def feature_stages(df: DataFrame, plan: FeaturePlan, scale: bool, poly_degree: i
         exprs.append(f"coalesce({e}, {float(fill) if fill is not None else 0.0}) AS `__n_{c}`")
     for c in plan.text:
         exprs.append(f"coalesce(CAST(`{c}` AS STRING), 'nan') AS `__t_{c}`")
+    for c in plan.hashed:
+        exprs.append(f"CAST(pmod(xxhash64(coalesce(CAST(`{c}` AS STRING), 'nan')), {HASH_BUCKETS}) AS DOUBLE) "
+                     f"AS `__h_{c}`")
     if with_label:
         if plan.target_is_text:
             exprs.append(f"coalesce(CAST(`{plan.target}` AS STRING), 'nan') AS `__y`")
@@ -130,7 +143,8 @@ def feature_stages(df: DataFrame, plan: FeaturePlan, scale: bool, poly_degree: i
                                         handleInvalid="keep"))
         else:
             stages.append(SQLTransformer(statement=f"SELECT *, `__y` AS {LABEL} FROM __THIS__"))
-    cols = [f"__n_{c}" if c in plan.numeric else f"__i_{c}" for c in plan.features]
+    cols = [f"__n_{c}" if c in plan.numeric else (f"__h_{c}" if c in plan.hashed else f"__i_{c}")
+            for c in plan.features]
     stages.append(VectorAssembler(inputCols=cols, outputCol=FEATURES))
     out = FEATURES
     if poly_degree:

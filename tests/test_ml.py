@@ -97,3 +97,15 @@ def test_logistic_penalty_matches_objective(spark):
     grad_w = C * X.T @ (p - y) + w
     grad_b = C * (p - y).sum()
     assert np.abs(grad_w).max() < 1e-4 and abs(grad_b) < 1e-4
+
+
+def test_high_cardinality_text_is_hash_coded(spark, monkeypatch):
+    monkeypatch.setattr(TR, "MAX_INDEXED_LABELS", 10)
+    n = 200
+    df = spark.createDataFrame(pd.DataFrame({"id": range(n), "name": [f"n{i}" for i in range(n)],
+                                             "grp": [("a", "b")[i % 2] for i in range(n)],
+                                             "y": [i % 2 for i in range(n)]}))
+    plan = TR.plan_features(df, "y", ["name", "grp"])
+    assert plan.hashed == ["name"] and plan.text == ["grp"]
+    r = TR.train_model(df, "y", "dtc", key="id")
+    assert r.metrics["accuracy"] > 0.9  # grp carries the label
