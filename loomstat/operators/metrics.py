@@ -9,11 +9,11 @@ both computed with the range-bucket machinery (no single-task window).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.exprs import col_of
-from loomstat.functions.ordered import cumulative_sums
+from loomstat.functions.ordered import BUCKET, cumulative_sums, with_range_bucket
 
 
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -84,15 +84,37 @@ def auc_exact(df: DataFrame, label: str, score: str, positive=1, dp: int = 6) ->
                       F.col("N").cast("long").alias("n_neg"))
 
 
-def roc_points(df: DataFrame, label: str, score: str, positive=1, dp: int = 6) -> DataFrame:
-    """``(threshold, fpr, tpr)`` at every distinct score (descending), plus the
-    (0, 0) start point with a null threshold."""
+def roc_points(df: DataFrame, label: str, score: str, positive=1, dp: int = 6,
+               drop_intermediate: bool = True) -> DataFrame:
+    """``(threshold, fpr, tpr)`` over distinct scores (descending), plus the (0, 0)
+    start point with a null threshold.
+
+    ``drop_intermediate`` keeps only corners of the curve: the first and last
+    thresholds and every threshold whose (positives, negatives) step differs
+    from the next one.  The "next" step crosses range buckets through a
+    one-row-per-bucket table of each bucket's first step (no global window)."""
     sc = _score_counts(df, label, score, positive)
     c = cumulative_sums(sc, "score", ["npos", "nneg"], descending=True)
     tot = sc.agg(F.sum("npos").cast("double").alias("P"), F.sum("nneg").cast("double").alias("N"))
     # totals as literals: a one-row aggregate (bounded), avoids a cross join
     t = tot.first()
     P, N = t["P"] or 0.0, t["N"] or 0.0
+    if drop_intermediate:
+        b = with_range_bucket(sc, "score", descending=True)
+        firsts = sorted((r[BUCKET], r["f"]) for r in b.groupBy(BUCKET).agg(
+            F.max_by(F.struct("npos", "nneg"), "score").alias("f")).collect())
+        nxt = {firsts[i][0]: firsts[i + 1][1] for i in range(len(firsts) - 1)}  # bucket → next bucket's first step
+        step = F.struct("npos", "nneg")
+        nmap = F.create_map(*[x for bk, f in nxt.items() for x in
+                              (F.lit(bk), F.struct(F.lit(f["npos"]).alias("npos"), F.lit(f["nneg"]).alias("nneg")))]) \
+            if nxt else None
+        w = Window.partitionBy(BUCKET).orderBy(F.desc("score"))
+        lead = F.lead(step).over(w)
+        following = F.coalesce(lead, nmap[F.col(BUCKET)]) if nmap is not None else lead
+        top = sc.agg(F.max("score")).first()[0]
+        keep = b.withColumn("_next", following).where(
+            F.col("_next").isNull() | (F.col("_next") != step) | (F.col("score") == F.lit(top))).select("score")
+        c = c.join(keep, "score", "left_semi")
     pts = c.select(F.col("score").alias("threshold"),
                    F.round(F.try_divide(F.col("cum_nneg").cast("double"), F.lit(N)), dp).alias("fpr"),
                    F.round(F.try_divide(F.col("cum_npos").cast("double"), F.lit(P)), dp).alias("tpr"))

@@ -156,16 +156,25 @@ def _q_auc2(spark, sf):
     return M.auc_exact(docs_scored(spark, sf), "toxic", "s")
 
 
-@register("roc_points",
-          f"WITH t AS {DOCS_SCORED}, sc AS (SELECT s, sum(y) AS np, sum(1 - y) AS nn FROM t GROUP BY s), "
-          f"c AS (SELECT s, sum(np) OVER (ORDER BY s DESC) AS tp, sum(nn) OVER (ORDER BY s DESC) AS fp FROM sc), "
-          f"z AS (SELECT CAST(sum(y) AS DOUBLE) AS P, CAST(sum(1 - y) AS DOUBLE) AS N FROM t) "
-          f"SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr UNION ALL "
-          f"SELECT s, round(fp / N, 6), round(tp / P, 6) FROM c, z")
+_ROC_BASE = (f"WITH t AS {DOCS_SCORED}, sc AS (SELECT s, sum(y) AS np, sum(1 - y) AS nn FROM t GROUP BY s), "
+             f"c AS (SELECT s, np, nn, sum(np) OVER (ORDER BY s DESC) AS tp, sum(nn) OVER (ORDER BY s DESC) AS fp, "
+             f"lead(np) OVER (ORDER BY s DESC) AS np2, lead(nn) OVER (ORDER BY s DESC) AS nn2, "
+             f"row_number() OVER (ORDER BY s DESC) AS rn FROM sc), "
+             f"z AS (SELECT CAST(sum(y) AS DOUBLE) AS P, CAST(sum(1 - y) AS DOUBLE) AS N FROM t) "
+             f"SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr UNION ALL "
+             f"SELECT s, round(fp / N, 6), round(tp / P, 6) FROM c, z")
+
+
+@register("roc_points", _ROC_BASE + " WHERE rn = 1 OR np2 IS NULL OR np2 <> np OR nn2 <> nn")
 def _q_roc(spark, sf):
     return M.roc_points(docs_scored(spark, sf), "y", "s")
 
 
+@register("roc_points_all", _ROC_BASE)
+def _q_roc_all(spark, sf):
+    return M.roc_points(docs_scored(spark, sf), "y", "s", drop_intermediate=False)
+
+
 @register("m_regression",
           f"SELECT round(avg((y - p) * (y - p)), 4) AS mse, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, "
           f"round(avg(abs(y - p)), 4) AS mae, round(1 - avg((y - p) * (y - p)) / var_pop(y), 4) AS r2, "

@@ -109,3 +109,17 @@ def test_auc_matches_brute_force(spark):
     pos, neg = s[y == 1], s[y == 0]
     exp = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert abs(got - exp) < 1e-9
+
+
+def test_roc_drop_intermediate_matches_numpy(spark):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 400)
+    s = np.round(rng.random(400) * 40) / 40  # 41 distinct scores, many ties
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "s": s}))
+    got = sorted((r["fpr"], r["tpr"]) for r in M.roc_points(df, "y", "s").collect())
+    thr = np.unique(s)[::-1]
+    tps = np.cumsum([((s == t) & (y == 1)).sum() for t in thr])
+    fps = np.cumsum([((s == t) & (y == 0)).sum() for t in thr])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    exp = sorted([(0.0, 0.0)] + [(round(fps[i] / (y == 0).sum(), 6), round(tps[i] / (y == 1).sum(), 6)) for i in keep])
+    assert got == exp
