@@ -113,8 +113,12 @@ def group_counts(long_df: DataFrame, g: str = "g", v: str = "v") -> dict[Hashabl
 
 def kth_values(long_df: DataFrame, ranks: dict[Hashable, Iterable[int]],
                counts: dict[Hashable, int], g: str = "g", v: str = "v",
-               max_bracket: int = MAX_BRACKET) -> dict[tuple[Hashable, int], float]:
-    """Exact value of 0-based rank ``k`` (ascending, nulls ignored) per group."""
+               max_bracket: int = MAX_BRACKET,
+               bracket_hint: dict[tuple[Hashable, int], tuple[float | None, float | None]] | None = None
+               ) -> dict[tuple[Hashable, int], float]:
+    """Exact value of 0-based rank ``k`` (ascending, nulls ignored) per group.
+
+    ``bracket_hint`` supplies sketch brackets already computed (skips the sketch pass)."""
     spark = long_df.sparkSession
     key_type = long_df.schema[g].dataType
     src = long_df.select(F.col(g).alias("_g"), F.col(v).cast("double").alias("_v")) \
@@ -127,6 +131,10 @@ def kth_values(long_df: DataFrame, ranks: dict[Hashable, Iterable[int]],
     acc = int(min(MAX_ACCURACY, max(DEFAULT_ACCURACY, math.ceil(8 * n_max / max_bracket))))
     delta = 2.0 / acc
 
+    if bracket_hint is not None:
+        brackets = {key: [*bracket_hint.get(key, (None, None)), 0, 0] for key in wanted}
+        return _resolve(src, brackets, counts, max_bracket, key_type)
+
     # pass 2: sketch brackets
     fracs: dict[tuple, tuple[float, float]] = {}
     probs: set[float] = set()
@@ -146,7 +154,12 @@ def kth_values(long_df: DataFrame, ranks: dict[Hashable, Iterable[int]],
         lo = qmap[grp][lo_f] if lo_f > 0 else None
         hi = qmap[grp][hi_f] if hi_f < 1 else None
         brackets[(grp, k)] = [lo, hi, 0, 0]  # lo, hi, below, inside
+    return _resolve(src, brackets, counts, max_bracket, key_type)
+
 
+def _resolve(src: DataFrame, brackets: dict, counts: dict, max_bracket: int, key_type) -> dict:
+    """Passes 3–4: verify / narrow the brackets and read the exact values."""
+    spark = src.sparkSession
     in_bracket = ((F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
                   & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
     # pass 3: values below / inside every bracket, one conditional aggregate per target slot
@@ -209,8 +222,26 @@ def kth_values(long_df: DataFrame, ranks: dict[Hashable, Iterable[int]],
 def exact_quantiles(long_df: DataFrame, probs: list[float], g: str = "g", v: str = "v",
                     counts: dict[Hashable, int] | None = None) -> dict[tuple[Hashable, float], float | None]:
     """Linear-interpolated quantiles per group (the usual ``(n-1)·p`` rule)."""
+    hint = None
     if counts is None:
-        counts = group_counts(long_df.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))), g, v)
+        # one pass: counts and a sketch at p ± 3/accuracy (covers ranks ⌊p(n−1)⌋, ⌈p(n−1)⌉ once
+        # n ≥ accuracy; below that a missed bracket is widened to the whole, small, group)
+        src = long_df.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
+        d = 3.0 / DEFAULT_ACCURACY
+        fr = sorted({round(min(1.0, max(0.0, p + s_)), 9) for p in probs for s_ in (-d, d)})
+        rows = src.groupBy(g).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(
+            F.col(v).cast("double"), F.array(*[F.lit(x) for x in fr]), DEFAULT_ACCURACY).alias("_q")).collect()
+        counts = {r[g]: int(r["_n"]) for r in rows}
+        qv = {r[g]: dict(zip(fr, r["_q"])) for r in rows}
+        hint = {}
+        for grp, n in counts.items():
+            for p in probs:
+                lo_f, hi_f = round(max(0.0, p - d), 9), round(min(1.0, p + d), 9)
+                lo = qv[grp][lo_f] if lo_f > 0 else None
+                hi = qv[grp][hi_f] if hi_f < 1 else None
+                pos = p * (n - 1)
+                for k in {math.floor(pos), math.ceil(pos)}:
+                    hint[(grp, k)] = (lo, hi)
     ranks: dict[Hashable, set[int]] = {}
     for grp, n in counts.items():
         if n <= 0:
@@ -218,7 +249,7 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], g: str = "g", v: str
         for p in probs:
             pos = p * (n - 1)
             ranks.setdefault(grp, set()).update({math.floor(pos), math.ceil(pos)})
-    vals = kth_values(long_df, ranks, counts, g, v) if ranks else {}
+    vals = kth_values(long_df, ranks, counts, g, v, bracket_hint=hint) if ranks else {}
     out: dict[tuple, float | None] = {}
     for grp, n in counts.items():
         for p in probs:
