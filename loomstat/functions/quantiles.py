@@ -5,8 +5,9 @@ merged on a single reducer, so for a high-cardinality column at scale the
 whole column ends up in one task.  Here exact selection is done in passes
 whose driver-side results are bounded by the number of requested ranks:
 
-1. ``count`` per group (or given by the caller).
-2. ``percentile_approx`` (a bounded-size quantile sketch, merged map-side)
+1.–2. ``count`` per group (or given by the caller) and, in the same
+   aggregate when the counts are not known, ``percentile_approx`` (a
+   bounded-size quantile sketch, merged map-side)
    gives, for every wanted rank ``k``, a value bracket ``[lo, hi]`` that holds
    rank ``k`` with the sketch's rank-error guarantee.
 3. One pass counts the values below ``lo`` and inside the bracket (bounds
