@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.llm.chat import OP2_SQL, op2_chat_format
 from loomstat.llm.licenses import op1_license_scan
+from loomstat.llm.neardup import op5_near_duplicates
+from loomstat.llm.quality import op6_quality_rules
 from loomstat.llm.urls import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality_rules": op6_quality_rules,
     "op8_url_filter": op8_url_filter,
 }
 
