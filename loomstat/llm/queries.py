@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.llm.chat import OP2_SQL, op2_chat_format
+from loomstat.llm.hyperlang import op10_language_id
 from loomstat.llm.licenses import op1_license_scan
 from loomstat.llm.neardup import op5_near_duplicates
 from loomstat.llm.quality import op6_quality_rules
 from loomstat.llm.urls import op8_url_filter
+from loomstat.llm.wavelet import op9_wavelet_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_wavelet_shards": op9_wavelet_shards,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {"op2_chat_format": OP2_SQL}
