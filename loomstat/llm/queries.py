@@ -10,6 +10,7 @@ from loomstat.llm.chat import OP2_SQL, op2_chat_format
 from loomstat.llm.hyperlang import op10_language_id
 from loomstat.llm.licenses import op1_license_scan
 from loomstat.llm.neardup import op5_near_duplicates
+from loomstat.llm.pii import op7_pii_crf
 from loomstat.llm.quality import op6_quality_rules
 from loomstat.llm.urls import op8_url_filter
 from loomstat.llm.wavelet import op9_wavelet_shards
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pii_crf": op7_pii_crf,
     "op8_url_filter": op8_url_filter,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_language_id": op10_language_id,
