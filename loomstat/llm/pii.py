@@ -72,7 +72,8 @@ LABELLED = [
     "token = 9f8c2e7a1b3d5f60718293a4b5c6d7e8f9012345", "id 7f3a9c", "build 20240611", "order 123456 of 99",
     "isbn 978-3-16-148410-0", "width 1024 height 768", "@home and @work", "see fig. 2 and table 10", "CC BY-NC 4.0",
     "chapter 12", "born 1901, died 1977", "temperatures of -12 to 31", "10 000 people", "100.000 Einwohner",
-    "GNU license, version 3.", "5 to 7 p.m.", "call 3 friends", "phone 2 of 5", "card 7 of 52", "zip 90210",
+    "GNU license, version 3.", "5 to 7 p.m.", "call 3 friends", "1939-1945", "from 1998-2004", "in 1914-1918 and 2001/2002", "(1) first (2) second",
+    "(1) (2) (3) 4567 8910", "the years 1990-1999 in 2 volumes", "lines 1000-2000", "(4) 12 34", "phone 2 of 5", "card 7 of 52", "zip 90210",
     "2 + 2 = 4", "x86-64", "H2O and CO2", "a 4x4 grid", "v1.10.2.dev3", "sha 1234abcd5678ef90", "12:45:59.120",
 ]
 _MARK = re.compile(r"\{(\w+):([^}]*)\}")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.llm.chat import OP2_SQL, op2_chat_format
+from loomstat.llm.decontam import op3_decontaminate
 from loomstat.llm.hyperlang import op10_language_id
 from loomstat.llm.licenses import op1_license_scan
+from loomstat.llm.mixing import op4_soft_mixing
 from loomstat.llm.neardup import op5_near_duplicates
 from loomstat.llm.pii import op7_pii_crf
 from loomstat.llm.quality import op6_quality_rules
@@ -18,6 +20,8 @@ from loomstat.llm.wavelet import op9_wavelet_shards
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_soft_mixing": op4_soft_mixing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii_crf": op7_pii_crf,
