@@ -56,11 +56,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_PLACES = [int(x) | 1 for x in mix64(np.arange(1, 33, dtype=np.uint64) * MIX)]
+
+
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the ``n``-word windows of a sequence of word hashes (none if it is shorter)."""
     if len(h) < n:
-        return h[:0]
-    out = h[: len(h) - n + 1].copy()
+        return h[:0].copy()
+    out = h[: len(h) - n + 1] * np.uint64(_PLACES[0])
     for i in range(1, n):
-        out = mix64(out) + h[i: len(h) - n + 1 + i]
+        out += h[i: len(h) - n + 1 + i] * np.uint64(_PLACES[i])
     return mix64(out)

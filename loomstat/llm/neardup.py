@@ -8,19 +8,22 @@ tokens, so a pair with Jaccard similarity 0.8 shares a leaf of one tree with
 probability above 0.93, and of one of four trees above 0.9999.
 
 Documents with equal sets are one class from the start, so copies cost nothing
-further.  Then, on classes:
-
-1. in every node all members meet the node's pivot (its smallest member): links
-   with the pivot are confirmed on full sets, and components are joined up;
-2. a node that still holds several components is compared exhaustively across its
-   components when it has at most ``SMALL`` members, otherwise its members branch
-   one level deeper and the two steps repeat;
-3. nodes that are still large after ``MAX_ROUNDS`` levels are compared across
-   components all the same, so no candidate is dropped.
-
-So a group of n near copies costs n comparisons, not n squared, and only pairs
-that could still join two components are compared.  All links are confirmed with
-exact intersections of full sets.
+further.  Then, on classes, with components joined up after every step:
+
+1. in every node all members meet the node's pivot (its smallest member);
+2. in nodes that still hold several components the members meet ``PIVOTS`` more
+   pivots, drawn by a hash for each node: chains of copies of copies close up;
+3. nodes that still hold several components are compared exhaustively across the
+   components when they have at most ``SMALL`` members; larger ones branch
+   ``DEEPER`` levels further and go through steps 2 and 3 again;
+4. nodes that are still large after ``MAX_ROUNDS`` rounds are compared across
+   components all the same, so no node is left out.
+
+So a group of n near copies costs n comparisons, not n squared.  Two members are
+compared on full sets (exact intersection) unless their sizes rule a link out or
+their sketches do: a sketch holds one bit of each of 256 minwise hashes, and a pair
+at the threshold differs in 25.6 +- 4.8 of them; ``MAX_DIFFERENT`` lies five standard
+deviations above.
 
 Edge cases: a document without words (or with null text) has an empty set and is
 linked with nothing; with fewer than 4 words the whole sequence is its one
@@ -47,8 +50,10 @@ from loomstat.llm.kernels import MIX, WordHashes, mix64, rolled, utf8
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 4, 5  # link: DENOMINATOR * |A & B| >= NUMERATOR * |A | B|
 TREES, BRANCH, START_DEPTH = 4, 2, 2
-SMALL = 48
-MAX_ROUNDS = 8
+DEEPER, PIVOTS = 2, 4
+SMALL = 64
+MAX_ROUNDS = 4
+SKETCH, MAX_DIFFERENT = 256, 50
 #: Up to this many ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -58,26 +63,49 @@ def shingle_set(text: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndar
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(rolled(hashes.of(words), min(size, len(words))))
+    h = rolled(hashes.of(words), min(size, len(words)))
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
 
+_MASK = (1 << 64) - 1
 
-def _branch(tokens: np.ndarray, path: np.uint64) -> list[np.uint64]:
-    """Paths of the children that a set follows below ``path``."""
-    order = (tokens ^ path) * (path | np.uint64(1))
-    order ^= order >> np.uint64(29)
-    order *= MIX
+
+def _branch(tokens: np.ndarray, path: int) -> list[int]:
+    """Paths of the children that a set follows below ``path``: one for each of its smallest tokens there."""
+    order = (tokens ^ np.uint64(path)) * np.uint64(path | 1)
     picks = range(len(tokens)) if len(tokens) <= BRANCH else np.argpartition(order, BRANCH - 1)[:BRANCH]
-    return [mix64(tokens[i: i + 1] + path * np.uint64(3))[0] for i in picks]
+    out = []
+    for i in picks:
+        x = (int(tokens[i]) + path * 3) & _MASK
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & _MASK
+        out.append(x ^ (x >> 29))
+    return out
 
 
-def walk(tokens: np.ndarray, path: np.uint64, depth: int) -> list[np.uint64]:
+def walk(tokens: np.ndarray, path: int, depth: int) -> list[int]:
     leaves = [path]
     for _ in range(depth):
         leaves = [child for p in leaves for child in _branch(tokens, p)]
     return leaves
 
 
-_ROOTS = mix64(np.arange(1, TREES + 1, dtype=np.uint64) * MIX)
+_FLIPS, _FACTORS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * MIX).reshape(2, SKETCH)
+_FACTORS = _FACTORS | np.uint64(1)
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """One bit of each of ``SKETCH`` minwise hashes, as 64-bit words."""
+    low = np.full(SKETCH, np.uint64(_MASK))
+    for at in range(0, len(tokens), 4096):
+        part = tokens[at:at + 4096]
+        for k in range(0, SKETCH, 32):
+            h = (part[None, :] ^ _FLIPS[k:k + 32, None]) * _FACTORS[k:k + 32, None]
+            np.minimum(low[k:k + 32], h.min(1), out=low[k:k + 32])
+    return np.packbits((mix64(low) & np.uint64(1)).astype(np.bool_)).view(np.int64)
+
+
+_ROOTS = [int(x) for x in mix64(np.arange(1, TREES + 1, dtype=np.uint64) * MIX)]
 
 
 def _signature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,37 +131,44 @@ def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(texts), 200):
             with np.errstate(over="ignore"):
                 sets = [shingle_set(t, hashes) for t in texts[lo:lo + 200]]
+                bits = [sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "tokens"])
+                 pa.array(bits, pa.list_(pa.int64())),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "sketch", "tokens"])
 
 
 def _deeper_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, cls, rep, n, tokens) -> the children of ``path`` that the set follows."""
+    """(path, cls, rep, n, sketch, tokens) -> the paths that the set follows below ``path``."""
     for batch in batches:
-        rows = []
+        at, children = [], []
         with np.errstate(over="ignore"):
             for i, path in enumerate(batch.column(0).to_pylist()):
-                tokens = batch.column(4)[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                p = np.array([path], np.int64).view(np.uint64)[0]
-                rows += [(i, c) for c in _branch(tokens, p)]
-        at = pa.array([r[0] for r in rows], pa.int64())
-        children = pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([children, *(batch.column(k).take(at) for k in (1, 2, 3))],
-                                         names=["path", "cls", "rep", "n"])
+                tokens = batch.column(5)[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                found = walk(tokens, path & _MASK, DEEPER)
+                at += [i] * len(found)
+                children += found
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(children, np.uint64).view(np.int64), pa.int64()),
+             *(batch.column(k).take(rows) for k in range(1, 5))], names=["path", "cls", "rep", "n", "sketch"])
 
 
-_MEMBER = "path long, cls binary, rep long, n long"
+_MEMBER = "path long, cls binary, rep long, n long, sketch array<long>"
 
 
-def _similar_sizes(a: str, b: str) -> Column:
-    """Sizes that can reach the threshold at all."""
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
+def _may_link(n: str, a_n: str, bits: str, a_bits: str) -> Column:
+    """Whether sizes and sketches leave a link possible."""
+    different = F.lit(0)
+    for k in range(SKETCH // 64):
+        different = different + F.bit_count(F.col(bits)[k].bitwiseXOR(F.col(a_bits)[k]))
+    sizes = F.least(n, a_n) * DENOMINATOR >= F.greatest(n, a_n) * NUMERATOR
+    return sizes & (different <= MAX_DIFFERENT)
 
 
-def _with_pivot(members: DataFrame) -> DataFrame:
-    """Members of nodes with at least two classes, with the node's size and pivot."""
-    nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("p_rep"))
+def _in_company(members: DataFrame) -> DataFrame:
+    """Members of nodes with at least two classes, with the node's size."""
+    nodes = members.groupBy("path").agg(F.count("*").alias("size"))
     return members.join(nodes.filter("size > 1"), "path")
 
 
@@ -148,9 +183,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                                                                          F.col("b_rep").alias("b"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs with a fixed order of the two sides."""
-    return rows.select("a_cls", "a_rep", "b_cls", "b_rep").distinct()
+def _side(members: DataFrame, tag: str) -> DataFrame:
+    return members.select("path", *[F.col(c).alias(f"{tag}_{c}") for c in ("cls", "rep", "n", "sketch", "component")])
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct pairs of two sides that share a node, lie in different components and may be linked."""
+    met = a.join(b, (a["path"] == b["path"]) & (F.col("a_component") != F.col("b_component"))
+                 & _may_link("a_n", "b_n", "a_sketch", "b_sketch"))
+    low = F.col("a_cls") < F.col("b_cls")
+    return met.select(*[F.when(low, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"a_{c}") for c in ("cls", "rep")],
+                      *[F.when(low, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"b_{c}")
+                        for c in ("cls", "rep")]).distinct()
+
+
+def _with_pivots(members: DataFrame, keys: list[Column]) -> DataFrame:
+    """Pairs of members with their node's pivots: for each key the member with the smallest one."""
+    row = F.struct("cls", "rep", "n", "sketch", "component")
+    best = members.groupBy("path").agg(*[F.min(F.struct(k.alias("k"), row.alias("m"))).alias(f"p{i}")
+                                         for i, k in enumerate(keys)])
+    pivots = best.select("path", F.explode(F.array(*[F.col(f"p{i}.m") for i in range(len(keys))])).alias("m"))
+    return _met(_side(members, "b"), _side(pivots.select("path", "m.*").distinct(), "a"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs of one node in different components."""
+    return _met(_side(members, "a"), _side(members, "b"))
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,29 +241,31 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         links = materialize(live.select("doc_id", "cls").join(twins, "doc_id").join(classes.select("cls", "rep"), "cls")
                             .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
 
-    members = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "cls", "rep", "n")
-    members = materialize(_with_pivot(members), "nodes")
-    sets = _texts_of(docs, members).select("text").mapInArrow(_set_task, "cls binary, tokens array<long>")
+    found = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "cls", "rep", "n")
+    members = materialize(_in_company(found), "nodes")
+    sets = _texts_of(docs, members).select("text").mapInArrow(
+        _set_task, "cls binary, sketch array<long>, tokens array<long>")
     sets = materialize(sets.dropDuplicates(["cls"]) if repeated else sets, "sets")
-    members = members.withColumn("component", F.col("rep"))
+    members = materialize(members.join(sets.select("cls", "sketch"), "cls").withColumn("component", F.col("rep")),
+                          "nodes")
+    met = _with_pivots(members, [F.col("rep")])
+    links = materialize(links.unionByName(_confirm(met, sets)), "links")
     for level in range(MAX_ROUNDS + 1):
-        pivots = members.filter("rep = p_rep").select("path", F.col("cls").alias("a_cls"), F.col("rep").alias("a_rep"),
-                                                      F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-        star = members.join(pivots.dropDuplicates(["path"]), "path").filter(
-            _similar_sizes("n", "a_n") & (F.col("cls") != F.col("a_cls"))
-            & ((F.col("component") != F.col("a_c")) | (F.col("rep") == F.col("a_rep"))))
-        star = _pairs(star.select("a_cls", "a_rep", F.col("cls").alias("b_cls"), F.col("rep").alias("b_rep")))
-        links = materialize(links.unionByName(_confirm(star, sets)), "links")
-        mixed = materialize(_mixed(members, components(links)), "nodes")
+        members = materialize(_mixed(members, components(links)), "nodes")
+        if members.isEmpty():
+            break
+        drawn = [F.xxhash64("cls", "path", F.lit(level * PIVOTS + i)) for i in range(PIVOTS)]
+        links = materialize(links.unionByName(_confirm(_with_pivots(members, drawn), sets)), "links")
+        members = materialize(_mixed(members, components(links)), "nodes")
         last = level == MAX_ROUNDS
-        across = _across(mixed if last else mixed.filter(F.col("size") <= SMALL))
+        across = _across(members if last else members.filter(F.col("size") <= SMALL))
         links = materialize(links.unionByName(_confirm(across, sets)), "links")
-        large = mixed.filter(F.col("size") > SMALL)
+        large = members.filter(F.col("size") > SMALL)
         if last or large.isEmpty():
             break
-        children = large.select("path", "cls", "rep", "n").join(sets, "cls").select(
-            "path", "cls", "rep", "n", "tokens").mapInArrow(_deeper_task, _MEMBER)
-        members = materialize(_mixed(_with_pivot(materialize(children, "nodes")), components(links)), "nodes")
+        children = large.select("path", "cls", "rep", "n", "sketch").join(sets.select("cls", "tokens"), "cls").select(
+            "path", "cls", "rep", "n", "sketch", "tokens").mapInArrow(_deeper_task, _MEMBER)
+        members = _in_company(materialize(children, "nodes"))
     linked = components(links)
 
     named = classes.select("cls", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(
@@ -226,18 +286,6 @@ def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
     return named.join(several.select("path"), "path", "left_semi")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of one node in different components whose sizes allow a link; pairs with the pivot were met before."""
-    rest = members.filter("rep <> p_rep")
-    a = rest.select("path", F.col("cls").alias("a_cls"), F.col("rep").alias("a_rep"), F.col("n").alias("a_n"),
-                    F.col("component").alias("a_c"))
-    b = rest.select("path", F.col("cls").alias("b_cls"), F.col("rep").alias("b_rep"), F.col("n").alias("b_n"),
-                    F.col("component").alias("b_c"))
-    met = a.join(b, "path").filter((F.col("a_c") != F.col("b_c")) & (F.col("a_cls") < F.col("b_cls"))
-                                   & _similar_sizes("a_n", "b_n"))
-    return _pairs(met)
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component (that of its smallest id, once); rows with a null id stay as they are."""
     kept = link(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
