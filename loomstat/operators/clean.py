@@ -9,8 +9,6 @@ broadcast join with a size-checked mapping — the fit/transform split of
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -260,17 +258,16 @@ def convert_dtype(df: DataFrame, column: str, to: str):
 
 
 # ------------------------------------------------------------------ binning
-def _round_edge(x: float, precision: int = 3) -> float:
-    """Edge text rounding: 3 decimals, or 3 significant digits below 1."""
-    if not math.isfinite(x) or x == 0:
-        return x
-    frac, whole = math.modf(x)
-    digits = (-int(math.floor(math.log10(abs(frac)))) - 1 + precision) if whole == 0 else precision
-    return float(np.around(x, digits))
+def _edge_text(x: float, places: int = 3) -> str:
+    """A bin edge as a label shows it: three decimals, or three significant digits when it is below one in size
+    (the label rule of pandas ``cut``)."""
+    if 0 < abs(x) < 1:
+        return repr(float(f"{x:.{places - 1}e}"))
+    return repr(round(x, places))
 
 
 def interval_label(a: float, b: float) -> str:
-    return f"({_round_edge(a)!r}, {_round_edge(b)!r}]"
+    return f"({_edge_text(a)}, {_edge_text(b)}]"
 
 
 def bin_edges(lo: float, hi: float, bins: int) -> list[float]:
@@ -296,6 +293,8 @@ def bin_numeric(df: DataFrame, column: str, bins=5, labels: list[str] | None = N
             return df.withColumn(new_column, F.lit(None).cast("string")), {"op": "bin_numeric"}
         edges = bin_edges(float(r["lo"]), float(r["hi"]), int(bins))
     n = len(edges) - 1
+    if labels and len(labels) != n:
+        raise OpError(f"{n} bins need {n} labels, not {len(labels)}")
     names = labels if labels else [interval_label(edges[i], edges[i + 1]) for i in range(n)]
     expr = None
     for i in range(n):

@@ -65,9 +65,9 @@ def text_equals(df: DataFrame, column: str, value: str, null_safe: bool = False)
 def predicate(df: DataFrame, column: str, operator: str, value=None) -> Column:
     """The filter condition as a Column (a null result counts as false)."""
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found.")
+        raise ValueError(f"no column {column!r} to filter on")
     if operator not in FILTER_OPS:
-        raise ValueError(f"Unknown operator: '{operator}'. Allowed: {', '.join(sorted(FILTER_OPS))}")
+        raise ValueError(f"{operator!r} is not a filter operator; use one of {' '.join(sorted(FILTER_OPS))}")
     dt = df.schema[column].dataType
     c = col_of(column)
     sval = "" if value is None else str(value)

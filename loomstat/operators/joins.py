@@ -24,11 +24,11 @@ def _keys(on: str | list[str]) -> list[str]:
 def merge(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left",
           null_keys_match: bool = True) -> DataFrame:
     if how not in JOIN_TYPES:
-        raise ValueError(f"Unknown how: '{how}'. Use: left right inner outer")
+        raise ValueError(f"join type {how!r} is none of {', '.join(JOIN_TYPES)}")
     keys = _keys(on)
     for k in keys:
         if k not in left.columns or k not in right.columns:
-            raise ValueError(f"Key '{k}' missing on one side.")
+            raise ValueError(f"join key {k!r} is not in both tables")
     l_other = [c for c in left.columns if c not in keys]
     r_other = [c for c in right.columns if c not in keys]
     r_names = {c: (c + SUFFIX if c in l_other else c) for c in r_other}

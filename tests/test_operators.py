@@ -10,7 +10,7 @@ from loomstat.operators import joins as J
 from loomstat.operators import metrics as M
 from loomstat.operators import quality as QA
 from loomstat.operators import split as S
-from loomstat.plans.pipeline import run_preprocessing, validate_ops
+from loomstat.plans.pipeline import PipelineError, parse, run_preprocessing
 
 
 @pytest.fixture
@@ -86,7 +86,7 @@ def test_scale_and_label_encode(spark):
 
 def test_pipeline_validation_and_soft_errors(spark, people):
     with pytest.raises(ValueError):
-        validate_ops([{"op": "explode"}])
+        parse([{"op": "explode"}])
     out, summ = run_preprocessing(people, [{"op": "drop_column", "col": "missing"},
                                            {"operation": "fillna", "column": "score", "method": "mean"}])
     assert "error" in summ[0] and out.count() == 5
@@ -123,3 +123,21 @@ def test_roc_drop_intermediate_matches_numpy(spark):
     keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
     exp = sorted([(0.0, 0.0)] + [(round(fps[i] / (y == 0).sum(), 6), round(tps[i] / (y == 1).sum(), 6)) for i in keep])
     assert got == exp
+
+
+def test_pipeline_reports_every_problem_together(people):
+    with pytest.raises(PipelineError) as e:
+        parse([{"op": "explode"}, {"op": "fill_nulls", "strategy": "guess"}, {"op": "rename_column", "from": "a"}, 7])
+    assert len(e.value.problems) == 5
+    with pytest.raises(PipelineError):
+        parse({"op": "drop_column"})
+    with pytest.raises(PipelineError):
+        parse([{"op": "drop_null_rows"}] * 3, limit=2)
+    assert parse([{"operation": "fillna", "col": "a", "method": "mean"}]) == [
+        {"op": "fill_nulls", "column": "a", "strategy": "mean"}]
+
+
+def test_too_few_bin_labels_are_a_reported_failure(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], ["x"])
+    out, summary = run_preprocessing(df, [{"op": "bin_numeric", "column": "x", "bins": 3, "labels": ["a"]}])
+    assert out.columns == ["x"] and "labels" in summary[0]["error"]
