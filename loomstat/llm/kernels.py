@@ -19,11 +19,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
-def steps(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch that hold about ``STEP_BYTES`` each."""
+def steps(texts: list[bytes], size: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch that hold about ``size`` bytes each."""
     start = held = 0
     for i, t in enumerate(texts):
-        if i > start and held + len(t) > STEP_BYTES:
+        if i > start and held + len(t) > size:
             yield start, i
             start, held = i, 0
         held += len(t)

@@ -25,10 +25,12 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +40,8 @@ from loomstat.llm.common import fresh_folder, table
 from loomstat.llm.kernels import steps, utf8
 
 END_ID = 2
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
+ENCODE_BYTES = 4 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 _MAGIC = b"WVM1"
 
@@ -175,49 +178,182 @@ def process_store(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+class ChunkTable:
+    """Ids of remembered chunks, found by two 64-bit hashes through open addressing in numpy arrays."""
+
+    ENTRIES, SLOTS = 1_500_000, 1 << 22
+
+    def __init__(self) -> None:
+        self.key = np.zeros((2, self.ENTRIES), np.uint64)
+        self.start, self.size = np.zeros(self.ENTRIES, np.int64), np.zeros(self.ENTRIES, np.int64)
+        self.letters = np.zeros(self.ENTRIES, np.bool_)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget everything but entry 0, the empty chunk."""
+        self.slots = np.full(self.SLOTS, -1, np.int32)
+        self.flat, self.used, self.n = np.zeros(1 << 20, np.uint32), 0, 1
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash pair (2 x n), or -1."""
+        out = np.full(h.shape[1], -1, np.int64)
+        slot, todo = self._slot(h[0]), np.arange(h.shape[1])
+        while len(todo):
+            e = self.slots[slot]
+            same = (e >= 0) & (self.key[0, e] == h[0, todo]) & (self.key[1, e] == h[1, todo])
+            out[todo[same]] = e[same]
+            on = (e >= 0) & ~same
+            todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray, letters: bool) -> None:
+        """Add distinct new hash pairs whose ids stand one after the other in ``ids``."""
+        k, lo = h.shape[1], self.n
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.key[:, lo:lo + k] = h
+        self.start[lo:lo + k] = self.used + np.cumsum(size) - size
+        self.size[lo:lo + k], self.letters[lo:lo + k] = size, letters
+        self.used, self.n = self.used + len(ids), lo + k
+        entry, slot = np.arange(lo, lo + k, dtype=np.int32), self._slot(h[0])
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            on = self.slots[slot] != entry
+            entry, slot = entry[on], (slot[on] + 1) & (self.SLOTS - 1)
+
+    def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the entries in a row, their ends)."""
+        size = self.size[entry]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[entry] - ends + size, size) + np.arange(total)], ends
+
+
 class WordEncoder:
     """Ids of whole texts through the ids of their blank-separated chunks.
 
     The tokenizer splits at white space before anything else can join, so a text's
-    ids are those of its chunks in order; a chunk is encoded once and remembered (in
-    a table that is emptied when full).
+    ids are those of its chunks in order.  A chunk is encoded once and remembered (in
+    a table of bounded size that is emptied when full).  Letters with a comma or full
+    stop behind them are two words to the tokenizer, and a capital A-Z is the small
+    letter to it, so such a chunk takes the ids of its letters.  Letters are encoded
+    many words at a time and cut at the ids that end a word.
     """
 
-    LIMIT = 300_000
+    PIECE, TOGETHER, LONGEST = 300_000, 400, 256
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.start, self.size = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(pieces.values()) + 1, np.bool_)
+        self.ends[[i for t, i in pieces.items() if t.endswith("</w>")]] = True
+        self.tails = {ord(c): np.array(self._ids([c])[0], np.uint32) for c in ",."}
+        rng = np.random.default_rng(9)
+        self.factor = rng.integers(0, 1 << 64, (2, self.LONGEST), np.uint64) | np.uint64(1)
+        self.table = ChunkTable()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _hashes(self, b: np.ndarray, raw: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Two hashes of each chunk; a chunk ends one byte before the next one's start."""
+        lo, hi = start[0], start[-1] + length[-1] + 1
+        value = b[lo:hi].astype(np.uint64) + np.uint64(1)
+        value[start + length - lo] = 0
+        offset = np.minimum(np.arange(lo, hi) - np.repeat(start, length + 1), self.LONGEST - 1)
+        h = np.stack([np.add.reduceat(value * f[offset], start - lo) for f in self.factor])
+        for i in np.flatnonzero(length > self.LONGEST):
+            d = xxhash.xxh3_128_intdigest(raw[start[i]:start[i] + length[i]])
+            h[:, i] = d >> 64, d & (1 << 64) - 1
+        return h
+
+    def _add_whole(self, h: np.ndarray, chunks: list[str]) -> None:
+        if chunks:
+            ids = self._ids(chunks)
+            self.table.add(h, np.array(list(chain.from_iterable(ids)), np.uint32),
+                           np.fromiter(map(len, ids), np.int64, len(ids)), False)
+
+    def _add_letters(self, h: np.ndarray, words: list[str]) -> None:
+        """Words of letters only: each ends with exactly one id that ends a word."""
+        lots = [words[i:i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        take, ids, size = [], [], []
+        for k, (lot, found) in enumerate(zip(lots, self._ids([" ".join(x) for x in lots]))):
+            found = np.array(found, np.uint32)
+            last = np.flatnonzero(self.ends[found])
+            mine = np.arange(k * self.TOGETHER, k * self.TOGETHER + len(lot))
+            if len(last) == len(lot) and last[-1] == len(found) - 1:
+                take.append(mine)
+                ids.append(found)
+                size.append(np.diff(last, prepend=-1))
+            else:  # a letter that the tokenizer does not take for one
+                self._add_whole(h[:, mine], lot)
+        if take:
+            self.table.add(h[:, np.concatenate(take)], np.concatenate(ids), np.concatenate(size), True)
+
+    def _learn(self, b: np.ndarray, raw: bytes, start: np.ndarray, length: np.ndarray, h: np.ndarray) -> None:
+        """Remember distinct new chunks."""
+        table, short = self.table, (length > 0) & (length <= self.LONGEST)
+        last = b[start + length - 1]
+        tail = short & np.isin(last, list(self.tails))
+        first, body = b[start], length - tail
+        cap = short & (body > 0) & (first >= 65) & (first <= 90)
+        end = np.where(tail, length - 1, 0)
+        core = h.copy()
+        for k in (0, 1):
+            core[k] -= np.where(tail, self.factor[k, end] * (last.astype(np.uint64) + np.uint64(1)), np.uint64(0))
+            core[k] += np.where(cap, self.factor[k, :1] * np.uint64(32), np.uint64(0))
+        known = table.find(core)
+        wanted = np.flatnonzero((known < 0) & short & (body > 0))
+        wanted = wanted[np.unique(core[0, wanted], return_index=True)[1]]
+        words = [raw[s:s + n] for s, n in zip(start[wanted].tolist(), body[wanted].tolist())]
+        words = b" ".join(words).decode().split(" ") if words else []
+        words = [w[0].lower() + w[1:] if c else w for w, c in zip(words, cap[wanted].tolist())]
+        alpha = np.fromiter(map(str.isalpha, words), np.bool_, len(words))
+        self._add_letters(core[:, wanted[alpha]], [w for w, x in zip(words, alpha.tolist()) if x])
+        known = table.find(core)
+        letters = (known >= 0) & table.letters[known]
+        for mark in (0, *self.tails):
+            mine = np.flatnonzero(letters & (tail & (last == mark) if mark else cap & ~tail))
+            if len(mine):
+                ids, ends = table.gather(known[mine])
+                extra = self.tails[mark] if mark else np.zeros(0, np.uint32)
+                ids = np.insert(ids, np.repeat(ends, len(extra)), np.tile(extra, len(mine)))
+                table.add(h[:, mine], ids, table.size[known[mine]] + len(extra), False)
+        rest = np.flatnonzero(table.find(h) < 0)
+        self._add_whole(h[:, rest], [raw[s:s + n].decode() for s, n in zip(start[rest].tolist(), length[rest].tolist())])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for c in chunks for w in c]
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if len(self.place) + len(new) > self.LIMIT and self.place:
-            self._forget()
-            new = list(dict.fromkeys(words))
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = len(self.flat) + np.cumsum(size) - size
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, size.sum())])
-            self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in chunks])])]
-        return ids, np.diff(edge)
+        raw = b"\n".join(texts) + b"\n"
+        b = np.frombuffer(raw, np.uint8)
+        stop = np.flatnonzero((b == 32) | (b == 10))
+        start = np.concatenate([[0], stop[:-1] + 1])
+        found, sizes, table = [], [], self.table
+        for lo in range(0, len(stop), self.PIECE):
+            s, n = start[lo:lo + self.PIECE], stop[lo:lo + self.PIECE] - start[lo:lo + self.PIECE]
+            h = self._hashes(b, raw, s, n)
+            entry = np.where(n > 0, table.find(h), 0)
+            new = np.flatnonzero(entry < 0)
+            if len(new):
+                if table.n + 2 * len(new) > table.ENTRIES:
+                    table.clear()
+                    new = np.flatnonzero(n > 0)
+                once = new[np.unique(h[0, new], return_index=True)[1]]
+                self._learn(b, raw, s[once], n[once], h[:, once])
+                entry[new] = table.find(h[:, new])
+            ids, ends = table.gather(entry)
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        last = np.searchsorted(stop, np.cumsum([len(t) + 1 for t in texts]) - 1, "right")
+        return np.concatenate(found), np.diff(edge[np.concatenate([[0], last])])
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -249,8 +385,8 @@ def _pack_task(path: str, end_id: int, shard_ids: int):
 
         for batch in batches:
             texts, docs = utf8(batch.column(1)), batch.column(0).cast(pa.int64()).to_pylist()
-            for lo, hi in steps(texts):
-                ids, sizes = _ended(*encoder.encode([t.decode("utf-8", "replace") for t in texts[lo:hi]]), end_id)
+            for lo, hi in steps(texts, ENCODE_BYTES):
+                ids, sizes = _ended(*encoder.encode(texts[lo:hi]), end_id)
                 edge = np.concatenate([[0], np.cumsum(sizes)])
                 first = 0
                 for i in range(hi - lo):
