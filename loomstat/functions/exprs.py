@@ -68,6 +68,22 @@ def numeric_of(c: Column | str, dt: T.DataType | None = None) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
+def is_missing(name: str, dt: T.DataType) -> Column:
+    """Whether a value is missing: null, or NaN in a floating-point column."""
+    c = col_of(name)
+    return c.isNull() | F.isnan(c) if isinstance(dt, (T.FloatType, T.DoubleType)) else c.isNull()
+
+
+def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """NaN is a missing value: the frame with null in its place (unchanged when no column can hold one)."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+              and (columns is None or f.name in columns)}
+    if not floats:
+        return df
+    return df.select(*[F.when(~F.isnan(col_of(c)), col_of(c)).alias(c) if c in floats else col_of(c)
+                       for c in df.columns])
+
+
 def skew_corrected(c: Column) -> Column:
     """Adjusted Fisher–Pearson sample skewness (the ``G1`` statistic).
 

@@ -34,12 +34,24 @@ def order_value(c: Column, dt: T.DataType) -> Column:
     return c.cast("double")
 
 
+def text_order(df: DataFrame, column: str) -> Column:
+    """Numeric image of a text key, monotone in the key: the six bytes behind the prefix that all values share."""
+    c = F.col(f"`{column}`")
+    ends = df.agg(F.min(c), F.max(c)).first()
+    shared = 0
+    if ends[0] is not None:
+        while shared < min(map(len, ends)) and ends[0][shared] == ends[1][shared]:
+            shared += 1
+    digits = F.rpad(F.substring(F.hex(F.encode(F.substring(c, shared + 1, 6), "utf-8")), 1, 12), 12, "0")
+    return F.conv(digits, 16, 10).cast("double")
+
+
 def with_range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
                       descending: bool = False) -> DataFrame:
     """Add ``_rb``: contiguous range bucket of ``order_col`` (ascending ids)."""
     n = _n_buckets(df, n_buckets)
     dt = df.schema[order_col].dataType
-    key = order_value(F.col(f"`{order_col}`"), dt)
+    key = text_order(df, order_col) if isinstance(dt, T.StringType) else order_value(F.col(f"`{order_col}`"), dt)
     if descending:
         key = -key
     tmp = "_rb_key"

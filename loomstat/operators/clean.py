@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.functions.exprs import (NULL_TEXT, col_of, is_datetime_type, is_numeric_type, is_string_type,
-                                      numeric_of, text_of)
+from loomstat.functions.exprs import (NULL_TEXT, col_of, is_datetime_type, is_missing, is_numeric_type,
+                                      is_string_type, nan_to_null, numeric_of, text_of)
 from loomstat.functions.ordered import BROADCAST_MAX_ROWS, dense_positions, fill_forward
 from loomstat.functions.quantiles import column_quantiles
 
@@ -43,7 +43,7 @@ def _replace(df: DataFrame, column: str, expr: Column) -> DataFrame:
 
 
 def count_nulls(df: DataFrame, column: str) -> int:
-    return df.where(col_of(column).isNull()).count()
+    return df.where(is_missing(column, df.schema[column].dataType)).count()
 
 
 # ------------------------------------------------------------------ fill
@@ -58,6 +58,7 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "median", order_by: s
     _need(df, column)
     if strategy not in FILL_STRATEGIES:
         raise OpError(f"strategy '{strategy}' not valid")
+    df = nan_to_null(df, [column])
     dt = df.schema[column].dataType
     c = col_of(column)
     if strategy in ("mean", "median") and not is_numeric_type(dt):
@@ -352,7 +353,7 @@ def auto_preprocess(df: DataFrame, target: str) -> tuple[DataFrame, dict[str, Da
 
     Returns the encoded frame and the mapping frames per column (the target's
     under ``__target__<name>``)."""
-    out = df.where(col_of(target).isNotNull())
+    out = nan_to_null(df).where(col_of(target).isNotNull())
     maps: dict[str, DataFrame] = {}
     for f in out.schema.fields:
         if is_string_type(f.dataType):

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.functions.exprs import (col_of, is_datetime_type, is_numeric_type, is_string_type,
-                                      numeric_columns, numeric_of, pct, round_dp, skew_corrected)
+                                      nan_to_null, numeric_columns, numeric_of, pct, round_dp,
+                                      skew_corrected)
 from loomstat.functions.ordered import average_ranks
 from loomstat.functions.quantiles import column_quantiles, unpivot_numeric
 
@@ -38,8 +39,9 @@ def column_kind(df: DataFrame, name: str) -> str:
 
 
 # ---------------------------------------------------------------- inspection
-def inspect_dataset(df: DataFrame, max_columns: int = 50) -> DataFrame:
+def inspect_dataset(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """Per column: position, Spark type, kind, null count, null % (2 dp), row count."""
+    df = nan_to_null(df)
     cols = df.columns[:max_columns]
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.count_if(col_of(c).isNull()).alias(f"_nc{i}") for i, c in enumerate(cols)]
@@ -63,6 +65,7 @@ def value_counts_long(df: DataFrame, columns: list[str] | None = None) -> DataFr
     Values are compared as text; null is its own row (``value`` null).
     """
     columns = columns or df.columns
+    df = nan_to_null(df, columns)
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), col_of(c).cast("string").alias("value"))
                       for c in columns])
     return (df.select(F.inline(pairs))
@@ -83,24 +86,24 @@ def distinct_summary(df: DataFrame, columns: list[str] | None = None) -> DataFra
     )
 
 
-def target_candidates(df: DataFrame, max_unique: int = 20, max_results: int = 50) -> DataFrame:
+def target_candidates(df: DataFrame, max_unique: int = 20, max_results: int | None = None) -> DataFrame:
     """Columns that look like a target: boolean type or ≤ ``max_unique`` distinct values."""
     bools = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
     ds = distinct_summary(df)
     pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
-    return (ds.where((F.col("nunique") <= max_unique) | F.col("column_name").isin(bools or [""]))
-              .select("column_name", "nunique", pos[F.col("column_name")].alias("position"))
-              .orderBy("position").limit(max_results))
+    found = (ds.where((F.col("nunique") <= max_unique) | F.col("column_name").isin(bools or [""]))
+             .select("column_name", "nunique", pos[F.col("column_name")].alias("position")).orderBy("position"))
+    return found if max_results is None else found.limit(max_results)
 
 
 def search_columns(df: DataFrame, has_nulls: bool | None = None, dtype: str = "",
-                   name_contains: str = "", max_results: int = 20) -> DataFrame:
+                   name_contains: str = "", max_results: int | None = None) -> DataFrame:
     """AND of criteria over the schema and null counts.
 
     ``dtype``: numeric (booleans included, as a numeric-kind test does),
     categorical, bool, datetime.
     """
-    insp = inspect_dataset(df, max_columns=len(df.columns))
+    insp = inspect_dataset(df)
     cond = F.lit(True)
     if has_nulls is not None:
         cond &= (F.col("null_count") > 0) if has_nulls else (F.col("null_count") == 0)
@@ -110,13 +113,14 @@ def search_columns(df: DataFrame, has_nulls: bool | None = None, dtype: str = ""
         cond &= F.col("kind").isin(kinds)
     if name_contains:
         cond &= F.lower(F.col("column_name")).contains(name_contains.lower())
-    return insp.where(cond).select("column_name", "position", "dtype", "kind", "null_count") \
-               .orderBy("position").limit(max_results)
+    found = insp.where(cond).select("column_name", "position", "dtype", "kind", "null_count").orderBy("position")
+    return found if max_results is None else found.limit(max_results)
 
 
 # ---------------------------------------------------------------- profiles
 def numeric_profile(df: DataFrame, column: str, dp: int = 4) -> DataFrame:
     """mean, std (sample), min, max, median, q25, q75, skewness (bias-corrected), nulls."""
+    df = nan_to_null(df, [column])
     c = numeric_of(column, df.schema[column].dataType)
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("nn"), F.avg(c).alias("mean"),
                    F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
@@ -134,6 +138,7 @@ def numeric_profile(df: DataFrame, column: str, dp: int = 4) -> DataFrame:
 
 def boolean_profile(df: DataFrame, column: str) -> DataFrame:
     """true/false/null counts and ``true / max(false, 1)`` balance."""
+    df = nan_to_null(df, [column])
     c = col_of(column).cast("double")
     return df.agg(F.count(F.lit(1)).alias("n"),
                   F.count_if(c == 1).alias("true_count"), F.count_if(c == 0).alias("false_count"),
@@ -145,7 +150,7 @@ def boolean_profile(df: DataFrame, column: str) -> DataFrame:
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """Top-k non-null values ``(value, cnt, rank)``; ties broken by value."""
-    vc = df.where(col_of(column).isNotNull()).groupBy(col_of(column).cast("string").alias("value")) \
+    vc = nan_to_null(df, [column]).where(col_of(column).isNotNull()).groupBy(col_of(column).cast("string").alias("value")) \
            .agg(F.count(F.lit(1)).alias("cnt"))
     return vc.orderBy(F.desc("cnt"), F.asc("value")).limit(k) \
              .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc("value"))))
@@ -153,7 +158,7 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def categorical_profile(df: DataFrame, column: str) -> DataFrame:
     """unique count, mode (smallest of the most frequent), nulls."""
-    vc = df.groupBy(col_of(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    vc = nan_to_null(df, [column]).groupBy(col_of(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
     nn = F.col("value").isNotNull()
     return vc.agg(F.sum("cnt").alias("n"), F.count_if(nn).alias("unique_count"),
                   F.min_by(F.when(nn, F.col("value")), F.when(nn, F.struct(-F.col("cnt"), F.col("value"))))
@@ -166,6 +171,7 @@ def categorical_profile(df: DataFrame, column: str) -> DataFrame:
 def column_profile(df: DataFrame, column: str) -> DataFrame:
     """Profile one column, dispatching on its kind (boolean rule: real booleans,
     or ≤ 2 distinct values all in {0, 1})."""
+    df = nan_to_null(df, [column])
     dt = df.schema[column].dataType
     if isinstance(dt, T.BooleanType):
         return boolean_profile(df, column)
@@ -178,22 +184,30 @@ def column_profile(df: DataFrame, column: str) -> DataFrame:
     return categorical_profile(df, column)
 
 
-def null_summary(df: DataFrame, only_missing: bool = True, max_columns: int = 20) -> DataFrame:
-    insp = inspect_dataset(df, max_columns=len(df.columns))
+def null_summary(df: DataFrame, only_missing: bool = True, max_columns: int | None = None) -> DataFrame:
+    insp = inspect_dataset(df)
     if only_missing:
         insp = insp.where(F.col("null_count") > 0)
-    return insp.select("column_name", "position", "null_count", "null_pct").orderBy("position").limit(max_columns)
+    found = insp.select("column_name", "position", "null_count", "null_pct").orderBy("position")
+    return found if max_columns is None else found.limit(max_columns)
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical group, and their share (%, 2 dp)."""
-    g = df.groupBy(*[col_of(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    """Rows beyond the first of each identical group, and their share (%, 2 dp).
+
+    Rows are told apart by two 64-bit hashes over all columns (each with its null pattern), so the shuffle carries
+    20 bytes a distinct row whatever the row's width."""
+    df = nan_to_null(df)
+    values = [col_of(c) for c in df.columns]
+    nulls = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
+    keyed = df.select(F.xxhash64(nulls, *values).alias("_a"), F.xxhash64(F.lit("second"), *values, nulls).alias("_b"))
+    g = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
     return g.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("dup_count"),
                  F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("row_count")) \
             .withColumn("dup_pct", F.coalesce(pct(F.col("dup_count"), F.col("row_count")), F.lit(0.0)))
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, dp: int = 3, max_columns: int = 12) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None, dp: int = 3, max_columns: int | None = None) -> DataFrame:
     """count, mean, std, min, q25, q50, q75, max and skew per numeric column."""
     cols = (columns or numeric_columns(df))[:max_columns]
     q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
@@ -222,6 +236,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     Non-numeric columns get null numeric statistics but real null counts.
     """
     columns = columns or df.columns
+    df = nan_to_null(df, columns)
     structs = []
     for c in columns:
         dt = df.schema[c].dataType
@@ -378,14 +393,19 @@ def outlier_samples(df: DataFrame, key: str, columns: list[str] | None = None, m
         return df.sparkSession.createDataFrame([], f"column_name string, {key} long, value double")
     long_df = num.select(col_of(key), F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s")) \
                  .select(col_of(key), "s.column_name", "s.value")
-    # top-n per column as an aggregate (partial, skew-safe), not a per-group window
-    top = long_df.groupBy("column_name").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct(col_of(key), F.col("value")))), 1, n).alias("t"))
-    return top.select("column_name", F.inline("t"))
-
-
-def category_top(df: DataFrame, columns: list[str] | None = None, k: int = 15, max_columns: int = 6) -> DataFrame:
-    """Top-k values of up to ``max_columns`` categorical columns: ``(column_name, value, cnt, rank)``."""
+    # Top-n of each (column, slice of the keys) first, then of each column: no task holds all outliers of a column.
+    by_key = [col_of(key), F.col("value")]
+    part = Window.partitionBy("column_name", "_slice").orderBy(*by_key)
+    whole = Window.partitionBy("column_name").orderBy(*by_key)
+    few = (long_df.withColumn("_slice", F.pmod(F.xxhash64(col_of(key)), F.lit(256)))
+           .withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n))
+    return (few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= n)
+            .select("column_name", col_of(key), "value"))
+
+
+def category_top(df: DataFrame, columns: list[str] | None = None, k: int = 15,
+                 max_columns: int | None = None) -> DataFrame:
+    """Top-k values of the categorical columns (the first ``max_columns`` if given): ``(column_name, value, cnt, rank)``."""
     cols = (columns or [f.name for f in df.schema.fields if is_string_type(f.dataType)])[:max_columns]
     vc = value_counts_long(df, cols).where(F.col("value").isNotNull())
     w = Window.partitionBy("column_name").orderBy(F.desc("cnt"), F.asc("value"))
@@ -397,6 +417,7 @@ def target_distribution(df: DataFrame, target: str, max_classes: int = 20, bins:
 
     Output ``(label, lower, upper, cnt)``; ``lower/upper`` are null for classes.
     """
+    df = nan_to_null(df, [target])
     n_unique = df.select(col_of(target)).where(col_of(target).isNotNull()).distinct().limit(max_classes + 1).count()
     if n_unique <= max_classes or not is_numeric_type(df.schema[target].dataType):
         return df.where(col_of(target).isNotNull()).groupBy(col_of(target).cast("string").alias("label")) \

@@ -31,7 +31,6 @@ SKEW_ABS = 2.0
 CORR_ABS = 0.9
 IMBALANCE_SHARE = 0.90
 IMBALANCE_MAX_UNIQUE = 10
-IMBALANCE_MAX_COLUMNS = 5
 CHECK_WEIGHTS = {"high": 15.0, "medium": 8.0}
 EDA_WEIGHTS = {"high": 15.0, "medium": 8.0, "low": 3.0}
 
@@ -72,11 +71,13 @@ def _wide_alerts(df: DataFrame, num: list[str], corr_cols: list[str], mode: str)
     return out
 
 
-def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check") -> DataFrame:
+def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check",
+                   max_imbalance_columns: int | None = None) -> DataFrame:
     """Alert table ``(alert_type, severity, column_name, column_b, value)``.
 
     ``value`` is the measured quantity: null %, zero %, distinct count,
-    skewness, |r|, dominant share %, duplicate rows.
+    skewness, |r|, dominant share %, duplicate rows.  ``max_imbalance_columns`` restricts the class-imbalance
+    test to the first eligible columns (all of them by default).
     """
     num = _numeric(df)
     feat_num = [c for c in num if c != target] if mode == "eda" else num
@@ -100,7 +101,7 @@ def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check"
     ds2 = ds.withColumnRenamed("total", "_total")
     if imb:
         share = F.try_divide(F.col("top_count").cast("double"), F.col("non_null").cast("double"))
-        # candidate list: target first, then categoricals with ≤ 10 distinct values, first 5
+        # candidate list: target first, then categoricals with ≤ 10 distinct values
         order = F.create_map(*[x for i, c in enumerate(imb) for x in (F.lit(c), F.lit(i))])
         ds2 = ds2.withColumn("_imb_pos", order[F.col("column_name")])
         sev = F.when(F.col("column_name") == F.lit(target or "\u0000"), F.lit("high")).otherwise(F.lit("medium"))
@@ -116,7 +117,7 @@ def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check"
         w = Window.orderBy(F.col("_imb_pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
         ds2 = ds2.withColumn("_elig", elig) \
                  .withColumn("_imb_rank", F.sum(F.col("_elig").cast("int")).over(w)) \
-                 .withColumn("_imb_ok", F.col("_elig") & (F.col("_imb_rank") <= IMBALANCE_MAX_COLUMNS))
+                 .withColumn("_imb_ok", F.col("_elig") & (F.col("_imb_rank") <= (max_imbalance_columns or len(df.columns))))
     structs = [F.when(s.isNotNull(), s.withField("column_name", F.col("column_name"))) for s in rows]
     dist = ds2.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("a")).select("a.*")
 

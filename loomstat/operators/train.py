@@ -39,8 +39,7 @@ from loomstat.operators.split import kfold, split_dataset
 CLASSIFIERS = ("lr", "svm", "rf", "dtc", "knn", "nb", "xgb")
 REGRESSORS = ("lir", "pr", "lar", "rr", "dtr", "rfr", "xgb")
 MIN_ROWS = {"classification": 20, "regression": 10}
-TREE_MAX_DEPTH = 20
-FOREST_MAX_DEPTH = 10  # unlimited depth × 100 trees is a poor default at scale; pass max_depth to change
+TREE_MAX_DEPTH = 30  # the deepest that MLlib grows: the nearest to no limit
 # Default search grids per model key.
 DEFAULT_GRIDS: dict[str, dict] = {
     "svm": {"C": [0.1, 1, 10], "kernel": ["rbf", "linear"]},
@@ -164,7 +163,6 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
     kw = {"featuresCol": features_col, "labelCol": LABEL}
     wk = {"weightCol": weight_col} if weight_col else {}
     depth = p.get("max_depth")
-    fdepth = FOREST_MAX_DEPTH if depth is None else int(depth)
     depth = TREE_MAX_DEPTH if depth is None else int(depth)
     if task == "classification":
         if model == "lr":
@@ -173,7 +171,7 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
                                       elasticNetParam=0.0, standardization=False, tol=float(p.get("tol", 1e-4)),
                                       **kw, **wk)
         if model == "rf":
-            return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=fdepth,
+            return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth,
                                           featureSubsetStrategy="sqrt", seed=seed, **kw, **wk)
         if model == "dtc":
             return DecisionTreeClassifier(maxDepth=depth, seed=seed, **kw, **wk)
@@ -203,7 +201,7 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
         if model == "dtr":
             return DecisionTreeRegressor(maxDepth=depth, seed=seed, **kw, **wk)
         if model == "rfr":
-            return RandomForestRegressor(numTrees=int(p.get("n_estimators", 10)), maxDepth=fdepth,
+            return RandomForestRegressor(numTrees=int(p.get("n_estimators", 10)), maxDepth=depth,
                                          featureSubsetStrategy="all", seed=seed, **kw, **wk)
         if model == "xgb":
             return GBTRegressor(maxDepth=int(p.get("max_depth") or 3), stepSize=float(p.get("eta", 0.3)),
@@ -550,10 +548,9 @@ def train_dry_run(df: DataFrame, target: str) -> DataFrame:
                                            "feature string, position int, rows long")
 
 
-def score_head(model: PipelineModel, df: DataFrame, key: str, n: int = 20, target: str | None = None,
-               cap: int = 100) -> DataFrame:
-    """First ``n`` rows by ``key`` (at most ``cap``) with prediction and class probabilities (4 dp)."""
-    head = df.orderBy(col_of(key)).limit(min(n, cap))
+def score_head(model: PipelineModel, df: DataFrame, key: str, n: int = 20, target: str | None = None) -> DataFrame:
+    """First ``n`` rows by ``key`` with prediction and class probabilities (4 dp)."""
+    head = df.orderBy(col_of(key)).limit(n)
     out = score(model, head, target=target)
     if "probability" in out.columns:
         out = out.withColumn("probability", F.transform("probability", lambda x: F.round(x, 4)))
@@ -574,11 +571,11 @@ def evaluate_model(model: PipelineModel, df: DataFrame, target: str, task: str =
     return M.regression_metrics(pred, LABEL, "prediction")
 
 
-def predictions_vs_actual(model: PipelineModel, df: DataFrame, target: str, key: str, sample: int = 10_000,
+def predictions_vs_actual(model: PipelineModel, df: DataFrame, target: str, key: str, sample: int | None = None,
                           seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Regression metrics and a hash sample of ≤ ``sample`` (actual, predicted) points."""
+    """Regression metrics and the (actual, predicted) points: all of them, or a hash sample of ``sample``."""
     from loomstat.operators.split import sample_n
     pred = model.transform(df.where(col_of(target).isNotNull()))
-    pts = sample_n(pred.select(col_of(key), F.col(LABEL).alias("actual"), F.col("prediction").alias("predicted")),
-                   key, sample, seed)
+    pts = pred.select(col_of(key), F.col(LABEL).alias("actual"), F.col("prediction").alias("predicted"))
+    pts = pts if sample is None else sample_n(pts, key, sample, seed)
     return M.regression_metrics(pred, LABEL, "prediction"), pts

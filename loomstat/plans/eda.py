@@ -11,26 +11,24 @@ from loomstat.operators import profile as P
 from loomstat.operators import quality as Q
 from loomstat.operators.split import sample_n
 
-MAX_NUMERIC = 12
-MAX_CATEGORICAL = 6
-
-
-def eda_report(df: DataFrame, target: str | None = None, key: str | None = None) -> dict[str, DataFrame]:
+def eda_report(df: DataFrame, target: str | None = None, key: str | None = None, max_numeric: int | None = None,
+               max_categorical: int | None = None) -> dict[str, DataFrame]:
     """Quality alerts and score, missing summary, statistics, histograms, box
     data, Pearson / Spearman pairs, top categories and the target distribution.
 
     Every entry is a lazy DataFrame; nothing runs until it is read."""
-    num = [c for c in numeric_columns(df) if c != key][:MAX_NUMERIC]
-    cats = [f.name for f in df.schema.fields if is_string_type(f.dataType) and f.name != target][:MAX_CATEGORICAL]
+    num = [c for c in numeric_columns(df) if c != key][:max_numeric]
+    cats = [f.name for f in df.schema.fields if is_string_type(f.dataType) and f.name != target]
+    cats = cats[:max_categorical]
     out = {
         "alerts": Q.quality_alerts(df, target, mode="eda"),
         "score": Q.quality_score(df, target, mode="eda"),
-        "missing": P.null_summary(df, only_missing=True, max_columns=len(df.columns)),
+        "missing": P.null_summary(df, only_missing=True),
         "describe": P.describe(df, num),
         "histograms": P.histogram(df, num, 20),
         "box": P.box_stats(df, num),
         "pearson": P.pearson_pairs(df, num),
-        "categories": P.category_top(df, cats, 15, MAX_CATEGORICAL),
+        "categories": P.category_top(df, cats, 15),
     }
     if key:
         out["spearman"] = P.spearman_pairs(df, [c for c in num if c != key], key)
@@ -51,7 +49,7 @@ def profile_report(df: DataFrame, sample_rows: int | None = None, key: str | Non
     stats = ds.select("column_name", pos[F.col("column_name")].alias("position"), F.col("non_null").alias("count"),
                       F.round((F.col("total") - F.col("non_null")) * 100.0 / F.col("total"), 1).alias("missing_pct"),
                       F.col("nunique").alias("unique"), types[F.col("column_name")].alias("type"))
-    num = [c for c in numeric_columns(df) if c != key][:10]
+    num = [c for c in numeric_columns(df) if c != key]
     return {"columns": stats, "histograms": P.histogram(df, num, 20)}
 
 

@@ -281,7 +281,7 @@ def _q_pred_actual(spark, sf):
     li = TBL(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
     li = li.withColumn("_k", F.xxhash64(*li.columns))
     r = TR.train_model(li, "l_extendedprice", "lir", "regression", key="_k")
-    _, pts = TR.predictions_vs_actual(r.model, li, "l_extendedprice", "_k", 10_000)
+    _, pts = TR.predictions_vs_actual(r.model, li, "l_extendedprice", "_k")
     return pts
 
 

@@ -350,7 +350,7 @@ def _q_out_samples(spark, sf):
     return P.outlier_samples(T(spark, sf, "part"), "p_partkey", ["p_retailprice"], th1=0.1, th3=0.9)
 
 
-@register("cat_top_lineitem",
+@register("cat_top_part",
           "SELECT * FROM (SELECT column_name, value, cnt, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, "
           "value) AS rank FROM (" + " UNION ALL ".join(
               f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS cnt FROM part GROUP BY 2"

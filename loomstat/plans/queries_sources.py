@@ -81,7 +81,7 @@ def _q_csv_max(spark, sf):
 
 
 @register("src_slice",
-          "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 1000")
+          "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 200 OFFSET 1000")
 def _q_slice(spark, sf):
     o = T(spark, sf, "orders")
     return read_rows(o, "o_orderkey", 1000, 1200).select("o_orderkey", "o_custkey", "o_totalprice")

@@ -48,14 +48,15 @@ def list_versions(spark: SparkSession, root: str) -> DataFrame:
 
 def read_version(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     """The newest version, or the newest whose stamp contains ``version``."""
-    t = spark.read.option("basePath", root).parquet(root).withColumn(VERSION, F.col(VERSION).cast("string"))
-    cand = t.select(VERSION).distinct()
+    cand = (spark.read.option("basePath", root).option("spark.sql.sources.partitionColumnTypeInference.enabled", False)
+            .parquet(root).select(F.col(VERSION).cast("string").alias(VERSION)).distinct())
     if version:
         cand = cand.where(F.col(VERSION).contains(version))
     pick = cand.orderBy(F.desc(VERSION)).limit(1).collect()
     if not pick:
         raise ValueError(f"no version matches '{version}'")
-    return t.where(F.col(VERSION) == pick[0][0]).drop(VERSION)
+    # That folder alone: versions may differ in their columns.
+    return spark.read.parquet(f"{root.rstrip('/')}/{VERSION}={pick[0][0]}")
 
 
 def restore_version(spark: SparkSession, root: str, version: str) -> str:

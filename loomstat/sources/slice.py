@@ -6,25 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.exprs import col_of
-from loomstat.functions.quantiles import kth_values
+from loomstat.functions.ordered import row_positions
 
-MAX_ROWS = 100
 
+def read_rows(df: DataFrame, order_by: str, start: int, end: int) -> DataFrame:
+    """Rows ``start ... end-1`` (0-based) in ``order_by`` order; rows with a null key have no position, equal keys
+    stand in hash order.
 
-def read_rows(df: DataFrame, order_by: str, start: int, end: int, cap: int = MAX_ROWS) -> DataFrame:
-    """Rows ``start … end-1`` (0-based) in ``order_by`` order (a unique numeric key), at most ``cap``.
-
-    The key at position ``start`` is found by exact distributed selection;
-    then only rows from that key on are ordered, with a bounded limit."""
-    n_take = max(0, min(end - start, cap))
-    if n_take == 0:
-        return df.limit(0)
-    keys = df.select(F.lit(0).alias("g"), col_of(order_by).cast("double").alias("v"))
-    n = keys.count()
-    if start >= n:
+    Positions come from the sizes of contiguous key ranges, so no task orders the whole table, and the key keeps its
+    own type: 64-bit keys are told apart to the last digit."""
+    if end <= start:
         return df.limit(0)
-    lo = kth_values(keys, {0: [start]}, {0: n}).get((0, start))
-    return df.where(col_of(order_by) >= F.lit(lo)).orderBy(col_of(order_by)).limit(n_take)
+    tie = F.xxhash64(*[col_of(c) for c in df.columns])
+    known = df.where(col_of(order_by).isNotNull())
+    placed, _ = row_positions(known.withColumn("_tie", tie), [order_by, "_tie"], [], out="_pos")
+    return placed.where((F.col("_pos") >= start) & (F.col("_pos") < end)).select(*[col_of(c) for c in df.columns])
 
 
 def total_rows(df: DataFrame) -> int:
