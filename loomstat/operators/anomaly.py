@@ -71,34 +71,39 @@ def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
 
 def isolation_forest(mat: DataFrame, key: str, n_trees: int = 100, max_samples: int = 256,
                      contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """``(key, anomaly_score, is_anomaly)``.
+    """``(key, anomaly_score, is_anomaly)``, the same however the rows are partitioned.
 
-    Each tree gets a hash-Bernoulli sample of ≈ ``max_samples`` rows (one
-    pass, bounded output), trees are grown in parallel with ``applyInPandas``,
-    collected (≤ 2·ψ nodes each) and every row is scored in ``mapInPandas``.
+    Each tree gets the ``max_samples`` rows that are first in its own hash order (ties by key).  A row draws one
+    number for each of ``ceil(trees * samples / rows)`` groups of trees, which says whether it is among the first
+    rows of a tree and of which, so a large table hashes each row once.  Trees are grown in parallel with
+    ``applyInPandas``, collected (at most 2 * samples nodes each) and every row is scored in ``mapInPandas``.
     """
     n = mat.count()
     psi = min(max_samples, n)
-    rate = psi / max(n, 1)
+    drawn = min(n, psi + 6 * math.sqrt(psi))  # enough that the first psi rows of a tree are among them
+    groups = max(1, math.ceil(n_trees * drawn / max(n, 1)))
+    per_group = math.ceil(n_trees / groups)
     mask = (1 << 52) - 1
 
-    def u(t):  # uniform [0, 1) per (row, tree) from a seeded hash
-        return F.xxhash64(F.lit(seed), t, F.col(key)).bitwiseAND(F.lit(mask)).cast("double") / float(1 << 52)
-    picks = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(rate))
-    samp = mat.select("vec", F.explode(picks).alias("tree"))
+    def place(g):  # uniform in [0, n / drawn): the tree of group g that the row falls to, and where in its order
+        u = F.xxhash64(F.lit(seed), g, F.col(key)).bitwiseAND(F.lit(mask)).cast("double") / float(1 << 52)
+        return F.struct(g.alias("g"), (u * n / drawn).alias("at"))
+    picks = F.filter(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), place), lambda s: s["at"] < per_group)
+    samp = mat.select("vec", F.col(key).cast("string").alias("_k"), F.explode(picks).alias("s"))
+    samp = samp.select("vec", "_k", (F.col("s.g") * per_group + F.floor("s.at")).cast("int").alias("tree"),
+                       F.col("s.at").alias("_at")).where(F.col("tree") < n_trees)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        X = np.stack(pdf["vec"].to_numpy())
-        if len(X) > psi:  # Bernoulli sampling can overshoot; keep ψ rows deterministically
-            X = X[:psi]
+        first = pdf.sort_values(["_at", "_k"])["vec"].to_numpy()[:psi]
         rng = np.random.default_rng(seed * 1000 + t)
-        f, th, lf, rt, sz = _build_tree(X, rng, max_depth)
+        f, th, lf, rt, sz = _build_tree(np.stack(first), rng, max_depth)
         return pd.DataFrame({"tree": [t], "feat": [f.tolist()], "thr": [th.tolist()], "left": [lf.tolist()],
                              "right": [rt.tolist()], "size": [sz.tolist()]})
     schema = "tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<long>"
     trees = samp.groupBy("tree").applyInPandas(build, schema).collect()  # bounded: n_trees small trees
+    trees.sort(key=lambda r: r["tree"])
     forest = [(np.array(r["feat"]), np.array(r["thr"]), np.array(r["left"]), np.array(r["right"]),
                np.array(r["size"]), np.array([_c(x) for x in r["size"]])) for r in trees]
     c_psi = _c(psi)

@@ -22,11 +22,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.operators.split import hash_order
+from loomstat.operators.stages import Stored, load_json, store_json
 from loomstat.session import cut_lineage
 
 MAX_PIVOTS = 1024
@@ -242,11 +243,20 @@ def vote(neighbours: DataFrame, ref_labels: DataFrame, n_classes: int, k: int,
     return agg.select(qid, F.col("best.l").cast("double").alias("prediction"), probs.alias("_proba"))
 
 
-class KnnModel(Model):
+class KnnModel(Model, Stored):
     def __init__(self, refs: DataFrame, featuresCol: str, k: int, n_classes: int):
         super().__init__()
         self.refs, self.featuresCol, self.k, self.n_classes = refs, featuresCol, k, n_classes
 
+    def _store(self, spark: SparkSession, path: str) -> None:
+        store_json(spark, path, "state", {"featuresCol": self.featuresCol, "k": self.k, "n_classes": self.n_classes})
+        self.refs.write.parquet(f"{path}/refs")
+
+    @classmethod
+    def _restore(cls, spark: SparkSession, path: str) -> KnnModel:
+        s = load_json(spark, path, "state")
+        return cls(spark.read.parquet(f"{path}/refs"), s["featuresCol"], s["k"], s["n_classes"])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
         d = cut_lineage(dataset.withColumn("_qid", F.monotonically_increasing_id()))

@@ -5,6 +5,9 @@ with ``W ~ N(0, 2γ)`` and ``b ~ U(0, 2π)``; a linear SVM (``LinearSVC``,
 ``OneVsRest`` beyond two classes) is trained on ``z``.  ``W`` and ``b`` are a
 small fixed matrix (D × p) shipped with the task closure; the feature map
 runs as an Arrow-batched pandas UDF.  ``kernel="linear"`` skips the map.
+
+Class probabilities are Platt's: a logistic regression of the label on the
+decision values of the training rows.
 """
 
 from __future__ import annotations
@@ -13,12 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
+                                       OneVsRest, OneVsRestModel)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstat.operators.stages import Stored, load_json, store_json
+
 N_COMPONENTS = 256
 
 
@@ -33,26 +39,44 @@ def rff_map(W: np.ndarray, b: np.ndarray):
     return _z
 
 
-class RffSvmModel(Model):
-    def __init__(self, inner, W, b, featuresCol: str, kernel: str):
+def _mapped(dataset: DataFrame, features: str, kernel: str, W: np.ndarray, b: np.ndarray) -> DataFrame:
+    if kernel == "linear":
+        return dataset.withColumn("_rff", F.col(features))
+    return dataset.withColumn("_rff", array_to_vector(rff_map(W, b)(vector_to_array(features))))
+
+
+class RffSvmModel(Model, Stored):
+    def __init__(self, inner, platt: LogisticRegressionModel, W, b, featuresCol: str, kernel: str):
         super().__init__()
-        self.inner, self.W, self.b, self.featuresCol, self.kernel = inner, W, b, featuresCol, kernel
+        self.inner, self.platt, self.W, self.b = inner, platt, W, b
+        self.featuresCol, self.kernel = featuresCol, kernel
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        if self.kernel == "linear":
-            d = dataset.withColumn("_rff", F.col(self.featuresCol))
-        else:
-            z = rff_map(self.W, self.b)
-            d = dataset.withColumn("_rff", array_to_vector(z(vector_to_array(self.featuresCol))))
-        return self.inner.transform(d).drop("_rff")
+        scored = self.inner.transform(_mapped(dataset, self.featuresCol, self.kernel, self.W, self.b))
+        return self.platt.transform(scored).drop("_rff", "_platt_raw")
+
+    def _store(self, spark: SparkSession, path: str) -> None:
+        store_json(spark, path, "state", {"W": self.W.tolist(), "b": self.b.tolist(), "kernel": self.kernel,
+                                          "featuresCol": self.featuresCol,
+                                          "many": isinstance(self.inner, OneVsRestModel)})
+        self.inner.write().save(f"{path}/inner")
+        self.platt.write().save(f"{path}/platt")
+
+    @classmethod
+    def _restore(cls, spark: SparkSession, path: str) -> RffSvmModel:
+        s = load_json(spark, path, "state")
+        inner = (OneVsRestModel if s["many"] else LinearSVCModel).load(f"{path}/inner")
+        return cls(inner, LogisticRegressionModel.load(f"{path}/platt"), np.array(s["W"]), np.array(s["b"]),
+                   s["featuresCol"], s["kernel"])
 
 
 class RffSvmClassifier(Estimator):
-    def __init__(self, featuresCol: str = "features", labelCol: str = "label", C: float = 1.0,
-                 kernel: str = "rbf", gamma: float | None = None, n_components: int = N_COMPONENTS, seed: int = 42):
+    def __init__(self, featuresCol: str = "features", labelCol: str = "label", C: float = 1.0, kernel: str = "rbf",
+                 gamma: float | None = None, n_components: int = N_COMPONENTS, weightCol: str | None = None,
+                 seed: int = 42):
         super().__init__()
         self.featuresCol, self.labelCol, self.C, self.kernel = featuresCol, labelCol, C, kernel
-        self.gamma, self.n_components, self.seed = gamma, n_components, seed
+        self.gamma, self.n_components, self.weightCol, self.seed = gamma, n_components, weightCol, seed
 
     def _fit(self, dataset: DataFrame) -> RffSvmModel:
         first = dataset.select(self.featuresCol).first()
@@ -62,16 +86,17 @@ class RffSvmClassifier(Estimator):
         W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(self.n_components, p))
         b = rng.uniform(0.0, 2 * np.pi, size=self.n_components)
         stats = dataset.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(self.labelCol).alias("k")).first()
-        n, k = stats["n"], stats["k"]
-        svc = LinearSVC(featuresCol="_rff", labelCol=self.labelCol, regParam=1.0 / (self.C * max(n, 1)), maxIter=100)
-        est = svc if k <= 2 else OneVsRest(classifier=svc, featuresCol="_rff", labelCol=self.labelCol,
-                                           parallelism=int(k))
-        if self.kernel == "linear":
-            d = dataset.withColumn("_rff", F.col(self.featuresCol))
-        else:
-            d = dataset.withColumn("_rff", array_to_vector(rff_map(W, b)(vector_to_array(self.featuresCol))))
+        weight = {"weightCol": self.weightCol} if self.weightCol else {}
+        svc = LinearSVC(featuresCol="_rff", labelCol=self.labelCol, regParam=1.0 / (self.C * max(stats["n"], 1)),
+                        maxIter=100, **weight)
+        est = svc if stats["k"] <= 2 else OneVsRest(classifier=svc, featuresCol="_rff", labelCol=self.labelCol,
+                                                    parallelism=4, **weight)
         # the feature map is a Python UDF: materialise it once, not on every optimiser pass
-        d = d.select(self.labelCol, "_rff").persist(StorageLevel.MEMORY_AND_DISK)
+        keep = [self.labelCol, "_rff", *([self.weightCol] if self.weightCol else [])]
+        d = _mapped(dataset, self.featuresCol, self.kernel, W, b).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
         inner = est.fit(d)
+        platt = LogisticRegression(featuresCol="rawPrediction", labelCol=self.labelCol, probabilityCol="probability",
+                                   rawPredictionCol="_platt_raw", predictionCol="", regParam=1e-6, maxIter=50)
+        platt = platt.fit(inner.transform(d))
         d.unpersist()
-        return RffSvmModel(inner, W, b, self.featuresCol, self.kernel)
+        return RffSvmModel(inner, platt, W, b, self.featuresCol, self.kernel)

@@ -1,9 +1,12 @@
 """Training, cross-validation, comparison, tuning and scoring on ``pyspark.ml``.
 
 Feature preparation is part of the fitted ``PipelineModel`` (text columns →
-``nan`` for null → alphabetical ``StringIndexer``; numeric nulls → the exact
-training medians; ``VectorAssembler``; a ``StandardScaler`` for the
-distance-based models), so scoring can never drift from training.
+``nan`` for null → alphabetical codes by a distributed mapping; numeric nulls →
+the exact medians of all labelled rows, test rows included, as in the reference
+workflow; ``VectorAssembler``; a ``StandardScaler`` for the distance-based models),
+so scoring can never drift from training.  Classes of any coding (text, boolean,
+{-1, 1}, {1, 2}, ...) are numbered in ascending order outside the pipeline; the last
+one is the positive class, and the pipeline ends by naming the predicted class.
 
 Model keys (fixed values): classifiers lr svm rf dtc knn nb xgb; regressors
 lir pr lar rr dtr rfr xgb.  Regularisation is converted to MLlib's
@@ -17,24 +20,27 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import (IndexToString, PolynomialExpansion, SQLTransformer, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import (IndexToString, PolynomialExpansion, SQLTransformer, StandardScaler,
+                                StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.functions.exprs import col_of, is_datetime_type, is_numeric_type
+from loomstat.functions.exprs import col_of, is_datetime_type, is_numeric_type, nan_to_null, text_of
 from loomstat.functions.quantiles import column_quantiles
 from loomstat.operators import metrics as M
 from loomstat.operators.split import kfold, split_dataset
+from loomstat.operators.stages import TextCodes
 
 CLASSIFIERS = ("lr", "svm", "rf", "dtc", "knn", "nb", "xgb")
 REGRESSORS = ("lir", "pr", "lar", "rr", "dtr", "rfr", "xgb")
@@ -55,10 +61,8 @@ DEFAULT_GRIDS: dict[str, dict] = {
     "lir": {},
 }
 LABEL, FEATURES, SCALED = "label", "features", "features_scaled"
-# Text features with more distinct values than this are hash-coded instead of indexed: an indexer
-# keeps every label on the driver, which an ID-like column at scale must not do.
-MAX_INDEXED_LABELS = 100_000
-HASH_BUCKETS = 1 << 20
+MAX_CLASSES = 10_000  # class names are kept in the fitted pipeline; a target with more is refused
+PARALLELISM = 4       # fits that run at the same time in comparisons, searches and curves
 
 
 # ------------------------------------------------------------------ features
@@ -69,26 +73,25 @@ class FeaturePlan:
     text: list[str]
     numeric: list[str]
     medians: dict[str, float]
-    target_is_text: bool
-    hashed: list[str] = field(default_factory=list)
+    #: Class names in ascending order (classification), else None.
+    labels: list[str] | None = None
 
 
-def plan_features(df: DataFrame, target: str, features: list[str] | None = None,
-                  null_fill: str = "median") -> FeaturePlan:
-    """Choose feature columns (all but the target) and fit the fill values."""
+def class_names(df: DataFrame, target: str) -> list[str]:
+    """The classes of a target as text, in ascending order of the values themselves."""
+    rows = (df.select(col_of(target).alias("v")).where("v IS NOT NULL").distinct().orderBy("v")
+            .select(F.col("v").cast("string")).limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes; is it a regression target?")
+    return [r[0] for r in rows]
+
+
+def plan_features(df: DataFrame, target: str, features: list[str] | None = None, null_fill: str = "median",
+                  task: str = "regression") -> FeaturePlan:
+    """Choose feature columns (all but the target), fit the fill values and, for classification, list the classes."""
     feats = features or [c for c in df.columns if c != target]
-    text, numeric = [], []
-    for c in feats:
-        dt = df.schema[c].dataType
-        if is_numeric_type(dt) or isinstance(dt, T.BooleanType) or is_datetime_type(dt):
-            numeric.append(c)
-        else:
-            text.append(c)
-    hashed: list[str] = []
-    if text:
-        # one HLL pass (bounded memory) decides which text columns are safe to index
-        card = df.agg(*[F.approx_count_distinct(col_of(c), 0.02).alias(c) for c in text]).first()
-        hashed = [c for c in text if card[c] > MAX_INDEXED_LABELS]
+    numeric = [c for c in feats if is_numeric_type(df.schema[c].dataType) or is_datetime_type(df.schema[c].dataType)
+               or isinstance(df.schema[c].dataType, T.BooleanType)]
     medians: dict[str, float] = {}
     if numeric and null_fill == "median":
         nulls = df.agg(*[F.count_if(col_of(c).isNull()).alias(c) for c in numeric]).first()
@@ -96,8 +99,16 @@ def plan_features(df: DataFrame, target: str, features: list[str] | None = None,
         if need:
             q = column_quantiles(df.select(*[_num(df, c).alias(c) for c in need]), need, [0.5])
             medians = {c: q.get((c, 0.5)) for c in need}
-    return FeaturePlan(target, feats, [c for c in text if c not in hashed], numeric, medians,
-                       not is_numeric_type(df.schema[target].dataType), hashed)
+    return FeaturePlan(target, feats, [c for c in feats if c not in numeric], numeric, medians,
+                       class_names(df, target) if task == "classification" else None)
+
+
+def with_label(df: DataFrame, target: str, labels: list[str] | None) -> DataFrame:
+    """Add the numeric label: the class number (an unknown class is an error), or the value itself."""
+    if labels is None:
+        return df.withColumn(LABEL, col_of(target).cast("double"))
+    indexer = StringIndexerModel.from_labels(labels, inputCol="__y", outputCol=LABEL, handleInvalid="error")
+    return indexer.transform(df.withColumn("__y", text_of(target))).drop("__y")
 
 
 def _num(df: DataFrame, c: str):
@@ -114,36 +125,16 @@ def _sql_num(df: DataFrame, c: str) -> str:
     return f"CAST(`{c}` AS DOUBLE)"
 
 
-def feature_stages(df: DataFrame, plan: FeaturePlan, scale: bool, poly_degree: int | None = None,
-                   with_label: bool = True) -> list:
+def feature_stages(df: DataFrame, plan: FeaturePlan, scale: bool, poly_degree: int | None = None) -> tuple[list, str]:
+    """Stages from raw columns to the feature vector, and the vector's column."""
     exprs = []
     for c in plan.numeric:
         fill = plan.medians.get(c)
-        e = _sql_num(df, c)
-        exprs.append(f"coalesce({e}, {float(fill) if fill is not None else 0.0}) AS `__n_{c}`")
-    for c in plan.text:
-        exprs.append(f"coalesce(CAST(`{c}` AS STRING), 'nan') AS `__t_{c}`")
-    for c in plan.hashed:
-        exprs.append(f"CAST(pmod(xxhash64(coalesce(CAST(`{c}` AS STRING), 'nan')), {HASH_BUCKETS}) AS DOUBLE) "
-                     f"AS `__h_{c}`")
-    if with_label:
-        if plan.target_is_text:
-            exprs.append(f"coalesce(CAST(`{plan.target}` AS STRING), 'nan') AS `__y`")
-        else:
-            exprs.append(f"CAST(`{plan.target}` AS DOUBLE) AS `__y`")
-    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
+        exprs.append(f"coalesce(nanvl({_sql_num(df, c)}, NULL), {float(fill) if fill is not None else 0.0}) AS `__n_{c}`")
+    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")] if exprs else []
     if plan.text:
-        stages.append(StringIndexer(inputCols=[f"__t_{c}" for c in plan.text],
-                                    outputCols=[f"__i_{c}" for c in plan.text],
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
-    if with_label:
-        if plan.target_is_text:
-            stages.append(StringIndexer(inputCol="__y", outputCol=LABEL, stringOrderType="alphabetAsc",
-                                        handleInvalid="keep"))
-        else:
-            stages.append(SQLTransformer(statement=f"SELECT *, `__y` AS {LABEL} FROM __THIS__"))
-    cols = [f"__n_{c}" if c in plan.numeric else (f"__h_{c}" if c in plan.hashed else f"__i_{c}")
-            for c in plan.features]
+        stages.append(TextCodes(plan.text, [f"__i_{c}" for c in plan.text]))
+    cols = [f"__n_{c}" if c in plan.numeric else f"__i_{c}" for c in plan.features]
     stages.append(VectorAssembler(inputCols=cols, outputCol=FEATURES))
     out = FEATURES
     if poly_degree:
@@ -209,16 +200,15 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
     raise ValueError(f"Unknown model '{model}' for {task}")
 
 
-def build_pipeline(df: DataFrame, target: str, model: str, task: str, n_rows: int, n_classes: int,
-                   plan: FeaturePlan | None = None, weight_col: str | None = None, seed: int = 42,
-                   **params) -> tuple[Pipeline, FeaturePlan]:
-    plan = plan or plan_features(df, target)
+def build_pipeline(df: DataFrame, target: str, model: str, task: str, n_rows: int, plan: FeaturePlan,
+                   weight_col: str | None = None, seed: int = 42, **params) -> Pipeline:
+    """Feature stages and the estimator; it is fitted on rows that have the label column (``with_label``)."""
     scale = model in ("svm", "knn")
     degree = int(params.get("degree", 5)) if model == "pr" else None
     stages, fcol = feature_stages(df, plan, scale, degree)
     if model == "svm":
         from loomstat.operators.svm import RffSvmClassifier
-        est = RffSvmClassifier(featuresCol=fcol, labelCol=LABEL, C=float(params.get("C", 1.0)),
+        est = RffSvmClassifier(featuresCol=fcol, labelCol=LABEL, C=float(params.get("C", 1.0)), weightCol=weight_col,
                                kernel=params.get("kernel", "rbf"), seed=seed)
     elif model == "knn":
         from loomstat.operators.knn import KnnClassifier
@@ -226,22 +216,22 @@ def build_pipeline(df: DataFrame, target: str, model: str, task: str, n_rows: in
     else:
         if model == "rr" and "label_std" not in params:
             params = {**params, "label_std": df.agg(F.stddev_pop(col_of(target).cast("double"))).first()[0]}
-        est = make_estimator(model, task, n_rows, n_classes, fcol, weight_col, seed, **params)
-    stages.append(est)
-    return Pipeline(stages=stages), plan
+        est = make_estimator(model, task, n_rows, len(plan.labels or []), fcol, weight_col, seed, **params)
+    return Pipeline(stages=[*stages, est])
 
 
-def attach_label_names(model: PipelineModel) -> PipelineModel:
-    """Append ``predicted_label`` (the original class text) from the fitted label indexer."""
-    for st in model.stages:
-        try:
-            out = st.getOutputCol()
-        except Exception:  # noqa: BLE001 — multi-column indexers have no single output
-            continue
-        if out == LABEL and hasattr(st, "labels"):
-            dec = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(st.labels))
-            return PipelineModel(stages=[*model.stages, dec])
-    return model
+def name_classes(model: PipelineModel, labels: list[str] | None) -> PipelineModel:
+    """Append ``predicted_label`` (the class as text) to a classifier."""
+    if labels is None:
+        return model
+    return PipelineModel(stages=[*model.stages, IndexToString(inputCol="prediction", outputCol="predicted_label",
+                                                              labels=labels)])
+
+
+def classes_of(model: PipelineModel) -> list[str] | None:
+    """Class names of a fitted classifier (None for a regressor)."""
+    last = model.stages[-1]
+    return list(last.getLabels()) if isinstance(last, IndexToString) else None
 
 
 # ------------------------------------------------------------------ training
@@ -265,124 +255,183 @@ def _with_key(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
     return df.withColumn("_row_key", F.xxhash64(*[col_of(c) for c in df.columns])), "_row_key"
 
 
-def _classes(df: DataFrame, target: str) -> int:
-    return df.select(col_of(target)).distinct().count()
-
-
-def classification_scores(pred: DataFrame, binary: bool) -> dict:
+def classification_scores(pred: DataFrame, n_classes: int, auc: bool = True) -> dict:
+    """Accuracy, weighted F1 and, for two classes with a score, the exact AUC of the last class."""
     m = M.classification_metrics(pred, LABEL, "prediction").first().asDict()
     out = {"accuracy": m["accuracy"], "f1_weighted": m["f1_weighted"]}
-    if binary:
-        score_col = "probability" if "probability" in pred.columns else "rawPrediction"
+    score_col = next((c for c in ("probability", "rawPrediction") if c in pred.columns), None)
+    if auc and n_classes == 2 and score_col:
         s = pred.select(LABEL, vector_to_array(F.col(score_col))[1].alias("_s"))
         out["auc"] = M.auc_exact(s, LABEL, "_s", positive="1.0", dp=4).first()["auc"]
     return out
 
 
+def confusion_table(pred: DataFrame, labels: list[str]) -> DataFrame:
+    """``(actual, predicted, cnt)`` with class names, every combination that occurs."""
+    names = F.array(*[F.lit(x) for x in labels])
+    return pred.groupBy(names[F.col(LABEL).cast("int")].alias("actual"),
+                        names[F.col("prediction").cast("int")].alias("predicted")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def regression_scores(pred: DataFrame) -> dict:
     m = M.regression_metrics(pred, LABEL, "prediction").first().asDict()
     return {"mse": m["mse"], "rmse": m["rmse"], "r2": m["r2"]}
 
 
-def train_model(df: DataFrame, target: str, model: str = "rf", task: str = "classification",
-                test_size: float = 0.2, key: str | None = None, class_weight: str | None = None,
-                return_train_score: bool = False, seed: int = 42, **params) -> TrainResult:
-    """Split (stratified for classification), fit, evaluate on the held-out rows."""
-    allowed = registered_models(task)
-    if model not in allowed:
-        raise ValueError(f"Unknown model '{model}'. Allowed: {', '.join(allowed)}")
-    data = df.where(col_of(target).isNotNull())
+def _parallel(spark: SparkSession, run: Callable, items: list) -> list:
+    """``run`` of every item, a few at a time (each fit is a Spark job of its own)."""
+    if len(items) < 2:
+        return [run(x) for x in items]
+    pool = ThreadPool(min(PARALLELISM, len(items)))
+    try:
+        return pool.map(inheritable_thread_target(spark)(run), items)
+    finally:
+        pool.close()
+
+
+@dataclass
+class Prepared:
+    """Labelled rows with what every fit on them shares."""
+
+    data: DataFrame
+    key: str
+    task: str
+    n: int
+    plan: FeaturePlan
+    seed: int
+
+    @property
+    def n_classes(self) -> int:
+        return len(self.plan.labels or [])
+
+    def fit(self, rows: DataFrame, model: str, n_rows: int, weight_col: str | None = None, **params) -> PipelineModel:
+        pipe = build_pipeline(self.data, self.plan.target, model, self.task, n_rows, self.plan, weight_col, self.seed,
+                              **params)
+        return name_classes(pipe.fit(rows), self.plan.labels)
+
+    def scores(self, pred: DataFrame, auc: bool = True) -> dict:
+        if self.task == "classification":
+            return classification_scores(pred, self.n_classes, auc)
+        return regression_scores(pred)
+
+
+def prepare(df: DataFrame, target: str, task: str, key: str | None, seed: int) -> Prepared:
+    data = nan_to_null(df).where(col_of(target).isNotNull())
     data, key = _with_key(data, key)
     n = data.count()
     if n < MIN_ROWS[task]:
         raise ValueError(f"Need at least {MIN_ROWS[task]} rows, got {n}")
-    n_classes = _classes(data, target) if task == "classification" else 0
-    if task == "classification" and n_classes < 2:
+    plan = plan_features(data, target, [c for c in data.columns if c not in (target, key)], task=task)
+    if task == "classification" and len(plan.labels) < 2:
         raise ValueError("Target needs at least 2 classes")
-    plan = plan_features(data, target, [c for c in data.columns if c not in (target, key)])
-    split = split_dataset(data, key, test_size, seed, stratify=target if task == "classification" else None)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
+    return Prepared(with_label(data, target, plan.labels), key, task, n, plan, seed)
+
+
+def _check_model(model: str, task: str) -> None:
+    allowed = registered_models(task)
+    if model not in allowed:
+        raise ValueError(f"Unknown model '{model}'. Allowed: {', '.join(allowed)}")
+
+
+def _split(p: Prepared, test_size: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(persisted split, train rows, test rows)."""
+    both = split_dataset(p.data, p.key, test_size, p.seed, stratify=p.plan.target if p.plan.labels else None)
+    both = both.persist(StorageLevel.MEMORY_AND_DISK)
+    return both, both.where(F.col("split") == "train"), both.where(F.col("split") == "test")
+
+
+def _train_on(p: Prepared, train: DataFrame, test: DataFrame, model: str, test_size: float,
+              class_weight: str | None = None, return_train_score: bool = False, **params) -> TrainResult:
     weight_col = None
-    if class_weight == "balanced" and task == "classification" and model in ("lr", "svm", "rf", "dtc"):
+    if class_weight == "balanced" and p.task == "classification" and model in ("lr", "svm", "rf", "dtc"):
         from loomstat.operators.split import with_class_weight
-        train = with_class_weight(train, target, "_w")
-        weight_col = "_w"
-    n_train = n - math.ceil(n * test_size)
-    pipe, plan = build_pipeline(data, target, model, task, n_train, n_classes, plan, weight_col, seed, **params)
-    fitted = pipe.fit(train)
-    if task == "classification":
-        fitted = attach_label_names(fitted)
+        train, weight_col = with_class_weight(train, p.plan.target, "_w"), "_w"
+    n_train = p.n - math.ceil(p.n * test_size)
+    fitted = p.fit(train, model, n_train, weight_col, **params)
     pred = fitted.transform(test)
-    binary = n_classes == 2
-    scores = classification_scores(pred, binary) if task == "classification" else regression_scores(pred)
-    scores.update({"model": model, "task": task, "n_train": n_train, "n_test": n - n_train})
+    scores = p.scores(pred) | {"model": model, "task": p.task, "n_train": n_train, "n_test": p.n - n_train}
     if return_train_score:
-        tr = fitted.transform(train)
-        ts = classification_scores(tr, binary) if task == "classification" else regression_scores(tr)
-        main = "accuracy" if task == "classification" else "r2"
-        scores[f"train_{main}"] = ts[main]
-        scores["overfit_gap"] = round(ts[main] - scores[main], 4)
-    split.unpersist()
-    return TrainResult(fitted, scores, pred, plan)
+        main = "accuracy" if p.task == "classification" else "r2"
+        scores[f"train_{main}"] = p.scores(fitted.transform(train), auc=False)[main]
+        scores["overfit_gap"] = round(scores[f"train_{main}"] - scores[main], 4)
+    extra = {"confusion": confusion_table(pred, p.plan.labels)} if p.plan.labels else {}
+    return TrainResult(fitted, scores, pred, p.plan, extra)
+
+
+def train_model(df: DataFrame, target: str, model: str = "rf", task: str = "classification",
+                test_size: float = 0.2, key: str | None = None, class_weight: str | None = None,
+                return_train_score: bool = False, seed: int = 42, **params) -> TrainResult:
+    """Split (stratified for classification), fit, evaluate on the held-out rows.
+
+    ``result.extra["confusion"]`` is the confusion table of a classifier."""
+    _check_model(model, task)
+    p = prepare(df, target, task, key, seed)
+    _, train, test = _split(p, test_size)
+    return _train_on(p, train, test, model, test_size, class_weight, return_train_score, **params)
+
+
+def _folds(p: Prepared, n_splits: int) -> DataFrame:
+    return kfold(p.data, p.key, n_splits, p.seed, stratify=p.plan.target if p.plan.labels else None).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
+def _mean_std(values: list[float]) -> tuple[float, float]:
+    mean = sum(values) / len(values)
+    return mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+
+
+def _cv_scores(p: Prepared, folds: DataFrame, model: str, n_splits: int, params: dict) -> list[dict]:
+    """Scores of each fold of one parameter set."""
+    def one(fold: int) -> dict:
+        fitted = p.fit(folds.where(F.col("fold") != fold), model, p.n - p.n // n_splits, **params)
+        return p.scores(fitted.transform(folds.where(F.col("fold") == fold)), auc=False)
+
+    return [one(f) for f in range(n_splits)]
 
 
 def cross_validate(df: DataFrame, target: str, model: str, task: str = "classification", n_splits: int = 5,
                    key: str | None = None, seed: int = 42, **params) -> tuple[DataFrame, dict, PipelineModel]:
     """Per-fold metrics table, mean and population std, and the model refitted on all rows."""
-    data = df.where(col_of(target).isNotNull())
-    data, key = _with_key(data, key)
-    n = data.count()
-    n_classes = _classes(data, target) if task == "classification" else 0
-    folds = kfold(data, key, n_splits, seed, stratify=target if task == "classification" else None)
-    folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
-    plan = plan_features(data, target, [c for c in data.columns if c not in (target, key)])
-    rows = []
-    for f in range(n_splits):
-        tr, te = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
-        pipe, _ = build_pipeline(data, target, model, task, n - n // n_splits, n_classes, plan, None, seed, **params)
-        fm = pipe.fit(tr)
-        pred = fm.transform(te)
-        s = classification_scores(pred, False) if task == "classification" else regression_scores(pred)
-        rows.append((f, *[float(s[k]) for k in sorted(s)]))
-    names = sorted(s)
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows, ["fold", *names])
+    _check_model(model, task)
+    p = prepare(df, target, task, key, seed)
+    folds = _folds(p, n_splits)
+    scores = _cv_scores(p, folds, model, n_splits, params)
+    names = sorted(scores[0])
+    table = df.sparkSession.createDataFrame([(f, *[float(s[k]) for k in names]) for f, s in enumerate(scores)],
+                                            ["fold", *names])
     summary = {}
     for k in names:
-        vals = [r[1 + names.index(k)] for r in rows]
-        mean = sum(vals) / len(vals)
-        summary[f"{k}_mean"] = round(mean, 4)
-        summary[f"{k}_std"] = round(math.sqrt(sum((v - mean) ** 2 for v in vals) / len(vals)), 4)
-    pipe, _ = build_pipeline(data, target, model, task, n, n_classes, plan, None, seed, **params)
-    final = pipe.fit(folds)
-    if task == "classification":
-        final = attach_label_names(final)
+        mean, std = _mean_std([s[k] for s in scores])
+        summary |= {f"{k}_mean": round(mean, 4), f"{k}_std": round(std, 4)}
+    final = p.fit(folds, model, p.n, **params)
     folds.unpersist()
     return table, summary, final
 
 
 def compare_models(df: DataFrame, target: str, task: str = "classification", models: list[str] | None = None,
-                   test_size: float = 0.2, key: str | None = None, seed: int = 42) -> DataFrame:
-    """Same split for every model; failures are recorded; ranked by (f1, accuracy) or (r2, −rmse)."""
+                   test_size: float = 0.2, key: str | None = None,
+                   seed: int = 42) -> tuple[DataFrame, TrainResult | None]:
+    """(ranking, result of the best model).  All models share one persisted split; a failed model is a row of its own.
+    Ranked by (f1, accuracy) or (r2, -rmse)."""
     models = models or list(CLASSIFIERS if task == "classification" else REGRESSORS)
-    rows = []
-    for m in models:
+    p = prepare(df, target, task, key, seed)
+    _, train, test = _split(p, test_size)
+
+    def one(m: str) -> tuple:
         try:
-            r = train_model(df, target, m, task, test_size, key, seed=seed)
+            _check_model(m, task)
+            r = _train_on(p, train, test, m, test_size)
             s = r.metrics
-            if task == "classification":
-                rows.append((m, "ok", s["f1_weighted"], s["accuracy"], None))
-            else:
-                rows.append((m, "ok", s["r2"], -s["rmse"], None))
+            return (m, "ok", *((s["f1_weighted"], s["accuracy"]) if p.plan.labels else (s["r2"], -s["rmse"])), None), r
         except Exception as e:  # noqa: BLE001 — a failed model is a result row
-            rows.append((m, "failed", None, None, str(e)[:200]))
-    spark = df.sparkSession
-    t = spark.createDataFrame(rows, "model string, status string, primary double, secondary double, error string")
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("primary").desc_nulls_last(), F.col("secondary").desc_nulls_last(), "model")
-    return t.withColumn("rank", F.row_number().over(w))  # ≤ #models rows
+            return (m, "failed", None, None, str(e)[:200]), None
+
+    done = _parallel(df.sparkSession, one, models)
+    done.sort(key=lambda x: (x[1] is None, *((-x[0][2], -x[0][3]) if x[1] else (0, 0)), x[0][0]))
+    rows = [(*row, rank) for rank, (row, _) in enumerate(done, 1)]
+    table = df.sparkSession.createDataFrame(
+        rows, "model string, status string, primary double, secondary double, error string, rank int")
+    return table, done[0][1]
 
 
 def param_grid(model: str, grid: dict | None = None, search: str = "grid", n_iter: int = 10,
@@ -395,20 +444,32 @@ def param_grid(model: str, grid: dict | None = None, search: str = "grid", n_ite
     return combos
 
 
+@dataclass
+class TuneResult:
+    table: DataFrame
+    best_params: dict
+    best_model: PipelineModel
+
+
 def tune(df: DataFrame, target: str, model: str, task: str = "classification", search: str = "grid",
          grid: dict | None = None, cv: int = 5, n_iter: int = 10, key: str | None = None,
-         seed: int = 42) -> DataFrame:
-    """CV score (f1 weighted / r2) of every parameter set, best first."""
-    if model == "xgb":
-        raise ValueError("xgb is not tuned; use its defaults")
-    rows = []
+         seed: int = 42) -> TuneResult:
+    """CV score (f1 weighted / r2) of every parameter set, best first, and the best set refitted on all rows."""
+    _check_model(model, task)
+    p = prepare(df, target, task, key, seed)
+    folds = _folds(p, cv)
     metric = "f1_weighted" if task == "classification" else "r2"
-    for params in param_grid(model, grid, search, n_iter, seed):
-        _, summ, _ = cross_validate(df, target, model, task, cv, key, seed, **params)
-        rows.append((str(params), summ[f"{metric}_mean"], summ[f"{metric}_std"]))
-    spark = df.sparkSession
-    t = spark.createDataFrame(rows, "params string, mean_score double, std_score double")
-    return t.orderBy(F.desc("mean_score"), "params")
+
+    def one(params: dict) -> tuple:
+        mean, std = _mean_std([s[metric] for s in _cv_scores(p, folds, model, cv, params)])
+        return round(mean, 4), round(std, 4), params
+
+    done = sorted(_parallel(df.sparkSession, one, param_grid(model, grid, search, n_iter, seed)), key=lambda r: (-r[0], str(r[2])))
+    best = p.fit(folds, model, p.n, **done[0][2])
+    folds.unpersist()
+    table = df.sparkSession.createDataFrame([(str(x), m, s) for m, s, x in done],
+                                            "params string, mean_score double, std_score double")
+    return TuneResult(table, done[0][2], best)
 
 
 def learning_curve(df: DataFrame, target: str, model: str, task: str = "classification", cv: int = 5,
@@ -418,75 +479,74 @@ def learning_curve(df: DataFrame, target: str, model: str, task: str = "classifi
 
     Subsets are nested: the first fraction of the training fold in hash order."""
     from loomstat.operators.split import hash_order
-    data = df.where(col_of(target).isNotNull())
-    data, key = _with_key(data, key)
-    n = data.count()
-    n_classes = _classes(data, target) if task == "classification" else 0
-    folds = kfold(data, key, cv, seed, stratify=target if task == "classification" else None)
-    folds = folds.withColumn("_u", (hash_order(key, seed + 1) % 1000000) / 1e6).persist(StorageLevel.MEMORY_AND_DISK)
-    plan = plan_features(data, target, [c for c in data.columns if c not in (target, key)])
+    p = prepare(df, target, task, key, seed)
+    folds = kfold(p.data, p.key, cv, seed, stratify=target if p.plan.labels else None)
+    folds = folds.withColumn("_u", (hash_order(p.key, seed + 1) % 1000000) / 1e6).persist(StorageLevel.MEMORY_AND_DISK)
     main = "accuracy" if task == "classification" else "r2"
+
+    def one(at: tuple[float, int]) -> tuple[float, float]:
+        frac, fold = at
+        train = folds.where((F.col("fold") != fold) & (F.col("_u") < frac))
+        fitted = p.fit(train, model, p.n)
+        return (p.scores(fitted.transform(train), auc=False)[main],
+                p.scores(fitted.transform(folds.where(F.col("fold") == fold)), auc=False)[main])
+
+    done = _parallel(df.sparkSession, one, [(s, f) for s in sizes for f in range(cv)])
     rows = []
-    for frac in sizes:
-        tr_s, va_s = [], []
-        for f in range(cv):
-            tr = folds.where((F.col("fold") != f) & (F.col("_u") < frac))
-            te = folds.where(F.col("fold") == f)
-            pipe, _ = build_pipeline(data, target, model, task, n, n_classes, plan, None, seed)
-            fm = pipe.fit(tr)
-            sc = classification_scores if task == "classification" else regression_scores
-            kw = {"binary": False} if task == "classification" else {}
-            tr_s.append(sc(fm.transform(tr), **kw)[main])
-            va_s.append(sc(fm.transform(te), **kw)[main])
-        mt, mv = sum(tr_s) / cv, sum(va_s) / cv
-        rows.append((frac, round(mt, 4), round(math.sqrt(sum((x - mt) ** 2 for x in tr_s) / cv), 4),
-                     round(mv, 4), round(math.sqrt(sum((x - mv) ** 2 for x in va_s) / cv), 4)))
+    for i, frac in enumerate(sizes):
+        part = done[i * cv:(i + 1) * cv]
+        rows.append((frac, *[round(x, 4) for k in (0, 1) for x in _mean_std([d[k] for d in part])]))
     folds.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "train_fraction double, train_mean double, train_std double, val_mean double, val_std double")
 
 
 # ------------------------------------------------------------------ scoring
-def _with_target(df: DataFrame, target: str | None) -> DataFrame:
-    # the fitted pipeline also reads the target column; scoring data may not have it
-    if target and target not in df.columns:
-        return df.withColumn(target, F.lit(None).cast("string"))
-    return df
-
-
-def score(model: PipelineModel, df: DataFrame, keep: list[str] | None = None, target: str | None = None) -> DataFrame:
-    """All rows with ``prediction`` (and the original class text when the target was text)."""
-    out = model.transform(_with_target(df, target))
-    cols = list(keep or df.columns) + ["prediction"]
+def score(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """All rows with ``prediction`` (a classifier's class number), the class as ``predicted_label``, probabilities."""
+    out = model.transform(df)
+    cols = [col_of(c) for c in keep or df.columns] + [F.col("prediction")]
     if "predicted_label" in out.columns:
-        cols.append("predicted_label")
+        cols.append(F.col("predicted_label"))
     if "probability" in out.columns:
         cols.append(vector_to_array("probability").alias("probability"))
-    return out.select(*[c if not isinstance(c, str) else col_of(c) for c in cols])
+    return out.select(*cols)
 
 
 def prediction_distribution(scored: DataFrame, task: str = "classification") -> DataFrame:
     if task == "classification":
-        return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("cnt"))
+        by = "predicted_label" if "predicted_label" in scored.columns else "prediction"
+        return scored.groupBy(by).agg(F.count(F.lit(1)).alias("cnt"))
     return scored.agg(F.min("prediction").alias("min"), F.max("prediction").alias("max"),
                       F.avg("prediction").alias("mean"))
 
 
-def score_json(model: PipelineModel, records: DataFrame, json_col: str, schema: T.StructType,
-               target: str | None = None) -> DataFrame:
+def score_json(model: PipelineModel, records: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
     """Score records held as JSON text in ``json_col`` (one record per row)."""
     parsed = records.select("*", F.from_json(col_of(json_col), schema).alias("_rec")).select("*", "_rec.*") \
                     .drop("_rec")
-    return model.transform(_with_target(parsed, target))
+    return model.transform(parsed)
+
+
+def feature_importance(model: PipelineModel, plan: FeaturePlan, top: int | None = None) -> list[tuple[str, float]]:
+    """(feature, importance), largest first: impurity importances, or absolute coefficients of a linear model."""
+    for est in reversed(model.stages):
+        if hasattr(est, "featureImportances"):
+            weights = est.featureImportances.toArray()
+        elif hasattr(est, "coefficientMatrix"):
+            weights = abs(est.coefficientMatrix.toArray()).mean(0)
+        elif hasattr(est, "coefficients") and len(est.coefficients) == len(plan.features):
+            weights = abs(est.coefficients.toArray())
+        else:
+            continue
+        pairs = sorted(zip(plan.features, (float(x) for x in weights)), key=lambda t: (-t[1], t[0]))
+        return [(f, round(v, 4)) for f, v in pairs[:top]]
+    return []
 
 
-def feature_importance(model: PipelineModel, plan: FeaturePlan, top: int = 10) -> list[tuple[str, float]]:
-    est = next((s for s in reversed(model.stages) if hasattr(s, "featureImportances")), None)
-    if est is None:
-        return []
-    imp = est.featureImportances.toArray()
-    pairs = sorted(zip(plan.features, (float(x) for x in imp)), key=lambda t: -t[1])
-    return [(f, round(v, 4)) for f, v in pairs[:top]]
+def importance_report(result: TrainResult) -> tuple[list[tuple[str, float]], dict]:
+    """Importances and the metrics stored with the model."""
+    return feature_importance(result.model, result.plan), dict(result.metrics)
 
 
 def fit_coefficients(df: DataFrame, target: str, features: list[str], model: str = "lir", **params) -> DataFrame:
@@ -505,24 +565,13 @@ def fit_coefficients(df: DataFrame, target: str, features: list[str], model: str
 
 def naive_bayes_stats(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """Gaussian NB fitted on the whole table: ``(class, feature, mean, var)`` per class and feature."""
-    plan = FeaturePlan(target, features, [], list(features), {}, not is_numeric_type(df.schema[target].dataType))
-    stages, fcol = feature_stages(df, plan, False)
-    prep = Pipeline(stages=stages).fit(df)
-    d = prep.transform(df)
+    labels = class_names(df, target)
+    stages, fcol = feature_stages(df, FeaturePlan(target, features, [], list(features), {}, labels), False)
+    d = with_label(Pipeline(stages=stages).fit(df).transform(df.where(col_of(target).isNotNull())), target, labels)
     m = NaiveBayes(modelType="gaussian", featuresCol=fcol, labelCol=LABEL).fit(d)
-    label_names = None
-    for st in prep.stages:
-        try:
-            if st.getOutputCol() == LABEL and hasattr(st, "labels"):
-                label_names = list(st.labels)
-        except Exception:  # noqa: BLE001
-            continue
     theta, sigma = m.theta.toArray(), m.sigma.toArray()
-    rows = []
-    for i in range(theta.shape[0]):
-        cls = label_names[i] if label_names else str(float(i))
-        for j, f in enumerate(features):
-            rows.append((cls, f, float(theta[i, j]), float(sigma[i, j])))
+    rows = [(cls, f, float(theta[i, j]), float(sigma[i, j])) for i, cls in enumerate(labels)
+            for j, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "class string, feature string, mean double, var double")
 
 
@@ -548,34 +597,46 @@ def train_dry_run(df: DataFrame, target: str) -> DataFrame:
                                            "feature string, position int, rows long")
 
 
-def score_head(model: PipelineModel, df: DataFrame, key: str, n: int = 20, target: str | None = None) -> DataFrame:
+def score_head(model: PipelineModel, df: DataFrame, key: str, n: int = 20) -> DataFrame:
     """First ``n`` rows by ``key`` with prediction and class probabilities (4 dp)."""
     head = df.orderBy(col_of(key)).limit(n)
-    out = score(model, head, target=target)
+    out = score(model, head)
     if "probability" in out.columns:
         out = out.withColumn("probability", F.transform("probability", lambda x: F.round(x, 4)))
     return out
 
 
-def evaluate_model(model: PipelineModel, df: DataFrame, target: str, task: str = "classification") -> DataFrame:
-    """Metrics of a fitted pipeline on a labelled table (the training label encoding is reused)."""
-    pred = model.transform(df.where(col_of(target).isNotNull()))
-    if task == "classification":
-        m = M.classification_metrics(pred, LABEL, "prediction")
-        n_cls = pred.select(LABEL).distinct().limit(3).count()
-        if n_cls == 2 and ("probability" in pred.columns or "rawPrediction" in pred.columns):
-            sc = "probability" if "probability" in pred.columns else "rawPrediction"
-            auc = M.auc_exact(pred.select(LABEL, vector_to_array(sc)[1].alias("_s")), LABEL, "_s", "1.0", 4)
-            return m.withColumn("auc", F.lit(auc.first()["auc"]))
-        return m
-    return M.regression_metrics(pred, LABEL, "prediction")
+def evaluate_model(model: PipelineModel, df: DataFrame, target: str) -> DataFrame:
+    """Metrics of a fitted pipeline on a labelled table, with the class numbers of its training."""
+    labels = classes_of(model)
+    known = nan_to_null(df, [target]).where(col_of(target).isNotNull())
+    pred = model.transform(with_label(known, target, labels))
+    if labels is None:
+        return M.regression_metrics(pred, LABEL, "prediction")
+    out = M.classification_metrics(pred, LABEL, "prediction")
+    auc = classification_scores(pred, len(labels)).get("auc")
+    return out if auc is None else out.withColumn("auc", F.lit(auc))
+
+
+def roc_by_class(model: PipelineModel, df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """One-vs-rest ROC: (``(class, threshold, fpr, tpr)``, ``(class, auc, n_pos, n_neg)``) for every class."""
+    labels = classes_of(model)
+    pred = model.transform(with_label(df.where(col_of(target).isNotNull()), target, labels))
+    pred = pred.select(LABEL, vector_to_array("probability").alias("_p")).persist(StorageLevel.MEMORY_AND_DISK)
+    points, areas = None, None
+    for i, name in enumerate(labels):
+        own = pred.select(LABEL, F.col("_p")[i].alias("_s"))
+        a = M.roc_points(own, LABEL, "_s", f"{float(i)}").select(F.lit(name).alias("class"), "*")
+        b = M.auc_exact(own, LABEL, "_s", f"{float(i)}", 4).select(F.lit(name).alias("class"), "*")
+        points, areas = (a, b) if points is None else (points.unionByName(a), areas.unionByName(b))
+    return points, areas
 
 
 def predictions_vs_actual(model: PipelineModel, df: DataFrame, target: str, key: str, sample: int | None = None,
                           seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Regression metrics and the (actual, predicted) points: all of them, or a hash sample of ``sample``."""
     from loomstat.operators.split import sample_n
-    pred = model.transform(df.where(col_of(target).isNotNull()))
+    pred = model.transform(with_label(nan_to_null(df).where(col_of(target).isNotNull()), target, None))
     pts = pred.select(col_of(key), F.col(LABEL).alias("actual"), F.col("prediction").alias("predicted"))
     pts = pts if sample is None else sample_n(pts, key, sample, seed)
     return M.regression_metrics(pred, LABEL, "prediction"), pts

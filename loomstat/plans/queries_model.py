@@ -129,20 +129,23 @@ def _q_cv(spark, sf):
 
 @register("compare_models")
 def _q_compare(spark, sf):
-    return TR.compare_models(_docs_labelled(spark, sf), "quality", "classification", ["lr", "nb", "dtc"],
-                             key="doc_id")
+    return TR.compare_models(_docs_labelled(spark, sf), "quality", "classification", key="doc_id")[0]
 
 
 @register("tune_grid")
 def _q_tune(spark, sf):
-    return TR.tune(_docs_labelled(spark, sf), "quality", "dtc", "classification", "grid",
-                   {"max_depth": [3, 5]}, cv=3, key="doc_id")
+    return TR.tune(_docs_labelled(spark, sf), "quality", "dtc", "classification", "grid", cv=3, key="doc_id").table
+
+
+@register("tune_random")
+def _q_tune_random(spark, sf):
+    return TR.tune(_docs_labelled(spark, sf), "quality", "lr", "classification", "random", cv=3, n_iter=3,
+                   key="doc_id").table
 
 
 @register("learn_curve")
 def _q_lc(spark, sf):
-    return TR.learning_curve(_docs_labelled(spark, sf), "quality", "nb", "classification", cv=3, key="doc_id",
-                             sizes=(0.5, 1.0))
+    return TR.learning_curve(_docs_labelled(spark, sf), "quality", "nb", "classification", cv=3, key="doc_id")
 
 
 @register("score_all")
@@ -158,7 +161,7 @@ def _q_score_json(spark, sf):
     schema = T.StructType([T.StructField("k", T.DoubleType())])
     train = ev.select("event_id", F.from_json("props", schema)["k"].alias("k"), "value")
     r = TR.train_model(train, "value", "lir", "regression", key="event_id")
-    scored = TR.score_json(r.model, ev.select("event_id", "props"), "props", schema, target="value")
+    scored = TR.score_json(r.model, ev.select("event_id", "props"), "props", schema)
     return scored.select("event_id", "k", F.round("prediction", 4).alias("prediction"))
 
 
@@ -266,7 +269,7 @@ def _q_dry(spark, sf):
 def _q_score_head(spark, sf):
     o = _orders(spark, sf)
     r = TR.train_model(o, "o_orderstatus", "nb", "classification", key="o_orderkey")
-    return TR.score_head(r.model, o.drop("o_orderstatus"), "o_orderkey", 20, target="o_orderstatus")
+    return TR.score_head(r.model, o.drop("o_orderstatus"), "o_orderkey", 20)
 
 
 @register("eval_model")
@@ -276,6 +279,19 @@ def _q_eval(spark, sf):
     return TR.evaluate_model(r.model, d, "quality")
 
 
+@register("train_confusion")
+def _q_confusion_of_training(spark, sf):
+    r = TR.train_model(_orders(spark, sf), "o_orderstatus", "nb", "classification", key="o_orderkey")
+    return r.extra["confusion"]
+
+
+@register("roc_by_class")
+def _q_roc_by_class(spark, sf):
+    o = _orders(spark, sf)
+    r = TR.train_model(o, "o_orderstatus", "nb", "classification", key="o_orderkey")
+    return TR.roc_by_class(r.model, o, "o_orderstatus")[1]
+
+
 @register("pred_actual")
 def _q_pred_actual(spark, sf):
     li = TBL(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")

@@ -66,8 +66,13 @@ def _q_csv_bad(spark, sf):
     c = T(spark, sf, "customer")
     line = F.concat_ws(",", "c_custkey", "c_name", "c_nationkey")
     line = F.when(F.col("c_nationkey") == 3, F.concat(line, F.lit(",extra"))).otherwise(line)
-    hdr = spark.createDataFrame([("c_custkey,c_name,c_nationkey",)], "value string")
-    hdr.union(c.select(line.alias("value"))).coalesce(1).write.text(path)
+    # every part file starts with the header, as a folder of CSV files does
+    parts = c.select(line.alias("value"), F.spark_partition_id().alias("_p"), F.lit(1).alias("_o"))
+    heads = parts.select("_p").distinct().select(F.lit("c_custkey,c_name,c_nationkey").alias("value"), "_p",
+                                                 F.lit(0).alias("_o"))
+    whole = parts.unionByName(heads).repartition("_p").sortWithinPartitions("_p", "_o")
+    whole.select("value", "_p").write.partitionBy("_p").text(path)
+    path = f"{path}/*"
     d = CSV.read_csv(spark, path)
     return d.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name",
                     F.col("c_nationkey").cast("int").alias("c_nationkey"))
@@ -124,22 +129,20 @@ def _q_model_save(spark, sf):
     path = scratch(spark, "model")
     save_model(spark, r.model, path, {"target": "o_orderstatus", **r.metrics})
     m, meta = load_model(spark, path)
-    return TR.prediction_distribution(TR.score(m, o.drop("o_orderstatus"), target="o_orderstatus"))
+    return TR.prediction_distribution(TR.score(m, o.drop("o_orderstatus")))
 
 
 @register("stream_score")
 def _q_stream(spark, sf):
     from loomstat.operators import train as TR
-    from loomstat.streaming.scoring import score_stream
+    from loomstat.streaming.scoring import score_stream, write_batches
     o = T(spark, sf, "orders").drop("o_orderdate")
     r = TR.train_model(o, "o_orderstatus", "dtc", "classification", key="o_orderkey")
     src = scratch(spark, "stream-src")
     o.drop("o_orderstatus").repartition(4).write.parquet(src)
     stream = spark.readStream.schema(o.drop("o_orderstatus").schema).parquet(src)
-    name = "scored_" + uuid.uuid4().hex[:8]
-    q = score_stream(r.model, stream, ["o_orderkey"], target="o_orderstatus") \
-        .writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream-ck")) \
-        .start()
+    out = scratch(spark, "stream-out")
+    q = write_batches(score_stream(r.model, stream, ["o_orderkey"]), out, scratch(spark, "stream-ck"))
     q.processAllAvailable()
     q.stop()
-    return spark.table(name).groupBy("prediction").agg(F.count(F.lit(1)).alias("cnt"))
+    return spark.read.parquet(out).groupBy("predicted_label").agg(F.count(F.lit(1)).alias("cnt"))

@@ -12,12 +12,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.operators.train import _with_target
 
-
-def score_stream(model: PipelineModel, stream: DataFrame, keep: list[str], target: str | None = None) -> DataFrame:
-    out = model.transform(_with_target(stream, target))
-    return out.select(*keep, "prediction")
+def score_stream(model: PipelineModel, stream: DataFrame, keep: list[str]) -> DataFrame:
+    out = model.transform(stream)
+    return out.select(*keep, "prediction", *[c for c in ("predicted_label",) if c in out.columns])
 
 
 def prediction_counts(scored: DataFrame, ts: str, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:

@@ -3,6 +3,8 @@ quality floors for the learners."""
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from loomstat.operators import anomaly as AN
 from loomstat.operators import cluster as CL
@@ -43,6 +45,15 @@ def test_anomaly_share_matches_contamination(spark):
         assert 15 <= len(flagged) <= 21 and len(flagged & set(range(380, 400))) >= 10
 
 
+def test_isolation_forest_does_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(3000, 3))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(3000), "vec": [list(map(float, r)) for r in X]}))
+    runs = [AN.isolation_forest(df.repartition(n, "id") if n > 1 else df.coalesce(1), "id", n_trees=20).orderBy("id").collect()
+            for n in (1, 7)]
+    assert runs[0] == runs[1]
+
+
 def test_classifier_quality_floor(spark):
     rng = np.random.default_rng(2)
     n = 400
@@ -99,13 +110,83 @@ def test_logistic_penalty_matches_objective(spark):
     assert np.abs(grad_w).max() < 1e-4 and abs(grad_b) < 1e-4
 
 
-def test_high_cardinality_text_is_hash_coded(spark, monkeypatch):
-    monkeypatch.setattr(TR, "MAX_INDEXED_LABELS", 10)
+CODINGS = {"text": ("no", "yes"), "boolean": (False, True), "-1,1": (-1, 1), "1,2": (1, 2), "0,2": (0.0, 2.0),
+           "9,10": (9, 10)}
+
+
+@pytest.mark.parametrize("model", TR.CLASSIFIERS)
+def test_every_label_coding_trains_every_classifier(spark, model):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    side = (x[:, 0] + 0.3 * x[:, 1] > 0).astype(int)
+    codings = CODINGS if model == "lr" else {k: CODINGS[k] for k in (("boolean", "1,2") if model == "nb" else ("0,2",))}
+    for name, classes in codings.items():
+        df = spark.createDataFrame([(i, float(a), float(b), classes[s]) for i, ((a, b), s) in enumerate(zip(x, side))],
+                                   ["id", "a", "b", "y"])
+        params = {"n_estimators": 5} if model in ("rf", "xgb") else {}
+        r = TR.train_model(df, "y", model, key="id", class_weight="balanced", **params)
+        assert r.metrics["accuracy"] > 0.7 and r.metrics["auc"] > 0.75, (model, name, r.metrics)
+        assert r.plan.labels == TR.class_names(df, "y") and len(r.plan.labels) == 2
+        if "probability" in r.predictions.columns:
+            assert len(r.predictions.first()["probability"]) == 2
+        named = TR.score(r.model, df.drop("y")).first()["predicted_label"]
+        assert named in r.plan.labels
+        assert r.extra["confusion"].agg({"cnt": "sum"}).first()[0] == r.metrics["n_test"]
+
+
+def test_number_classes_are_in_number_order(spark):
+    df = spark.createDataFrame([(10,), (9,), (10,), (-1,)], ["y"])
+    assert TR.class_names(df, "y") == ["-1", "9", "10"]
+
+
+def test_three_classes_and_one_vs_rest_roc(spark):
+    rng = np.random.default_rng(5)
+    k = rng.integers(0, 3, 300)
+    x = rng.normal(size=300) + 3 * k
+    df = spark.createDataFrame([(i, float(v), f"c{c}") for i, (v, c) in enumerate(zip(x, k))], ["id", "x", "y"])
+    for model in ("lr", "svm", "xgb"):
+        assert TR.train_model(df, "y", model, key="id").metrics["accuracy"] > 0.75
+    r = TR.train_model(df, "y", "nb", key="id")
+    points, areas = TR.roc_by_class(r.model, df, "y")
+    p = np.stack(TR.score(r.model, df).orderBy("id").toPandas()["probability"].to_numpy())
+    for a in areas.collect():
+        c = int(a["class"][1])
+        own, rest = p[k == c, c], p[k != c, c]
+        want = ((own[:, None] > rest).mean() + 0.5 * (own[:, None] == rest).mean())
+        assert abs(a["auc"] - want) < 1e-3
+    assert points.where("fpr = 1 AND tpr = 1").select("class").distinct().count() == 3
+
+
+def test_text_features_and_all_models_survive_saving(spark, tmp_path):
+    from loomstat.sources.models import load_model, save_model
     n = 200
     df = spark.createDataFrame(pd.DataFrame({"id": range(n), "name": [f"n{i}" for i in range(n)],
-                                             "grp": [("a", "b")[i % 2] for i in range(n)],
-                                             "y": [i % 2 for i in range(n)]}))
-    plan = TR.plan_features(df, "y", ["name", "grp"])
-    assert plan.hashed == ["name"] and plan.text == ["grp"]
-    r = TR.train_model(df, "y", "dtc", key="id")
-    assert r.metrics["accuracy"] > 0.9  # grp carries the label
+                                             "grp": [("a", "b", None)[i % 3] for i in range(n)],
+                                             "x": [float(i % 7) for i in range(n)],
+                                             "y": ["no" if i % 3 else "yes" for i in range(n)]}))
+    for model in ("dtc", "svm", "knn"):
+        r = TR.train_model(df.drop("name") if model != "dtc" else df, "y", model, key="id")
+        assert r.metrics["accuracy"] > 0.9, model
+        save_model(spark, r.model, f"{tmp_path}/{model}", r.metrics)
+        again, meta = load_model(spark, f"{tmp_path}/{model}")
+        assert meta["accuracy"] == r.metrics["accuracy"]
+        rows = [sorted((x["id"], x["predicted_label"]) for x in TR.score(m, df.drop("y")).collect())
+                for m in (r.model, again)]
+        assert rows[0] == rows[1] and len(rows[0]) == n
+        unseen = df.limit(1).drop("y").withColumn("grp", F.lit("never seen"))
+        assert TR.score(again, unseen).count() == 1
+
+
+def test_search_returns_the_best_model(spark):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-3, 3, 200)
+    df = spark.createDataFrame([(i, float(v), "in" if abs(v) < 1.5 else "out") for i, v in enumerate(x)],
+                               ["id", "x", "y"])
+    found = TR.tune(df, "y", "dtc", grid={"max_depth": [1, 6]}, cv=3, key="id")
+    assert found.best_params == {"max_depth": 6} and found.table.first()["params"] == "{'max_depth': 6}"
+    assert TR.evaluate_model(found.best_model, df, "y").first()["accuracy"] > 0.95
+    table, best = TR.compare_models(df, "y", models=["lr", "dtc", "nope"], key="id")
+    rows = table.orderBy("rank").collect()
+    assert [r["model"] for r in rows] == ["dtc", "lr", "nope"] and rows[2]["status"] == "failed"
+    assert best.metrics["model"] == "dtc"
+    assert TR.importance_report(best)[0][0][0] == "x"

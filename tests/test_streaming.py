@@ -18,7 +18,7 @@ def test_stream_scoring_counts_and_sink(spark, sf):
     src = ev.drop("event_type", "props")
     src.repartition(3).write.parquet(f"{base}/src")
     stream = spark.readStream.schema(src.schema).parquet(f"{base}/src")
-    scored = score_stream(r.model, stream, ["event_id", "ts"], target="event_type")
+    scored = score_stream(r.model, stream, ["event_id", "ts"])
 
     name = "s_" + uuid.uuid4().hex[:8]
     q = scored.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{base}/ck1").start()
