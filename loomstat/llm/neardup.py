@@ -10,20 +10,20 @@ probability above 0.93, and of one of four trees above 0.9999.
 Documents with equal sets are one class from the start, so copies cost nothing
 further.  Then, on classes, with components joined up after every step:
 
-1. in every node all members meet the node's pivot (its smallest member);
-2. in nodes that still hold several components the members meet ``PIVOTS`` more
-   pivots, drawn by a hash for each node: chains of copies of copies close up;
-3. nodes that still hold several components are compared exhaustively across the
-   components when they have at most ``SMALL`` members; larger ones branch
-   ``DEEPER`` levels further and go through steps 2 and 3 again;
-4. nodes that are still large after ``MAX_ROUNDS`` rounds are compared across
-   components all the same, so no node is left out.
-
-So a group of n near copies costs n comparisons, not n squared.  Two members are
-compared on full sets (exact intersection) unless their sizes rule a link out or
-their sketches do: a sketch holds one bit of each of 256 minwise hashes, and a pair
-at the threshold differs in 25.6 +- 4.8 of them; ``MAX_DIFFERENT`` lies five standard
-deviations above.
+1. in a node of at most ``SMALL`` members all are compared by sketch, and the pairs
+   of a maximum spanning forest over those that may be linked are confirmed on full
+   sets (a group of n near copies costs n confirmations, not n squared);
+2. nodes that still hold several components give every pair across components that
+   may be linked, each pair once, to be confirmed as well;
+3. in larger nodes the members meet ``PIVOTS`` pivots first; those that still hold
+   several components branch one level deeper and go through the steps again;
+4. nodes that are still large after ``MAX_ROUNDS`` levels are cut into blocks, and all
+   pairs of blocks are compared, so no node is left out.
+
+Links are confirmed by exact intersection of full sets.  Before that a pair is ruled
+out only when its sizes or its sketches do so: a sketch holds two bits of each of
+1024 minwise hashes; a pair at the threshold differs in 154 +- 11.4 of them, and
+``MAX_DIFFERENT`` lies 4.5 standard deviations above.
 
 Edge cases: a document without words (or with null text) has an empty set and is
 linked with nothing; with fewer than 4 words the whole sequence is its one
@@ -36,11 +36,12 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import materialize, table
@@ -50,10 +51,10 @@ from loomstat.llm.kernels import MIX, WordHashes, mix64, rolled, utf8
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 4, 5  # link: DENOMINATOR * |A & B| >= NUMERATOR * |A | B|
 TREES, BRANCH, START_DEPTH = 4, 2, 2
-DEEPER, PIVOTS = 2, 4
-SMALL = 64
-MAX_ROUNDS = 4
-SKETCH, MAX_DIFFERENT = 256, 50
+PIVOTS = 3
+SMALL = 2_000
+MAX_ROUNDS = 6
+SKETCH, MAX_DIFFERENT = 1024, 205
 #: Up to this many ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -90,19 +91,34 @@ def walk(tokens: np.ndarray, path: int, depth: int) -> list[int]:
     return leaves
 
 
-_FLIPS, _FACTORS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * MIX).reshape(2, SKETCH)
-_FACTORS = _FACTORS | np.uint64(1)
-
-
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """One bit of each of ``SKETCH`` minwise hashes, as 64-bit words."""
-    low = np.full(SKETCH, np.uint64(_MASK))
-    for at in range(0, len(tokens), 4096):
-        part = tokens[at:at + 4096]
-        for k in range(0, SKETCH, 32):
-            h = (part[None, :] ^ _FLIPS[k:k + 32, None]) * _FACTORS[k:k + 32, None]
-            np.minimum(low[k:k + 32], h.min(1), out=low[k:k + 32])
-    return np.packbits((mix64(low) & np.uint64(1)).astype(np.bool_)).view(np.int64)
+_FLIPS, _FACTORS = (mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * MIX) >> np.uint64(32)).astype(
+    np.uint32).reshape(2, SKETCH)
+_FACTORS = _FACTORS | np.uint32(1)
+_LOW_BITS = np.uint64(0x5555555555555555)
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Two bits of each of ``SKETCH`` minwise hashes."""
+    t, low = (tokens >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(t), 4096):
+        part = t[at:at + 4096]
+        for k in range(0, SKETCH, 64):
+            h = part[None, :] ^ _FLIPS[k:k + 64, None]
+            h *= _FACTORS[k:k + 64, None]
+            np.minimum(low[k:k + 64], h.min(1), out=low[k:k + 64])
+    two = (mix64(low.astype(np.uint64) * MIX) & np.uint64(3)).astype(np.uint8)
+    return np.packbits(np.stack([two >> 1, two & 1], 1).ravel()).tobytes()
+
+
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of minwise hashes in which sketches (rows of 64-bit words) differ, for all pairs of rows."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        d = a[:, k, None] ^ b[None, :, k]
+        d |= d >> np.uint64(1)
+        d &= _LOW_BITS
+        out += np.bitwise_count(d)
+    return out
 
 
 _ROOTS = [int(x) for x in mix64(np.arange(1, TREES + 1, dtype=np.uint64) * MIX)]
@@ -131,39 +147,99 @@ def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(texts), 200):
             with np.errstate(over="ignore"):
                 sets = [shingle_set(t, hashes) for t in texts[lo:lo + 200]]
-                bits = [sketch(s) for s in sets]
+                bits = [sketch(s) if len(s) else b"" for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array(bits, pa.list_(pa.int64())),
+                 pa.array(bits, pa.binary()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "sketch", "tokens"])
 
 
 def _deeper_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, cls, rep, n, sketch, tokens) -> the paths that the set follows below ``path``."""
+    """(path, cls, rep, n, sketch, paths, tokens) -> the members of the nodes below ``path``."""
     for batch in batches:
         at, children = [], []
         with np.errstate(over="ignore"):
             for i, path in enumerate(batch.column(0).to_pylist()):
-                tokens = batch.column(5)[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                found = walk(tokens, path & _MASK, DEEPER)
+                tokens = batch.column(6)[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                found = _branch(tokens, path & _MASK)
                 at += [i] * len(found)
                 children += found
         rows = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.array(children, np.uint64).view(np.int64), pa.int64()),
-             *(batch.column(k).take(rows) for k in range(1, 5))], names=["path", "cls", "rep", "n", "sketch"])
-
-
-_MEMBER = "path long, cls binary, rep long, n long, sketch array<long>"
-
-
-def _may_link(n: str, a_n: str, bits: str, a_bits: str) -> Column:
-    """Whether sizes and sketches leave a link possible."""
-    different = F.lit(0)
-    for k in range(SKETCH // 64):
-        different = different + F.bit_count(F.col(bits)[k].bitwiseXOR(F.col(a_bits)[k]))
-    sizes = F.least(n, a_n) * DENOMINATOR >= F.greatest(n, a_n) * NUMERATOR
-    return sizes & (different <= MAX_DIFFERENT)
+             *(batch.column(k).take(rows) for k in range(1, 6))], names=["path", "cls", "rep", "n", "sketch", "paths"])
+
+
+_MEMBER = "path long, cls binary, rep long, n long, sketch binary, paths array<long>"
+_PAIR = "a_cls binary, a_rep long, b_cls binary, b_rep long"
+
+
+def _forest(different: np.ndarray, fits: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest over the pairs that fit (Prim, a row at a time)."""
+    cost = np.where(fits, different, np.uint16(0xFFFF))
+    best, origin = np.full(len(cost), 0xFFFF, np.uint16), np.zeros(len(cost), np.int64)
+    out, todo = [], np.ones(len(cost), np.bool_)
+    at = 0
+    while True:
+        todo[at] = False
+        closer = todo & (cost[at] < best)
+        best[closer], origin[closer] = cost[at][closer], at
+        rest = np.flatnonzero(todo)
+        if not len(rest):
+            return out
+        at = int(rest[np.argmin(best[rest])])
+        if best[at] != 0xFFFF:
+            out.append((int(origin[at]), at))
+
+
+def _node_task(every: bool, once: bool):
+    """Candidate pairs of the nodes in a partition sorted by path: a spanning forest of each node, or ``every`` pair
+    across its components.  With ``once`` a pair comes from the smallest of the paths that its members share."""
+    def node(rows: pa.Table) -> list[tuple[int, int]]:
+        n = rows.column("n").to_numpy()
+        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+        component = rows.column("component").to_numpy()
+        different = differences(bits, bits)
+        fits = (different <= MAX_DIFFERENT) & (component[:, None] != component[None, :])
+        fits &= np.minimum.outer(n, n) * DENOMINATOR >= np.maximum.outer(n, n) * NUMERATOR
+        if not every:
+            return _forest(different, fits)
+        pairs = list(zip(*(x.tolist() for x in np.nonzero(np.triu(fits, 1)))))
+        if once and pairs:
+            path, paths = rows.column("path")[0].as_py(), [set(x) for x in rows.column("paths").to_pylist()]
+            pairs = [(a, b) for a, b in pairs if min(paths[a] & paths[b]) == path]
+        return pairs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None or not len(held):
+                continue
+            path = held.column("path").to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
+            done = len(edge) - 1 if batch is None else len(edge) - 2  # the last node may go on in the next batch
+            left, right = [], []
+            for lo, hi in zip(edge[:done].tolist(), edge[1:done + 1].tolist()):
+                for a, b in node(held.slice(lo, hi - lo)):
+                    left.append(lo + a)
+                    right.append(lo + b)
+            ends = [held.take(pa.array(x, pa.int64())).select(["cls", "rep"]).combine_chunks() for x in (left, right)]
+            held = held.slice(int(edge[done]))
+            if left:
+                yield pa.RecordBatch.from_arrays(
+                    [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for t in ends for c in t.columns],
+                    names=["a_cls", "a_rep", "b_cls", "b_rep"])
+    return run
+
+
+def _candidates(members: DataFrame, every: bool = False, once: bool = False) -> DataFrame:
+    """Distinct candidate pairs of nodes of bounded size."""
+    rows = members.select("path", "cls", "rep", "n", "sketch", "paths", "component")
+    rows = rows.repartition("path").sortWithinPartitions("path")
+    return rows.mapInArrow(_node_task(every, once), _PAIR).distinct()
 
 
 def _in_company(members: DataFrame) -> DataFrame:
@@ -183,32 +259,28 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                                                                          F.col("b_rep").alias("b"))
 
 
-def _side(members: DataFrame, tag: str) -> DataFrame:
-    return members.select("path", *[F.col(c).alias(f"{tag}_{c}") for c in ("cls", "rep", "n", "sketch", "component")])
-
-
-def _met(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct pairs of two sides that share a node, lie in different components and may be linked."""
-    met = a.join(b, (a["path"] == b["path"]) & (F.col("a_component") != F.col("b_component"))
-                 & _may_link("a_n", "b_n", "a_sketch", "b_sketch"))
-    low = F.col("a_cls") < F.col("b_cls")
-    return met.select(*[F.when(low, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"a_{c}") for c in ("cls", "rep")],
-                      *[F.when(low, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"b_{c}")
-                        for c in ("cls", "rep")]).distinct()
-
-
-def _with_pivots(members: DataFrame, keys: list[Column]) -> DataFrame:
-    """Pairs of members with their node's pivots: for each key the member with the smallest one."""
-    row = F.struct("cls", "rep", "n", "sketch", "component")
+def _with_pivots(members: DataFrame, level: int) -> DataFrame:
+    """Distinct pairs of members with their node's pivots: its smallest member and some drawn by a hash."""
+    keys = [F.col("rep"), *[F.xxhash64("cls", "path", F.lit(level * PIVOTS + i)) for i in range(1, PIVOTS)]]
+    row = F.struct("cls", "rep", "n")
     best = members.groupBy("path").agg(*[F.min(F.struct(k.alias("k"), row.alias("m"))).alias(f"p{i}")
                                          for i, k in enumerate(keys)])
-    pivots = best.select("path", F.explode(F.array(*[F.col(f"p{i}.m") for i in range(len(keys))])).alias("m"))
-    return _met(_side(members, "b"), _side(pivots.select("path", "m.*").distinct(), "a"))
+    pivots = best.select("path", F.explode(F.array(*[F.col(f"p{i}.m") for i in range(len(keys))])).alias("p"))
+    met = members.join(pivots, "path").filter(
+        (F.col("cls") != F.col("p.cls"))
+        & (F.least("n", "p.n") * DENOMINATOR >= F.greatest("n", "p.n") * NUMERATOR))
+    return met.select(F.col("p.cls").alias("a_cls"), F.col("p.rep").alias("a_rep"), F.col("cls").alias("b_cls"),
+                      F.col("rep").alias("b_rep")).distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of one node in different components."""
-    return _met(_side(members, "a"), _side(members, "b"))
+def _blocks(members: DataFrame) -> DataFrame:
+    """Large nodes as nodes of about ``SMALL`` members: one for each pair of blocks."""
+    k = F.ceil(F.col("size") * 3 / SMALL).cast("int")
+    own = F.pmod(F.xxhash64("cls"), k).cast("int")
+    other = F.explode(F.sequence(F.lit(0), k - 1)).alias("other")
+    rows = members.select("*", own.alias("own"), other)
+    return rows.withColumn("path", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))).drop(
+        "own", "other")
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,31 +313,33 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         links = materialize(live.select("doc_id", "cls").join(twins, "doc_id").join(classes.select("cls", "rep"), "cls")
                             .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
 
-    found = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "cls", "rep", "n")
+    found = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "cls", "rep", "n", "paths")
     members = materialize(_in_company(found), "nodes")
     sets = _texts_of(docs, members).select("text").mapInArrow(
-        _set_task, "cls binary, sketch array<long>, tokens array<long>")
+        _set_task, "cls binary, sketch binary, tokens array<long>")
     sets = materialize(sets.dropDuplicates(["cls"]) if repeated else sets, "sets")
     members = materialize(members.join(sets.select("cls", "sketch"), "cls").withColumn("component", F.col("rep")),
                           "nodes")
-    met = _with_pivots(members, [F.col("rep")])
-    links = materialize(links.unionByName(_confirm(met, sets)), "links")
     for level in range(MAX_ROUNDS + 1):
-        members = materialize(_mixed(members, components(links)), "nodes")
-        if members.isEmpty():
-            break
-        drawn = [F.xxhash64("cls", "path", F.lit(level * PIVOTS + i)) for i in range(PIVOTS)]
-        links = materialize(links.unionByName(_confirm(_with_pivots(members, drawn), sets)), "links")
-        members = materialize(_mixed(members, components(links)), "nodes")
-        last = level == MAX_ROUNDS
-        across = _across(members if last else members.filter(F.col("size") <= SMALL))
-        links = materialize(links.unionByName(_confirm(across, sets)), "links")
-        large = members.filter(F.col("size") > SMALL)
-        if last or large.isEmpty():
+        small, large = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
+        pairs, any_large = _candidates(small), not large.isEmpty()
+        if any_large:
+            pairs = pairs.unionByName(_with_pivots(large, level))
+        links = materialize(links.unionByName(_confirm(pairs, sets)), "links")
+        linked = components(links)
+        pairs = _candidates(_mixed(small, linked), every=True, once=level == 0)
+        if any_large:
+            large = materialize(_mixed(large, linked), "nodes")
+            any_large = not large.isEmpty()
+        if any_large and level == MAX_ROUNDS:
+            pairs = pairs.unionByName(_candidates(_blocks(large), every=True))
+        links = materialize(links.unionByName(_confirm(pairs, sets)), "links")
+        if not any_large:
             break
-        children = large.select("path", "cls", "rep", "n", "sketch").join(sets.select("cls", "tokens"), "cls").select(
-            "path", "cls", "rep", "n", "sketch", "tokens").mapInArrow(_deeper_task, _MEMBER)
-        members = _in_company(materialize(children, "nodes"))
+        children = large.drop("component", "size").join(sets.select("cls", "tokens"), "cls").select(
+            "path", "cls", "rep", "n", "sketch", "paths", "tokens").mapInArrow(_deeper_task, _MEMBER)
+        members = _mixed(_in_company(materialize(children, "nodes")), linked)
+        members = materialize(members, "nodes")
     linked = components(links)
 
     named = classes.select("cls", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from loomstat.functions.exprs import col_of, numeric_columns
 from loomstat.functions.ordered import dense_positions
 from loomstat.operators.clean import scale
-from loomstat.operators.knn import assign_cells, knn_join, range_join, range_sums
+from loomstat.operators.knn import assign_cells, knn_join, range_forest, range_min, range_sums
 from loomstat.operators.split import sample_n
 from loomstat.session import cut_lineage
 
@@ -115,29 +115,29 @@ def best_k(mat: DataFrame, key: str, max_k: int = 10, seed: int = 42) -> DataFra
 
 
 # ------------------------------------------------------------------ DBSCAN
-def range_pairs(points: DataFrame, key: str, eps: float) -> DataFrame:
-    """All ``(a, b, dist)`` with ``dist ≤ eps`` (self pairs included), exact (pivot-cell pruned block join)."""
-    return range_join(points, key, eps)
-
-
-def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5, max_rounds: int = 1000) -> DataFrame:
+def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5) -> DataFrame:
     """``(key, cluster)``; −1 is noise.
 
     Core points have ≥ ``min_samples`` neighbours within ``eps`` (itself
-    included).  Clusters are connected components of core points, found by
-    repeated min-label propagation over core–core edges plus pointer jumping
-    (``lab ← min(lab, lab(lab))``, so long chains converge in few rounds; each
-    round is cut with a reliable checkpoint); a border point joins the adjacent cluster with the
-    smallest label; clusters are numbered by their smallest key.
+    included).  Degrees are partial counts of bounded blocks; core points are
+    joined up through each block's spanning forest, never through a list of all
+    close pairs, by min-label propagation with pointer jumping until nothing
+    changes (each round is cut with a reliable checkpoint); a border point joins the
+    adjacent cluster with the smallest label; clusters are numbered by their
+    smallest key.
     """
-    pairs = cut_lineage(range_pairs(mat, key, eps))
-    deg = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("v"))
-    edges = pairs.join(core.withColumnRenamed("v", "a"), "a").join(core.withColumnRenamed("v", "b"), "b") \
-                 .select("a", "b")
-    edges = cut_lineage(edges)
+    points = mat.select(F.col(key).alias("v"), "vec")
+    state = assign_cells(points.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
+    deg = range_sums(points, "v", state, eps, sums=False)
+    marked = cut_lineage(points.join(deg, "v", "left").withColumn("core", F.coalesce(F.col("n") >= min_samples, F.lit(False))))
+    core = marked.where("core").select("v", "vec")
+    if core.isEmpty():
+        return mat.select(key, F.lit(-1).alias("cluster"))
+    core_cells = assign_cells(core.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
+    links = range_forest(core, "v", core_cells, eps)
+    edges = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = core.select("v", F.col("v").alias("lab"))
-    for _ in range(max_rounds):
+    while True:
         prop = edges.join(lab.withColumnRenamed("v", "b").withColumnRenamed("lab", "lb"), "b") \
                     .groupBy("a").agg(F.min("lb").alias("m"))
         new = lab.join(prop.withColumnRenamed("a", "v"), "v", "left") \
@@ -146,14 +146,14 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5, max
         hop = new.select(F.col("v").alias("lab"), F.col("lab").alias("lab2"))
         new = new.join(hop, "lab", "left").select("v", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
         new = cut_lineage(new)
-        changed = new.join(lab.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).limit(1).count()
+        changed = not new.join(lab.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).isEmpty()
         lab = new
         if not changed:
             break
-    # border points: non-core with a core neighbour take the smallest adjacent label
-    border = pairs.join(lab.withColumnRenamed("v", "b"), "b").join(core.withColumnRenamed("v", "a"), "a", "left_anti") \
-                  .groupBy("a").agg(F.min("lab").alias("lab")).withColumnRenamed("a", "v")
-    all_lab = lab.unionByName(border)
+    labelled = core.join(lab, "v").select(F.col("v").alias("rid"), "vec", "lab")
+    near = range_min(marked.where("NOT core").select("v", "vec"), "v",
+                     assign_cells(labelled, "rid", "vec", extra=["lab"]), eps, "lab")
+    all_lab = lab.unionByName(near.select("v", F.col("m").alias("lab")))
     ids, _n = dense_positions(all_lab.select("lab"), "lab")
     named = all_lab.join(ids, "lab").select(F.col("v").alias(key), F.col("pos").cast("int").alias("cluster"))
     return mat.select(key).join(named, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))

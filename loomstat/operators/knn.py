@@ -1,17 +1,19 @@
-"""Exact k-nearest-neighbour join and the k-NN classifier.
+"""Exact k-nearest-neighbour and range joins, and the k-NN classifier.
 
 No all-pairs join: reference points are grouped into cells around pivots
-(a hash-ordered sample of the references).  For a query ``q`` every point of
-cell ``c`` lies within ``d(q, p_c) + r_c`` (``r_c`` = cell radius), which gives
-an upper bound ``u_q`` on its k-th neighbour distance; only cells with
-``d(q, p_c) − r_c ≤ u_q`` can hold a neighbour (triangle inequality).  So the
-result is exact while each query meets only its candidate cells.
-
-Pivot assignment and the per-query bound are numpy inside ``mapInPandas``
-(Spark partitions the rows; pivots and per-cell radii are bounded tables).
-Candidate queries meet the references of a cell in a ``cogroup`` keyed by
-(cell, reference chunk, query chunk): every group is bounded in size, the
-distances are numpy blocks, and only each block's top-k leaves the task.
+(a hash-ordered sample of the references, sqrt(n) of them).  A k-NN query works in
+two phases.  First it meets the references of its own cell, which gives a true
+bound ``u_q`` on its k-th neighbour distance; then only the cells with
+``d(q, p_c) - r_c <= u_q`` (``r_c`` = cell radius), the others of which cannot hold a
+neighbour by the triangle inequality.  In few dimensions that is a handful of cells; in
+many dimensions distances concentrate, cells overlap and an exact search has to
+look at most of them - ``mean_cells`` reports how many.
+
+Pivot distances are matrix products in blocks of bounded size inside
+``mapInPandas``.  Candidate queries meet the references of a cell in a ``cogroup``
+keyed by (cell, reference chunk, query chunk): every group is bounded, distances
+are matrix products (the ones that decide are recomputed exactly), and only each
+block's result leaves the task.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from loomstat.operators.split import hash_order
 from loomstat.operators.stages import Stored, load_json, store_json
 from loomstat.session import cut_lineage
 
-MAX_PIVOTS = 1024
+#: Numbers in the largest distance array of a task (64 MB of doubles).
+MAX_BLOCK = 8_000_000
 
 
 def euclid(a: Column | str, b: Column | str) -> Column:
@@ -44,27 +47,43 @@ def _pivots(refs: DataFrame, rid: str, vec: str, m: int) -> np.ndarray:
     return np.array([r[vec] for r in rows], dtype=float)
 
 
-def assign_cells(refs: DataFrame, rid: str = "rid", vec: str = "vec", n_pivots: int | None = None):
-    """Cell of every reference point (its nearest pivot), frozen by a reliable
-    checkpoint, plus the pivots and per-cell counts and radii (bounded arrays)."""
+def _distances(X: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of X to all rows of P, by a matrix product."""
+    d = (X * X).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (X @ P.T)
+    return np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+
+
+def _slack(X: np.ndarray, P: np.ndarray) -> float:
+    """Bound on the error of a matrix-product distance."""
+    return 4e-7 * (1.0 + float(np.sqrt(max((X * X).sum(1).max(initial=0), (P * P).sum(1).max(initial=0)))))
+
+
+def _by_rows(n: int, width: int):
+    """Slices of rows whose distance array stays below ``MAX_BLOCK``."""
+    step = max(1, MAX_BLOCK // max(width, 1))
+    return [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+
+def assign_cells(refs: DataFrame, rid: str = "rid", vec: str = "vec", n_pivots: int | None = None,
+                 extra: list[str] | None = None):
+    """Cell of every reference point (its nearest pivot), frozen by a reliable checkpoint, plus the pivots and
+    per-cell counts and radii (arrays of sqrt(n) entries).  ``extra`` columns are carried along."""
     n_ref = refs.count()
-    m = n_pivots or max(1, min(MAX_PIVOTS, int(math.sqrt(max(n_ref, 1)))))
+    m = n_pivots or max(1, int(math.sqrt(max(n_ref, 1))))
     P = _pivots(refs, rid, vec, m)
     m = len(P)
-    rid_type = refs.schema[rid].dataType
+    extra = extra or []
 
     def assign(it):
         for pdf in it:
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf[vec].to_numpy())
-            d = np.sqrt(((X[:, None, :] - P[None, :, :]) ** 2).sum(-1))
-            c = d.argmin(1)
-            yield pd.DataFrame({rid: pdf[rid], vec: pdf[vec], "cell": c.astype("int32"),
-                                "dpiv": d[np.arange(len(c)), c]})
-    ref_schema = T.StructType([T.StructField(rid, rid_type), T.StructField(vec, T.ArrayType(T.DoubleType())),
+            c = np.concatenate([_distances(X[s], P).argmin(1) for s in _by_rows(len(X), m)])
+            yield pdf.assign(cell=c.astype("int32"), dpiv=np.sqrt(((X - P[c]) ** 2).sum(1)))
+    ref_schema = T.StructType([refs.schema[rid], refs.schema[vec], *[refs.schema[e] for e in extra],
                                T.StructField("cell", T.IntegerType()), T.StructField("dpiv", T.DoubleType())])
-    cells = cut_lineage(refs.select(rid, vec).mapInPandas(assign, ref_schema))
+    cells = cut_lineage(refs.select(rid, vec, *extra).mapInPandas(assign, ref_schema))
     stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dpiv").alias("r")).collect()
     cnt = np.zeros(m)
     rad = np.zeros(m)
@@ -75,17 +94,17 @@ def assign_cells(refs: DataFrame, rid: str = "rid", vec: str = "vec", n_pivots:
 
 REF_CHUNK = 2048     # reference rows per block
 QUERY_CHUNK = 2048   # query rows per block
-SUB_BLOCK = 32       # queries per numpy distance step inside a block
 
 
-def _block_join(cand: DataFrame, cells: DataFrame, cnt: np.ndarray, qid: str, emit, out_schema: T.StructType):
+def _block_join(cand: DataFrame, cells: DataFrame, cnt: np.ndarray, qid: str, emit, out_schema: T.StructType,
+                extra: list[str] | None = None):
     """Cogroup candidate queries with the reference rows of their cells.
 
     ``cand``: ``(qid, cell, _u, _qv)``; ``cells``: ``(rid, vec, cell)``.  A cell
     with many references or many queries is cut into fixed-size chunks on
     both sides (references replicated over query chunks and vice versa), so
-    no group exceeds REF_CHUNK × QUERY_CHUNK rows however hot a cell is.
-    ``emit(qids, Q, U, rids, R)`` returns the rows of one block.
+    no group exceeds REF_CHUNK x QUERY_CHUNK rows however hot a cell is.
+    ``emit(queries, Q, references, R)`` returns the rows of one block.
     """
     cand = cut_lineage(cand)
     qcnt = np.zeros(len(cnt))
@@ -99,134 +118,196 @@ def _block_join(cand: DataFrame, cells: DataFrame, cnt: np.ndarray, qid: str, em
     left = cand.select(qid, "cell", "_u", "_qv",
                        F.explode(F.sequence(F.lit(0), sr_arr[c] - 1)).alias("_rc"),
                        F.pmod(F.xxhash64(F.col(qid)), sq_arr[c]).cast("int").alias("_qc"))
-    right = cells.select(F.col("rid").alias("_rid"), F.col("vec").alias("_rv"), "cell",
+    right = cells.select(F.col("rid").alias("_rid"), F.col("vec").alias("_rv"), "cell", *(extra or []),
                          F.pmod(F.xxhash64(F.col("rid")), sr_arr[c]).cast("int").alias("_rc"),
                          F.explode(F.sequence(F.lit(0), sq_arr[c] - 1)).alias("_qc"))
 
     def block(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({f.name: [] for f in out_schema.fields})
-        Q = np.stack(qpdf["_qv"].to_numpy())
-        R = np.stack(rpdf["_rv"].to_numpy())
-        return emit(qpdf[qid].to_numpy(), Q, qpdf["_u"].to_numpy(), rpdf["_rid"].to_numpy(), R)
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_schema.fields})
+        return emit(qpdf, np.stack(qpdf["_qv"].to_numpy()), rpdf, np.stack(rpdf["_rv"].to_numpy()))
     return left.groupBy("cell", "_rc", "_qc").cogroup(right.groupBy("cell", "_rc", "_qc")) \
                .applyInPandas(block, out_schema)
 
 
-def _candidates(queries: DataFrame, qid: str, vec: str, P: np.ndarray, cnt: np.ndarray, rad: np.ndarray,
-                need: int | None, eps: float | None) -> DataFrame:
-    """``(qid, cell, _u, _qv)``: cells that can hold a neighbour of each query.
+def _candidates(queries: DataFrame, qid: str, vec: str, P: np.ndarray, cnt: np.ndarray, rad: np.ndarray, own: bool,
+                eps: float | None = None) -> DataFrame:
+    """``(qid, cell, _u, _qv)``: cells that a query has to look at.
 
-    k-NN (``need``): ``_u`` is the distance within which ``need`` references
-    are guaranteed (sum of cell counts ordered by ``d + r``); range (``eps``):
-    ``_u = eps``.  Cells with ``d(q, p_c) − r_c ≤ _u`` are kept."""
+    ``own``: its nearest cell alone, without a bound.  Otherwise the cells with ``d(q, p_c) - r_c <= _u``, where ``_u``
+    is ``eps`` or the query's column ``_bound`` (null: unbounded), and, after a first phase, not its nearest cell."""
     m = len(P)
+    second = eps is None and not own
+    live = cnt > 0
 
     def cand(it):
         for pdf in it:
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf[vec].to_numpy())
-            d = np.sqrt(((X[:, None, :] - P[None, :, :]) ** 2).sum(-1))
-            if eps is None:
-                ub = d + rad[None, :]
-                order = np.argsort(ub, axis=1, kind="stable")
-                csum = np.cumsum(cnt[order], axis=1)
-                j = np.minimum((csum < need).sum(1), m - 1)
-                u = ub[np.arange(len(X)), order[np.arange(len(X)), j]]
-            else:
-                u = np.full(len(X), float(eps))
-            u = u * (1 + 1e-9) + 1e-12
-            ok = (d - rad[None, :] <= u[:, None]) & (cnt[None, :] > 0)
-            qi, ci = np.nonzero(ok)
-            yield pd.DataFrame({qid: pdf[qid].to_numpy()[qi], "cell": ci.astype("int32"), "_u": u[qi],
-                                "_qv": [X[i].tolist() for i in qi]})
+            for s in _by_rows(len(X), m):
+                d = _distances(X[s], P)
+                d[:, ~live] = np.inf
+                near = d.argmin(1)
+                if own:
+                    ok = np.zeros(d.shape, bool)
+                    ok[np.arange(len(near)), near] = True
+                    u = np.full(len(near), np.inf)
+                else:
+                    u = pdf["_bound"].to_numpy(float)[s] if second else np.full(len(near), float(eps))
+                    u = np.where(np.isnan(u), np.inf, u)
+                    ok = (d - rad[None, :] <= (u * (1 + 1e-9))[:, None] + _slack(X[s], P)) & live[None, :]
+                    if second:
+                        ok[np.arange(len(near)), near] = False
+                qi, ci = np.nonzero(ok)
+                if len(qi) == 0:
+                    continue
+                rows = X[s]
+                yield pd.DataFrame({qid: pdf[qid].to_numpy()[s][qi], "cell": ci.astype("int32"), "_u": u[qi],
+                                    "_qv": [rows[i].tolist() for i in qi]})
     schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("cell", T.IntegerType()),
                            T.StructField("_u", T.DoubleType()),
                            T.StructField("_qv", T.ArrayType(T.DoubleType()))])
-    return queries.select(qid, vec).mapInPandas(cand, schema)
+    return queries.select(qid, vec, *(["_bound"] if second else [])).mapInPandas(cand, schema)
+
+
+def _exact(q: np.ndarray, R: np.ndarray) -> np.ndarray:
+    """Distances of one point to rows, term by term (the value that decides and is returned)."""
+    return np.sqrt(((q[None, :] - R) ** 2).sum(1))
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
-             exclude_self: bool = False, n_pivots: int | None = None) -> DataFrame:
+             exclude_self: bool = False, n_pivots: int | None = None, stats: dict | None = None) -> DataFrame:
     """``(qid, rid, dist, rank)``: the k nearest references of every query
-    (ties by ``rid``).  ``exclude_self`` drops the pair ``qid == rid``."""
+    (ties by ``rid``).  ``exclude_self`` drops the pair ``qid == rid``.  ``stats`` gets ``mean_cells``, the number of
+    cells that a query met, and ``cells``, their number."""
     cells, P, cnt, rad = assign_cells(refs.select(F.col(rid).alias("rid"), F.col(vec).alias("vec")), "rid", "vec",
                                       n_pivots)
-    need = k + (1 if exclude_self else 0)
-    cand = _candidates(queries, qid, vec, P, cnt, rad, need, None)
     rid_type = cells.schema["rid"].dataType
     out_schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("rid", rid_type),
                                T.StructField("dist", T.DoubleType())])
 
-    def emit(qids, Q, U, rids, R):
+    def emit(qpdf, Q, rpdf, R):
+        qids, rids, U = qpdf[qid].to_numpy(), rpdf["_rid"].to_numpy(), qpdf["_u"].to_numpy()
+        order = np.argsort(rids, kind="stable")
+        rids, R = rids[order], R[order]
+        near, slack = _distances(Q, R), _slack(Q, R)
+        if exclude_self:
+            near[qids[:, None] == rids[None, :]] = np.inf
+        take = min(k, len(rids)) - 1
+        limit = np.minimum(np.partition(near, take, axis=1)[:, take], U) + slack
         oq, orr, od = [], [], []
-        for s0 in range(0, len(Q), SUB_BLOCK):
-            Qs = Q[s0:s0 + SUB_BLOCK]
-            D = np.sqrt(((Qs[:, None, :] - R[None, :, :]) ** 2).sum(-1))
-            for i in range(len(Qs)):
-                gi = s0 + i
-                ok = D[i] <= U[gi]
-                if exclude_self:
-                    ok &= rids != qids[gi]
-                idx = np.nonzero(ok)[0]
-                if len(idx) == 0:
-                    continue
-                top = idx[np.lexsort((rids[idx], D[i][idx]))][:k]  # block top-k by (dist, rid)
-                oq.extend([qids[gi]] * len(top))
-                orr.extend(rids[top].tolist())
-                od.extend(D[i][top].tolist())
-        return pd.DataFrame({qid: oq, "rid": orr, "dist": od})
-    blocks = _block_join(cand, cells, cnt, qid, emit, out_schema)
-    w = Window.partitionBy(qid).orderBy("dist", "rid")
-    return blocks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
+        for i in range(len(Q)):
+            idx = np.flatnonzero(near[i] <= limit[i])
+            idx = idx[np.isfinite(near[i][idx])]
+            d = _exact(Q[i], R[idx])
+            best = np.argsort(d, kind="stable")[:k]  # rows stand in rid order, so ties go to the smaller rid
+            oq.append(np.repeat(qids[i], len(best)))
+            orr.append(rids[idx[best]])
+            od.append(d[best])
+        return pd.DataFrame({qid: np.concatenate(oq), "rid": np.concatenate(orr), "dist": np.concatenate(od)})
 
-def range_sums(queries: DataFrame, qid: str, cells_state, eps: float, vec: str = "vec") -> DataFrame:
-    """``(qid, n, s)``: count and vector sum of the references within ``eps`` of each query.
+    w = Window.partitionBy(qid).orderBy("dist", "rid")
+    q = queries.select(F.col(qid), F.col(vec).alias("_v"))
+    first = _block_join(_candidates(q, qid, "_v", P, cnt, rad, own=True), cells, cnt, qid, emit, out_schema)
+    first = cut_lineage(first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    bound = first.where(F.col("rank") == k).select(F.col(qid).alias("_q"), F.col("dist").alias("_bound"))
+    bounded = q.join(bound, F.col(qid) == F.col("_q"), "left").drop("_q")
+    cand = _candidates(bounded, qid, "_v", P, cnt, rad, own=False)
+    if stats is not None:
+        cand = cut_lineage(cand)
+        stats |= {"mean_cells": 1 + cand.count() / max(q.count(), 1), "cells": len(P)}
+    rest = _block_join(cand, cells, cnt, qid, emit, out_schema)
+    both = first.drop("rank").unionByName(rest)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def range_sums(queries: DataFrame, qid: str, cells_state, eps: float, vec: str = "vec",
+               sums: bool = True) -> DataFrame:
+    """``(qid, n, s)``: count and (unless ``sums`` is off) vector sum of the references within ``eps`` of each query.
 
     ``cells_state`` is the result of :func:`assign_cells` (reused across
     iterations); every block returns one partial (n, sum) per query."""
     cells, P, cnt, rad = cells_state
-    cand = _candidates(queries, qid, vec, P, cnt, rad, None, eps)
-    out_schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("n", T.LongType()),
-                               T.StructField("s", T.ArrayType(T.DoubleType()))])
-
-    def emit(qids, Q, U, rids, R):
-        oq, on, osum = [], [], []
-        for s0 in range(0, len(Q), SUB_BLOCK):
-            Qs = Q[s0:s0 + SUB_BLOCK]
-            D = np.sqrt(((Qs[:, None, :] - R[None, :, :]) ** 2).sum(-1))
-            W = (D <= eps).astype(float)
-            oq.extend(qids[s0:s0 + len(Qs)].tolist())
-            on.extend(W.sum(1).astype(int).tolist())
-            osum.extend((W @ R).tolist())
-        return pd.DataFrame({qid: oq, "n": on, "s": osum})
+    cand = _candidates(queries, qid, vec, P, cnt, rad, own=False, eps=eps)
+    out_schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("n", T.LongType())]
+                              + [T.StructField("s", T.ArrayType(T.DoubleType()))] * sums)
+
+    def emit(qpdf, Q, rpdf, R):
+        near = within(Q, R, eps)
+        return pd.DataFrame({qid: qpdf[qid], "n": near.sum(1)} | ({"s": (near @ R).tolist()} if sums else {}))
     parts = _block_join(cand, cells, cnt, qid, emit, out_schema)
-    dim = len(P[0])
-    return parts.groupBy(qid).agg(
-        F.sum("n").alias("n"),
-        F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s"))
+    totals = [F.array(*[F.sum(F.col("s")[i]) for i in range(len(P[0]))]).alias("s")] if sums else []
+    return parts.groupBy(qid).agg(F.sum("n").alias("n"), *totals)
+
+
+def within(Q: np.ndarray, R: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs are at most ``eps`` apart; pairs that a matrix product cannot decide are computed exactly."""
+    d, slack = _distances(Q, R), _slack(Q, R)
+    near = d <= eps - slack
+    for i, j in np.argwhere(~near & (d <= eps + slack)):
+        near[i, j] = np.sqrt(((Q[i] - R[j]) ** 2).sum()) <= eps
+    return near
+
+
+def range_forest(points: DataFrame, key: str, cells_state, eps: float, vec: str = "vec") -> DataFrame:
+    """Links ``(a, b)`` that connect whatever points are at most ``eps`` apart: a spanning forest of each block, so a
+    block of q queries and r references gives at most q + r links however dense it is."""
+    cells, P, cnt, rad = cells_state
+    cand = _candidates(points.select(F.col(key).alias("qid"), vec), "qid", vec, P, cnt, rad, own=False, eps=eps)
+    kt = points.schema[key].dataType
+
+    def emit(qpdf, Q, rpdf, R):
+        near = within(Q, R, eps)
+        qids, rids = qpdf["qid"].to_numpy(), rpdf["_rid"].to_numpy()
+        out, free_q, free_r = [], near.any(1), near.any(0)
+        while free_q.any():  # one component at a time: its rows join up through the columns that they reach
+            front = np.zeros(len(Q), bool)
+            front[np.argmax(free_q)] = True
+            free_q &= ~front
+            root = qids[np.argmax(front)]
+            while front.any():
+                cols = free_r & near[front].any(0)
+                free_r &= ~cols
+                out += [(root, x) for x in rids[cols]]
+                front = free_q & near[:, cols].any(1) if cols.any() else np.zeros(len(Q), bool)
+                free_q &= ~front
+                out += [(root, x) for x in qids[front]]
+        a, b = zip(*out) if out else ((), ())
+        return pd.DataFrame({"a": list(a), "b": list(b)})
+    schema = T.StructType([T.StructField("a", kt), T.StructField("b", kt)])
+    return _block_join(cand, cells, cnt, "qid", emit, schema).where("a <> b").distinct()
+
+
+def range_min(queries: DataFrame, qid: str, cells_state, eps: float, value: str, vec: str = "vec") -> DataFrame:
+    """``(qid, m)``: the smallest ``value`` among the references within ``eps`` of each query that has one."""
+    cells, P, cnt, rad = cells_state
+    cand = _candidates(queries, qid, vec, P, cnt, rad, own=False, eps=eps)
+
+    def emit(qpdf, Q, rpdf, R):
+        order = np.argsort(rpdf[value].to_numpy(), kind="stable")
+        near = within(Q, R[order], eps)
+        hit = near.any(1)
+        return pd.DataFrame({qid: qpdf[qid].to_numpy()[hit],
+                             "m": rpdf[value].to_numpy()[order][near[hit].argmax(1)]})
+    schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType),
+                           T.StructField("m", cells.schema[value].dataType)])
+    return _block_join(cand, cells, cnt, qid, emit, schema, [value]).groupBy(qid).agg(F.min("m").alias("m"))
 
 
 def range_join(points: DataFrame, key: str, eps: float, vec: str = "vec") -> DataFrame:
-    """All ``(a, b, dist)`` with ``dist ≤ eps`` among ``points`` (self pairs included)."""
+    """All ``(a, b, dist)`` with ``dist <= eps`` among ``points`` (self pairs included): the answer itself, as large as
+    it is.  Clustering does not need it (see ``range_forest``)."""
     cells, P, cnt, rad = assign_cells(points.select(F.col(key).alias("rid"), F.col(vec).alias("vec")), "rid", "vec")
     q = points.select(F.col(key).alias("qid"), F.col(vec).alias("vec"))
-    cand = _candidates(q, "qid", "vec", P, cnt, rad, None, eps)
+    cand = _candidates(q, "qid", "vec", P, cnt, rad, own=False, eps=eps)
     kt = points.schema[key].dataType
     out_schema = T.StructType([T.StructField("qid", kt), T.StructField("rid", kt), T.StructField("dist", T.DoubleType())])
 
-    def emit(qids, Q, U, rids, R):
-        oq, orr, od = [], [], []
-        for s0 in range(0, len(Q), SUB_BLOCK):
-            Qs = Q[s0:s0 + SUB_BLOCK]
-            D = np.sqrt(((Qs[:, None, :] - R[None, :, :]) ** 2).sum(-1))
-            qi, ri = np.nonzero(D <= eps)
-            oq.extend(qids[s0 + qi].tolist())
-            orr.extend(rids[ri].tolist())
-            od.extend(D[qi, ri].tolist())
-        return pd.DataFrame({"qid": oq, "rid": orr, "dist": od})
+    def emit(qpdf, Q, rpdf, R):
+        qi, ri = np.nonzero(within(Q, R, eps))
+        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[qi], "rid": rpdf["_rid"].to_numpy()[ri],
+                             "dist": np.sqrt(((Q[qi] - R[ri]) ** 2).sum(1))})
     blocks = _block_join(cand, cells, cnt, "qid", emit, out_schema)
     return blocks.select(F.col("qid").alias("a"), F.col("rid").alias("b"), "dist")
 

@@ -190,3 +190,48 @@ def test_search_returns_the_best_model(spark):
     assert [r["model"] for r in rows] == ["dtc", "lr", "nope"] and rows[2]["status"] == "failed"
     assert best.metrics["model"] == "dtc"
     assert TR.importance_report(best)[0][0][0] == "x"
+
+
+def _points(spark, X):
+    return spark.createDataFrame(pd.DataFrame({"id": range(len(X)), "vec": [list(map(float, r)) for r in X]}))
+
+
+def test_neighbour_search_visits_few_cells_in_two_dimensions(spark):
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.uniform(0, 10, (1500, 2)), np.repeat(rng.uniform(0, 10, (1, 2)), 40, 0)])
+    df, stats = _points(spark, X), {}
+    nb = knn_join(df.withColumnRenamed("id", "qid"), df.withColumnRenamed("id", "rid"), 5, exclude_self=True,
+                  stats=stats).collect()
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    got = {}
+    for r in nb:
+        got.setdefault(r["qid"], []).append((r["rank"], r["rid"]))
+    for q in range(len(X)):
+        assert [x for _, x in sorted(got[q])] == np.lexsort((np.arange(len(X)), D[q]))[:5].tolist()
+    assert stats["mean_cells"] < 0.3 * stats["cells"], stats
+
+
+def test_dbscan_against_plain_search(spark):
+    rng = np.random.default_rng(6)
+    X = np.vstack([rng.normal(c, 0.4, (60, 2)) for c in ((0, 0), (2.2, 0), (6, 6))] + [rng.uniform(-4, 10, (40, 2))])
+    eps, least = 0.45, 5
+    near = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)) <= eps
+    core = near.sum(1) >= least
+    label = np.full(len(X), -1)
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            stack, label[i] = [i], i
+            while stack:
+                for j in np.flatnonzero(near[stack.pop()] & core & (label < 0)):
+                    label[j] = i
+                    stack.append(j)
+    for i in np.flatnonzero(~core):
+        adjacent = label[near[i] & core]
+        label[i] = adjacent.min() if len(adjacent) else -1
+    number = {x: k for k, x in enumerate(sorted(set(label[label >= 0])))}
+    want = [number.get(x, -1) for x in label]
+    got = {r["id"]: r["cluster"] for r in CL.dbscan(_points(spark, X), "id", eps, least).collect()}
+    assert [got[i] for i in range(len(X))] == want and len(number) >= 3 and -1 in want
+    nothing = CL.dbscan(_points(spark, X[:3]), "id", 1e-6, 5).collect()
+    assert [r["cluster"] for r in nothing] == [-1] * 3
