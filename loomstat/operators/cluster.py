@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,6 @@ from loomstat.operators.knn import assign_cells, knn_join, range_forest, range_m
 from loomstat.operators.split import sample_n
 from loomstat.session import cut_lineage
 
-SILHOUETTE_SAMPLE = 10_000
-
 
 def prepare_matrix(df: DataFrame, key: str, features: list[str] | None = None, nulls: str = "error",
                    standardize: bool = True) -> DataFrame:
@@ -58,12 +57,19 @@ def kmeans(mat: DataFrame, key: str, k: int = 3, seed: int = 42, max_iter: int =
 
 
 # ------------------------------------------------------------------ silhouette
-def silhouette(labelled: DataFrame, key: str, label: str = "cluster", sample: int = SILHOUETTE_SAMPLE,
+def silhouette(labelled: DataFrame, key: str, label: str = "cluster", sample: int | None = None,
                seed: int = 42) -> float | None:
-    """Mean Euclidean silhouette of a hash sample of at most ``sample`` rows
-    (noise label −1 removed).  The sample is a bounded broadcast; every task
-    scores its share of the sample rows against it with numpy."""
+    """Mean silhouette (noise label −1 removed).
+
+    By default over all rows, with squared Euclidean distances, which a sum and a sum of squares per cluster
+    give in one pass.  With ``sample`` the exact Euclidean silhouette of a hash sample of at most that many
+    rows: the sample is broadcast, so it is bounded by the caller, and every task scores its share of it."""
     d = labelled.where(F.col(label) != -1)
+    if sample is None:
+        if d.select(label).distinct().limit(2).count() < 2:
+            return None
+        points = d.select(array_to_vector("vec").alias("features"), F.col(label).cast("double").alias("prediction"))
+        return float(ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(points))
     s = sample_n(d.select(key, "vec", label), key, sample, seed)
     rows = s.collect()  # bounded by `sample`
     if len(rows) < 2:
@@ -82,7 +88,10 @@ def silhouette(labelled: DataFrame, key: str, label: str = "cluster", sample: in
         labs = np.unique(ya)
         for pdf in it:
             i = pdf["id"].to_numpy()
-            D = np.sqrt(((Xa[i][:, None, :] - Xa[None, :, :]) ** 2).sum(-1))
+            # a matrix product, then the few zero distances that rounding would blur
+            D = (Xa[i] ** 2).sum(1)[:, None] + (Xa ** 2).sum(1)[None, :] - 2 * Xa[i] @ Xa.T
+            D = np.sqrt(np.maximum(D, 0))
+            D[np.arange(len(i)), i] = 0.0
             out = np.zeros(len(i))
             for r, ii in enumerate(i):
                 own = ya[ii]
@@ -232,17 +241,35 @@ def cluster_sizes(labels: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def cluster_report(df: DataFrame, features: list[str], label: str, dp: int = 3) -> DataFrame:
-    """Size, share and feature means per cluster."""
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"),
-                              *[F.round(F.avg(col_of(c)), dp).alias(f"mean_{c}") for c in features])
-    return g
+    """Size, share (%, 2 dp) and feature means per cluster."""
+    total = df.count()
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("size"),
+                                 F.round(F.count(F.lit(1)) * 100.0 / max(total, 1), 2).alias("pct"),
+                                 *[F.round(F.avg(col_of(c)), dp).alias(f"mean_{c}") for c in features])
+
+
+def cluster_points(mat: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, list[float]]:
+    """``(key, cluster, component_1, component_2)`` for plotting, and the two explained-variance ratios."""
+    from loomstat.operators.reduce import pca
+    flat, variance = pca(mat, key, 2)
+    return flat.join(labels, key), variance
 
 
 def run_clustering(df: DataFrame, key: str, features: list[str] | None = None, algorithm: str = "kmeans",
                    n_clusters: int = 3, eps: float = 3.0, min_samples: int = 5, seed: int = 42,
-                   nulls: str = "error") -> tuple[DataFrame, dict]:
+                   nulls: str = "error", reduce_dims: str | None = None, n_components: int = 2,
+                   save_labels: bool = False) -> tuple[DataFrame, dict]:
+    """Prepare, optionally reduce (``pca`` or ``ica``), cluster and score.
+
+    Returns ``(key, cluster)``, or with ``save_labels`` the input with a ``cluster`` column, and a summary."""
     mat = prepare_matrix(df, key, features, nulls)
     info: dict = {"algorithm": algorithm}
+    if reduce_dims:
+        from loomstat.operators import reduce as R
+        flat, told = {"pca": R.pca, "ica": R.ica}[reduce_dims](mat, key, n_components)
+        parts = [c for c in flat.columns if c != key]
+        info |= {"reduced": reduce_dims, "components": len(parts)} | ({"variance": told} if reduce_dims == "pca" else {})
+        mat = cut_lineage(flat.select(col_of(key), F.array(*[col_of(c) for c in parts]).alias("vec")))
     if algorithm == "kmeans":
         lab, centres, inertia = kmeans(mat, key, n_clusters, seed)
         info.update(inertia=round(inertia, 4), centres=centres)
@@ -254,5 +281,5 @@ def run_clustering(df: DataFrame, key: str, features: list[str] | None = None, a
     else:
         raise ValueError(f"Unknown algorithm '{algorithm}'")
     info["silhouette"] = silhouette(lab.join(mat, key), key)
-    return lab, info
+    return (df.join(lab, key, "left") if save_labels else lab), info
 

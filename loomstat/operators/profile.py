@@ -288,9 +288,21 @@ def rank_columns(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 
 
 def spearman_pairs(df: DataFrame, columns: list[str] | None, key: str, dp: int = 4) -> DataFrame:
-    """Spearman: Pearson on average ranks (ranks over each column's non-null values)."""
+    """Spearman: Pearson on average ranks, pairwise complete.
+
+    Columns without missing values are ranked once; a pair with missing values is ranked over the rows that have
+    both."""
     cols = columns or [c for c in numeric_columns(df) if c != key]
-    return pearson_pairs(rank_columns(df, cols, key), cols, dp)
+    df = nan_to_null(df, cols)
+    missing = df.agg(*[F.count_if(col_of(c).isNull()).alias(c) for c in cols]).first() if cols else {}
+    whole = [c for c in cols if not missing[c]]
+    out = pearson_pairs(rank_columns(df, whole, key), whole, dp)
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            if missing[a] or missing[b]:
+                both = df.where(col_of(a).isNotNull() & col_of(b).isNotNull())
+                out = out.unionByName(pearson_pairs(rank_columns(both, [a, b], key), [a, b], dp))
+    return out
 
 
 # ---------------------------------------------------------------- distributions

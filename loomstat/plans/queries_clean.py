@@ -52,7 +52,7 @@ _flt("flt_ne", customer_n, "c_name", "ne", "Customer#000000001",
      f"SELECT * FROM {CUSTOMER_N_SQL} WHERE coalesce(c_name, 'nan') <> 'Customer#000000001'")
 _flt("flt_ne_double", customer_n, "c_acctbal", "ne", "0.0",
      f"SELECT * FROM {CUSTOMER_N_SQL} WHERE coalesce(CAST(c_acctbal AS VARCHAR), 'nan') <> '0.0'")
-_flt("flt_gt", _part, "p_retailprice", "gt", 1500, "SELECT * FROM part WHERE p_retailprice > 1500")
+_flt("flt_gt", _part, "p_retailprice", "gt", 950, "SELECT * FROM part WHERE p_retailprice > 950")
 _flt("flt_lt", customer_n, "c_acctbal", "lt", 0, f"SELECT * FROM {CUSTOMER_N_SQL} WHERE c_acctbal < 0")
 _flt("flt_gte", _part, "p_size", "gte", 25, "SELECT * FROM part WHERE p_size >= 25")
 _flt("flt_lte", customer_n, "c_nationkey", "lte", 5, f"SELECT * FROM {CUSTOMER_N_SQL} WHERE c_nationkey <= 5")
@@ -72,7 +72,7 @@ _flt("flt_starts", _part, "p_brand", "starts_with", "Brand#1",
      "SELECT * FROM part WHERE starts_with(p_brand, 'Brand#1')")
 _flt("flt_starts_nulltext", customer_n, "c_name", "starts_with", "na",
      f"SELECT * FROM {CUSTOMER_N_SQL} WHERE starts_with(coalesce(c_name, 'nan'), 'na')")
-_flt("flt_ends", _part, "p_type", "ends_with", "COPPER", "SELECT * FROM part WHERE ends_with(p_type, 'COPPER')")
+_flt("flt_ends", _part, "p_type", "ends_with", "ARD", "SELECT * FROM part WHERE ends_with(p_type, 'ARD')")
 
 
 @register("flt_dry_run", f"SELECT count(*) AS original, count_if(c_acctbal < 0) AS kept, "

@@ -102,7 +102,7 @@ def sql_quality_alerts(src: str, schema: list[tuple[str, str]], mode: str = "che
                 " THEN 'high' ELSE 'medium' END AS severity, column_name, CAST(NULL AS VARCHAR) AS column_b, "
                 "round(CAST(share * 100 AS DOUBLE), 4) AS value FROM (SELECT *, row_number() OVER (ORDER BY pos) AS rk "
                 "FROM (" + " UNION ALL ".join(rows) + ") WHERE column_name = " + tname + " OR nu <= 10) "
-                "WHERE rk <= 5 AND share > 0.9")
+                "WHERE share > 0.9")
     dsev = ("CASE WHEN round(CAST(d AS DOUBLE) * 100 / n, 1) > 5 THEN 'medium' ELSE 'low' END" if mode == "eda"
             else "'medium'")
     out.append(f"SELECT 'duplicate_rows' AS alert_type, {dsev} AS severity, {nul} AS column_name, {nul} AS column_b, "

@@ -235,3 +235,31 @@ def test_dbscan_against_plain_search(spark):
     assert [got[i] for i in range(len(X))] == want and len(number) >= 3 and -1 in want
     nothing = CL.dbscan(_points(spark, X[:3]), "id", 1e-6, 5).collect()
     assert [r["cluster"] for r in nothing] == [-1] * 3
+
+
+def test_kmeans_cost_and_silhouettes(spark):
+    rng = np.random.default_rng(9)
+    X = np.vstack([rng.normal(c, 0.5, (50, 2)) for c in ((0, 0), (4, 0), (0, 4))])
+    df = _points(spark, X)
+    lab, centres, inertia = CL.kmeans(df, "id", 3)
+    d = ((X[:, None] - np.array(centres)[None]) ** 2).sum(-1)
+    got = [r["cluster"] for r in lab.orderBy("id").collect()]
+    assert got == d.argmin(1).tolist() and abs(inertia - d.min(1).sum()) < 1e-6
+    y = np.array(got)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+
+    def silhouette(dist):
+        out = []
+        for i in range(len(X)):
+            a = dist[i][y == y[i]].sum() / ((y == y[i]).sum() - 1)
+            b = min(dist[i][y == c].mean() for c in set(got) if c != y[i])
+            out.append((b - a) / max(a, b))
+        return np.mean(out)
+    both = lab.join(df, "id")
+    assert abs(CL.silhouette(both, "id") - silhouette(D ** 2)) < 1e-6
+    assert abs(CL.silhouette(both, "id", sample=1000) - silhouette(D)) < 1e-6
+    tried = CL.best_k(df, "id", 5).collect()
+    best = next(r for r in tried if r["best"])
+    assert len(tried) == 4 and best["silhouette"] == max(r["silhouette"] for r in tried) > 0.6
+    flat, variance = CL.cluster_points(df, lab, "id")
+    assert flat.columns == ["id", "component_1", "component_2", "cluster"] and abs(sum(variance) - 1) < 1e-3
