@@ -254,19 +254,24 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def pair_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r of every column pair, pairwise-complete: ``(col_a, col_b, n, r)``.
 
-    Each row is expanded to its complete pairs and aggregated per pair with
-    ``covar_pop`` / ``stddev_pop`` (stable online moments); ``try_divide``
-    turns a constant column into a null r instead of an ANSI error.
+    One pass for every hundred pairs, each pair by ``covar_pop`` / ``stddev_pop``
+    (stable online moments); rows are not expanded.  ``try_divide`` turns a
+    constant column into a null r instead of an ANSI error.
     """
-    pairs = _pair_list(columns)
     xs = {c: numeric_of(c, df.schema[c].dataType) for c in columns}
-    num = df.select(*[xs[c].alias(f"_c{i}") for i, c in enumerate(columns)])
-    structs = [F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
-                        F.col(f"_c{i}").alias("a"), F.col(f"_c{j}").alias("b")) for i, j in pairs]
-    long_df = num.select(F.inline(F.array(*structs))).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return long_df.groupBy("col_a", "col_b").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
+    pairs, out = _pair_list(columns), None
+    for at in range(0, len(pairs), 100):
+        part, aggs = pairs[at:at + 100], []
+        for k, (i, j) in enumerate(part):
+            x, y = xs[columns[i]], xs[columns[j]]
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            aggs += [F.count(x).alias(f"n{k}"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+                     .alias(f"r{k}")]
+        rows = F.array(*[F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
+                                  F.col(f"n{k}").alias("n"), F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(part)])
+        found = df.agg(*aggs).select(F.inline(rows))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def pearson_pairs(df: DataFrame, columns: list[str] | None = None, dp: int = 4) -> DataFrame:

@@ -5,20 +5,22 @@ the alerts embedded in the EDA report (``mode="eda"``).  They differ in
 details (nulls as a value for the constant test, target exclusion,
 severities, class imbalance) — see the parameters below.
 
-The whole alert table is one lazy plan built from three scans of the
-input: a wide one-row aggregate (nulls, zeros, skew, pairwise Pearson)
-expanded with ``inline``; a value-count summary (cardinality, constants,
-dominance); and a full-row ``groupBy`` (duplicates).  Nothing is collected.
+A table is read three times: once for a wide aggregate of every column (nulls,
+zeros, skewness, extremes, distinct sketch) and every pair of numeric columns
+(pairwise-complete moments), once for exact counts of the few columns whose sketch
+lies near a threshold (64-bit hashes of their values), and once for duplicate rows
+(row hashes).  What comes back has a row per column or pair, so alerts and score
+are made from one and the same small result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.functions.exprs import col_of, is_numeric_type, numeric_of, skew_corrected
-from loomstat.operators.profile import column_stats, distinct_summary, duplicate_count, pair_stats
+from loomstat.functions.exprs import col_of, is_numeric_type, nan_to_null, numeric_of, skew_corrected
+from loomstat.operators.profile import duplicate_count
 
 ALERT_SCHEMA = "alert_type string, severity string, column_name string, column_b string, value double"
 
@@ -35,42 +37,112 @@ CHECK_WEIGHTS = {"high": 15.0, "medium": 8.0}
 EDA_WEIGHTS = {"high": 15.0, "medium": 8.0, "low": 3.0}
 
 
+#: Aggregates of one pass; more (many columns make many pairs) are spread over several.
+AGGREGATES_PER_PASS = 400
+
+
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
 
-def _alert(t: str, sev: Column | str, col: str | None, col_b: str | None, value: Column, fire: Column) -> Column:
-    sev_c = F.lit(sev) if isinstance(sev, str) else sev
-    return F.when(fire, F.struct(F.lit(t).alias("alert_type"), sev_c.alias("severity"),
-                                 F.lit(col).cast("string").alias("column_name"),
-                                 F.lit(col_b).cast("string").alias("column_b"),
-                                 F.round(value.cast("double"), 4).alias("value")))
-
-
-def _wide_alerts(df: DataFrame, num: list[str], corr_cols: list[str], mode: str) -> DataFrame:
-    """Missing / zero-inflated / skewed columns and correlated pairs."""
-    st = column_stats(df)
-    name = F.col("column_name")
-    n = F.col("n").cast("double")
-    miss = F.try_divide(F.col("nulls") * 100.0, n)
-    zp = F.try_divide(F.col("zeros") * 100.0, n)
-    is_num = name.isin(num or ["\u0000"])
-    alerts = [_alert("high_missing", "high", None, None, miss, miss > MISSING_PCT),
-              _alert("zero_inflated", "medium", None, None, zp, is_num & (zp > ZERO_PCT)),
-              _alert("extreme_skewness", "medium", None, None, F.col("skew"),
-                     is_num & (F.abs(F.col("skew")) > SKEW_ABS))]
-    alerts = [F.when(a.isNotNull(), a.withField("column_name", name)) for a in alerts]
-    out = st.select(F.explode(F.filter(F.array(*alerts), lambda s: s.isNotNull())).alias("a")).select("a.*")
-    if len(corr_cols) >= 2:
-        sev = "high" if mode == "check" else "medium"
-        r = F.abs(F.col("r"))
-        pr = pair_stats(df, corr_cols).where(r > CORR_ABS).select(
-            F.lit("multicollinearity").alias("alert_type"), F.lit(sev).alias("severity"),
-            F.col("col_a").alias("column_name"), F.col("col_b").alias("column_b"), F.round(r, 4).alias("value"))
-        out = out.unionByName(pr)
+def _aggregate(df: DataFrame, aggs: dict) -> dict:
+    """One row of named aggregates, in as few passes as their number allows."""
+    out, names = {}, list(aggs)
+    for i in range(0, len(names), AGGREGATES_PER_PASS):
+        out |= df.agg(*[aggs[n].alias(n) for n in names[i:i + AGGREGATES_PER_PASS]]).first().asDict()
     return out
 
 
+def _wide(df: DataFrame, corr_cols: list[str]) -> dict:
+    """Statistics of every column and correlation of every pair of ``corr_cols``."""
+    aggs = {"n": F.count(F.lit(1))}
+    for i, f in enumerate(df.schema.fields):
+        text = col_of(f.name).cast("string")
+        aggs |= {f"nn{i}": F.count(col_of(f.name)), f"lo{i}": F.min(text), f"hi{i}": F.max(text),
+                 f"nd{i}": F.approx_count_distinct(text, 0.02)}
+        if is_numeric_type(f.dataType):
+            x = numeric_of(f.name, f.dataType)
+            aggs |= {f"zero{i}": F.count_if(x == 0), f"skew{i}": skew_corrected(x)}
+    for i, a in enumerate(corr_cols):
+        for j in range(i + 1, len(corr_cols)):
+            x, y = (numeric_of(c, df.schema[c].dataType) for c in (a, corr_cols[j]))
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            aggs[f"r{i}_{j}"] = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return _aggregate(df, aggs)
+
+
+def _exact(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
+    """(distinct values, count of the most frequent one) of a few columns, without nulls."""
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.when(col_of(c).isNotNull(), F.xxhash64(col_of(c).cast("string")))
+                               .alias("h")) for c in columns])
+    counts = df.select(F.inline(cells)).where("h IS NOT NULL").groupBy("c", "h").agg(F.count(F.lit(1)).alias("k"))
+    rows = counts.groupBy("c").agg(F.count(F.lit(1)).alias("nu"), F.max("k").alias("top")).collect()
+    return {r["c"]: (r["nu"], r["top"]) for r in rows}
+
+
+def _assess(df: DataFrame, target: str | None, mode: str, max_imbalance_columns: int | None) -> tuple[list[tuple], dict]:
+    """(alert rows, what the score needs besides them)."""
+    df = nan_to_null(df)
+    num, eda = _numeric(df), mode == "eda"
+    features = [c for c in num if c != target] if eda else num
+    w = _wide(df, features)
+    n = w["n"]
+    at = {c: i for i, c in enumerate(df.columns)}
+    rows: list[tuple] = []
+
+    def fire(kind: str, severity: str, value, column: str | None = None, other: str | None = None) -> None:
+        rows.append((kind, severity, column, other, float(value)))
+
+    def share(part: int) -> float:
+        return part * 100.0 / n if n else 0.0
+
+    for c, i in at.items():
+        nulls = n - w[f"nn{i}"]
+        if share(nulls) > MISSING_PCT:
+            fire("high_missing", "high", share(nulls), c)
+        if c in features:
+            if share(w[f"zero{i}"]) > ZERO_PCT:
+                fire("zero_inflated", "medium", share(w[f"zero{i}"]), c)
+            if w[f"skew{i}"] is not None and abs(w[f"skew{i}"]) > SKEW_ABS:
+                fire("extreme_skewness", "medium", w[f"skew{i}"], c)
+        if n and w[f"lo{i}"] == w[f"hi{i}"]:
+            distinct = (w[f"nn{i}"] > 0) + (eda and nulls > 0)
+            if distinct <= 1:
+                fire("constant_column", "high", distinct, c)
+    for i, a in enumerate(features):
+        for j in range(i + 1, len(features)):
+            r = w[f"r{i}_{j}"]
+            if r is not None and abs(r) > CORR_ABS:
+                fire("multicollinearity", "medium" if eda else "high", abs(r), a, features[j])
+
+    if eda:
+        texts = [c for c in df.columns if c not in num and c != target]
+        classes = ([target] if target in at else []) + texts
+    else:
+        texts, classes = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)], []
+    # The sketches are off by 2 %: exact counts are taken where they leave the answer open.
+    wide = [c for c in texts if w[f"nd{at[c]}"] > 0.8 * max(CARD_RATIO * n, CARD_MIN)]
+    few = [c for c in classes if c == target or w[f"nd{at[c]}"] <= 1.5 * IMBALANCE_MAX_UNIQUE]
+    exact = _exact(df, list(dict.fromkeys(wide + few)))
+    for c in wide:
+        nu = exact.get(c, (0, 0))[0]
+        if nu > CARD_RATIO * n and nu > CARD_MIN:
+            fire("high_cardinality", "medium", nu, c)
+    eligible = [c for c in few if c in exact and (c == target or exact[c][0] <= IMBALANCE_MAX_UNIQUE)]
+    for c in eligible[:max_imbalance_columns]:
+        top = exact[c][1] / w[f"nn{at[c]}"]
+        if top > IMBALANCE_SHARE:
+            fire("class_imbalance", "high" if c == target else "medium", top * 100.0, c)
+
+    dup = duplicate_count(df).first()
+    if dup["dup_count"] > 0:
+        fire("duplicate_rows", "medium" if not eda or round(dup["dup_pct"], 1) > 5 else "low", dup["dup_count"])
+    cells = max(n * len(at), 1)
+    return rows, {"dup_pct": float(dup["dup_pct"]), "missing_pct": sum(n - w[f"nn{i}"] for i in at.values()) * 100.0 / cells}
+
+
 def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check",
                    max_imbalance_columns: int | None = None) -> DataFrame:
     """Alert table ``(alert_type, severity, column_name, column_b, value)``.
@@ -79,58 +151,12 @@ def quality_alerts(df: DataFrame, target: str | None = None, mode: str = "check"
     skewness, |r|, dominant share %, duplicate rows.  ``max_imbalance_columns`` restricts the class-imbalance
     test to the first eligible columns (all of them by default).
     """
-    num = _numeric(df)
-    feat_num = [c for c in num if c != target] if mode == "eda" else num
-    wide = _wide_alerts(df, feat_num if mode == "eda" else num, feat_num, mode)
-    # value-count based alerts (constant, cardinality, imbalance)
-    ds = distinct_summary(df)
-    total = F.col("_total").cast("double")
-    non_num = [c for c in df.columns if c not in num]
-    if mode == "eda":
-        cat_cols = [c for c in non_num if c != target]
-        imb = ([target] if target and target in df.columns else []) + cat_cols
-    else:
-        cat_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        imb = []
-    nu_const = F.col("nunique_with_null") if mode == "eda" else F.col("nunique")
-    rows = []
-    rows.append(_alert("constant_column", "high", None, None, nu_const, nu_const <= 1))
-    card = F.col("column_name").isin(cat_cols or ["\u0000"]) & \
-        (F.try_divide(F.col("nunique").cast("double"), total) > CARD_RATIO) & (F.col("nunique") > CARD_MIN)
-    rows.append(_alert("high_cardinality", "medium", None, None, F.col("nunique"), card))
-    ds2 = ds.withColumnRenamed("total", "_total")
-    if imb:
-        share = F.try_divide(F.col("top_count").cast("double"), F.col("non_null").cast("double"))
-        # candidate list: target first, then categoricals with ≤ 10 distinct values
-        order = F.create_map(*[x for i, c in enumerate(imb) for x in (F.lit(c), F.lit(i))])
-        ds2 = ds2.withColumn("_imb_pos", order[F.col("column_name")])
-        sev = F.when(F.col("column_name") == F.lit(target or "\u0000"), F.lit("high")).otherwise(F.lit("medium"))
-        rows.append(_alert("class_imbalance", sev, None, None, share * 100.0,
-                           F.col("_imb_ok") & (share > IMBALANCE_SHARE)))
-    else:
-        ds2 = ds2.withColumn("_imb_pos", F.lit(None).cast("int"))
-    if imb:
-        from pyspark.sql import Window
-        elig = F.col("_imb_pos").isNotNull() & (
-            (F.col("column_name") == F.lit(target or "\u0000")) | (F.col("nunique") <= IMBALANCE_MAX_UNIQUE))
-        # running count of eligible columns in candidate order; the summary has one row per column (bounded)
-        w = Window.orderBy(F.col("_imb_pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-        ds2 = ds2.withColumn("_elig", elig) \
-                 .withColumn("_imb_rank", F.sum(F.col("_elig").cast("int")).over(w)) \
-                 .withColumn("_imb_ok", F.col("_elig") & (F.col("_imb_rank") <= (max_imbalance_columns or len(df.columns))))
-    structs = [F.when(s.isNotNull(), s.withField("column_name", F.col("column_name"))) for s in rows]
-    dist = ds2.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("a")).select("a.*")
-
-    dup = duplicate_count(df)
-    if mode == "eda":
-        sev = F.when(F.round(F.col("dup_pct"), 1) > 5, F.lit("medium")).otherwise(F.lit("low"))
-    else:
-        sev = F.lit("medium")
-    dup_alert = dup.where(F.col("dup_count") > 0).select(
-        F.lit("duplicate_rows").alias("alert_type"), sev.alias("severity"),
-        F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("column_b"),
-        F.col("dup_count").cast("double").alias("value"))
-    return wide.unionByName(dist).unionByName(dup_alert)
+    rows, _ = _assess(df, target, mode, max_imbalance_columns)
+    return _alert_frame(df, rows)
+
+
+def _alert_frame(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, ALERT_SCHEMA).withColumn("value", F.round("value", 4))
 
 
 def quality_score(df: DataFrame, target: str | None = None, mode: str = "check") -> DataFrame:
@@ -141,29 +167,19 @@ def quality_score(df: DataFrame, target: str | None = None, mode: str = "check")
     eda:   100 − Σ severity weights − min(0.5·missing %, 20) − min(0.3·dup %, 10).
     Clamped to [0, 100], 1 dp.
     """
-    alerts = quality_alerts(df, target, mode)
-    dup = duplicate_count(df)
-    ncols = len(df.columns)
-    nulls = column_stats(df).agg(F.max("n").alias("_n"), F.sum("nulls").alias("_nulls"))
-    w = CHECK_WEIGHTS if mode == "check" else EDA_WEIGHTS
-    sev_w = F.coalesce(F.create_map(*[x for k, v in w.items() for x in (F.lit(k), F.lit(v))])[F.col("severity")],
-                       F.lit(3.0))
-    if mode == "check":
-        per = F.when(F.col("alert_type") == "duplicate_rows", F.lit(0.0)).otherwise(sev_w)
-    else:
-        per = sev_w
-    # combine three one-row results without a cross join: union as (key, value) then pivot by key
-    parts = (alerts.select(F.lit("ded").alias("k"), per.alias("v"))
-             .unionByName(alerts.select(F.lit("cnt").alias("k"), F.lit(1.0).alias("v")))
-             .unionByName(dup.select(F.lit("dup").alias("k"), F.col("dup_pct").cast("double").alias("v")))
-             .unionByName(nulls.select(F.lit("miss").alias("k"), F.try_divide(
-                 F.col("_nulls") * 100.0, F.greatest(F.col("_n") * ncols, F.lit(1)).cast("double")).alias("v"))))
-    g = parts.agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0.0)).alias(k)
-                    for k in ("ded", "cnt", "dup", "miss")])
-    if mode == "check":
-        score = F.lit(100.0) - F.col("ded") - F.least(F.lit(10.0), F.col("dup") * 0.3)
-    else:
-        score = F.lit(100.0) - F.col("ded") - F.least(F.col("miss") * 0.5, F.lit(20.0)) \
-            - F.least(F.col("dup") * 0.3, F.lit(10.0))
-    return g.select(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1).alias("score"),
-                    F.col("cnt").cast("long").alias("n_alerts"), F.round(F.col("dup"), 2).alias("dup_pct"))
+    return quality_report(df, target, mode)[1]
+
+
+def quality_report(df: DataFrame, target: str | None = None, mode: str = "check") -> tuple[DataFrame, DataFrame]:
+    """(alerts, score) from one assessment of the table."""
+    rows, rest = _assess(df, target, mode, None)
+    weights = CHECK_WEIGHTS if mode == "check" else EDA_WEIGHTS
+    lost = sum(weights.get(severity, 3.0) for kind, severity, *_ in rows
+               if not (mode == "check" and kind == "duplicate_rows"))
+    lost += min(10.0, rest["dup_pct"] * 0.3)
+    if mode == "eda":
+        lost += min(rest["missing_pct"] * 0.5, 20.0)
+    score = df.sparkSession.createDataFrame([(min(100.0, max(0.0, 100.0 - lost)), len(rows), rest["dup_pct"])],
+                                            "score double, n_alerts long, dup_pct double")
+    score = score.select(F.round("score", 1).alias("score"), "n_alerts", F.round("dup_pct", 2).alias("dup_pct"))
+    return _alert_frame(df, rows), score

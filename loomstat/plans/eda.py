@@ -16,13 +16,14 @@ def eda_report(df: DataFrame, target: str | None = None, key: str | None = None,
     """Quality alerts and score, missing summary, statistics, histograms, box
     data, Pearson / Spearman pairs, top categories and the target distribution.
 
-    Every entry is a lazy DataFrame; nothing runs until it is read."""
+    Alerts and score come from one assessment, which runs now; the other entries are lazy."""
     num = [c for c in numeric_columns(df) if c != key][:max_numeric]
     cats = [f.name for f in df.schema.fields if is_string_type(f.dataType) and f.name != target]
     cats = cats[:max_categorical]
+    alerts, score = Q.quality_report(df, target, mode="eda")
     out = {
-        "alerts": Q.quality_alerts(df, target, mode="eda"),
-        "score": Q.quality_score(df, target, mode="eda"),
+        "alerts": alerts,
+        "score": score,
         "missing": P.null_summary(df, only_missing=True),
         "describe": P.describe(df, num),
         "histograms": P.histogram(df, num, 20),
