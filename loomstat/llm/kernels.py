@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that one step of a kernel holds at once (a longer single text is one step).
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -46,7 +46,8 @@ BUCKETS = 1 << 12
 MAX_FIT = 20_000
 MAX_DOMAINS = 32
 TEMPERATURE = 0.7
-MAX_ITERATIONS, TOLERANCE = 50, 1e-6
+#: Largest distance to a target and least gain of a step, both as shares of all target tokens.
+MAX_ITERATIONS, TOLERANCE, LEAST_GAIN = 50, 1e-6, 1e-6
 
 
 def word_list(text: Column) -> Column:
@@ -172,7 +173,7 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float]
         row = members.withColumn("_r", r).agg(*[F.sum(F.col("_r") * n * p[a]) for a in range(k)]).first()
         now = np.array([x or 0.0 for x in row])
         left = float(np.abs(now - targets).max() / scale)
-        stuck, residual = abs(residual - left) < TOLERANCE * 1e-3, left
+        stuck, residual = residual - left < LEAST_GAIN, left
         if stuck:
             break
     return Mix(domains, steps, floor, targets, now, residual)

@@ -41,7 +41,7 @@ from loomstat.llm.kernels import steps, utf8
 
 END_ID = 2
 SHARD_IDS = 1 << 19
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 _MAGIC = b"WVM1"
 
@@ -181,7 +181,7 @@ def process_store(name: str) -> dict:
 class ChunkTable:
     """Ids of remembered chunks, found by two 64-bit hashes through open addressing in numpy arrays."""
 
-    ENTRIES, SLOTS = 1_500_000, 1 << 22
+    ENTRIES, SLOTS = 1_000_000, 1 << 21
 
     def __init__(self) -> None:
         self.key = np.zeros((2, self.ENTRIES), np.uint64)
@@ -245,7 +245,7 @@ class WordEncoder:
     many words at a time and cut at the ids that end a word.
     """
 
-    PIECE, TOGETHER, LONGEST = 300_000, 400, 256
+    PIECE, TOGETHER, LONGEST = 100_000, 400, 256
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

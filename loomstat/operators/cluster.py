@@ -8,6 +8,8 @@ Inputs are prepared once: numeric feature columns (nulls handled by
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -209,6 +211,8 @@ def mean_shift(mat: DataFrame, key: str, bandwidth: float | None = None, max_ite
         cur, last = new.select("sid", "vec"), new.select("sid", "vec", "n")
         if not moved:
             break
+    else:
+        warnings.warn(f"mean-shift stopped after {max_iter} rounds with seeds still moving", stacklevel=2)
     # converged seeds sit on a few modes: collapse them in Spark first (grid of 1e-3·bw),
     # so only distinct modes reach the driver; then merge modes closer than bw, most populated first
     modes = last.where(F.col("n") > 0).groupBy(F.transform("vec", lambda x: F.round(x / F.lit(bw * 1e-3))).alias("_m")) \

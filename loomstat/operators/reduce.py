@@ -8,6 +8,8 @@ fixed-point step as one distributed aggregate of ``E[z·g(Wz)ᵀ]`` and
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -81,6 +83,8 @@ def ica(mat: DataFrame, key: str, n: int = 2, seed: int = 42, max_iter: int = 20
         W = W_new
         if lim < tol:
             break
+    else:
+        warnings.warn(f"FastICA did not reach tol={tol} in {max_iter} rounds", stacklevel=2)
     S = [F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in W[j]]), lambda a, b: a * b),
                      F.lit(0.0), lambda s, x: s + x).alias(f"component_{j + 1}") for j in range(n)]
     out = Z.select(key, *S)
