@@ -11,13 +11,12 @@ from loomstat.llm.common import materialize
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b: long); component is the smallest node reachable.
 
-    Large-star and small-star rounds until nothing changes.  A round is two
+    Large-star and small-star rounds until every component is a star around its smallest node.  A round is two
     aggregations (with map-side partial minima) and two equi-joins, whose hot
     keys adaptive execution can split; every round is written out.
     """
     e = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m"))
                     .distinct(), "links")
-    state = None
     while True:
         both = e.unionByName(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
         low = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
@@ -26,9 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "v")
         e = materialize(small.filter("m > low").select(F.col("m").alias("v"), F.col("low").alias("m"))
                         .unionByName(low.withColumnRenamed("low", "m")).distinct(), "links")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if now == state:
+        links_left, nodes = e.agg(F.count("*"), F.count_distinct("v")).first()
+        if links_left == nodes and e.join(e.select(F.col("m").alias("v")), "v", "left_semi").isEmpty():
             break
-        state = now
     roots = e.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
     return e.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(roots)

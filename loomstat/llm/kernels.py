@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
+def tidy(task: Callable) -> Callable:
+    """A task that gives freed memory back to the system when it ends: Python workers live on between tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    return run
+
+
 def steps(texts: list[bytes], size: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about ``size`` bytes each."""
     start = held = 0
@@ -34,7 +47,7 @@ def steps(texts: list[bytes], size: int = STEP_BYTES) -> Iterator[tuple[int, int
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when full, so memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -46,13 +46,13 @@ from pyspark.sql import functions as F
 
 from loomstat.llm.common import materialize, table
 from loomstat.llm.graph import components
-from loomstat.llm.kernels import MIX, WordHashes, mix64, rolled, utf8
+from loomstat.llm.kernels import MIX, WordHashes, mix64, rolled, tidy, utf8
 
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 4, 5  # link: DENOMINATOR * |A & B| >= NUMERATOR * |A | B|
 TREES, BRANCH, START_DEPTH = 4, 2, 2
 PIVOTS = 3
-SMALL = 2_000
+SMALL = 3_000
 MAX_ROUNDS = 6
 SKETCH, MAX_DIFFERENT = 1024, 205
 #: Up to this many ids are broadcast to pick their texts; more are joined by a shuffle.
@@ -110,15 +110,24 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(np.stack([two >> 1, two & 1], 1).ravel()).tobytes()
 
 
-def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of minwise hashes in which sketches (rows of 64-bit words) differ, for all pairs of rows."""
-    out = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(a.shape[1]):
-        d = a[:, k, None] ^ b[None, :, k]
-        d |= d >> np.uint64(1)
-        d &= _LOW_BITS
-        out += np.bitwise_count(d)
-    return out
+NONE = np.uint16(0xFFFF)
+
+
+def differences(bits: np.ndarray, n: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks (first row, matrix) of the number of minwise hashes in which the sketches of two members differ; ``NONE``
+    where the pair cannot be linked, or is in one group already."""
+    for lo in range(0, len(bits), 256):
+        part = bits[lo:lo + 256]
+        out = np.zeros((len(part), len(bits)), np.uint16)
+        for k in range(bits.shape[1]):
+            d = part[:, k, None] ^ bits[None, :, k]
+            d |= d >> np.uint64(1)
+            d &= _LOW_BITS
+            out += np.bitwise_count(d)
+        own = n[lo:lo + 256, None]
+        out[(out > MAX_DIFFERENT) | (group[lo:lo + 256, None] == group[None, :])
+            | (np.minimum(own, n) * DENOMINATOR < np.maximum(own, n) * NUMERATOR)] = NONE
+        yield lo, out
 
 
 _ROOTS = [int(x) for x in mix64(np.arange(1, TREES + 1, dtype=np.uint64) * MIX)]
@@ -174,10 +183,9 @@ _MEMBER = "path long, cls binary, rep long, n long, sketch binary, paths array<l
 _PAIR = "a_cls binary, a_rep long, b_cls binary, b_rep long"
 
 
-def _forest(different: np.ndarray, fits: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a minimum spanning forest over the pairs that fit (Prim, a row at a time)."""
-    cost = np.where(fits, different, np.uint16(0xFFFF))
-    best, origin = np.full(len(cost), 0xFFFF, np.uint16), np.zeros(len(cost), np.int64)
+def _forest(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest over the pairs that may be linked (Prim, a row at a time)."""
+    best, origin = np.full(len(cost), NONE), np.zeros(len(cost), np.int64)
     out, todo = [], np.ones(len(cost), np.bool_)
     at = 0
     while True:
@@ -188,27 +196,42 @@ def _forest(different: np.ndarray, fits: np.ndarray) -> list[tuple[int, int]]:
         if not len(rest):
             return out
         at = int(rest[np.argmin(best[rest])])
-        if best[at] != 0xFFFF:
+        if best[at] != NONE:
             out.append((int(origin[at]), at))
 
 
+def _first_shared(paths: list[list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest path that both members of each pair follow (they share one)."""
+    width, none = max(map(len, paths)), np.iinfo(np.int64).max
+    table_ = np.full((len(paths), width), none)
+    for i, p in enumerate(paths):
+        table_[i, :len(p)] = p
+    out = np.empty(len(a), np.int64)
+    for lo in range(0, len(a), 20_000):
+        x, y = table_[a[lo:lo + 20_000]], table_[b[lo:lo + 20_000]]
+        shared = (x[:, :, None] == y[:, None, :]).any(2)
+        out[lo:lo + 20_000] = np.where(shared, x, none).min(1)
+    return out
+
+
 def _node_task(every: bool, once: bool):
     """Candidate pairs of the nodes in a partition sorted by path: a spanning forest of each node, or ``every`` pair
     across its components.  With ``once`` a pair comes from the smallest of the paths that its members share."""
     def node(rows: pa.Table) -> list[tuple[int, int]]:
-        n = rows.column("n").to_numpy()
+        n, component = rows.column("n").to_numpy(), rows.column("component").to_numpy()
         bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
-        component = rows.column("component").to_numpy()
-        different = differences(bits, bits)
-        fits = (different <= MAX_DIFFERENT) & (component[:, None] != component[None, :])
-        fits &= np.minimum.outer(n, n) * DENOMINATOR >= np.maximum.outer(n, n) * NUMERATOR
+        blocks = differences(bits, n, component)
         if not every:
-            return _forest(different, fits)
-        pairs = list(zip(*(x.tolist() for x in np.nonzero(np.triu(fits, 1)))))
-        if once and pairs:
-            path, paths = rows.column("path")[0].as_py(), [set(x) for x in rows.column("paths").to_pylist()]
-            pairs = [(a, b) for a, b in pairs if min(paths[a] & paths[b]) == path]
-        return pairs
+            return _forest(np.concatenate([cost for _, cost in blocks]))
+        found = []
+        for lo, cost in blocks:
+            a, b = np.nonzero(cost != NONE)
+            found.append(np.stack([a + lo, b])[:, a + lo < b])
+        a, b = np.concatenate(found, 1)
+        if once and len(a):
+            first = _first_shared(rows.column("paths").to_pylist(), a, b) == rows.column("path")[0].as_py()
+            a, b = a[first], b[first]
+        return list(zip(a.tolist(), b.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -239,7 +262,7 @@ def _candidates(members: DataFrame, every: bool = False, once: bool = False) ->
     """Distinct candidate pairs of nodes of bounded size."""
     rows = members.select("path", "cls", "rep", "n", "sketch", "paths", "component")
     rows = rows.repartition("path").sortWithinPartitions("path")
-    return rows.mapInArrow(_node_task(every, once), _PAIR).distinct()
+    return rows.mapInArrow(tidy(_node_task(every, once)), _PAIR).distinct()
 
 
 def _in_company(members: DataFrame) -> DataFrame:
@@ -286,7 +309,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, cls, paths) of every row: set size, class of equal sets, leaves of all trees."""
     pairs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return pairs.mapInArrow(_signature_task, "doc_id long, n long, cls binary, paths array<long>")
+    return pairs.mapInArrow(tidy(_signature_task), "doc_id long, n long, cls binary, paths array<long>")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -316,7 +339,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "cls", "rep", "n", "paths")
     members = materialize(_in_company(found), "nodes")
     sets = _texts_of(docs, members).select("text").mapInArrow(
-        _set_task, "cls binary, sketch binary, tokens array<long>")
+        tidy(_set_task), "cls binary, sketch binary, tokens array<long>")
     sets = materialize(sets.dropDuplicates(["cls"]) if repeated else sets, "sets")
     members = materialize(members.join(sets.select("cls", "sketch"), "cls").withColumn("component", F.col("rep")),
                           "nodes")
@@ -337,7 +360,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         if not any_large:
             break
         children = large.drop("component", "size").join(sets.select("cls", "tokens"), "cls").select(
-            "path", "cls", "rep", "n", "sketch", "paths", "tokens").mapInArrow(_deeper_task, _MEMBER)
+            "path", "cls", "rep", "n", "sketch", "paths", "tokens").mapInArrow(tidy(_deeper_task), _MEMBER)
         members = _mixed(_in_company(materialize(children, "nodes")), linked)
         members = materialize(members, "nodes")
     linked = components(links)
