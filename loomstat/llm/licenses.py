@@ -184,3 +184,37 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(F.array_sort("base"), ",").alias("base_labels"),
                       F.array_join(F.array_sort(F.array_union("base", met)), ",").alias("labels"),
                       F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _template_words(text: str) -> list[str]:
+    return sorted(set("".join(c if c.isalnum() else " " for c in text.lower()).split()))
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = r"list_filter(string_split_regex({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x : x <> '')"
+_PHRASE_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i : w[i + 1:i + {len(p.split())}] = "
+    f"{_sql_list(p.split())})) AS pos FROM d" for p, label in PHRASES.items())
+_TEMPLATE_SQL = "VALUES " + ", ".join(f"('{label}', {_sql_list(_template_words(t))})" for label, t in TEMPLATES)
+#: DuckDB SQL of the query: phrases by list slices, templates by list intersection with every window of every line.
+OP1_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_LOWER_SQL} AS t, {_WORDS_SQL.format(_LOWER_SQL)} AS w FROM documents),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+  list_sort(list(DISTINCT label)) AS labels FROM ({_PHRASE_SQL}) GROUP BY doc_id),
+lines AS (SELECT doc_id, {_WORDS_SQL.format("line")} AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+windows AS (SELECT doc_id, list_distinct(w[pos + 1:pos + {BLOCK_WORDS}]) AS w FROM (SELECT doc_id, w,
+  unnest(CASE WHEN len(w) <= {BLOCK_WORDS} THEN [0] ELSE range(0, len(w) - {BLOCK_STEP} + 1, {BLOCK_STEP}) END) AS pos
+  FROM lines WHERE len(w) > 0)),
+met AS (SELECT doc_id, label, len(list_intersect(tw, w)) / len(tw) AS share FROM windows, ({_TEMPLATE_SQL}) AS t(label, tw)),
+hits AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM met
+  WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(hits.labels, [])))), ',') AS labels,
+  coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN hits USING (doc_id)
+"""

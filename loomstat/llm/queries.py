@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomstat.llm.chat import OP2_SQL, op2_chat_format
 from loomstat.llm.decontam import op3_decontaminate
 from loomstat.llm.hyperlang import op10_language_id
-from loomstat.llm.licenses import op1_license_scan
+from loomstat.llm.licenses import OP1_SQL, op1_license_scan
 from loomstat.llm.mixing import op4_soft_mixing
 from loomstat.llm.neardup import op5_near_duplicates
 from loomstat.llm.pii import op7_pii_crf
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {"op2_chat_format": OP2_SQL}
+ORACLE: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL}
