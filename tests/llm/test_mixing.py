@@ -28,9 +28,11 @@ def test_rates_against_numpy_projected_gradient(spark):
     target = np.array([0.7, 0.2, 0.1]) * n.sum()
     assert fitted.residual < 1e-5 and (r >= 0).all()
     assert np.allclose((r * n) @ p, target, rtol=1e-4)
-    want, inverse = np.ones(len(n)), np.linalg.inv((p.T * n) @ p)
-    for _ in range(len(fitted.steps)):
-        want = np.maximum(0, want - p @ inverse @ (p.T @ (want * n) - target))
+    want = at = np.ones(len(n))
+    inverse = np.linalg.inv((p.T * n) @ p)
+    for _, momentum in fitted.steps:
+        last, want = want, np.maximum(0, at - p @ inverse @ (p.T @ (at * n) - target))
+        at = want + momentum * (want - last)
     assert np.allclose(r, want, atol=1e-6)
 
 
