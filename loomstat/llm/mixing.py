@@ -7,17 +7,18 @@ match the targets:
 
     minimise |G^-1/2 (M r - T)|^2  over  r >= floor,   M = [n_i p_i],  G = sum_i n_i p_i p_i'
 
-by projected gradient from r = 1.  In this metric the gradient step of length one is
-r_i <- max(floor, r_i - p_i . h) with h = G^-1 (M r - T): a rate depends on a
-document's posterior and the steps h only.  So an iteration is one aggregation of
+by projected gradient from r = 1, with momentum.  In this metric the gradient step of
+length one from y is r_i <- max(floor, y_i - p_i . h) with h = G^-1 (M y - T), and
+y <- r + b (r - previous r): a rate depends on a document's posterior and the steps
+(h, b) only.  So an iteration is one aggregation of
 domain totals over a compact table (tokens and posteriors), rates are never kept,
 and the driver holds a few numbers per domain.
 
 Native: DataFrame expressions and ``pyspark.ml``; no Python runs on executors.
 
-The classifier is multinomial logistic regression on hashed word counts, fitted on at
-most ``MAX_FIT`` labelled rows (the first by a hash of the id); totals, rates and
-copies cover all rows.
+The classifier is multinomial logistic regression on hashed counts of word
+endings, fitted on at most ``MAX_FIT`` labelled rows (the first by a hash of the id);
+totals, rates and copies cover all rows.
 
 Edge cases: null or empty text has no tokens and the classifier's prior as its
 posterior; without labelled rows, or with one domain only, every document belongs to
@@ -30,6 +31,7 @@ otherwise.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,12 +44,19 @@ from pyspark.sql import functions as F
 
 from loomstat.llm.common import bounded_rows, materialize, table
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
+LETTERS = 3  # 0: whole words, for domains that differ in topic
 MAX_FIT = 20_000
 MAX_DOMAINS = 32
-TEMPERATURE = 0.7
-#: Largest distance to a target and least gain of a step, both as shares of all target tokens.
-MAX_ITERATIONS, TOLERANCE, LEAST_GAIN = 50, 1e-6, 1e-6
+TEMPERATURE, SLACK = 0.7, 0.01
+#: Steps end when every total is this near its target (as a share of all target tokens), or when a step changes the
+#: rates by less than ``LEAST_CHANGE`` (root mean square over tokens): the least-squares solution.
+MAX_ITERATIONS, TOLERANCE, LEAST_CHANGE = 50, 1e-6, 1e-4
+
+
+def feature_list(words: Column) -> Column:
+    """The words' last ``LETTERS`` letters: they tell languages of words not seen in the fit."""
+    return F.transform(words, lambda w: F.substring(w, -LETTERS, LETTERS)) if LETTERS else words
 
 
 def word_list(text: Column) -> Column:
@@ -64,10 +73,11 @@ class DomainModel:
     def posteriors(self, df: DataFrame, text: str) -> DataFrame:
         """Add ``_n`` (tokens) and ``_p`` (posterior array) to ``df``."""
         df = df.withColumn("_words", word_list(F.col(f"`{text}`"))).withColumn("_n", F.size("_words").cast("long"))
+        df = df.withColumn("_features", feature_list(F.col("_words")))
         if self.model is None:
-            return df.withColumn("_p", F.array(F.lit(1.0))).drop("_words")
+            return df.withColumn("_p", F.array(F.lit(1.0))).drop("_words", "_features")
         out = self.model.transform(df).withColumn("_p", vector_to_array("_prob"))
-        return out.drop("_words", "_tf", "_x", "_raw", "_prob")
+        return out.drop("_words", "_features", "_tf", "_x", "_raw", "_prob")
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -79,10 +89,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", te
     domains = sorted(r[0] for r in bounded_rows(ids.select("_domain").distinct(), MAX_DOMAINS, "domains"))
     if len(domains) < 2:
         return DomainModel(domains or ["all"], None)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), word_list(F.col(f"`{text}`")).alias("_words"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), feature_list(word_list(F.col(f"`{text}`"))).alias("_features"))
     rows = rows.join(F.broadcast(ids), "_id")
     place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("_domain")) - 1
-    tf = HashingTF(numFeatures=BUCKETS, inputCol="_words", outputCol="_tf")
+    tf = HashingTF(numFeatures=BUCKETS, inputCol="_features", outputCol="_tf")
     unit = Normalizer(inputCol="_tf", outputCol="_x")
     train = materialize(unit.transform(tf.transform(rows)).select("_x", place.cast("double").alias("_label")), "train")
     if train.select("_label").distinct().count() < 2:
@@ -92,27 +102,28 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", te
     return DomainModel(domains, PipelineModel([tf, unit, lr.fit(train)]))
 
 
-def _dot(p: Column, h: np.ndarray) -> Column:
-    total = F.lit(0.0)
-    for d, x in enumerate(h):
-        total = total + p[d] * float(x)
-    return total
+Step = tuple[np.ndarray, float]
 
 
-def rate_column(p: Column, steps: list[np.ndarray], floor: float) -> Column:
-    """The rate of a document with posterior ``p`` after the given gradient steps."""
+def rate_columns(p: Column, steps: list[Step], floor: float) -> Column:
+    """Struct (r, y) of a document with posterior ``p`` after the given gradient steps: its rate, and the point that
+    the next step starts from."""
+    start = F.lit(max(1.0, floor))
+    first = F.struct(start.alias("r"), start.alias("y"))
     if not steps:
-        return F.lit(max(1.0, floor))
-    table_ = F.array(*[F.array(*[F.lit(float(x)) for x in h]) for h in steps])
-    size = len(steps[0])
+        return first
+    table_ = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in h]).alias("h"), F.lit(float(b)).alias("b"))
+                       for h, b in steps])
+    size = len(steps[0][0])
 
-    def step(r: Column, h: Column) -> Column:
+    def step(state: Column, s: Column) -> Column:
         dot = F.lit(0.0)
         for d in range(size):
-            dot = dot + p[d] * h[d]
-        return F.greatest(F.lit(float(floor)), r - dot)
+            dot = dot + p[d] * s["h"][d]
+        r = F.greatest(F.lit(float(floor)), state["y"] - dot)
+        return F.struct(r.alias("r"), (r + s["b"] * (r - state["r"])).alias("y"))
 
-    return F.aggregate(table_, F.lit(max(1.0, floor)), step)
+    return F.aggregate(table_, first, step)
 
 
 @dataclass
@@ -120,23 +131,24 @@ class Mix:
     """Fitted steps; ``totals`` and ``targets`` by domain, and the largest relative distance left."""
 
     domains: list[str]
-    steps: list[np.ndarray]
+    steps: list[Step]
     floor: float
     targets: np.ndarray
     totals: np.ndarray
     residual: float
 
     def rate(self, p: Column) -> Column:
-        return rate_column(p, self.steps, self.floor)
+        return rate_columns(p, self.steps, self.floor)["r"]
 
 
 def default_targets(totals: np.ndarray, temperature: float = TEMPERATURE) -> np.ndarray:
-    """Totals flattened by ``temperature`` and scaled up, so that no domain shrinks."""
+    """Totals flattened by ``temperature`` and scaled up, so that no domain shrinks and, with a little slack, rates of
+    at least one can meet them although posteriors are not sharp."""
     live = totals > 0
     shares = np.where(live, np.maximum(totals, 1e-300) ** temperature, 0.0)
     if not live.any():
         return totals.copy()
-    return shares * np.max(totals[live] / shares[live])
+    return shares * np.max(totals[live] / shares[live]) * (1 + SLACK)
 
 
 def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float] | None = None,
@@ -162,19 +174,21 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float]
         targets = share / max(share.sum(), 1e-300) * (totals.sum() if total is None else total)
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     scale = max(targets.sum(), 1e-300)
-    steps: list[np.ndarray] = []
-    now = totals if floor <= 1.0 else totals * floor
-    residual = float(np.abs(now - targets).max() / scale)
-    for _ in range(MAX_ITERATIONS):
-        if residual < TOLERANCE:
-            break
-        steps.append(inverse @ (now - targets))
-        r = rate_column(p, steps, floor)
-        row = members.withColumn("_r", r).agg(*[F.sum(F.col("_r") * n * p[a]) for a in range(k)]).first()
-        now = np.array([x or 0.0 for x in row])
-        left = float(np.abs(now - targets).max() / scale)
-        stuck, residual = residual - left < LEAST_GAIN, left
-        if stuck:
+    steps: list[Step] = []
+    now = ahead = totals * max(1.0, floor)
+    residual, pace = float(np.abs(now - targets).max() / scale), 1.0
+    while residual >= TOLERANCE and len(steps) < MAX_ITERATIONS:
+        next_pace = (1 + math.sqrt(1 + 4 * pace ** 2)) / 2
+        steps.append((inverse @ (ahead - targets), (pace - 1) / next_pace))
+        pace = next_pace
+        rated = members.withColumn("_s", rate_columns(p, steps, floor)).withColumn(
+            "_o", rate_columns(p, steps[:-1], floor)["r"])
+        r, y = F.col("_s.r"), F.col("_s.y")
+        row = rated.agg(*[F.sum(r * n * p[a]) for a in range(k)], *[F.sum(y * n * p[a]) for a in range(k)],
+                        F.sqrt(F.try_divide(F.sum(n * F.pow(r - F.col("_o"), 2)), F.sum(n)))).first()
+        now, ahead = (np.array([x or 0.0 for x in row[i:i + k]]) for i in (0, k))
+        residual = float(np.abs(now - targets).max() / scale)
+        if (row[2 * k] or 0.0) < LEAST_CHANGE:
             break
     return Mix(domains, steps, floor, targets, now, residual)
 
