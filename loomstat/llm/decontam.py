@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import bounded_rows, materialize, table
-from loomstat.llm.kernels import steps, utf8
+from loomstat.llm.kernels import steps, tidy, utf8
 
 PASSAGE, STRIDE = 32, 16
 MAX_DF, MIN_TERMS = 0.0002, 6
@@ -149,7 +149,7 @@ def latent_basis(rows: DataFrame, weight: np.ndarray, rank: int = RANK, iteratio
     image = basis
     for _ in range(iterations):
         basis = np.linalg.qr(image)[0]
-        shares = rows.mapInArrow(_subspace_task(weight, basis), "block int, data binary")
+        shares = rows.mapInArrow(tidy(_subspace_task(weight, basis)), "block int, data binary")
         image = np.zeros_like(basis)
         for r in shares.groupBy("block").applyInArrow(_sum_blocks, "block int, data binary").collect():
             part = np.frombuffer(r["data"]).reshape(-1, width)
@@ -277,7 +277,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
         for _, words, _ in items:
             for w in words:
                 every.setdefault(w, len(every))
-        counts = texts.mapInArrow(_frequency_task(every), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = texts.mapInArrow(tidy(_frequency_task(every)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
         df = np.zeros(len(every) + 1, np.int64)
         for r in bounded_rows(counts, len(df), "document frequencies"):
             df[r["term"]] = r["n"]
@@ -287,7 +287,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
             keep[sorted({every[w] for w in words}, key=lambda t: (df[t], t))[:MIN_TERMS]] = True
         vocabulary = {w: i for i, w in enumerate(w for w, t in every.items() if keep[t])}
         weight = np.log((2 + passages) / (1 + df[:-1][keep])) ** 2
-        rows = materialize(texts.mapInArrow(_rows_task(vocabulary), "terms array<int>"), "passages")
+        rows = materialize(texts.mapInArrow(tidy(_rows_task(vocabulary)), "terms array<int>"), "passages")
         out.append(Searcher(items, vocabulary, weight, latent_basis(rows, weight)))
     return out
 
@@ -311,7 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                                                  names=names)
 
     pairs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return pairs.mapInArrow(run, SCHEMA)
+    return pairs.mapInArrow(tidy(run), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -329,7 +329,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
                 mask += clean
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

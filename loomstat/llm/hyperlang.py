@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import bounded_rows, table
-from loomstat.llm.kernels import steps, utf8
+from loomstat.llm.kernels import steps, tidy, utf8
 
 DIM, GRAM = 1024, 3
 DIRECT, SHARED = 0x250, 1024
@@ -158,7 +158,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """(languages, prototypes) from the rows of ``docs`` with a lang and a text."""
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
-    sums = rows.mapInArrow(_learn_task, "lang string, at int, v double").groupBy("lang", "at").agg(F.sum("v").alias("v"))
+    sums = rows.mapInArrow(tidy(_learn_task), "lang string, at int, v double").groupBy("lang", "at").agg(F.sum("v").alias("v"))
     found = bounded_rows(sums, MAX_LANGS * DIM, "prototypes")
     langs = sorted({r["lang"] for r in found})
     prototypes = np.zeros((len(langs), DIM))
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     """(doc_id, held_out, lang_pred, score) of every row."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), held_out(F.col(f"`{doc_id}`")).alias("held_out"),
                        F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(_predict_task(*model), SCHEMA)
+    return rows.mapInArrow(tidy(_predict_task(*model)), SCHEMA)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

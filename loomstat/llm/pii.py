@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import table
-from loomstat.llm.kernels import steps, utf8
+from loomstat.llm.kernels import steps, tidy, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -405,7 +405,7 @@ def _scan_task(crf: Crf) -> Callable:
 def find(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts, digest of the pattern spans, and all spans of every row (columns of ``SCHEMA``)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(_scan_task(crf), SCHEMA)
+    return rows.mapInArrow(tidy(_scan_task(crf)), SCHEMA)
 
 
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

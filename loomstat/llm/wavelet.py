@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import fresh_folder, table
-from loomstat.llm.kernels import steps, utf8
+from loomstat.llm.kernels import steps, tidy, utf8
 
 END_ID = 2
 SHARD_IDS = 1 << 19
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 4 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 _MAGIC = b"WVM1"
 
@@ -113,7 +113,8 @@ class WaveletMatrix:
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._range(token, min(lo, hi), hi)
         return b - a
 
     def _select_bit(self, level: int, one: bool, k: int) -> int:
@@ -181,7 +182,7 @@ def process_store(name: str) -> dict:
 class ChunkTable:
     """Ids of remembered chunks, found by two 64-bit hashes through open addressing in numpy arrays."""
 
-    ENTRIES, SLOTS = 1_000_000, 1 << 21
+    ENTRIES, SLOTS = 1_200_000, 1 << 21
 
     def __init__(self) -> None:
         self.key = np.zeros((2, self.ENTRIES), np.uint64)
@@ -245,7 +246,7 @@ class WordEncoder:
     many words at a time and cut at the ids that end a word.
     """
 
-    PIECE, TOGETHER, LONGEST = 100_000, 400, 256
+    PIECE, TOGETHER, LONGEST = 300_000, 400, 256
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -423,7 +424,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    shards = rows.select("doc_id", "text").mapInArrow(_pack_task(tokenizer, end_id, shard_ids),
+    shards = rows.select("doc_id", "text").mapInArrow(tidy(_pack_task(tokenizer, end_id, shard_ids)),
                                                       "shard long, n_tokens long, n_docs long, blob binary")
     shards.write.parquet(path)
     return docs.sparkSession.read.schema(shards.schema).parquet(path)
@@ -440,7 +441,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     starts = sizes.withColumn("in_part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part")
     starts = starts.select("shard", (F.col("part_start") + F.col("in_part")).alias("shard_start"))
     docs = shards.select("shard", "blob").mapInArrow(
-        _read_task, "shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+        tidy(_read_task), "shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return docs.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"),
                                              "n_tokens", "ids_crc32")
 
