@@ -163,7 +163,7 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
                                       **kw, **wk)
         if model == "rf":
             return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth,
-                                          featureSubsetStrategy="sqrt", seed=seed, **kw, **wk)
+                                          featureSubsetStrategy="sqrt", maxMemoryInMB=512, seed=seed, **kw, **wk)
         if model == "dtc":
             return DecisionTreeClassifier(maxDepth=depth, seed=seed, **kw, **wk)
         if model == "nb":
@@ -193,7 +193,7 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
             return DecisionTreeRegressor(maxDepth=depth, seed=seed, **kw, **wk)
         if model == "rfr":
             return RandomForestRegressor(numTrees=int(p.get("n_estimators", 10)), maxDepth=depth,
-                                         featureSubsetStrategy="all", seed=seed, **kw, **wk)
+                                         featureSubsetStrategy="all", maxMemoryInMB=512, seed=seed, **kw, **wk)
         if model == "xgb":
             return GBTRegressor(maxDepth=int(p.get("max_depth") or 3), stepSize=float(p.get("eta", 0.3)),
                                 maxIter=int(p.get("n_estimators", 5)), seed=seed, **kw)
