@@ -60,10 +60,13 @@ class WaveletMatrix:
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
             one = (x & x.dtype.type(1 << b)) != 0
-            low = x[~one]
             planes.append(np.packbits(one, bitorder="little"))
-            zeros.append(len(low))
-            x = np.concatenate([low, x[one]])
+            y, z = np.empty_like(x), len(x) - int(np.count_nonzero(one))
+            y[z:] = x[one]
+            np.logical_not(one, out=one)
+            y[:z] = x[one]
+            zeros.append(z)
+            x = y
         return cls(len(ids), planes, zeros)
 
     def _bits(self, level: int) -> np.ndarray:
@@ -182,7 +185,7 @@ def process_store(name: str) -> dict:
 class ChunkTable:
     """Ids of remembered chunks, found by two 64-bit hashes through open addressing in numpy arrays."""
 
-    ENTRIES, SLOTS = 1_200_000, 1 << 21
+    ENTRIES, SLOTS = 1_500_000, 1 << 22
 
     def __init__(self) -> None:
         self.key = np.zeros((2, self.ENTRIES), np.uint64)
