@@ -41,7 +41,7 @@ from loomstat.llm.kernels import steps, tidy, utf8
 
 END_ID = 2
 SHARD_IDS = 1 << 19
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 _MAGIC = b"WVM1"
 
@@ -185,11 +185,11 @@ def process_store(name: str) -> dict:
 class ChunkTable:
     """Ids of remembered chunks, found by two 64-bit hashes through open addressing in numpy arrays."""
 
-    ENTRIES, SLOTS = 1_500_000, 1 << 22
+    ENTRIES, SLOTS = 1_500_000, 1 << 21
 
     def __init__(self) -> None:
         self.key = np.zeros((2, self.ENTRIES), np.uint64)
-        self.start, self.size = np.zeros(self.ENTRIES, np.int64), np.zeros(self.ENTRIES, np.int64)
+        self.start, self.size = np.zeros(self.ENTRIES, np.int32), np.zeros(self.ENTRIES, np.int32)
         self.letters = np.zeros(self.ENTRIES, np.bool_)
         self.clear()
 
@@ -217,7 +217,7 @@ class ChunkTable:
         """Add distinct new hash pairs whose ids stand one after the other in ``ids``."""
         k, lo = h.shape[1], self.n
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 2, np.uint32)])
         self.flat[self.used:self.used + len(ids)] = ids
         self.key[:, lo:lo + k] = h
         self.start[lo:lo + k] = self.used + np.cumsum(size) - size
@@ -232,7 +232,7 @@ class ChunkTable:
 
     def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the entries in a row, their ends)."""
-        size = self.size[entry]
+        size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.start[entry] - ends + size, size) + np.arange(total)], ends
@@ -249,7 +249,7 @@ class WordEncoder:
     many words at a time and cut at the ids that end a word.
     """
 
-    PIECE, TOGETHER, LONGEST = 300_000, 400, 256
+    PIECE, TOGETHER, LONGEST = 200_000, 400, 256
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
