@@ -2,7 +2,11 @@
 
 Join: a text block (a line, or overlapping windows of a longer line) matches a
 template when the block holds at least ``threshold`` of the template's distinct
-tokens.  Tokens have one global order, rarest first, from counts over all blocks.
+tokens.  A notice may be wrapped over lines: a text of several lines also has
+overlapping windows over all its words as blocks, and there the tokens must stand
+within the template's own number of words and a quarter more (words scattered over a
+whole window are no notice).  Tokens have one global order, rarest first, from counts
+over the line blocks.
 Then, exactly:
 
 * prefix: a match shares a token of the template's first |T| - need + 1 tokens,
@@ -98,19 +102,33 @@ def token_set(text: Column) -> Column:
     return F.filter(F.array_distinct(words), lambda w: w != "")
 
 
-def text_blocks(docs: DataFrame, vocabulary: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, block, tokens): for each block the distinct words that are in ``vocabulary``, when there is one."""
+def text_blocks(docs: DataFrame, vocabulary: list[str], doc_id: str = "doc_id", text: str = "text",
+                span: int | None = None) -> DataFrame:
+    """(doc_id, block, words, tokens): for each block the distinct words that are in ``vocabulary``, when there is one.
+
+    Blocks are lines (``words`` null); with ``span`` also, as line -1, windows over all words of a text of several
+    lines, so that any ``span`` words in a row stand in one of them.
+    """
     plain = F.regexp_replace(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
                              r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.posexplode(F.split(plain, "\n")).alias("line", "body"))
+    bodies = F.split(plain, "\n")
+    if span is None:
+        size, step = F.lit(BLOCK_WORDS), F.lit(BLOCK_STEP)
+        lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.posexplode(bodies).alias("line", "body"))
+    else:
+        wide = max(BLOCK_WORDS, 2 * span)
+        size = F.when(F.col("line") < 0, F.lit(wide)).otherwise(F.lit(BLOCK_WORDS))
+        step = F.when(F.col("line") < 0, F.lit(wide - span)).otherwise(F.lit(BLOCK_STEP))
+        whole = F.when(plain.contains("\n"), F.regexp_replace(plain, r"[ \n]+", " ")).otherwise(F.lit(""))
+        lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
+                            F.posexplode(F.concat(F.array(whole), bodies)).alias("line", "body"))
+        lines = lines.withColumn("line", F.col("line") - 1)
     words = lines.select("doc_id", "line", F.split(F.trim("body"), " ").alias("w"))
-    starts = F.when(F.size("w") <= BLOCK_WORDS, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.size("w") - BLOCK_STEP, F.lit(BLOCK_STEP)))
+    starts = F.when(F.size("w") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("w") - (size - step), step))
     vocab = F.array(*[F.lit(v) for v in vocabulary])
     blocks = words.select("doc_id", "line", "w", F.explode(starts).alias("at"))
-    part = F.when(F.size("w") <= BLOCK_WORDS, F.col("w")).otherwise(
-        F.slice("w", F.col("at") + 1, F.lit(BLOCK_WORDS)))
-    return (blocks.select("doc_id", F.struct("line", "at").alias("block"),
+    part = F.when(F.size("w") <= size, F.col("w")).otherwise(F.slice("w", F.col("at") + 1, size))
+    return (blocks.select("doc_id", F.struct("line", "at").alias("block"), F.when(F.col("line") < 0, part).alias("words"),
                           F.array_intersect(part, vocab).alias("tokens"))
             .filter(F.size("tokens") > 0))
 
@@ -137,27 +155,30 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         raise ValueError(f"templates: more than {MAX_TEMPLATES}; scan them in several calls")
     small = spark.createDataFrame([(i, lab, t) for i, (lab, t) in enumerate(templates)],
                                   "template int, label string, text string")
-    small = small.select("template", "label", token_set(F.col("text")).alias("tokens"))
-    vocabulary = sorted({w for r in small.collect() for w in r["tokens"]})
-    blocks = text_blocks(docs, vocabulary, doc_id, text)
-    # Counts over all blocks; bounded by the templates' vocabulary.
-    frequency = blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    length = _n_words(spaced(F.col("text"))).cast("int")
+    small = small.select("template", "label", token_set(F.col("text")).alias("tokens"),
+                         (length + F.floor(length / 4).cast("int")).alias("span"))
+    rows = small.collect()
+    vocabulary = sorted({w for r in rows for w in r["tokens"]})
+    blocks = text_blocks(docs, vocabulary, doc_id, text, max((r["span"] for r in rows), default=1))
+    # Counts over the line blocks; bounded by the templates' vocabulary.
+    frequency = text_blocks(docs, vocabulary, doc_id, text).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     counted = bounded_rows(frequency, len(vocabulary), "token frequencies")
     frequency = spark.createDataFrame([tuple(r) for r in counted], "token string, n long")
     ranks = {w: i for i, (_, w) in enumerate(sorted([(0, v) for v in set(vocabulary) - {r["token"] for r in counted}]
                                                     + [(r["n"], r["token"]) for r in counted]))}
     rank = F.create_map(*[F.lit(x) for w, i in ranks.items() for x in (w, i)])
 
-    ordered = ordered_templates(small, frequency, threshold)
-    probes = ordered.select("template", "label", "t_tokens", "need", "prefix",
+    ordered = ordered_templates(small, frequency, threshold).join(small.select("template", "span"), "template")
+    probes = ordered.select("template", "label", "t_tokens", "need", "prefix", "span",
                             F.posexplode("t_tokens").alias("t_at", "token")).filter(F.col("t_at") < F.col("prefix"))
     fewest = min((r["need"] for r in ordered.select("need").collect()), default=1)
     prefix_tokens = F.array(*[F.lit(r["token"]) for r in probes.select("token").distinct().orderBy("token").collect()])
     # Length filter, and a block must hold a prefix token; then the block's own global order.
     live = blocks.filter((F.size("tokens") >= fewest) & F.arrays_overlap("tokens", prefix_tokens))
-    live = live.select("doc_id", "block", F.transform(F.array_sort(F.transform(
+    live = live.select("doc_id", "block", "words", F.transform(F.array_sort(F.transform(
         "tokens", lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda s: s["w"]).alias("tokens"))
-    met = live.select("doc_id", "block", "tokens", F.posexplode("tokens").alias("b_at", "token"))
+    met = live.select("doc_id", "block", "words", "tokens", F.posexplode("tokens").alias("b_at", "token"))
     met = met.join(F.broadcast(probes), "token")
     met = met.filter((F.size("tokens") >= F.col("need"))
                      & (F.lit(1) + F.least(F.size("t_tokens") - F.col("t_at") - 1, F.size("tokens") - F.col("b_at") - 1)
@@ -166,7 +187,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     # A pair is met once for each shared prefix token: keep the meeting at the first one.
     first = F.array_min(F.transform(F.array_intersect(F.slice("t_tokens", F.lit(1), F.col("prefix")), "tokens"),
                                     lambda w: F.array_position("t_tokens", w))) == F.col("t_at") + 1
-    return (met.filter(first).withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
+    met = met.filter(first).withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
+    # In a window over lines: the most tokens within the template's span.
+    places = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("span") + 1, F.lit(1)))
+    near = F.array_max(F.transform(places, lambda s: F.size(F.array_intersect("t_tokens", F.slice("words", s, F.col("span"))))))
+    return (met.withColumn("overlap", F.when(F.col("words").isNull(), F.col("overlap")).otherwise(near))
+            .filter(F.col("overlap") >= F.col("need"))
             .select("doc_id", "block", "template", "label", (F.col("overlap") / F.size("t_tokens")).alias("containment")))
 
 

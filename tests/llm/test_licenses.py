@@ -69,3 +69,36 @@ def test_odd_rows(spark, folder, odd_docs, no_docs):
 def test_main_path_is_native(spark, sf):
     plan = L.op1_license_scan(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def brute_wrapped(text, span_of=lambda n: n + n // 4):
+    """(label, containment) of every place in the whole word sequence, whatever the line breaks."""
+    w, met = words(text), []
+    for label, t in L.TEMPLATES:
+        tw, span = set(words(t)), span_of(len(words(t)))
+        for k in range(max(1, len(w) - span + 1)):
+            share = len(tw & set(w[k:k + span])) / len(tw)
+            if share >= L.THRESHOLD - 1e-9:
+                met.append((label, share))
+    return met
+
+
+def test_notices_wrapped_over_lines(spark, folder, prose):
+    """Notices broken over lines, with comment marks, at any place between prose; scattered words are no notice."""
+    texts, i = {}, 0
+    for label, t in L.TEMPLATES:
+        for width, mark, before in ((4, "\n", 0), (3, "\n// ", 41), (9, "\r\n * ", 90), (11, "\n# ", 333)):
+            tw = t.split(" ")
+            notice = mark + mark.join(" ".join(tw[k:k + width]) for k in range(0, len(tw), width))
+            texts[i := i + 1] = prose(before, i) + notice + "\n" + prose(70, i + 500)
+    plain = max(texts)
+    texts[plain + 1] = "\n".join(["released", prose(9, 1), "under the", prose(9, 2), "mit", prose(9, 3), "license"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in L.op1_license_scan(spark, folder(documents=df)).collect()}
+    for d, text in texts.items():
+        _, _, labels, met = brute(text)
+        met += brute_wrapped(text)
+        assert out[d].labels == ",".join(sorted(labels | {x for x, _ in met}))
+        assert abs(out[d].score - max([s for _, s in met], default=0.0)) < 1e-9
+        assert d > plain or L.TEMPLATES[(d - 1) // 4][0] in out[d].labels.split(",")
+    assert out[plain + 1].labels == ""
