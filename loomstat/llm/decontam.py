@@ -14,12 +14,18 @@ of a TF-IDF matrix (squared idf weights, unit rows).
 4. Fold passages and items into the latent space and take every pair with cosine at
    least ``MIN_COSINE`` as a candidate - all passages against the items, a stated
    query set that is worked through in blocks of at most ``MAX_ITEMS``.
-5. Check candidates by longest common subsequence against stretches of the text
-   around the passage: a leak holds ``VERBATIM`` of the item's words in order, or
+5. The latent space is an approximation, so candidates also come from an exact count
+   that needs no rank, frequency limit or cosine: a stretch with ``need`` of an item's
+   n words in order holds at least ``RARE`` of the item's n - need + ``RARE`` rarest
+   words, whichever the others are.
+6. Check candidates by longest common subsequence against every stretch of the text
+   around them: a leak holds ``VERBATIM`` of the item's words in order, or
    ``PARAPHRASE`` of them and most of its answer (an ``answer`` column, else the
-   item's last words).
+   item's last words).  With step 5 the result is that of checking every stretch of
+   every text against every item.
 
-Steps 4 and 5 are one map over the documents; nothing is shuffled.
+Steps 4 to 6 are one map over the documents; nothing is shuffled.  ``cosine`` is the
+one of the best passage at the stretch, 0 when none there has two terms.
 
 Edge cases: null or empty texts have no passages; items with fewer than ``MIN_ITEM``
 words cannot be told from chance and match nothing; an empty benchmark or an empty
@@ -45,6 +51,7 @@ PASSAGE, STRIDE = 32, 16
 MAX_DF, MIN_TERMS = 0.0002, 6
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
 MIN_COSINE = 0.15
+RARE, PAIRS = 4, 2_000_000
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.6
 ANSWER_WORDS, MIN_ITEM = 5, 5
 MAX_ITEMS = 1_000
@@ -60,11 +67,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-def passage_terms(words: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
+def word_ids(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The number of each word, -1 for words outside ``vocabulary``."""
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
+
+
+def passage_terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(passage, term) of each distinct pair in order, and the number of passages."""
-    ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
     at = np.flatnonzero(ids >= 0)
-    n = max(1, -(-len(words) // STRIDE) - 1) if words else 0
+    n = max(1, -(-len(ids) // STRIDE) - 1) if len(ids) else 0
     chunk = at // STRIDE
     passage, term = np.concatenate([chunk, chunk - 1]), np.concatenate([ids[at], ids[at]])
     inside = (passage >= 0) & (passage < n)
@@ -77,7 +88,7 @@ def _frequency_task(vocabulary: dict[bytes, int]):
         df, total = np.zeros(len(vocabulary) + 1, np.int64), 0
         for batch in batches:
             for text in utf8(batch.column(0)):
-                _, term, n = passage_terms(words_of(text), vocabulary)
+                _, term, n = passage_terms(word_ids(words_of(text), vocabulary))
                 np.add.at(df, term, 1)
                 total += n
         df[-1] = total
@@ -91,7 +102,7 @@ def _rows_task(vocabulary: dict[bytes, int]):
         for batch in batches:
             out = []
             for text in utf8(batch.column(0)):
-                passage, term, _ = passage_terms(words_of(text), vocabulary)
+                passage, term, _ = passage_terms(word_ids(words_of(text), vocabulary))
                 if len(term):
                     cut = np.flatnonzero(np.diff(passage)) + 1
                     out += [x.astype(np.int32) for x in np.split(term, cut) if len(x) > 1]
@@ -182,8 +193,8 @@ class Searcher:
     """Everything a task needs to search texts for one block of items."""
 
     def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], vocabulary: dict[bytes, int],
-                 weight: np.ndarray, basis: np.ndarray) -> None:
-        self.vocabulary, self.weight, self.basis = vocabulary, weight, basis.astype(np.float32)
+                 weight: np.ndarray, basis: np.ndarray, frequency: dict[bytes, int]) -> None:
+        self.weight, self.basis = weight, basis.astype(np.float32)
         self.ids = [i for i, _, _ in items]
         self.words = [w for _, w, _ in items]
         self.counts = [Counter(w) for w in self.words]
@@ -195,31 +206,99 @@ class Searcher:
             if len(terms):
                 latent[q] = weight[terms] @ basis[terms]
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-
-    def _check(self, words: list[bytes], q: int, passage: int) -> tuple[float, bool, int, int] | None:
-        """(share of the item found in order, answer found, start, length) of the best stretch near a passage."""
-        size = len(self.words[q])
-        lo, hi = max(0, passage * STRIDE - size), passage * STRIDE + PASSAGE + size
-        region, need = words[lo:hi], PARAPHRASE * size
-        count = self.counts[q]
-        if sum(min(n, count[w]) for w, n in Counter(w for w in region if w in count).items()) < need:
+        # Exact count: hits needed of each item's rarest words, and the items of each such word.
+        sizes = np.array([len(w) for w in self.words])
+        self.spans = sizes + np.maximum(3, sizes // 4)
+        need = np.ceil(PARAPHRASE * sizes - 1e-9).astype(np.int64)
+        self.hits = np.minimum(RARE, need)
+        owners: dict[bytes, list[int]] = {}
+        for q, w in enumerate(self.words):
+            for x in set(sorted(w, key=lambda x: (frequency[x], x))[:sizes[q] - need[q] + self.hits[q]]):
+                owners.setdefault(x, []).append(q)
+        self.lookup = {w: t for t, w in enumerate(dict.fromkeys([*vocabulary, *owners]))}
+        lists = [owners.get(w, []) for w in self.lookup] + [[]]  # the last one is for number -1
+        self.n_owners = np.array([len(x) for x in lists])
+        self.first_owner = np.cumsum(self.n_owners) - self.n_owners
+        self.owners = np.array([q for x in lists for q in x], np.int64)
+        self.kept = np.array([vocabulary.get(w, -1) for w in self.lookup] + [-1], np.int64)
+
+    def _check(self, words: list[bytes], q: int, lo: int, hi: int) -> tuple[float, bool, int, int] | None:
+        """(share of the item found in order, answer found, start, length) of the best leak in words lo to hi.
+
+        Every stretch is met: one that starts elsewhere holds no more than one that starts at a word of the item.
+        """
+        size, span, masks, count = len(self.words[q]), int(self.spans[q]), self.masks[q], self.counts[q]
+        lo, need, full = max(0, lo), PARAPHRASE * size, (1 << size) - 1
+        region = words[lo:hi]
+        own = [(at, w) for at, w in enumerate(region) if w in count]
+        if len(own) < need or sum(min(n, count[w]) for w, n in Counter(w for _, w in own).items()) < need:
             return None
-        best, span = None, size + max(3, size // 4)
-        for at in range(0, max(1, len(region) - span + max(1, size // 8)), max(1, size // 8)):
+        hits = [masks[w] for _, w in own]
+        best, end = None, 0
+        for i, (at, _) in enumerate(own):
+            while end < len(own) and own[end][0] < at + span:
+                end += 1
+            if end - i < need:
+                continue
+            row = full
+            for hit in hits[i:end]:
+                keep = row & hit
+                row = (row + keep | row - keep) & full
+            found = size - row.bit_count()
+            if found < need:
+                continue
             stretch = region[at:at + span]
-            found = common_subsequence(self.masks[q], size, stretch)
-            if found >= need and (best is None or found > best[0]):
-                n, masks = self.answers[q]
-                answer = n > 0 and common_subsequence(masks, n, stretch) >= ANSWER * n
+            n, answers = self.answers[q]
+            answer = n > 0 and common_subsequence(answers, n, stretch) >= ANSWER * n
+            if (found >= VERBATIM * size or answer) and (best is None or found > best[0]):
                 best = (found, answer, lo + at, len(stretch))
+                if found == size:
+                    break
         return None if best is None else (best[0] / size, *best[1:])
 
+    def _counted(self, ids: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, last word + 1) of the places that hold enough of an item's rarest words."""
+        gap = int(self.spans.max())
+        starts = np.cumsum([0] + [len(x) + gap for x in ids])
+        place = [np.flatnonzero(self.n_owners[x]) for x in ids]
+        word = np.concatenate([x[at] for x, at in zip(ids, place)])
+        place = np.concatenate([at + start for at, start in zip(place, starts)])
+        total = np.cumsum(self.n_owners[word])
+        lo = 0
+        while lo < len(place):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+            back = int(np.searchsorted(place, place[lo] - gap))
+            w = word[back:hi]
+            n = self.n_owners[w]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            key = self.owners[np.repeat(self.first_owner[w], n) + within] << 40 | np.repeat(place[back:hi], n)
+            key.sort()
+            item, at = key >> 40, key & (1 << 40) - 1
+            last = np.arange(len(key)) + self.hits[item] - 1
+            live = np.flatnonzero(last < len(key))
+            last = last[live]
+            met = (item[last] == item[live]) & (at[last] - at[live] < self.spans[item[live]])
+            first, last, item = at[live[met]], at[last[met]], item[live[met]]
+            text = np.searchsorted(starts, first, "right") - 1
+            a, b = last - self.spans[item] + 1 - starts[text], first + self.spans[item] - starts[text]
+            # Neighbouring places of one text and item are one.
+            new = np.ones(len(a), bool)
+            new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (a[1:] >= b[:-1])
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(a)) - 1 if len(a) else heads
+            yield from zip(text[heads].tolist(), item[heads].tolist(), a[heads].tolist(), b[tails].tolist())
+            lo = hi
+
     def search(self, texts: list[bytes]) -> list[dict[int, tuple]]:
         """For each text: item number -> (cosine, share, answer, start, length) of its best leak."""
+        out: list[dict[int, tuple]] = [{} for _ in texts]
+        if not texts:
+            return out
         words = [words_of(t) for t in texts]
-        owner, passages, sizes, terms = [], [], [], []
-        for i, w in enumerate(words):
-            passage, term, _ = passage_terms(w, self.vocabulary)
+        ids = [word_ids(w, self.lookup) for w in words]
+        owner, passages, sizes, terms = ([np.zeros(0, np.int64)] for _ in range(4))
+        for i, x in enumerate(ids):
+            passage, term, _ = passage_terms(self.kept[x])
             if len(term):
                 first = np.flatnonzero(np.diff(passage, prepend=-1))
                 size = np.diff(np.append(first, len(passage)))
@@ -228,23 +307,27 @@ class Searcher:
                 passages.append(passage[first][live])
                 sizes.append(size[live])
                 terms.append(term[np.repeat(live, size)])
-        out: list[dict[int, tuple]] = [{} for _ in texts]
-        if not owner or not sum(map(len, sizes)):
-            return out
         owner, passages, sizes, terms = map(np.concatenate, (owner, passages, sizes, terms))
         edge = np.concatenate([[0], np.cumsum(sizes)])
-        for lo in range(0, len(sizes), 4000):
-            hi = min(lo + 4000, len(sizes))
+
+        def cosines(lo: int, hi: int) -> np.ndarray:
             y = _unit_rows(sizes[lo:hi], terms[edge[lo]:edge[hi]], self.weight, self.basis).astype(np.float32)
-            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-            cosine = y @ self.latent.T
+            return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12) @ self.latent.T
+
+        for lo in range(0, len(sizes), 4000):
+            cosine = cosines(lo, min(lo + 4000, len(sizes)))
             for p, q in np.argwhere(cosine >= MIN_COSINE):
-                i = int(owner[lo + p])
-                found = self._check(words[i], int(q), int(passages[lo + p]))
-                if found and (found[0] >= VERBATIM or found[1]):
-                    hit = (float(cosine[p, q]), *found)
-                    if q not in out[i] or hit[1] > out[i][q][1]:
-                        out[i][int(q)] = hit
+                i, at, size = int(owner[lo + p]), int(passages[lo + p]) * STRIDE, len(self.words[q])
+                found = self._check(words[i], int(q), at - size, at + PASSAGE + size)
+                if found and (q not in out[i] or found[0] > out[i][q][1]):
+                    out[i][int(q)] = (float(cosine[p, q]), *found)
+        for i, q, a, b in self._counted(ids):
+            found = self._check(words[i], q, a, b)
+            if found and (q not in out[i] or found[0] > out[i][q][1]):
+                start, n = found[2:]
+                lo, hi = np.searchsorted(owner, [i, i + 1])
+                lo, hi = lo + np.searchsorted(passages[lo:hi] * STRIDE, [start - PASSAGE + 1, start + n])
+                out[i][q] = (float(cosines(lo, hi)[:, q].max()) if lo < hi else 0.0, *found)
         return out
 
 
@@ -288,7 +371,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
         vocabulary = {w: i for i, w in enumerate(w for w, t in every.items() if keep[t])}
         weight = np.log((2 + passages) / (1 + df[:-1][keep])) ** 2
         rows = materialize(texts.mapInArrow(tidy(_rows_task(vocabulary)), "terms array<int>"), "passages")
-        out.append(Searcher(items, vocabulary, weight, latent_basis(rows, weight)))
+        out.append(Searcher(items, vocabulary, weight, latent_basis(rows, weight), {w: int(df[t]) for w, t in every.items()}))
     return out
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,3 +89,40 @@ def test_empty_tables(spark, odd_docs, no_docs, prose):
     some = spark.createDataFrame([(1, prose(20, 77)), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
     assert D.find_leaks(odd_docs, none).count() == 0 and D.keep_clean(odd_docs, none).count() == 12
     assert D.find_leaks(no_docs, some).count() == 0 and D.find_leaks(odd_docs, some).count() == 0
+
+
+def brute(text, item):
+    """Whether some stretch of the text leaks the item: every start, no candidates."""
+    words, own = D.words_of(text.encode()), D.words_of(item.encode())
+    size, span = len(own), len(own) + max(3, len(own) // 4)
+    tail = own[-D.ANSWER_WORDS:]
+    for at in range(len(words)):
+        stretch = words[at:at + span]
+        found = D.common_subsequence(D._masks(own), size, stretch)
+        if found >= D.VERBATIM * size:
+            return True
+        if found >= D.PARAPHRASE * size and D.common_subsequence(D._masks(tail), len(tail), stretch) >= D.ANSWER * len(tail):
+            return True
+    return False
+
+
+def test_edited_items_against_brute_force(spark, prose):
+    """Items whose rarest words were replaced in place, by prose words, at several shares: as every stretch checked."""
+    rng = random.Random(8)
+    items = [(q, prose(rng.randint(15, 45), 7000 + q)) for q in range(40)]
+    texts = [prose(rng.choice([30, 150]), 100 + i) for i in range(160)]
+    seen = Counter(w for t in texts for w in t.split())
+    truth, rows = set(), []
+    for i, text in enumerate(texts):
+        q, share = i % 40, (1.0, 0.85, 0.78, 0.6)[i // 40]
+        words = items[q][1].split()
+        free = range(len(words) - 5 if share == 0.6 else len(words))
+        for k in sorted(free, key=lambda k: seen[words[k]])[:int((1 - share) * len(words))]:
+            words[k] = prose(1, 20000 + 50 * i + k)
+        at = rng.randrange(len(text.split()))
+        rows.append((i, " ".join(text.split()[:at] + words + text.split()[at:])))
+        truth |= {(i, p) for p, t in items if brute(rows[-1][1], t)}
+    assert len(truth) >= 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = D.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == truth
