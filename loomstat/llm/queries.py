@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstat.llm.additive import op11_quality_classifier
 from loomstat.llm.chat import OP2_SQL, op2_chat_format
 from loomstat.llm.decontam import op3_decontaminate
 from loomstat.llm.hyperlang import op10_language_id
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_language_id": op10_language_id,
+    "op11_quality_classifier": op11_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL}
