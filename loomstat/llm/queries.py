@@ -15,6 +15,7 @@ from loomstat.llm.mixing import op4_soft_mixing
 from loomstat.llm.neardup import op5_near_duplicates
 from loomstat.llm.pii import op7_pii_crf
 from loomstat.llm.quality import op6_quality_rules
+from loomstat.llm.survival import OP12_SQL, op12_filter_audit
 from loomstat.llm.urls import op8_url_filter
 from loomstat.llm.wavelet import op9_wavelet_shards
 
@@ -30,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_language_id": op10_language_id,
     "op11_quality_classifier": op11_quality_classifier,
+    "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLE: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL}
+ORACLE: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL,
+                          "op12_filter_audit": OP12_SQL}
