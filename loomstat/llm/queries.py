@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomstat.llm.additive import op11_quality_classifier
 from loomstat.llm.chat import OP2_SQL, op2_chat_format
 from loomstat.llm.decontam import op3_decontaminate
+from loomstat.llm.divergence import OP13_SQL, op13_source_divergence
 from loomstat.llm.hyperlang import op10_language_id
 from loomstat.llm.licenses import OP1_SQL, op1_license_scan
 from loomstat.llm.mixing import op4_soft_mixing
@@ -32,7 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_quality_classifier": op11_quality_classifier,
     "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL,
-                          "op12_filter_audit": OP12_SQL}
+                          "op12_filter_audit": OP12_SQL, "op13_source_divergence": OP13_SQL}
