@@ -1,45 +1,40 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks with license notices.
 
-Join: a text block (a line, or overlapping windows of a longer line) matches a
-template when the block holds at least ``threshold`` of the template's distinct
-tokens.  A notice may be wrapped over lines: a text of several lines also has
-overlapping windows over all its words as blocks, and there the tokens must stand
-within the template's own number of words and a quarter more (words scattered over a
-whole window are no notice).  Tokens have one global order, rarest first, from counts
-over the line blocks.
-Then, exactly:
-
-* prefix: a match shares a token of the template's first |T| - need + 1 tokens,
-  so blocks meet templates by an equi-join on prefix tokens (never all pairs);
-* length: a block with fewer template-vocabulary tokens than ``need`` is dropped;
-* position: the tokens left after the meeting token, on either side, must still
-  be able to reach ``need``.
-
-Survivors are verified on full sets.  Templates are a small table (checked
-against ``MAX_TEMPLATES``) and broadcast; blocks are never shuffled, only the
-matches are.  Only tokens of the templates' vocabulary can add to an overlap, so
-blocks carry just those.
-
-Native: DataFrame expressions only.
+Join: a block of a text is a run of words, as many as the template has and a quarter more, wherever it stands (line
+breaks separate words like any other separator).  A block matches a template when it holds at least ``threshold`` of
+the template's distinct tokens.  Tokens have one global order, rarest first, from their counts in all texts.  Then,
+exactly:
+
+* prefix: a matching block holds a token of the template's first |T| - need + 1 tokens, so texts meet templates by an
+  equi-join on the places of prefix tokens (never all pairs), and only blocks around such a place are looked at;
+* length: words around the place with fewer distinct vocabulary tokens than ``need`` hold no match;
+* position: the tokens left on either side of the meeting token, in global order, must still be able to reach ``need``.
+
+Survivors are verified on full sets, block by block; a block begins at a token of the template (the first one in any
+matching run of words).  Each text is split once: what is kept of it are the places of words of the phrases and
+templates (``vocabulary_places``), written to the shared folder; counts, phrases and blocks come from there.  Templates
+are a small table (checked against ``MAX_TEMPLATES``) and broadcast; texts are never shuffled, only matches are.
+
+Native: DataFrame expressions only; templates are SQL ``VALUES``.
 
 Edge cases: null or empty text has no words and no matches; a null ``doc_id``
 groups like any other value; rows sharing a ``doc_id`` share the joined labels
-but keep their own counts; ties in frequency are ordered by token; a very long
-line is cut into overlapping windows that cover all of it; an empty table gives
-no rows; extra columns are ignored.
+but keep their own counts; ties in frequency are ordered by token; templates without words match nothing; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import ascii_lower, bounded_rows, table
+from loomstat.llm.common import ascii_lower, bounded_rows, materialize, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATES = 5_000
 THRESHOLD = 0.8
-BLOCK_WORDS, BLOCK_STEP = 96, 48
 
 # Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -63,146 +58,123 @@ TEMPLATES = [
 ]
 
 
-def spaced(text: Column) -> Column:
-    """Words of a text, each between its own two blanks: ' a  b  c '; empty when there is no word."""
-    body = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
-    return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(body, F.lit(" "), F.lit("  ")),
-                                                             F.lit(" ")))
+def word_list(text: str) -> list[str]:
+    """Words of a template or phrase, as texts are split into them."""
+    lower = text.translate({c: c + 32 for c in range(0x41, 0x5B)})
+    return [w for w in re.split(SEPARATORS, lower) if w]
 
 
-def _n_words(s: Column) -> Column:
-    """Number of words in a ``spaced`` text (or in a piece cut from one at word borders)."""
-    return ((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("long")
+def block_words(n: int) -> int:
+    """Words in a block for a template of ``n`` words."""
+    return n + n // 4
 
 
-def phrase_columns(norm: Column, phrases: dict[str, str] = PHRASES) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and the array of base labels of a ``spaced`` text.
+def vocabulary_places(docs: DataFrame, vocabulary: set[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, hits): per row, its number of words and the places ``(at, w)`` of the vocabulary's words."""
+    words = F.split(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), SEPARATORS, -1)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("words"))
+    lead = F.when(F.col("words")[0] == "", 1).otherwise(0)  # a leading separator makes an empty first word
+    trail = F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
+    known = sorted(vocabulary)
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(known), F.struct((i - lead).alias("at"), w.alias("w")))),
+                      lambda h: h.isNotNull())
+    return rows.select("doc_id", (F.size("words") - lead - trail).cast("long").alias("n_words"), places.alias("hits"))
 
-    Phrases must not overlap themselves (checked), so non-overlapping search finds every place.
-    """
-    n, firsts, lasts, labels = F.lit(0), [], [], []
-    total = _n_words(norm)
+
+def phrase_columns(hits: Column, phrases: dict[str, str] = PHRASES) -> dict[str, Column]:
+    """n_base, first_word, last_word and the array of base labels, from the places of the phrases' words."""
+    def stands(phrase: list[str]):
+        def here(h, j):
+            ok = h["w"] == phrase[0]
+            for k, w in enumerate(phrase[1:], 1):
+                next_ = F.get(hits, j + k)
+                ok = ok & F.coalesce((next_["w"] == w) & (next_["at"] == h["at"] + k), F.lit(False))
+            return ok
+        return here
+
+    found, labels = [], []
     for phrase, label in phrases.items():
-        words = phrase.split(" ")
-        if any(words[:k] == words[-k:] for k in range(1, len(words))):
-            raise ValueError(f"phrase overlaps itself: {phrase}")
-        form = " " + "  ".join(words) + " "
-        found = norm.contains(form)
-        n = n + F.when(found, (F.length(norm) - F.length(F.replace(norm, F.lit(form), F.lit("")))) / len(form)).otherwise(0)
-        firsts.append(F.when(found, _n_words(F.substring_index(norm, form, 1))))
-        lasts.append(F.when(found, total - len(words) - _n_words(F.substring_index(norm, form, -1))))
-        labels.append(F.when(found, F.lit(label)))
-    pad = F.lit(None).cast("long")
-    return {"n_words": total, "n_base": n.cast("long"), "first_word": F.least(*firsts, pad),
-            "last_word": F.greatest(*lasts, pad), "base": F.array_distinct(F.array_compact(F.array(*labels)))}
-
-
-def token_set(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(ascii_lower(text), SEPARATORS, " ")), " ", -1)
-    return F.filter(F.array_distinct(words), lambda w: w != "")
-
-
-def text_blocks(docs: DataFrame, vocabulary: list[str], doc_id: str = "doc_id", text: str = "text",
-                span: int | None = None) -> DataFrame:
-    """(doc_id, block, words, tokens): for each block the distinct words that are in ``vocabulary``, when there is one.
-
-    Blocks are lines (``words`` null); with ``span`` also, as line -1, windows over all words of a text of several
-    lines, so that any ``span`` words in a row stand in one of them.
-    """
-    plain = F.regexp_replace(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
-                             r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    bodies = F.split(plain, "\n")
-    if span is None:
-        size, step = F.lit(BLOCK_WORDS), F.lit(BLOCK_STEP)
-        lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.posexplode(bodies).alias("line", "body"))
-    else:
-        wide = max(BLOCK_WORDS, 2 * span)
-        size = F.when(F.col("line") < 0, F.lit(wide)).otherwise(F.lit(BLOCK_WORDS))
-        step = F.when(F.col("line") < 0, F.lit(wide - span)).otherwise(F.lit(BLOCK_STEP))
-        whole = F.when(plain.contains("\n"), F.regexp_replace(plain, r"[ \n]+", " ")).otherwise(F.lit(""))
-        lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
-                            F.posexplode(F.concat(F.array(whole), bodies)).alias("line", "body"))
-        lines = lines.withColumn("line", F.col("line") - 1)
-    words = lines.select("doc_id", "line", F.split(F.trim("body"), " ").alias("w"))
-    starts = F.when(F.size("w") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("w") - (size - step), step))
-    vocab = F.array(*[F.lit(v) for v in vocabulary])
-    blocks = words.select("doc_id", "line", "w", F.explode(starts).alias("at"))
-    part = F.when(F.size("w") <= size, F.col("w")).otherwise(F.slice("w", F.col("at") + 1, size))
-    return (blocks.select("doc_id", F.struct("line", "at").alias("block"), F.when(F.col("line") < 0, part).alias("words"),
-                          F.array_intersect(part, vocab).alias("tokens"))
-            .filter(F.size("tokens") > 0))
-
-
-def ordered_templates(templates: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """Template tokens in global order with prefix length and required overlap.
-
-    Input: ``templates`` (template, label, tokens); ``frequency`` (token, n).
-    """
-    t = templates.select("template", "label", F.explode("tokens").alias("token"))
-    t = t.join(F.broadcast(frequency), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    t = t.groupBy("template", "label").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
-    size = F.size("o")
-    need = F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int")
-    return t.select("template", "label", F.col("o.token").alias("t_tokens"), need.alias("need"),
-                    (size - need + 1).alias("prefix"))
+        places = F.transform(F.filter(hits, stands(word_list(phrase))), lambda h: h["at"])
+        found.append(places)
+        labels.append(F.when(F.size(places) > 0, F.lit(label)))
+    every = F.concat(*found)
+    return {"n_base": F.size(every).cast("long"), "first_word": F.array_min(every).cast("long"),
+            "last_word": F.array_max(every).cast("long"), "base": F.array_distinct(F.array_compact(F.array(*labels)))}
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
-         doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every (doc_id, block, template, label, containment) with containment >= threshold."""
-    spark = docs.sparkSession
+def _sql_list(values: list[str]) -> str:
+    return "ARRAY(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def probe_table(spark: SparkSession, templates: list[tuple[str, str]], counts: dict[str, int],
+                threshold: float) -> tuple[DataFrame, Column]:
+    """(template, label, t_tokens, t_at, token, need, span) for each prefix token, and the global rank of tokens."""
+    sets = [(i, label, word_list(t)) for i, (label, t) in enumerate(templates)]
+    order = sorted({w for _, _, t in sets for w in t}, key=lambda w: (counts.get(w, 0), w))
+    rank = {w: r for r, w in enumerate(order)}
+    rows = []
+    for i, label, t in sets:
+        tokens = sorted(set(t), key=rank.get)
+        need = -int(-(threshold * len(tokens) - 1e-9) // 1)
+        rows += [f"({i}, '{label}', {_sql_list(tokens)}, {at}, '{w}', {need}, {block_words(len(t))})"
+                 for at, w in enumerate(tokens[:len(tokens) - need + 1])]
+    names = "template, label, t_tokens, t_at, token, need, span"
+    empty = "(0, '', ARRAY(''), 0, CAST(NULL AS STRING), 1, 1)"  # joins with nothing
+    probes = spark.sql(f"SELECT * FROM VALUES {', '.join(rows or [empty])} AS t({names})")
+    return probes, F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)] or [F.lit(""), F.lit(0)])
+
+
+def match(places: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Every (doc_id, at, template, label, containment) with containment >= threshold in the block that begins at word
+    ``at``, a token of the template.  ``places`` is what ``vocabulary_places`` gives for all their words."""
+    spark = places.sparkSession
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"templates: more than {MAX_TEMPLATES}; scan them in several calls")
-    small = spark.createDataFrame([(i, lab, t) for i, (lab, t) in enumerate(templates)],
-                                  "template int, label string, text string")
-    length = _n_words(spaced(F.col("text"))).cast("int")
-    small = small.select("template", "label", token_set(F.col("text")).alias("tokens"),
-                         (length + F.floor(length / 4).cast("int")).alias("span"))
-    rows = small.collect()
-    vocabulary = sorted({w for r in rows for w in r["tokens"]})
-    blocks = text_blocks(docs, vocabulary, doc_id, text, max((r["span"] for r in rows), default=1))
-    # Counts over the line blocks; bounded by the templates' vocabulary.
-    frequency = text_blocks(docs, vocabulary, doc_id, text).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    counted = bounded_rows(frequency, len(vocabulary), "token frequencies")
-    frequency = spark.createDataFrame([tuple(r) for r in counted], "token string, n long")
-    ranks = {w: i for i, (_, w) in enumerate(sorted([(0, v) for v in set(vocabulary) - {r["token"] for r in counted}]
-                                                    + [(r["n"], r["token"]) for r in counted]))}
-    rank = F.create_map(*[F.lit(x) for w, i in ranks.items() for x in (w, i)])
-
-    ordered = ordered_templates(small, frequency, threshold).join(small.select("template", "span"), "template")
-    probes = ordered.select("template", "label", "t_tokens", "need", "prefix", "span",
-                            F.posexplode("t_tokens").alias("t_at", "token")).filter(F.col("t_at") < F.col("prefix"))
-    fewest = min((r["need"] for r in ordered.select("need").collect()), default=1)
-    prefix_tokens = F.array(*[F.lit(r["token"]) for r in probes.select("token").distinct().orderBy("token").collect()])
-    # Length filter, and a block must hold a prefix token; then the block's own global order.
-    live = blocks.filter((F.size("tokens") >= fewest) & F.arrays_overlap("tokens", prefix_tokens))
-    live = live.select("doc_id", "block", "words", F.transform(F.array_sort(F.transform(
-        "tokens", lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda s: s["w"]).alias("tokens"))
-    met = live.select("doc_id", "block", "words", "tokens", F.posexplode("tokens").alias("b_at", "token"))
+    vocabulary = {w for _, t in templates for w in word_list(t)}
+    counted = places.select(F.explode("hits.w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(
+        F.col("w").isin(sorted(vocabulary)))
+    counts = {r["w"]: r["n"] for r in bounded_rows(counted, len(vocabulary), "token frequencies")}
+    probes, rank = probe_table(spark, templates, counts, threshold)
+    met = places.select("doc_id", "hits", F.posexplode("hits").alias("k", "hit")).select(
+        "doc_id", "hits", "k", F.col("hit.at").alias("p"), F.col("hit.w").alias("token"))
     met = met.join(F.broadcast(probes), "token")
-    met = met.filter((F.size("tokens") >= F.col("need"))
-                     & (F.lit(1) + F.least(F.size("t_tokens") - F.col("t_at") - 1, F.size("tokens") - F.col("b_at") - 1)
-                        + F.least("t_at", "b_at") >= F.col("need")))
-    overlap = F.size(F.array_intersect("t_tokens", "tokens"))
-    # A pair is met once for each shared prefix token: keep the meeting at the first one.
-    first = F.array_min(F.transform(F.array_intersect(F.slice("t_tokens", F.lit(1), F.col("prefix")), "tokens"),
-                                    lambda w: F.array_position("t_tokens", w))) == F.col("t_at") + 1
-    met = met.filter(first).withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
-    # In a window over lines: the most tokens within the template's span.
-    places = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("span") + 1, F.lit(1)))
-    near = F.array_max(F.transform(places, lambda s: F.size(F.array_intersect("t_tokens", F.slice("words", s, F.col("span"))))))
-    return (met.withColumn("overlap", F.when(F.col("words").isNull(), F.col("overlap")).otherwise(near))
-            .filter(F.col("overlap") >= F.col("need"))
-            .select("doc_id", "block", "template", "label", (F.col("overlap") / F.size("t_tokens")).alias("containment")))
+    # Places are distinct, so those within ``span`` words of p are within ``span`` entries of k.
+    low = F.greatest(F.col("k") - F.col("span") + 2, F.lit(1))
+    around = F.filter(F.slice("hits", low, F.col("k") + 1 - low + F.col("span")),
+                      lambda h: (h["at"] > F.col("p") - F.col("span")) & (h["at"] < F.col("p") + F.col("span")))
+    met = met.select("doc_id", "p", "template", "label", "t_tokens", "t_at", "token", "need", "span", around.alias("near"))
+    tokens = F.array_distinct("near.w")
+    met = met.filter(F.size(tokens) >= F.col("need"))
+    ranks = F.array_sort(F.filter(F.transform(tokens, lambda w: rank[w]), lambda r: r.isNotNull()))
+    met = met.withColumn("ranks", ranks).withColumn("b_at", F.array_position("ranks", rank[F.col("token")]).cast("int") - 1)
+    met = met.filter(F.lit(1) + F.least(F.size("t_tokens") - F.col("t_at") - 1, F.size("ranks") - F.col("b_at") - 1)
+                     + F.least("t_at", "b_at") >= F.col("need"))
+    met = met.withColumn("own", F.filter("near", lambda h: F.array_contains("t_tokens", h["w"])))
+
+    def held(s):
+        block = F.filter("own", lambda h: (h["at"] >= s["at"]) & (h["at"] < s["at"] + F.col("span")))
+        return F.size(F.array_distinct(F.transform(block, lambda h: h["w"])))
+
+    starts = F.transform(F.filter("own", lambda h: h["at"] <= F.col("p")), lambda s: F.struct(s["at"], held(s).alias("n")))
+    met = met.select("doc_id", "template", "label", "t_tokens", "need", F.inline(starts)).filter(F.col("n") >= F.col("need"))
+    return met.select("doc_id", "at", "template", "label", (F.col("n") / F.size("t_tokens")).alias("containment")).distinct()
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+         doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``match`` of a table of texts."""
+    vocabulary = {w for _, t in templates for w in word_list(t)}
+    return match(materialize(vocabulary_places(docs, vocabulary, doc_id, text), "places"), templates, threshold)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and template matches of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs).groupBy("doc_id").agg(F.collect_set("label").alias("met"),
-                                             F.max("containment").alias("score"))
-    base = docs.select("doc_id", spaced(F.col("text")).alias("norm"))
-    base = base.select("doc_id", *[c.alias(n) for n, c in phrase_columns(F.col("norm")).items()])
+    known = {w for t in [*PHRASES, *(t for _, t in TEMPLATES)] for w in word_list(t)}
+    places = materialize(vocabulary_places(docs, known), "places")
+    found = match(places).groupBy("doc_id").agg(F.collect_set("label").alias("met"),
+                                                F.max("containment").alias("score"))
+    base = places.select("doc_id", "n_words", *[c.alias(n) for n, c in phrase_columns(F.col("hits")).items()])
     hits = found.select(F.col("doc_id").alias("_id"), "met", "score")
     out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     met = F.coalesce("met", F.array().cast("array<string>"))
@@ -212,30 +184,27 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _sql_list(values: list[str]) -> str:
+def _duck_list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _template_words(text: str) -> list[str]:
-    return sorted(set("".join(c if c.isalnum() else " " for c in text.lower()).split()))
-
-
 _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS_SQL = r"list_filter(string_split_regex({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x : x <> '')"
 _PHRASE_SQL = " UNION ALL ".join(
     f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i : w[i + 1:i + {len(p.split())}] = "
-    f"{_sql_list(p.split())})) AS pos FROM d" for p, label in PHRASES.items())
-_TEMPLATE_SQL = "VALUES " + ", ".join(f"('{label}', {_sql_list(_template_words(t))})" for label, t in TEMPLATES)
-#: DuckDB SQL of the query: phrases by list slices, templates by list intersection with every window of every line.
+    f"{_duck_list(p.split())})) AS pos FROM d" for p, label in PHRASES.items())
+_TEMPLATE_SQL = "VALUES " + ", ".join(
+    f"('{label}', {_duck_list(sorted(set(word_list(t))))}, {block_words(len(word_list(t)))})" for label, t in TEMPLATES)
+#: DuckDB SQL of the query: phrases by list slices, templates by list intersection with the block at every word that is
+#: one of the template's.
 OP1_SQL = f"""
-WITH d AS MATERIALIZED (SELECT doc_id, {_LOWER_SQL} AS t, {_WORDS_SQL.format(_LOWER_SQL)} AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex({_LOWER_SQL},
+  '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x : x <> '') AS w FROM documents),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
   list_sort(list(DISTINCT label)) AS labels FROM ({_PHRASE_SQL}) GROUP BY doc_id),
-lines AS (SELECT doc_id, {_WORDS_SQL.format("line")} AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-windows AS (SELECT doc_id, list_distinct(w[pos + 1:pos + {BLOCK_WORDS}]) AS w FROM (SELECT doc_id, w,
-  unnest(CASE WHEN len(w) <= {BLOCK_WORDS} THEN [0] ELSE range(0, len(w) - {BLOCK_STEP} + 1, {BLOCK_STEP}) END) AS pos
-  FROM lines WHERE len(w) > 0)),
-met AS (SELECT doc_id, label, len(list_intersect(tw, w)) / len(tw) AS share FROM windows, ({_TEMPLATE_SQL}) AS t(label, tw)),
+t(label, tw, span) AS ({_TEMPLATE_SQL}),
+starts AS (SELECT doc_id, w, label, tw, span,
+  unnest(list_filter(range(len(w)), lambda i : list_contains(tw, w[i + 1]))) AS pos FROM d, t),
+met AS (SELECT doc_id, label, len(list_intersect(tw, w[pos + 1:pos + span])) / len(tw) AS share FROM starts),
 hits AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM met
   WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,

@@ -1,5 +1,7 @@
 import re
 
+import duckdb
+
 from loomstat.llm import licenses as L
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -20,15 +22,13 @@ def brute(text):
                 places.append(k)
                 labels.add(label)
     met = []
-    for line in (text or "").split("\n"):
-        lw = words(line)
-        step, size = L.BLOCK_STEP, L.BLOCK_WORDS
-        parts = [lw] if len(lw) <= size else [lw[i:i + size] for i in range(0, len(lw) - step + 1, step)]
-        for part in parts:
-            for label, t in L.TEMPLATES:
-                share = len(set(words(t)) & set(part)) / len(set(words(t)))
-                if share >= L.THRESHOLD - 1e-9:
-                    met.append((label, share))
+    for label, t in L.TEMPLATES:
+        tw = set(words(t))
+        span = len(words(t)) + len(words(t)) // 4
+        for k in range(max(1, len(w) - span + 1)):
+            share = len(tw & set(w[k:k + span])) / len(tw)
+            if share >= L.THRESHOLD - 1e-9:
+                met.append((label, share))
     return w, places, labels, met
 
 
@@ -71,18 +71,6 @@ def test_main_path_is_native(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
-def brute_wrapped(text, span_of=lambda n: n + n // 4):
-    """(label, containment) of every place in the whole word sequence, whatever the line breaks."""
-    w, met = words(text), []
-    for label, t in L.TEMPLATES:
-        tw, span = set(words(t)), span_of(len(words(t)))
-        for k in range(max(1, len(w) - span + 1)):
-            share = len(tw & set(w[k:k + span])) / len(tw)
-            if share >= L.THRESHOLD - 1e-9:
-                met.append((label, share))
-    return met
-
-
 def test_notices_wrapped_over_lines(spark, folder, prose):
     """Notices broken over lines, with comment marks, at any place between prose; scattered words are no notice."""
     texts, i = {}, 0
@@ -92,13 +80,35 @@ def test_notices_wrapped_over_lines(spark, folder, prose):
             notice = mark + mark.join(" ".join(tw[k:k + width]) for k in range(0, len(tw), width))
             texts[i := i + 1] = prose(before, i) + notice + "\n" + prose(70, i + 500)
     plain = max(texts)
-    texts[plain + 1] = "\n".join(["released", prose(9, 1), "under the", prose(9, 2), "mit", prose(9, 3), "license"])
+    scattered = ["released", prose(9, 1), "under the", prose(9, 2), "mit", prose(9, 3), "license"]
+    texts[plain + 1], texts[plain + 2] = "\n".join(scattered), " ".join(scattered)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path = folder(documents=df)
+    out = L.op1_license_scan(spark, path).collect()
+    check(out, texts)
+    for r in out:
+        assert r.doc_id > plain or L.TEMPLATES[(r.doc_id - 1) // 4][0] in r.labels.split(",")
+        assert r.doc_id <= plain or r.labels == ""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    cur = con.execute(L.OP1_SQL)
+    rows = [dict(zip([c[0] for c in cur.description], row)) for row in cur.fetchall()]
+    assert sorted(rows, key=lambda r: r["doc_id"]) == sorted((r.asDict() for r in out), key=lambda r: r["doc_id"])
+
+
+def test_every_matching_block(spark, prose):
+    """Blocks, not only labels: each start at a token of the template, ties and repeats included."""
+    texts = {1: "Released under the MIT License. " * 3, 2: prose(40, 1) + " the mit license released under the mit",
+             3: "license under released mit the", 4: "Licensed under CC BY-SA 4.0 " + prose(5, 2) + " CC BY-SA"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    out = {r.doc_id: r for r in L.op1_license_scan(spark, folder(documents=df)).collect()}
+    got = {(r.doc_id, r["at"], r.template, round(r.containment, 9)) for r in L.scan(df).collect()}
+    want = set()
     for d, text in texts.items():
-        _, _, labels, met = brute(text)
-        met += brute_wrapped(text)
-        assert out[d].labels == ",".join(sorted(labels | {x for x, _ in met}))
-        assert abs(out[d].score - max([s for _, s in met], default=0.0)) < 1e-9
-        assert d > plain or L.TEMPLATES[(d - 1) // 4][0] in out[d].labels.split(",")
-    assert out[plain + 1].labels == ""
+        w = words(text)
+        for i, (_, t) in enumerate(L.TEMPLATES):
+            tw, n = set(words(t)), len(words(t))
+            for k in range(len(w)):
+                share = len(tw & set(w[k:k + n + n // 4])) / len(tw)
+                if w[k] in tw and share >= L.THRESHOLD - 1e-9:
+                    want.add((d, k, i, round(share, 9)))
+    assert got == want and len({x[2] for x in got}) > 1
