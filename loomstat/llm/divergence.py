@@ -12,9 +12,9 @@ multiplies one block of terms for one pair of group blocks.  Within it, terms ar
 product has at most ``MAX_COLUMNS`` indicator columns a side.  Products are in 32-bit floats: entries are counts of at
 most ``2 * BLOCK_TERMS`` terms, exact below 2^24; probabilities are integers (Python's, so no count overflows), sums 64-bit.
 
-Counting: a task adds up its texts in bounded counters a group and gives out (language, source, term, occurrences,
-documents); these are summed by all three, then by (language, term) for the document frequency, so that a term or a
-source with a third of all rows is a few rows a task.
+Counting: a task adds up its texts in bounded counters and gives out, a term and language, its documents and its
+occurrences by source; one shuffle by (language, term) finds the document frequency, drops the rare terms and adds up
+the rest, so that a term or a source with a third of all rows is a few rows a task.
 
 Edge cases: null text, language and source are empty strings; a row is a document, also when its ``doc_id`` repeats or is
 null; a group without terms has zero counts; a language without kept terms gives distance 0 to all its pairs; a language
@@ -41,7 +41,7 @@ TOP_TERMS = 50
 UNIT, PRIOR = 1_000_000_000, 5
 BLOCK_TERMS, BLOCK_GROUPS, MAX_COLUMNS = 2048, 64, 1024
 #: Entries that a counting task holds before it gives them out, and bytes of a text that it splits at once.
-HELD_TERMS, PIECE = 300_000, 4 << 20
+HELD_TERMS, PIECE = 400_000, 4 << 20
 SCHEMA = "lang string, source string, part string, item string, value long, rank int"
 
 # Letters, and all bytes of longer characters, stay; A-Z become a-z; the rest separates.
@@ -59,27 +59,35 @@ def pieces(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    #: Per language: documents of each term, and occurrences of each term by source.
+    found: dict[str, tuple[Counter, dict[str, Counter]]] = {}
     held = 0
 
     def out():
-        for (lang, source), (n, docs) in found.items():
-            terms = list(n)
+        for lang, (docs, sources) in found.items():
+            place = {t: i for i, t in enumerate(docs)}
+            term = np.concatenate([np.fromiter(map(place.__getitem__, n), np.int64, len(n)) for n in sources.values()])
+            order = np.argsort(term, kind="stable")
+            ends = np.searchsorted(term[order], np.arange(len(place) + 1)).astype(np.int32)
+            source = np.repeat(np.arange(len(sources)), [len(n) for n in sources.values()])[order]
+            n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])[order]
+            names = pa.array(list(sources), pa.string()).take(pa.array(source))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                 pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n[t] for t in terms], pa.int64()),
-                 pa.array([docs[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+                [pa.array([lang] * len(place), pa.string()), pa.array(list(place), pa.binary()).cast(pa.string()),
+                 pa.array(docs.values(), pa.int64()), pa.ListArray.from_arrays(ends, names),
+                 pa.ListArray.from_arrays(ends, pa.array(n))], names=["lang", "term", "docs", "sources", "n"])
         found.clear()
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
-            n, docs = found.setdefault((lang, source), (Counter(), Counter()))
-            before, seen = len(n), set()
+            docs, sources = found.setdefault(lang, (Counter(), {}))
+            n = sources.setdefault(source, Counter())
+            before, seen = len(n) + len(docs), set()
             for terms in pieces(text):
                 n.update(terms)
                 seen.update(terms)
             docs.update(seen)
-            held += len(n) - before
+            held += len(n) + len(docs) - before
             if held >= HELD_TERMS:
                 yield from out()
                 held = 0
@@ -91,11 +99,13 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """(lang, source, term, n, total) of the terms in at least ``min_docs`` documents of their language."""
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name)
                          for c, name in ((lang, "lang"), (source, "source"))), F.col(f"`{text}`").alias("text"))
-    cells = rows.mapInArrow(tidy(_count_task), "lang string, source string, term string, n long, docs long")
-    cells = cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    one_term = W.partitionBy("lang", "term")  # at most one row per source
-    cells = cells.withColumn("df", F.sum("docs").over(one_term)).withColumn("total", F.sum("n").over(one_term))
-    return cells.filter(F.col("df") >= min_docs).select("lang", "source", "term", "n", "total")
+    counted = rows.mapInArrow(tidy(_count_task), "lang string, term string, docs long, sources array<string>, n array<long>")
+    # One shuffle, by term; what few documents hold goes before its sources are taken apart.
+    kept = counted.withColumn("df", F.sum("docs").over(W.partitionBy("lang", "term"))).filter(F.col("df") >= min_docs)
+    cells = kept.select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("n").alias("n"))))
+    cells = cells.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(W.partitionBy("lang", "term")).alias("total")
+    return cells.select("lang", "source", "term", "n", total)
 
 
 def group_sizes(docs: DataFrame, cells: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
