@@ -26,12 +26,11 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import (IndexToString, PolynomialExpansion, SQLTransformer, StandardScaler,
                                 StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +38,7 @@ from pyspark.sql import types as T
 from loomstat.functions.exprs import col_of, is_datetime_type, is_numeric_type, nan_to_null, text_of
 from loomstat.functions.quantiles import column_quantiles
 from loomstat.operators import metrics as M
+from loomstat.operators.boosting import NewtonBoost
 from loomstat.operators.split import kfold, split_dataset
 from loomstat.operators.stages import TextCodes
 
@@ -169,9 +169,8 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
         if model == "nb":
             return NaiveBayes(modelType="gaussian", **kw, **wk)
         if model == "xgb":
-            gbt = GBTClassifier(maxDepth=int(p.get("max_depth") or 3), stepSize=float(p.get("eta", 0.3)),
-                                maxIter=int(p.get("n_estimators", 10)), seed=seed, **kw)
-            return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **kw)
+            return NewtonBoost(n_classes=n_classes, max_depth=int(p.get("max_depth") or 3), eta=float(p.get("eta", 0.3)),
+                               rounds=int(p.get("n_estimators", 10)), **kw)
         if model in ("svm", "knn"):
             raise ValueError(f"model '{model}' is built by its own operator")
     else:
@@ -195,8 +194,8 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
             return RandomForestRegressor(numTrees=int(p.get("n_estimators", 10)), maxDepth=depth,
                                          featureSubsetStrategy="all", maxMemoryInMB=512, seed=seed, **kw, **wk)
         if model == "xgb":
-            return GBTRegressor(maxDepth=int(p.get("max_depth") or 3), stepSize=float(p.get("eta", 0.3)),
-                                maxIter=int(p.get("n_estimators", 5)), seed=seed, **kw)
+            return NewtonBoost(max_depth=int(p.get("max_depth") or 3), eta=float(p.get("eta", 0.3)),
+                               rounds=int(p.get("n_estimators", 5)), **kw)
     raise ValueError(f"Unknown model '{model}' for {task}")
 
 

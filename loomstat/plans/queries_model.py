@@ -9,6 +9,7 @@ rows-only check.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,7 @@ from loomstat.operators import anomaly as AN
 from loomstat.operators import cluster as CL
 from loomstat.operators import reduce as RD
 from loomstat.operators import train as TR
+from loomstat.operators.boosting import NewtonBoost
 from loomstat.operators.knn import knn_join
 from loomstat.plans.catalog import T as TBL
 from loomstat.plans.catalog import register
@@ -96,6 +98,68 @@ def _q_nb(spark, sf):
     return s.select("class", "feature", F.round("mean", 4).alias("mean"), F.round("var", 4).alias("var"))
 
 
+# ------------------------------------------------------------------ one Newton tree, by SQL
+def _stumps(model, classes, features):
+    """(class, feature, threshold, left, right, gain) of the single split of each tree."""
+    rows = []
+    for c, tree in zip(classes, model.trees[0]):
+        rows.append((c, features[int(tree.feature[0])], float(tree.threshold[0]), round(float(tree.value[1]), 6),
+                     round(float(tree.value[2]), 6), round(float(tree.gain[0]), 3)))
+    return rows
+
+
+_STUMP = "class string, feature string, threshold double, left_leaf double, right_leaf double, gain double"
+
+
+def _stump_sql(table: str, g: str, h: str, classes: str, features: list[str]) -> str:
+    """The best split of gradients ``g`` and curvatures ``h`` (SQL over ``table`` joined with ``classes``)."""
+    cells = " UNION ALL ".join(f"SELECT class, '{f}' AS feature, {i} AS i, CAST({f} AS DOUBLE) AS x, g, h FROM s"
+                               for i, f in enumerate(features))
+    return (f"WITH s AS (SELECT class, t.*, {g} AS g, {h} AS h FROM {table} t, {classes}), c AS ({cells}), "
+            "v AS (SELECT class, feature, i, x, sum(g) AS g, sum(h) AS h FROM c GROUP BY ALL), "
+            "l AS (SELECT class, feature, i, lead(x) OVER w AS threshold, sum(g) OVER w AS gl, sum(h) OVER w AS hl, "
+            "sum(g) OVER (PARTITION BY class, feature) AS gt, sum(h) OVER (PARTITION BY class, feature) AS ht FROM v "
+            "WINDOW w AS (PARTITION BY class, feature ORDER BY x)), "
+            "k AS (SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM l "
+            "WHERE threshold IS NOT NULL AND hl >= 1 AND ht - hl >= 1), "
+            "b AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY gain DESC, i, threshold) AS r FROM k) "
+            "SELECT class, feature, threshold, round(-0.3 * gl / (hl + 1), 6) AS left_leaf, "
+            "round(-0.3 * (gt - gl) / (ht - hl + 1), 6) AS right_leaf, round(gain, 3) AS gain FROM b WHERE r = 1")
+
+
+_STUMP_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _stump_rows(spark, sf, label, n_classes):
+    li = TBL(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _STUMP_FEATURES], label.alias("label"))
+    rows = VectorAssembler(inputCols=_STUMP_FEATURES, outputCol="features").transform(li)
+    return NewtonBoost(n_classes=n_classes, max_depth=1, rounds=1).fit(rows)
+
+
+@register("reg_xgb_stump", _stump_sql("lineitem", "(SELECT avg(l_extendedprice) FROM lineitem) - l_extendedprice", "1.0",
+                                      "(SELECT 'all' AS class)", _STUMP_FEATURES))
+def _q_reg_stump(spark, sf):
+    m = _stump_rows(spark, sf, F.col("l_extendedprice"), 0)
+    return spark.createDataFrame(_stumps(m, ["all"], _STUMP_FEATURES), _STUMP)
+
+
+@register("clf_xgb_stump", _stump_sql("lineitem", "1.0 / 3 - CASE WHEN l_returnflag = class THEN 1 ELSE 0 END", "4.0 / 9",
+                                      "(SELECT DISTINCT l_returnflag AS class FROM lineitem) k", _STUMP_FEATURES))
+def _q_clf_stump(spark, sf):
+    flags = ["A", "N", "R"]
+    label = F.array_position(F.array(*[F.lit(x) for x in flags]), F.col("l_returnflag")).cast("double") - 1
+    return spark.createDataFrame(_stumps(_stump_rows(spark, sf, label, 3), flags, _STUMP_FEATURES), _STUMP)
+
+
+@register("clf_xgb_logistic_stump", _stump_sql(
+    "lineitem", "(SELECT avg(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) FROM lineitem) - CASE WHEN l_linestatus = 'O' "
+    "THEN 1 ELSE 0 END", "(SELECT avg(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) * (1 - avg(CASE WHEN l_linestatus = 'O' "
+    "THEN 1 ELSE 0 END)) FROM lineitem)", "(SELECT 'O' AS class)", _STUMP_FEATURES))
+def _q_logistic_stump(spark, sf):
+    m = _stump_rows(spark, sf, (F.col("l_linestatus") == "O").cast("double"), 2)
+    return spark.createDataFrame(_stumps(m, ["O"], _STUMP_FEATURES), _STUMP)
+
+
 # ------------------------------------------------------------------ training (rows-only)
 def _metrics(r, spark):
     return r.metrics_frame(spark)
