@@ -35,6 +35,7 @@ from loomstat.llm.common import ascii_lower, bounded_rows, materialize, table
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATES = 5_000
 THRESHOLD = 0.8
+PIECE = 512  # places of a text that are searched at once
 
 # Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -106,6 +107,16 @@ def _sql_list(values: list[str]) -> str:
     return "ARRAY(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+def need_of(size: int, threshold: float) -> int:
+    return -int(-(threshold * size - 1e-9) // 1)
+
+
+def prefix_tokens(text: str, counts: dict[str, int], threshold: float) -> list[str]:
+    """The template's rarest tokens, one of which every matching block holds."""
+    tokens = sorted(set(word_list(text)), key=lambda w: (counts.get(w, 0), w))
+    return tokens[:len(tokens) - need_of(len(tokens), threshold) + 1] if tokens else []
+
+
 def probe_table(spark: SparkSession, templates: list[tuple[str, str]], counts: dict[str, int],
                 threshold: float) -> tuple[DataFrame, Column]:
     """(template, label, t_tokens, t_at, token, need, span) for each prefix token, and the global rank of tokens."""
@@ -115,9 +126,9 @@ def probe_table(spark: SparkSession, templates: list[tuple[str, str]], counts: d
     rows = []
     for i, label, t in sets:
         tokens = sorted(set(t), key=rank.get)
-        need = -int(-(threshold * len(tokens) - 1e-9) // 1)
+        need, first = need_of(len(tokens), threshold), prefix_tokens(templates[i][1], counts, threshold)
         rows += [f"({i}, '{label}', {_sql_list(tokens)}, {at}, '{w}', {need}, {block_words(len(t))})"
-                 for at, w in enumerate(tokens[:len(tokens) - need + 1])]
+                 for at, w in enumerate(first)]
     names = "template, label, t_tokens, t_at, token, need, span"
     empty = "(0, '', ARRAY(''), 0, CAST(NULL AS STRING), 1, 1)"  # joins with nothing
     probes = spark.sql(f"SELECT * FROM VALUES {', '.join(rows or [empty])} AS t({names})")
@@ -135,14 +146,22 @@ def match(places: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thres
         F.col("w").isin(sorted(vocabulary)))
     counts = {r["w"]: r["n"] for r in bounded_rows(counted, len(vocabulary), "token frequencies")}
     probes, rank = probe_table(spark, templates, counts, threshold)
-    met = places.select("doc_id", "hits", F.posexplode("hits").alias("k", "hit")).select(
-        "doc_id", "hits", "k", F.col("hit.at").alias("p"), F.col("hit.w").alias("token"))
+    prefix = sorted({w for i, (_, t) in enumerate(templates) for w in prefix_tokens(t, counts, threshold)})
+    widest = max((block_words(len(word_list(t))) for _, t in templates), default=1)
+    # A text's places in pieces that overlap by a block on both sides; then, around each prefix token, the places near it.
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("hits") - 1) / PIECE).cast("int")), lambda c: F.struct(
+        F.least(c * PIECE, F.lit(widest)).alias("own"),
+        F.slice("hits", F.greatest(c * PIECE - widest, F.lit(0)) + 1,
+                F.least(c * PIECE, F.lit(widest)) + (PIECE + widest)).alias("part")))
+    parts = places.filter(F.size("hits") > 0).select("doc_id", F.inline(pieces))
+    around = F.transform("part", lambda h, i: F.when(
+        h["w"].isin(prefix) & (i >= F.col("own")) & (i < F.col("own") + PIECE),
+        F.struct(h["at"].alias("p"), h["w"].alias("token"),
+                 F.slice("part", F.greatest(i - widest, F.lit(0)) + 1, 2 * widest + 1).alias("near"))))
+    met = parts.select("doc_id", F.inline(F.filter(around, lambda a: a.isNotNull())))
     met = met.join(F.broadcast(probes), "token")
-    # Places are distinct, so those within ``span`` words of p are within ``span`` entries of k.
-    low = F.greatest(F.col("k") - F.col("span") + 2, F.lit(1))
-    around = F.filter(F.slice("hits", low, F.col("k") + 1 - low + F.col("span")),
-                      lambda h: (h["at"] > F.col("p") - F.col("span")) & (h["at"] < F.col("p") + F.col("span")))
-    met = met.select("doc_id", "p", "template", "label", "t_tokens", "t_at", "token", "need", "span", around.alias("near"))
+    near = F.filter("near", lambda h: (h["at"] > F.col("p") - F.col("span")) & (h["at"] < F.col("p") + F.col("span")))
+    met = met.select("doc_id", "p", "template", "label", "t_tokens", "t_at", "token", "need", "span", near.alias("near"))
     tokens = F.array_distinct("near.w")
     met = met.filter(F.size(tokens) >= F.col("need"))
     ranks = F.array_sort(F.filter(F.transform(tokens, lambda w: rank[w]), lambda r: r.isNotNull()))

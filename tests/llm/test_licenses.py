@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pytest
 
 from loomstat.llm import licenses as L
 
@@ -96,8 +97,10 @@ def test_notices_wrapped_over_lines(spark, folder, prose):
     assert sorted(rows, key=lambda r: r["doc_id"]) == sorted((r.asDict() for r in out), key=lambda r: r["doc_id"])
 
 
-def test_every_matching_block(spark, prose):
-    """Blocks, not only labels: each start at a token of the template, ties and repeats included."""
+@pytest.mark.parametrize("piece", [1, 7, 512])
+def test_every_matching_block(spark, prose, monkeypatch, piece):
+    """Blocks, not only labels: each start at a token of the template, ties and repeats included, over pieces."""
+    monkeypatch.setattr(L, "PIECE", piece)
     texts = {1: "Released under the MIT License. " * 3, 2: prose(40, 1) + " the mit license released under the mit",
              3: "license under released mit the", 4: "Licensed under CC BY-SA 4.0 " + prose(5, 2) + " CC BY-SA"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
