@@ -9,14 +9,16 @@ from :mod:`loomstat.functions.quantiles` (exact, no single-task buffer).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstat.functions.cell_ranks import average_cell_ranks
 from loomstat.functions.exprs import (col_of, is_datetime_type, is_numeric_type, is_string_type,
                                       nan_to_null, numeric_columns, numeric_of, pct, round_dp,
                                       skew_corrected)
-from loomstat.functions.ordered import average_ranks
+from loomstat.functions.moments import centres, pair_moments, value_array
 from loomstat.functions.quantiles import column_quantiles, unpivot_numeric
 
 
@@ -252,26 +254,12 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def pair_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson r of every column pair, pairwise-complete: ``(col_a, col_b, n, r)``.
+    """Pearson r of every column pair, pairwise-complete: ``(col_a, col_b, n, r)``; a constant side gives a null r.
 
-    One pass for every hundred pairs, each pair by ``covar_pop`` / ``stddev_pop``
-    (stable online moments); rows are not expanded.  ``try_divide`` turns a
-    constant column into a null r instead of an ANSI error.
-    """
-    xs = {c: numeric_of(c, df.schema[c].dataType) for c in columns}
-    pairs, out = _pair_list(columns), None
-    for at in range(0, len(pairs), 100):
-        part, aggs = pairs[at:at + 100], []
-        for k, (i, j) in enumerate(part):
-            x, y = xs[columns[i]], xs[columns[j]]
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            aggs += [F.count(x).alias(f"n{k}"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-                     .alias(f"r{k}")]
-        rows = F.array(*[F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
-                                  F.col(f"n{k}").alias("n"), F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(part)])
-        found = df.agg(*aggs).select(F.inline(rows))
-        out = found if out is None else out.unionByName(found)
-    return out
+    Two scans whatever the number of pairs: column means, then blocks of cross products."""
+    names = F.array(*[F.lit(c) for c in columns])
+    found = pair_moments(value_array(df, columns), centres(df, columns))
+    return found.select(names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"), "n", "r")
 
 
 def pearson_pairs(df: DataFrame, columns: list[str] | None = None, dp: int = 4) -> DataFrame:
@@ -282,32 +270,41 @@ def pearson_pairs(df: DataFrame, columns: list[str] | None = None, dp: int = 4)
     return pair_stats(df, cols).select("col_a", "col_b", round_dp(F.col("r"), dp).alias("r"))
 
 
-def rank_columns(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """``key`` plus the average rank of each column (nulls stay null)."""
-    out = df.select(col_of(key), *[col_of(c) for c in columns])
-    for c in columns:
-        r = average_ranks(df.select(col_of(c).cast("double").alias("_v")), "_v")
-        out = out.join(r.select(F.col("_v").alias(c), F.col("avg_rank").alias(f"_r_{c}")), on=c, how="left") \
-                 .drop(c).withColumnRenamed(f"_r_{c}", c)
-    return out
-
-
 def spearman_pairs(df: DataFrame, columns: list[str] | None, key: str, dp: int = 4) -> DataFrame:
-    """Spearman: Pearson on average ranks, pairwise complete.
+    """Spearman: Pearson on average ranks, pairwise complete (``key`` is only left out of the default columns).
 
-    Columns without missing values are ranked once; a pair with missing values is ranked over the rows that have
-    both."""
+    A column without missing values is ranked once; a pair with missing values ranks both columns over the rows that
+    have both.  All these lists are ranked by one range shuffle of cells, and meet again by one shuffle by row."""
     cols = columns or [c for c in numeric_columns(df) if c != key]
-    df = nan_to_null(df, cols)
-    missing = df.agg(*[F.count_if(col_of(c).isNull()).alias(c) for c in cols]).first() if cols else {}
-    whole = [c for c in cols if not missing[c]]
-    out = pearson_pairs(rank_columns(df, whole, key), whole, dp)
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            if missing[a] or missing[b]:
-                both = df.where(col_of(a).isNotNull() & col_of(b).isNotNull())
-                out = out.unionByName(pearson_pairs(rank_columns(both, [a, b], key), [a, b], dp))
-    return out
+    empty = df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    if len(cols) < 2:
+        return empty
+    row = df.select(*[numeric_of(c, df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(cols)])
+    row = row.withColumn("row", F.monotonically_increasing_id())
+    missing = row.agg(*[F.count_if(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in range(len(cols))]).first()
+    lists: list[tuple[int, int]] = []  # (column, other column whose gaps count too)
+    at: dict[tuple[int, int], int] = {}
+    pairs = []
+    for i, j in _pair_list(cols):
+        ends = []
+        for mine, other in ((i, j), (j, i)):
+            which = (mine, other) if missing[f"v{i}"] or missing[f"v{j}"] else (mine, mine)
+            if which not in at:
+                at[which] = len(lists)
+                lists.append(which)
+            ends.append(at[which])
+        pairs.append(tuple(ends))
+    cells = F.array(*[F.struct(F.lit(k).alias("list"), F.when(F.col(f"v{other}").isNotNull(), F.col(f"v{mine}")).alias("value"))
+                      for k, (mine, other) in enumerate(lists)])
+    ranked, sizes = average_cell_ranks(row.select("row", F.inline(cells)).where("value IS NOT NULL"))
+    together = ranked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("list", "rank"))).alias("m"))
+    rows = together.select(F.transform(F.sequence(F.lit(0), F.lit(len(lists) - 1)), lambda k: F.col("m")[k]).alias("x"))
+    shift = np.array([(sizes.get(k, 0) + 1) / 2 for k in range(len(lists))])
+    found = pair_moments(rows, shift, pairs)
+    a, b = (F.array(*[F.lit(cols[mine]) for mine, _ in lists])[F.col(c)] for c in ("i", "j"))
+    found = found.select(a.alias("col_a"), b.alias("col_b"), round_dp(F.col("r"), dp).alias("r"))
+    want = df.sparkSession.createDataFrame([(cols[i], cols[j]) for i, j in _pair_list(cols)], "col_a string, col_b string")
+    return want.join(found, ["col_a", "col_b"], "left")
 
 
 # ---------------------------------------------------------------- distributions

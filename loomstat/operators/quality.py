@@ -5,11 +5,11 @@ the alerts embedded in the EDA report (``mode="eda"``).  They differ in
 details (nulls as a value for the constant test, target exclusion,
 severities, class imbalance) — see the parameters below.
 
-A table is read three times: once for a wide aggregate of every column (nulls,
-zeros, skewness, extremes, distinct sketch) and every pair of numeric columns
-(pairwise-complete moments), once for exact counts of the few columns whose sketch
-lies near a threshold (64-bit hashes of their values), and once for duplicate rows
-(row hashes).  What comes back has a row per column or pair, so alerts and score
+Numbers and text are measured apart.  Numeric columns: centres, then one pass of blocks for moments, zeros and
+extremes of every column and one for the correlation of every pair (``functions.moments``).  Other columns: one pass in long
+form (a row per column and task after partial aggregation) for nulls, extremes and a distinct sketch.  Then exact counts of
+the few columns whose sketch lies near a threshold (64-bit hashes of their values), and one pass over row hashes for
+duplicates.  No aggregate grows with the number of pairs.  What comes back has a row per column or pair, so alerts and score
 are made from one and the same small result.
 """
 
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.functions.exprs import col_of, is_numeric_type, nan_to_null, numeric_of, skew_corrected
+from loomstat.functions.exprs import col_of, is_numeric_type, nan_to_null
+from loomstat.functions.moments import centres, column_moments, pair_moments, skewness, value_array
 from loomstat.operators.profile import duplicate_count
 
 ALERT_SCHEMA = "alert_type string, severity string, column_name string, column_b string, value double"
@@ -37,38 +38,41 @@ CHECK_WEIGHTS = {"high": 15.0, "medium": 8.0}
 EDA_WEIGHTS = {"high": 15.0, "medium": 8.0, "low": 3.0}
 
 
-#: Aggregates of one pass; more (many columns make many pairs) are spread over several.
-AGGREGATES_PER_PASS = 400
-
-
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
 
-def _aggregate(df: DataFrame, aggs: dict) -> dict:
-    """One row of named aggregates, in as few passes as their number allows."""
-    out, names = {}, list(aggs)
-    for i in range(0, len(names), AGGREGATES_PER_PASS):
-        out |= df.agg(*[aggs[n].alias(n) for n in names[i:i + AGGREGATES_PER_PASS]]).first().asDict()
-    return out
-
-
-def _wide(df: DataFrame, corr_cols: list[str]) -> dict:
-    """Statistics of every column and correlation of every pair of ``corr_cols``."""
-    aggs = {"n": F.count(F.lit(1))}
-    for i, f in enumerate(df.schema.fields):
-        text = col_of(f.name).cast("string")
-        aggs |= {f"nn{i}": F.count(col_of(f.name)), f"lo{i}": F.min(text), f"hi{i}": F.max(text),
-                 f"nd{i}": F.approx_count_distinct(text, 0.02)}
-        if is_numeric_type(f.dataType):
-            x = numeric_of(f.name, f.dataType)
-            aggs |= {f"zero{i}": F.count_if(x == 0), f"skew{i}": skew_corrected(x)}
-    for i, a in enumerate(corr_cols):
-        for j in range(i + 1, len(corr_cols)):
-            x, y = (numeric_of(c, df.schema[c].dataType) for c in (a, corr_cols[j]))
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            aggs[f"r{i}_{j}"] = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return _aggregate(df, aggs)
+def _wide(df: DataFrame, corr_cols: list[str], classes: list[str]) -> dict:
+    """Statistics of every column (by position) and correlation of every pair of ``corr_cols``.
+
+    ``classes`` are columns that need a distinct sketch although they may be numeric."""
+    num = _numeric(df)
+    at = {c: i for i, c in enumerate(df.columns)}
+    out = {}
+    if num:
+        values, shift = value_array(df, num), centres(df, num)
+        near = []
+        for c, m in zip(num, column_moments(values, shift)):
+            i = at[c]
+            out |= {f"nn{i}": m["n"], f"zero{i}": m["zeros"], f"skew{i}": skewness(m), f"one{i}": bool(m["n"]) and m["min"] == m["max"]}
+            if out[f"one{i}"] and not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+                near.append(c)  # equal as doubles: long integers and decimals may still differ
+        if near:
+            sure = df.agg(*[(F.min(col_of(c)) == F.max(col_of(c))).alias(f"one{at[c]}") for c in near]).first()
+            out |= sure.asDict()
+        if len(corr_cols) > 1:
+            which = [num.index(c) for c in corr_cols]
+            pairs = pair_moments(values.select(F.array(*[F.col("x")[k] for k in which]).alias("x")), shift[which])
+            out |= {f"r{r['i']}_{r['j']}": r["r"] for r in pairs.collect()}
+    rest = list(dict.fromkeys([c for c in df.columns if c not in num] + classes))
+    cells = [F.struct(F.lit(at[c]).alias("i"), col_of(c).cast("string").alias("t")) for c in rest]
+    if cells:
+        long = df.select(F.inline(F.array(*cells))).groupBy("i").agg(
+            F.count("t").alias("nn"), F.min("t").alias("lo"), F.max("t").alias("hi"),
+            F.approx_count_distinct("t", 0.02).alias("nd"))
+        for r in long.collect():
+            out |= {f"nn{r['i']}": r["nn"], f"nd{r['i']}": r["nd"], f"one{r['i']}": r["nn"] > 0 and r["lo"] == r["hi"]}
+    return {"n": df.count()} | out
 
 
 def _exact(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
@@ -87,9 +91,11 @@ def _assess(df: DataFrame, target: str | None, mode: str, max_imbalance_columns:
     df = nan_to_null(df)
     num, eda = _numeric(df), mode == "eda"
     features = [c for c in num if c != target] if eda else num
-    w = _wide(df, features)
+    w = _wide(df, features, [target] if eda and target in df.columns else [])
     n = w["n"]
     at = {c: i for i, c in enumerate(df.columns)}
+    for i in at.values():  # an empty table has no groups
+        w = {f"nn{i}": 0, f"nd{i}": 0, f"one{i}": False, f"zero{i}": 0, f"skew{i}": None} | w
     rows: list[tuple] = []
 
     def fire(kind: str, severity: str, value, column: str | None = None, other: str | None = None) -> None:
@@ -107,13 +113,13 @@ def _assess(df: DataFrame, target: str | None, mode: str, max_imbalance_columns:
                 fire("zero_inflated", "medium", share(w[f"zero{i}"]), c)
             if w[f"skew{i}"] is not None and abs(w[f"skew{i}"]) > SKEW_ABS:
                 fire("extreme_skewness", "medium", w[f"skew{i}"], c)
-        if n and w[f"lo{i}"] == w[f"hi{i}"]:
+        if n and (w[f"one{i}"] or not w[f"nn{i}"]):
             distinct = (w[f"nn{i}"] > 0) + (eda and nulls > 0)
             if distinct <= 1:
                 fire("constant_column", "high", distinct, c)
     for i, a in enumerate(features):
         for j in range(i + 1, len(features)):
-            r = w[f"r{i}_{j}"]
+            r = w.get(f"r{i}_{j}")
             if r is not None and abs(r) > CORR_ABS:
                 fire("multicollinearity", "medium" if eda else "high", abs(r), a, features[j])
 
