@@ -7,7 +7,14 @@ bound ``u_q`` on its k-th neighbour distance; then only the cells with
 ``d(q, p_c) - r_c <= u_q`` (``r_c`` = cell radius), the others of which cannot hold a
 neighbour by the triangle inequality.  In few dimensions that is a handful of cells; in
 many dimensions distances concentrate, cells overlap and an exact search has to
-look at most of them - ``mean_cells`` reports how many.
+look at most of them - ``mean_cells`` reports how many.  ``knn_join(approximate=c)`` is the
+named way out: the second phase then looks only at the c cells whose pivots are nearest, and
+``recall_of`` measures what that costs on a sample of queries.
+
+Pivots form a tree of two levels (``PivotTree``): about sqrt(m) groups of about sqrt(m) pivots, each group with a centre
+and a radius.  The tree is one Spark broadcast of at most ``MAX_PIVOT_BYTES`` (beyond that there are fewer, larger cells),
+and a point looks at the groups first, so finding its cell takes n^(1/4) distances instead of n^(1/2).  What is known of
+a cell (rows, chunks) is a table and joined; no plan has a literal per pivot.
 
 Pivot distances are matrix products in blocks of bounded size inside
 ``mapInPandas``.  Candidate queries meet the references of a cell in a ``cogroup``
@@ -19,9 +26,11 @@ block's result leaves the task.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,11 +51,6 @@ def euclid(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def _pivots(refs: DataFrame, rid: str, vec: str, m: int) -> np.ndarray:
-    rows = refs.select(vec, hash_order(rid, 17).alias("_h"), rid).orderBy("_h", rid).limit(m).collect()
-    return np.array([r[vec] for r in rows], dtype=float)
-
-
 def _distances(X: np.ndarray, P: np.ndarray) -> np.ndarray:
     """Euclidean distances of all rows of X to all rows of P, by a matrix product."""
     d = (X * X).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (X @ P.T)
@@ -64,63 +68,150 @@ def _by_rows(n: int, width: int):
     return [slice(i, min(i + step, n)) for i in range(0, n, step)]
 
 
+#: Bytes of the largest pivot broadcast.
+MAX_PIVOT_BYTES = 64 << 20
+
+
+class PivotTree:
+    """Pivots in groups around the first of them; cells are numbered by group."""
+
+    def __init__(self, P: np.ndarray):
+        n_tops = max(1, math.isqrt(len(P)))
+        top = np.concatenate([_distances(P[s], P[:n_tops]).argmin(1) for s in _by_rows(len(P), n_tops)]) if len(P) else np.zeros(0, int)
+        order = np.argsort(top, kind="stable")
+        self.P, used = P[order], np.unique(top)
+        self.tops = P[used]
+        self.starts = np.r_[np.searchsorted(top[order], used), len(P)]
+        self.radii = np.full(len(P), -np.inf)  # of cells; -inf: no reference
+        self.top_radii = np.full(len(used), -np.inf)
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """What is broadcast: arrays only, so that executors need no class to read them."""
+        return self.P, self.tops, self.starts, self.radii, self.top_radii
+
+    @classmethod
+    def of(cls, parts: tuple[np.ndarray, ...]) -> PivotTree:
+        tree = cls.__new__(cls)
+        tree.P, tree.tops, tree.starts, tree.radii, tree.top_radii = parts
+        return tree
+
+    def learn_radii(self, cells: np.ndarray, radii: np.ndarray) -> None:
+        """Radii of the cells that hold references; a group reaches as far as its farthest cell."""
+        self.radii[cells] = radii
+        for t, (a, b) in enumerate(zip(self.starts, self.starts[1:])):
+            reach = np.sqrt(((self.P[a:b] - self.tops[t]) ** 2).sum(1)) + self.radii[a:b]
+            self.top_radii[t] = reach.max() if b > a else -np.inf
+
+    def nearest(self, X: np.ndarray) -> np.ndarray:
+        """The cell of each row: nearest pivot of the nearest group that has a reference (or, before radii are known, of
+        any group)."""
+        dead = np.isneginf(self.top_radii) & ~np.isneginf(self.top_radii).all()
+        empty = np.isneginf(self.radii) & ~np.isneginf(self.radii).all()
+        out = np.zeros(len(X), np.int64)
+        for s in _by_rows(len(X), len(self.tops)):
+            d = _distances(X[s], self.tops)
+            d[:, dead] = np.inf
+            top = d.argmin(1)
+            for t in np.unique(top):
+                rows = np.flatnonzero(top == t) + s.start
+                a, b = self.starts[t], self.starts[t + 1]
+                for r in _by_rows(len(rows), b - a):
+                    near = _distances(X[rows[r]], self.P[a:b])
+                    near[:, empty[a:b]] = np.inf
+                    out[rows[r]] = a + near.argmin(1)
+        return out
+
+    def reach(self, X: np.ndarray, u: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells that may hold a point within ``u`` of the row; ``most``: of the nearest pivots only."""
+        rows, cells = [], []
+        slack = _slack(X, self.P)
+        limit = u * (1 + 1e-9) + slack
+        for s in _by_rows(len(X), len(self.tops)):
+            open_ = _distances(X[s], self.tops) - self.top_radii <= (limit[s] + slack)[:, None]
+            for t in np.flatnonzero(open_.any(0)):
+                mine = np.flatnonzero(open_[:, t]) + s.start
+                a, b = self.starts[t], self.starts[t + 1]
+                for r in _by_rows(len(mine), b - a):
+                    i, c = np.nonzero(_distances(X[mine[r]], self.P[a:b]) - self.radii[a:b] <= limit[mine[r]][:, None])
+                    rows.append(mine[r][i])
+                    cells.append(a + c)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, cell = np.concatenate(rows), np.concatenate(cells)
+        if most is not None:
+            d = ((X[row] - self.P[cell]) ** 2).sum(1)
+            order = np.lexsort((cell, d, row))
+            row, cell = row[order], cell[order]
+            first = np.searchsorted(row, row)
+            keep = np.arange(len(row)) - first < most
+            row, cell = row[keep], cell[keep]
+        return row, cell
+
+
+@dataclass
+class Cells:
+    """References with their cells (a checkpointed table), the broadcast tree, rows a cell (a table) and the dimension."""
+
+    refs: DataFrame
+    tree: Broadcast
+    sizes: DataFrame
+    dim: int
+
+
 def assign_cells(refs: DataFrame, rid: str = "rid", vec: str = "vec", n_pivots: int | None = None,
-                 extra: list[str] | None = None):
-    """Cell of every reference point (its nearest pivot), frozen by a reliable checkpoint, plus the pivots and
-    per-cell counts and radii (arrays of sqrt(n) entries).  ``extra`` columns are carried along."""
-    n_ref = refs.count()
-    m = n_pivots or max(1, int(math.sqrt(max(n_ref, 1))))
-    P = _pivots(refs, rid, vec, m)
-    m = len(P)
+                 extra: list[str] | None = None) -> Cells:
+    """Cell of every reference point, frozen by a reliable checkpoint.  ``extra`` columns are carried along."""
+    spark = refs.sparkSession
+    head = refs.select(F.size(vec).alias("d")).first()
+    dim = head["d"] if head else 1
+    m = n_pivots or math.isqrt(max(refs.count(), 1))
+    m = max(1, min(m, MAX_PIVOT_BYTES // (8 * max(dim, 1))))
+    rows = refs.select(vec, hash_order(rid, 17).alias("_h"), rid).orderBy("_h", rid).limit(m).collect()
+    tree = PivotTree(np.array([r[vec] for r in rows], float).reshape(len(rows), dim))
+    first = spark.sparkContext.broadcast(tree.parts())
     extra = extra or []
 
     def assign(it):
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf[vec].to_numpy())
-            c = np.concatenate([_distances(X[s], P).argmin(1) for s in _by_rows(len(X), m)])
-            yield pdf.assign(cell=c.astype("int32"), dpiv=np.sqrt(((X - P[c]) ** 2).sum(1)))
+            if len(pdf):
+                X, own = np.stack(pdf[vec].to_numpy()), PivotTree.of(first.value)
+                c = own.nearest(X)
+                yield pdf.assign(cell=c.astype("int32"), dpiv=np.sqrt(((X - own.P[c]) ** 2).sum(1)))
     ref_schema = T.StructType([refs.schema[rid], refs.schema[vec], *[refs.schema[e] for e in extra],
                                T.StructField("cell", T.IntegerType()), T.StructField("dpiv", T.DoubleType())])
     cells = cut_lineage(refs.select(rid, vec, *extra).mapInPandas(assign, ref_schema))
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dpiv").alias("r")).collect()
-    cnt = np.zeros(m)
-    rad = np.zeros(m)
-    for r in stats:
-        cnt[r["cell"]], rad[r["cell"]] = r["n"], r["r"]
-    return cells, P, cnt, rad
+    sizes = cut_lineage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dpiv").alias("r")))
+    known = sizes.select("cell", "r").toPandas()  # at most a row per pivot
+    tree.learn_radii(known["cell"].to_numpy(), known["r"].to_numpy())
+    return Cells(cells, spark.sparkContext.broadcast(tree.parts()), sizes.select("cell", "n"), dim)
 
 
 REF_CHUNK = 2048     # reference rows per block
 QUERY_CHUNK = 2048   # query rows per block
 
 
-def _block_join(cand: DataFrame, cells: DataFrame, cnt: np.ndarray, qid: str, emit, out_schema: T.StructType,
+def _block_join(cand: DataFrame, cells: DataFrame, sizes: DataFrame, qid: str, emit, out_schema: T.StructType,
                 extra: list[str] | None = None):
     """Cogroup candidate queries with the reference rows of their cells.
 
-    ``cand``: ``(qid, cell, _u, _qv)``; ``cells``: ``(rid, vec, cell)``.  A cell
+    ``cand``: ``(qid, cell, _u, _qv)``; ``cells``: ``(rid, vec, cell)``; ``sizes``: ``(cell, n)``, a row per cell.  A cell
     with many references or many queries is cut into fixed-size chunks on
     both sides (references replicated over query chunks and vice versa), so
     no group exceeds REF_CHUNK x QUERY_CHUNK rows however hot a cell is.
     ``emit(queries, Q, references, R)`` returns the rows of one block.
     """
     cand = cut_lineage(cand)
-    qcnt = np.zeros(len(cnt))
-    for r in cand.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        qcnt[r["cell"]] = r["n"]
-    s_r = np.maximum(1, np.ceil(cnt / REF_CHUNK)).astype(int)
-    s_q = np.maximum(1, np.ceil(qcnt / QUERY_CHUNK)).astype(int)
-    sr_arr = F.array(*[F.lit(int(x)) for x in s_r])
-    sq_arr = F.array(*[F.lit(int(x)) for x in s_q])
-    c = F.col("cell")
-    left = cand.select(qid, "cell", "_u", "_qv",
-                       F.explode(F.sequence(F.lit(0), sr_arr[c] - 1)).alias("_rc"),
-                       F.pmod(F.xxhash64(F.col(qid)), sq_arr[c]).cast("int").alias("_qc"))
-    right = cells.select(F.col("rid").alias("_rid"), F.col("vec").alias("_rv"), "cell", *(extra or []),
-                         F.pmod(F.xxhash64(F.col("rid")), sr_arr[c]).cast("int").alias("_rc"),
-                         F.explode(F.sequence(F.lit(0), sq_arr[c] - 1)).alias("_qc"))
+    asked = cand.groupBy("cell").agg(F.count(F.lit(1)).alias("_nq"))
+    chunks = cut_lineage(sizes.join(asked, "cell").select(
+        "cell", F.ceil(F.col("n") / REF_CHUNK).cast("int").alias("_sr"), F.ceil(F.col("_nq") / QUERY_CHUNK).cast("int").alias("_sq")))
+    chunks = F.broadcast(chunks)  # a row per cell, bounded by the pivots that fit MAX_PIVOT_BYTES
+    left = cand.join(chunks, "cell").select(
+        qid, "cell", "_u", "_qv", F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)).alias("_rc"),
+        F.pmod(F.xxhash64(F.col(qid)), F.col("_sq")).cast("int").alias("_qc"))
+    right = cells.join(chunks, "cell").select(
+        F.col("rid").alias("_rid"), F.col("vec").alias("_rv"), "cell", *(extra or []),
+        F.pmod(F.xxhash64(F.col("rid")), F.col("_sr")).cast("int").alias("_rc"),
+        F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)).alias("_qc"))
 
     def block(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(rpdf) == 0:
@@ -130,41 +221,35 @@ def _block_join(cand: DataFrame, cells: DataFrame, cnt: np.ndarray, qid: str, em
                .applyInPandas(block, out_schema)
 
 
-def _candidates(queries: DataFrame, qid: str, vec: str, P: np.ndarray, cnt: np.ndarray, rad: np.ndarray, own: bool,
-                eps: float | None = None) -> DataFrame:
+def _candidates(queries: DataFrame, qid: str, vec: str, state: Cells, own: bool, eps: float | None = None,
+                most: int | None = None) -> DataFrame:
     """``(qid, cell, _u, _qv)``: cells that a query has to look at.
 
     ``own``: its nearest cell alone, without a bound.  Otherwise the cells with ``d(q, p_c) - r_c <= _u``, where ``_u``
     is ``eps`` or the query's column ``_bound`` (null: unbounded), and, after a first phase, not its nearest cell."""
-    m = len(P)
     second = eps is None and not own
-    live = cnt > 0
+    shared = state.tree
 
     def cand(it):
+        tree = PivotTree.of(shared.value)
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            X = np.stack(pdf[vec].to_numpy())
-            for s in _by_rows(len(X), m):
-                d = _distances(X[s], P)
-                d[:, ~live] = np.inf
-                near = d.argmin(1)
+            everything = np.stack(pdf[vec].to_numpy())
+            for s in _by_rows(len(everything), max(len(tree.P), 1)):
+                X = everything[s]
                 if own:
-                    ok = np.zeros(d.shape, bool)
-                    ok[np.arange(len(near)), near] = True
-                    u = np.full(len(near), np.inf)
+                    qi, ci, u = np.arange(len(X)), tree.nearest(X), np.full(len(X), np.inf)
                 else:
-                    u = pdf["_bound"].to_numpy(float)[s] if second else np.full(len(near), float(eps))
+                    u = pdf["_bound"].to_numpy(float)[s] if second else np.full(len(X), float(eps))
                     u = np.where(np.isnan(u), np.inf, u)
-                    ok = (d - rad[None, :] <= (u * (1 + 1e-9))[:, None] + _slack(X[s], P)) & live[None, :]
+                    qi, ci = tree.reach(X, u, None if most is None else most + 1)
                     if second:
-                        ok[np.arange(len(near)), near] = False
-                qi, ci = np.nonzero(ok)
-                if len(qi) == 0:
-                    continue
-                rows = X[s]
-                yield pd.DataFrame({qid: pdf[qid].to_numpy()[s][qi], "cell": ci.astype("int32"), "_u": u[qi],
-                                    "_qv": [rows[i].tolist() for i in qi]})
+                        other = ci != tree.nearest(X)[qi]
+                        qi, ci = qi[other], ci[other]
+                if len(qi):
+                    yield pd.DataFrame({qid: pdf[qid].to_numpy()[s][qi], "cell": ci.astype("int32"), "_u": u[qi],
+                                        "_qv": [X[i].tolist() for i in qi]})
     schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("cell", T.IntegerType()),
                            T.StructField("_u", T.DoubleType()),
                            T.StructField("_qv", T.ArrayType(T.DoubleType()))])
@@ -177,12 +262,16 @@ def _exact(q: np.ndarray, R: np.ndarray) -> np.ndarray:
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
-             exclude_self: bool = False, n_pivots: int | None = None, stats: dict | None = None) -> DataFrame:
+             exclude_self: bool = False, n_pivots: int | None = None, stats: dict | None = None,
+             approximate: int | None = None) -> DataFrame:
     """``(qid, rid, dist, rank)``: the k nearest references of every query
     (ties by ``rid``).  ``exclude_self`` drops the pair ``qid == rid``.  ``stats`` gets ``mean_cells``, the number of
-    cells that a query met, and ``cells``, their number."""
-    cells, P, cnt, rad = assign_cells(refs.select(F.col(rid).alias("rid"), F.col(vec).alias("vec")), "rid", "vec",
-                                      n_pivots)
+    cells that a query met, and ``cells``, their number.
+
+    ``approximate`` = c looks only at the query's own cell and the c others with the nearest pivots, whatever the bound:
+    distances are exact, but neighbours in farther cells are missed (see ``recall_of``)."""
+    state = assign_cells(refs.select(F.col(rid).alias("rid"), F.col(vec).alias("vec")), "rid", "vec", n_pivots)
+    cells = state.refs
     rid_type = cells.schema["rid"].dataType
     out_schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("rid", rid_type),
                                T.StructField("dist", T.DoubleType())])
@@ -209,35 +298,63 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
 
     w = Window.partitionBy(qid).orderBy("dist", "rid")
     q = queries.select(F.col(qid), F.col(vec).alias("_v"))
-    first = _block_join(_candidates(q, qid, "_v", P, cnt, rad, own=True), cells, cnt, qid, emit, out_schema)
+    first = _block_join(_candidates(q, qid, "_v", state, own=True), cells, state.sizes, qid, emit, out_schema)
     first = cut_lineage(first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     bound = first.where(F.col("rank") == k).select(F.col(qid).alias("_q"), F.col("dist").alias("_bound"))
     bounded = q.join(bound, F.col(qid) == F.col("_q"), "left").drop("_q")
-    cand = _candidates(bounded, qid, "_v", P, cnt, rad, own=False)
+    cand = _candidates(bounded, qid, "_v", state, own=False, most=approximate)
     if stats is not None:
         cand = cut_lineage(cand)
-        stats |= {"mean_cells": 1 + cand.count() / max(q.count(), 1), "cells": len(P)}
-    rest = _block_join(cand, cells, cnt, qid, emit, out_schema)
+        stats |= {"mean_cells": 1 + cand.count() / max(q.count(), 1), "cells": len(state.tree.value[0])}
+    rest = _block_join(cand, cells, state.sizes, qid, emit, out_schema)
     both = first.drop("rank").unionByName(rest)
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def recall_of(found: DataFrame, queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid",
+              vec: str = "vec", sample: int = 200, exclude_self: bool = False) -> float:
+    """Share of the true k nearest references that ``found`` (a result of ``knn_join``) holds, for a hash sample of queries
+    (``sample`` of them, each compared with every reference)."""
+    few = queries.orderBy(hash_order(qid, 29), qid).limit(sample)
+    rows = [(r[qid], np.array(r[vec], float)) for r in few.select(qid, vec).collect()]
+    Q, ids = np.array([v for _, v in rows]).reshape(len(rows), -1), [i for i, _ in rows]
+    rt, qt = refs.schema[rid].dataType, queries.schema[qid].dataType
+
+    def best(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            names, R = pdf[rid].to_numpy(), np.stack(pdf[vec].to_numpy())
+            for i, q in zip(ids, Q):
+                d = _exact(q, R)
+                if exclude_self:
+                    d = np.where(names == i, np.inf, d)
+                near = np.lexsort((names, d))[:k]
+                yield pd.DataFrame({"q": i, "r": names[near], "d": d[near]})
+    schema = T.StructType([T.StructField("q", qt), T.StructField("r", rt), T.StructField("d", T.DoubleType())])
+    w = Window.partitionBy("q").orderBy("d", "r")
+    true = refs.select(rid, vec).mapInPandas(best, schema).where(F.col("d") < float("inf"))
+    true = true.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select("q", "r")
+    n = true.count()
+    hit = true.join(found, (F.col("q") == F.col(qid)) & (F.col("r") == F.col("rid")), "left_semi").count()
+    return hit / n if n else 1.0
+
+
 def range_sums(queries: DataFrame, qid: str, cells_state, eps: float, vec: str = "vec",
                sums: bool = True) -> DataFrame:
     """``(qid, n, s)``: count and (unless ``sums`` is off) vector sum of the references within ``eps`` of each query.
 
     ``cells_state`` is the result of :func:`assign_cells` (reused across
     iterations); every block returns one partial (n, sum) per query."""
-    cells, P, cnt, rad = cells_state
-    cand = _candidates(queries, qid, vec, P, cnt, rad, own=False, eps=eps)
+    cand = _candidates(queries, qid, vec, cells_state, own=False, eps=eps)
     out_schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField("n", T.LongType())]
                               + [T.StructField("s", T.ArrayType(T.DoubleType()))] * sums)
 
     def emit(qpdf, Q, rpdf, R):
         near = within(Q, R, eps)
         return pd.DataFrame({qid: qpdf[qid], "n": near.sum(1)} | ({"s": (near @ R).tolist()} if sums else {}))
-    parts = _block_join(cand, cells, cnt, qid, emit, out_schema)
-    totals = [F.array(*[F.sum(F.col("s")[i]) for i in range(len(P[0]))]).alias("s")] if sums else []
+    parts = _block_join(cand, cells_state.refs, cells_state.sizes, qid, emit, out_schema)
+    totals = [F.array(*[F.sum(F.col("s")[i]) for i in range(cells_state.dim)]).alias("s")] if sums else []
     return parts.groupBy(qid).agg(F.sum("n").alias("n"), *totals)
 
 
@@ -253,8 +370,7 @@ def within(Q: np.ndarray, R: np.ndarray, eps: float) -> np.ndarray:
 def range_forest(points: DataFrame, key: str, cells_state, eps: float, vec: str = "vec") -> DataFrame:
     """Links ``(a, b)`` that connect whatever points are at most ``eps`` apart: a spanning forest of each block, so a
     block of q queries and r references gives at most q + r links however dense it is."""
-    cells, P, cnt, rad = cells_state
-    cand = _candidates(points.select(F.col(key).alias("qid"), vec), "qid", vec, P, cnt, rad, own=False, eps=eps)
+    cand = _candidates(points.select(F.col(key).alias("qid"), vec), "qid", vec, cells_state, own=False, eps=eps)
     kt = points.schema[key].dataType
 
     def emit(qpdf, Q, rpdf, R):
@@ -276,13 +392,12 @@ def range_forest(points: DataFrame, key: str, cells_state, eps: float, vec: str
         a, b = zip(*out) if out else ((), ())
         return pd.DataFrame({"a": list(a), "b": list(b)})
     schema = T.StructType([T.StructField("a", kt), T.StructField("b", kt)])
-    return _block_join(cand, cells, cnt, "qid", emit, schema).where("a <> b").distinct()
+    return _block_join(cand, cells_state.refs, cells_state.sizes, "qid", emit, schema).where("a <> b").distinct()
 
 
 def range_min(queries: DataFrame, qid: str, cells_state, eps: float, value: str, vec: str = "vec") -> DataFrame:
     """``(qid, m)``: the smallest ``value`` among the references within ``eps`` of each query that has one."""
-    cells, P, cnt, rad = cells_state
-    cand = _candidates(queries, qid, vec, P, cnt, rad, own=False, eps=eps)
+    cand = _candidates(queries, qid, vec, cells_state, own=False, eps=eps)
 
     def emit(qpdf, Q, rpdf, R):
         order = np.argsort(rpdf[value].to_numpy(), kind="stable")
@@ -291,16 +406,16 @@ def range_min(queries: DataFrame, qid: str, cells_state, eps: float, value: str,
         return pd.DataFrame({qid: qpdf[qid].to_numpy()[hit],
                              "m": rpdf[value].to_numpy()[order][near[hit].argmax(1)]})
     schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType),
-                           T.StructField("m", cells.schema[value].dataType)])
-    return _block_join(cand, cells, cnt, qid, emit, schema, [value]).groupBy(qid).agg(F.min("m").alias("m"))
+                           T.StructField("m", cells_state.refs.schema[value].dataType)])
+    return _block_join(cand, cells_state.refs, cells_state.sizes, qid, emit, schema, [value]).groupBy(qid).agg(F.min("m").alias("m"))
 
 
 def range_join(points: DataFrame, key: str, eps: float, vec: str = "vec") -> DataFrame:
     """All ``(a, b, dist)`` with ``dist <= eps`` among ``points`` (self pairs included): the answer itself, as large as
     it is.  Clustering does not need it (see ``range_forest``)."""
-    cells, P, cnt, rad = assign_cells(points.select(F.col(key).alias("rid"), F.col(vec).alias("vec")), "rid", "vec")
+    state = assign_cells(points.select(F.col(key).alias("rid"), F.col(vec).alias("vec")), "rid", "vec")
     q = points.select(F.col(key).alias("qid"), F.col(vec).alias("vec"))
-    cand = _candidates(q, "qid", "vec", P, cnt, rad, own=False, eps=eps)
+    cand = _candidates(q, "qid", "vec", state, own=False, eps=eps)
     kt = points.schema[key].dataType
     out_schema = T.StructType([T.StructField("qid", kt), T.StructField("rid", kt), T.StructField("dist", T.DoubleType())])
 
@@ -308,7 +423,7 @@ def range_join(points: DataFrame, key: str, eps: float, vec: str = "vec") -> Dat
         qi, ri = np.nonzero(within(Q, R, eps))
         return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[qi], "rid": rpdf["_rid"].to_numpy()[ri],
                              "dist": np.sqrt(((Q[qi] - R[ri]) ** 2).sum(1))})
-    blocks = _block_join(cand, cells, cnt, "qid", emit, out_schema)
+    blocks = _block_join(cand, state.refs, state.sizes, "qid", emit, out_schema)
     return blocks.select(F.col("qid").alias("a"), F.col("rid").alias("b"), "dist")
 
 
