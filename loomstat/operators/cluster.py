@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from loomstat.functions.exprs import col_of, numeric_columns
 from loomstat.functions.ordered import dense_positions
 from loomstat.operators.clean import scale
-from loomstat.operators.knn import assign_cells, knn_join, range_forest, range_min, range_sums
+from loomstat.operators.knn import _by_rows, assign_cells, knn_join, range_forest, range_join, range_min, range_sums
+from loomstat.operators.silhouette import exact_distances, mean_silhouette, silhouettes_of_labellings
 from loomstat.operators.split import sample_n
 from loomstat.session import cut_lineage
 
@@ -58,71 +59,125 @@ def kmeans(mat: DataFrame, key: str, k: int = 3, seed: int = 42, max_iter: int =
     return labels, [c.tolist() for c in model.clusterCenters()], float(model.summary.trainingCost)
 
 
-# ------------------------------------------------------------------ silhouette
-def silhouette(labelled: DataFrame, key: str, label: str = "cluster", sample: int | None = None,
-               seed: int = 42) -> float | None:
-    """Mean silhouette (noise label −1 removed).
+# ------------------------------------------------------------------ silhouette, number of clusters
+def silhouette(labelled: DataFrame, key: str, label: str = "cluster", sample: int | None = None, seed: int = 42,
+               squared: bool = False) -> float | None:
+    """Mean Euclidean silhouette (noise label −1 removed) of all rows, or of a hash sample of ``sample`` of them.
 
-    By default over all rows, with squared Euclidean distances, which a sum and a sum of squares per cluster
-    give in one pass.  With ``sample`` the exact Euclidean silhouette of a hash sample of at most that many
-    rows: the sample is broadcast, so it is bounded by the caller, and every task scores its share of it."""
+    Exact and quadratic in the rows (``operators.silhouette``); ``squared`` takes squared distances instead, which a sum and a
+    sum of squares a cluster give in one pass."""
     d = labelled.where(F.col(label) != -1)
-    if sample is None:
+    if sample is not None:
+        d = sample_n(d.select(key, "vec", label), key, sample, seed)
+    if squared:
         if d.select(label).distinct().limit(2).count() < 2:
             return None
         points = d.select(array_to_vector("vec").alias("features"), F.col(label).cast("double").alias("prediction"))
         return float(ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(points))
-    s = sample_n(d.select(key, "vec", label), key, sample, seed)
-    rows = s.collect()  # bounded by `sample`
-    if len(rows) < 2:
-        return None
-    X = np.array([r["vec"] for r in rows], dtype=float)
-    y = np.array([r[label] for r in rows])
-    labels = np.unique(y)
-    if len(labels) < 2:
-        return None
-    spark = labelled.sparkSession
-    bX, by = spark.sparkContext.broadcast(X), spark.sparkContext.broadcast(y)
-    idx = spark.range(len(rows)).repartition(max(1, min(64, len(rows) // 500 + 1)))
-
-    def score(it):
-        Xa, ya = bX.value, by.value
-        labs = np.unique(ya)
+    return mean_silhouette(d, key, label)
+
+
+#: Rows that starting centres are drawn from.
+START_ROWS = 10_000
+
+
+def _spread_out(X: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
+    """``most`` starting centres, each drawn with probability in proportion to its squared distance from those before."""
+    picked = [int(rng.integers(len(X)))]
+    d = ((X - X[picked[0]]) ** 2).sum(1)
+    while len(picked) < most:
+        p = d / d.sum() if d.sum() > 0 else np.full(len(X), 1 / len(X))
+        tries = rng.choice(len(X), size=2 + int(np.log(most)), p=p)
+        gain = [np.minimum(d, ((X - X[t]) ** 2).sum(1)) for t in tries]
+        best = int(np.argmin([g.sum() for g in gain]))
+        picked.append(int(tries[best]))
+        d = gain[best]
+    return X[picked]
+
+
+def kmeans_of_sizes(mat: DataFrame, key: str, ks: list[int], seed: int = 42, max_iter: int = 100,
+                    tol: float = 1e-4) -> tuple[list[np.ndarray], list[float]]:
+    """Centres and inertia of k-means for every k in ``ks``: an iteration moves the centres of all of them in one pass, so
+    passes do not grow with the number of k's.
+
+    Starting centres are spread out over a hash sample of ``START_ROWS`` rows; a k is done when its centres move by less than
+    ``tol`` times the mean variance (squared)."""
+    few = sample_n(mat.select(key, "vec"), key, START_ROWS, seed)
+    X = np.array([r["vec"] for r in few.collect()], float)
+    rng = np.random.default_rng(seed)
+    centres = [_spread_out(X, k, rng) for k in ks]
+    limit = tol * float(X.var(0).mean()) if len(X) else 0.0
+    live, dim, cost = set(range(len(ks))), X.shape[1], [0.0] * len(ks)
+    sc = mat.sparkSession.sparkContext
+    for i in range(max_iter + 1):
+        shared, now = sc.broadcast(centres), sorted(live)
+
+        def move(it):
+            sums = [np.zeros((len(C), dim + 2)) for C in shared.value]  # count, cost, vector
+            for pdf in it:
+                if len(pdf):
+                    V = np.stack(pdf["vec"].to_numpy())
+                    for w in now:
+                        C = shared.value[w]
+                        d = ((V * V).sum(1)[:, None] + (C * C).sum(1) - 2 * V @ C.T)
+                        own = d.argmin(1)
+                        np.add.at(sums[w], own, np.c_[np.ones(len(V)), ((V - C[own]) ** 2).sum(1), V])
+            for w in now:
+                used = np.flatnonzero(sums[w][:, 0])
+                if len(used):
+                    yield pd.DataFrame({"w": w, "c": used, "s": list(sums[w][used])})
+        cols = [F.sum(F.col("s")[j]) for j in range(dim + 2)]
+        rows = mat.select("vec").mapInPandas(move, "w int, c int, s array<double>").groupBy("w", "c").agg(F.array(*cols).alias("s")).collect()
+        fresh = [C.copy() for C in centres]
+        found = {w: 0.0 for w in now}
+        for r in rows:
+            fresh[r["w"]][r["c"]] = np.array(r["s"][2:]) / r["s"][0]
+            found[r["w"]] += r["s"][1]
+        for w in now:
+            cost[w] = found[w]
+            if ((fresh[w] - centres[w]) ** 2).sum() <= limit or i == max_iter:
+                live.discard(w)  # its cost belongs to the centres that it keeps
+            else:
+                centres[w] = fresh[w]
+        shared.unpersist()
+        if not live:
+            break
+    return centres, cost
+
+
+def best_k(mat: DataFrame, key: str, max_k: int = 10, seed: int = 42, sample: int | None = None) -> DataFrame:
+    """k = 2 … min(max_k, n−1): inertia and mean Euclidean silhouette (of a hash sample of ``sample`` rows if given);
+    ``best`` marks the first k with the highest silhouette.
+
+    All k are fitted in the same passes, and share the distances of the silhouettes."""
+    spark = mat.sparkSession
+    schema = "k int, inertia double, silhouette double, best boolean"
+    m = mat.select(col_of(key), "vec").persist(StorageLevel.MEMORY_AND_DISK)
+    ks = list(range(2, min(max_k, m.count() - 1) + 1))
+    if not ks:
+        m.unpersist()
+        return spark.createDataFrame([], schema)
+    centres, cost = kmeans_of_sizes(m, key, ks, seed)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def label(it):
         for pdf in it:
-            i = pdf["id"].to_numpy()
-            # a matrix product, then the few zero distances that rounding would blur
-            D = (Xa[i] ** 2).sum(1)[:, None] + (Xa ** 2).sum(1)[None, :] - 2 * Xa[i] @ Xa.T
-            D = np.sqrt(np.maximum(D, 0))
-            D[np.arange(len(i)), i] = 0.0
-            out = np.zeros(len(i))
-            for r, ii in enumerate(i):
-                own = ya[ii]
-                n_own = (ya == own).sum()
-                if n_own <= 1:
-                    out[r] = 0.0
-                    continue
-                a = D[r][ya == own].sum() / (n_own - 1)
-                b = min(D[r][ya == lab].mean() for lab in labs if lab != own)
-                out[r] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pd.DataFrame({"s": out})
-    res = idx.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
-    return float(res)
-
-
-def best_k(mat: DataFrame, key: str, max_k: int = 10, seed: int = 42) -> DataFrame:
-    """k = 2 … min(max_k, n−1, 15): inertia and silhouette; ``best`` marks the
-    first k with the highest silhouette."""
-    m = mat.persist(StorageLevel.MEMORY_AND_DISK)
-    n = m.count()
-    rows = []
-    for k in range(2, min(max_k, n - 1, 15) + 1):
-        lab, _, inertia = kmeans(m, key, k, seed)
-        sil = silhouette(lab.join(m, key), key)
-        rows.append((k, round(inertia, 4), None if sil is None else round(sil, 4)))
+            if len(pdf):
+                V = np.stack(pdf["vec"].to_numpy())
+                own = [((C * C).sum(1) - 2 * V @ C.T).argmin(1) for C in shared.value]
+                yield pdf.assign(labels=np.stack(own, 1).astype("int32").tolist())
+    few = m if sample is None else sample_n(m, key, sample, seed)
+    schema_in = T.StructType([*m.schema.fields, T.StructField("labels", T.ArrayType(T.IntegerType()))])
+    labelled = cut_lineage(few.mapInPandas(label, schema_in))
+    each = labelled.select(F.posexplode("labels").alias("w", "c")).groupBy("w", "c").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes: list[dict[int, int]] = [{} for _ in ks]
+    for r in each:
+        sizes[r["w"]][r["c"]] = r["n"]
+    found = silhouettes_of_labellings(labelled, key, sizes)
     m.unpersist()
-    best = max(rows, key=lambda r: (-1e9 if r[2] is None else r[2], -r[0]))[0] if rows else None
-    return mat.sparkSession.createDataFrame(
-        [(k, i, s, k == best) for k, i, s in rows], "k int, inertia double, silhouette double, best boolean")
+    rows = [(k, round(i, 4), None if v is None else round(v, 4)) for k, i, v in zip(ks, cost, found)]
+    best = max(rows, key=lambda r: (-1e9 if r[2] is None else r[2], -r[0]))[0]
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows], schema)
 
 
 # ------------------------------------------------------------------ DBSCAN
@@ -171,27 +226,98 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5) ->
 
 
 # ------------------------------------------------------------------ mean-shift
-def estimate_bandwidth(mat: DataFrame, key: str, quantile: float = 0.3, sample: int = 1000, seed: int = 0) -> float:
-    """Mean distance to the ``quantile·s``-th neighbour over a hash sample of ``s`` rows (exact k-NN join)."""
-    s = sample_n(mat.select(key, "vec"), key, sample, seed)
-    s = cut_lineage(s)
-    n = s.count()
-    k = max(1, int(n * quantile))
-    q = s.withColumnRenamed(key, "qid")
-    nb = knn_join(q, s.withColumnRenamed(key, "rid"), k)
-    return float(nb.where(F.col("rank") == k).agg(F.avg("dist")).first()[0])
+HISTOGRAM_BINS, HISTOGRAM_PASSES = 64, 5
+
+
+def estimate_bandwidth(mat: DataFrame, key: str, quantile: float = 0.3, queries: int = 1000, seed: int = 0) -> float:
+    """Mean distance from a row to its ``quantile·n``-th nearest row (itself included) among all n rows, over all rows or, where
+    there are more, ``queries`` of them (by hash).
+
+    The distance is a rank among n, found without sorting them: every task bins the distances of its rows to each query, Spark
+    adds the histograms, and the bin that holds the rank is cut again (``HISTOGRAM_PASSES`` passes of ``HISTOGRAM_BINS``)."""
+    few = sample_n(mat.select(key, "vec"), key, queries, seed)
+    Q = np.array([r["vec"] for r in few.collect()], float)
+    n, m = mat.count(), len(Q)
+    if not m:
+        return 0.0
+    rank = max(1, int(n * quantile))
+    sc = mat.sparkSession.sparkContext
+    top = sc.broadcast(Q)
+
+    def farthest(it):
+        far = np.zeros(m)
+        for pdf in it:
+            if len(pdf):
+                V = np.stack(pdf["vec"].to_numpy())
+                for s in _by_rows(len(V), m):
+                    far = np.maximum(far, exact_distances(V[s], top.value).max(0))
+        yield pd.DataFrame({"q": np.arange(m), "d": far})
+    hi = np.zeros(m)
+    for r in mat.select("vec").mapInPandas(farthest, "q long, d double").groupBy("q").agg(F.max("d").alias("d")).collect():
+        hi[r["q"]] = r["d"]
+    lo, hi = np.zeros(m), np.nextafter(hi, np.inf) + 1e-300
+    below = np.zeros(m, np.int64)
+    for _ in range(HISTOGRAM_PASSES):
+        shared = sc.broadcast((lo, hi))
+
+        def count(it):
+            a, b = shared.value
+            hist = np.zeros(m * HISTOGRAM_BINS, np.int64)
+            for pdf in it:
+                if len(pdf):
+                    V = np.stack(pdf["vec"].to_numpy())
+                    for s in _by_rows(len(V), m):
+                        d = exact_distances(V[s], top.value)
+                        r, q = np.nonzero((d >= a) & (d < b))
+                        at = np.minimum(((d[r, q] - a[q]) / (b - a)[q] * HISTOGRAM_BINS).astype(int), HISTOGRAM_BINS - 1)
+                        hist += np.bincount(q * HISTOGRAM_BINS + at, minlength=len(hist))
+            used = np.flatnonzero(hist)
+            yield pd.DataFrame({"at": used, "n": hist[used]})
+        rows = mat.select("vec").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        hist = np.zeros(m * HISTOGRAM_BINS, np.int64)
+        hist[rows["at"].to_numpy()] = rows["n"].to_numpy()
+        upto = below[:, None] + hist.reshape(m, -1).cumsum(1)
+        cell = (upto < rank).sum(1).clip(max=HISTOGRAM_BINS - 1)
+        width = (hi - lo) / HISTOGRAM_BINS
+        below = np.where(cell > 0, upto[np.arange(m), np.maximum(cell - 1, 0)], below)
+        lo, hi = lo + cell * width, np.where(cell == HISTOGRAM_BINS - 1, hi, lo + (cell + 1) * width)
+        shared.unpersist()
+    return float(((lo + hi) / 2).mean())
+
+
+def merge_modes(modes: DataFrame, bw: float) -> DataFrame:
+    """``(cluster, vec, n)``: modes ``(sid, vec, n)`` that have no kept mode of more points (then smaller vector) within ``bw``.
+
+    Rounds in Spark: an open mode without an open or kept better neighbour is kept, one with a kept better neighbour goes."""
+    modes = cut_lineage(modes.select("sid", "vec", F.struct((-F.col("n")).alias("n"), "vec", "sid").alias("p")))
+    near = range_join(modes, "sid", bw).where(f"a <> b AND dist < {bw!r}").select("a", "b")
+    better = near.join(modes.select(F.col("sid").alias("a"), F.col("p").alias("pa")), "a") \
+                 .join(modes.select(F.col("sid").alias("b"), F.col("p").alias("pb")), "b").where("pb < pa")
+    better = cut_lineage(better.select("a", "b"))
+    open_, kept = modes.select("sid"), modes.select("sid").limit(0)
+    while not open_.isEmpty():
+        blocked = better.join(open_.withColumnRenamed("sid", "b"), "b", "left_semi").select(F.col("a").alias("sid"))
+        fresh = cut_lineage(open_.join(blocked, "sid", "left_anti"))
+        kept = cut_lineage(kept.unionByName(fresh))
+        gone = better.join(fresh.withColumnRenamed("sid", "b"), "b", "left_semi").select(F.col("a").alias("sid"))
+        open_ = cut_lineage(open_.join(fresh, "sid", "left_anti").join(gone, "sid", "left_anti"))
+    centres = modes.join(kept, "sid")
+    numbers, _ = dense_positions(centres.select("p"), "p")
+    return centres.join(numbers, "p").select(F.col("pos").cast("int").alias("cluster"), "vec", (-F.col("p.n")).alias("n"))
 
 
 def mean_shift(mat: DataFrame, key: str, bandwidth: float | None = None, max_iter: int = 300,
-               min_bin_freq: int = 1) -> tuple[DataFrame, list[list[float]]]:
-    """Flat-kernel mean-shift with grid-binned seeds: ``(key, cluster)`` and the centres.
+               min_bin_freq: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Flat-kernel mean-shift with grid-binned seeds: ``(key, cluster)`` and the centres ``(cluster, vec, n)``.
 
     Each iteration moves every seed to the mean of the points within the
     bandwidth (one bounded block join over pivot cells, reused between
     iterations); a seed stops when it moves less than 1e-3·bandwidth.
-    Converged centres closer than the bandwidth are merged, most populated
-    first; every point takes its nearest centre."""
+    Converged centres closer than the bandwidth are merged in Spark, most populated
+    first; every point takes its nearest centre by a neighbour join."""
     bw = bandwidth or estimate_bandwidth(mat, key)
+    if bw <= 1e-100:
+        raise ValueError("the bandwidth is 0: more than the quantile of the rows are equal; pass one")
     grid = F.transform("vec", lambda x: F.round(x / F.lit(bw)))
     seeds = mat.groupBy(grid.alias("g")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_bin_freq) \
                .select(F.transform("g", lambda x: x * F.lit(bw)).alias("vec"))
@@ -213,28 +339,13 @@ def mean_shift(mat: DataFrame, key: str, bandwidth: float | None = None, max_ite
             break
     else:
         warnings.warn(f"mean-shift stopped after {max_iter} rounds with seeds still moving", stacklevel=2)
-    # converged seeds sit on a few modes: collapse them in Spark first (grid of 1e-3·bw),
-    # so only distinct modes reach the driver; then merge modes closer than bw, most populated first
-    modes = last.where(F.col("n") > 0).groupBy(F.transform("vec", lambda x: F.round(x / F.lit(bw * 1e-3))).alias("_m")) \
-                .agg(F.max("n").alias("n"), F.first("vec").alias("vec"))
-    cents = sorted(((r["n"], r["vec"]) for r in modes.collect()), key=lambda t: -t[0])
-    kept: list[np.ndarray] = []
-    for n, v in cents:
-        v = np.array(v)
-        if n > 0 and all(np.linalg.norm(v - k) >= bw for k in kept):
-            kept.append(v)
-    C = np.array(kept)
-
-    def nearest(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["vec"].to_numpy())
-            d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
-            yield pd.DataFrame({key: pdf[key], "cluster": d.argmin(1).astype("int32")})
-    kt = mat.schema[key].dataType.simpleString()
-    labels = mat.select(key, "vec").mapInPandas(nearest, f"{key} {kt}, cluster int")
-    return labels, [c.tolist() for c in C]
+    # Converged seeds sit on a few modes: one of each grid cell of 1e-3·bw goes on.
+    cell = F.transform("vec", lambda x: F.round(x / F.lit(bw * 1e-3)))
+    modes = last.where(F.col("n") > 0).groupBy(cell.alias("_m")).agg(F.min(F.struct((-F.col("n")).alias("n"), "vec", "sid")).alias("p")) \
+                .select("p.sid", "p.vec", (-F.col("p.n")).alias("n"))
+    centres = cut_lineage(merge_modes(modes, bw))
+    near = knn_join(mat.select(F.col(key).alias("qid"), "vec"), centres.select(F.col("cluster").alias("rid"), "vec"), 1)
+    return near.select(F.col("qid").alias(key), F.col("rid").cast("int").alias("cluster")), centres
 
 
 # ------------------------------------------------------------------ reports
@@ -262,8 +373,9 @@ def cluster_points(mat: DataFrame, labels: DataFrame, key: str) -> tuple[DataFra
 def run_clustering(df: DataFrame, key: str, features: list[str] | None = None, algorithm: str = "kmeans",
                    n_clusters: int = 3, eps: float = 3.0, min_samples: int = 5, seed: int = 42,
                    nulls: str = "error", reduce_dims: str | None = None, n_components: int = 2,
-                   save_labels: bool = False) -> tuple[DataFrame, dict]:
-    """Prepare, optionally reduce (``pca`` or ``ica``), cluster and score.
+                   save_labels: bool = False, silhouette_sample: int | None = None) -> tuple[DataFrame, dict]:
+    """Prepare, optionally reduce (``pca`` or ``ica``), cluster and score (all rows, or a hash sample of
+    ``silhouette_sample``: the silhouette is quadratic).
 
     Returns ``(key, cluster)``, or with ``save_labels`` the input with a ``cluster`` column, and a summary."""
     mat = prepare_matrix(df, key, features, nulls)
@@ -281,9 +393,9 @@ def run_clustering(df: DataFrame, key: str, features: list[str] | None = None, a
         lab = dbscan(mat, key, eps, min_samples)
     elif algorithm == "meanshift":
         lab, centres = mean_shift(mat, key)
-        info.update(n_clusters=len(centres))
+        info.update(n_clusters=centres.count())
     else:
         raise ValueError(f"Unknown algorithm '{algorithm}'")
-    info["silhouette"] = silhouette(lab.join(mat, key), key)
+    info["silhouette"] = silhouette(lab.join(mat, key), key, sample=silhouette_sample)
     return (df.join(lab, key, "left") if save_labels else lab), info
 

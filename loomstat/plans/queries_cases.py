@@ -263,15 +263,81 @@ def _q_dbscan(spark, sf):
     return CL.dbscan(_cust_mat(spark, sf), "c_custkey", eps=0.1, min_samples=5)
 
 
-@register("clu_silhouette_groups",
-          f"WITH s AS {_STD_CUST}, d AS (SELECT a.v, a.g, b.g AS h, sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS t, count(*) AS n "
-          f"FROM s a, s b GROUP BY 1, 2, 3), ab AS (SELECT v, max(t / nullif(n - 1, 0)) FILTER (WHERE g = h) AS a, "
-          f"min(t / n) FILTER (WHERE g <> h) AS b FROM d GROUP BY v) SELECT round(avg((b - a) / greatest(a, b)), 4) AS silhouette "
-          f"FROM ab")
-def _q_silhouette(spark, sf):
+def _silhouette_sql(points: str, power: str = "sqrt") -> str:
+    """Mean silhouette of ``points`` (v, x, y, g) from all pairs; ``power`` is sqrt or nothing (squared distances)."""
+    return (f"(WITH d AS (SELECT a.v, a.g, b.g AS h, sum({power}((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS t, count(*) AS n "
+            f"FROM {points} a, {points} b GROUP BY 1, 2, 3), ab AS (SELECT v, max(t / nullif(n - 1, 0)) FILTER (WHERE g = h) AS a, "
+            "min(t / n) FILTER (WHERE g <> h) AS b FROM d GROUP BY v) SELECT round(avg((b - a) / greatest(a, b)), 4) FROM ab)")
+
+
+def _groups(spark, sf):
     mat = _cust_mat(spark, sf)
-    lab = T(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 3).alias("cluster"))
-    return spark.createDataFrame([(round(CL.silhouette(lab.join(mat, "c_custkey"), "c_custkey"), 4),)], "silhouette double")
+    return T(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 3).alias("cluster")).join(mat, "c_custkey")
+
+
+@register("clu_silhouette_groups", f"WITH s AS {_STD_CUST} SELECT {_silhouette_sql('s')} AS silhouette")
+def _q_silhouette(spark, sf):
+    return spark.createDataFrame([(round(CL.silhouette(_groups(spark, sf), "c_custkey"), 4),)], "silhouette double")
+
+
+@register("clu_silhouette_squared", f"WITH s AS {_STD_CUST} SELECT {_silhouette_sql('s', '')} AS silhouette")
+def _q_silhouette_squared(spark, sf):
+    return spark.createDataFrame([(round(CL.silhouette(_groups(spark, sf), "c_custkey", squared=True), 4),)], "silhouette double")
+
+
+# Three groups far apart, so that every algorithm has one right answer.
+_BLOB = ("(SELECT p_partkey AS v, p_partkey % 3 AS g, (p_partkey % 3) * 100 + p_size / 10.0 AS a, p_retailprice / 1000 - "
+         "(p_partkey % 3) * (p_partkey % 3) * 70 AS b FROM part)")
+_STD_BLOB = (f"(SELECT v, g, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS x, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS y "
+             f"FROM {_BLOB})")
+_BLOB_COST = "(SELECT round(sum(var_x + var_y), 4) FROM (SELECT var_pop(x) * count(*) AS var_x, var_pop(y) * count(*) AS var_y FROM s GROUP BY g))"
+
+
+def _blobs(spark, sf):
+    g = F.col("p_partkey") % 3
+    return T(spark, sf, "part").select("p_partkey", (g * 100 + F.col("p_size") / 10).alias("a"),
+                                       (F.col("p_retailprice") / 1000 - g * g * 70).alias("b"))
+
+
+def _run_blobs(spark, sf, algorithm):
+    return CL.run_clustering(_blobs(spark, sf), "p_partkey", ["a", "b"], algorithm, n_clusters=3, eps=0.3)
+
+
+for _alg in ("kmeans", "dbscan", "meanshift"):
+    @register(f"clu_run_{_alg}", "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_partkey % 3) AS first_of_cluster FROM part")
+    def _q_run_labels(spark, sf, alg=_alg):
+        labels, _ = _run_blobs(spark, sf, alg)
+        firsts = labels.where("cluster >= 0").groupBy("cluster").agg(F.min("p_partkey").alias("first_of_cluster"))
+        return labels.join(firsts, "cluster").select("p_partkey", "first_of_cluster")
+
+
+@register("clu_run_summary",
+          f"WITH s AS MATERIALIZED {_STD_BLOB}, t AS (SELECT {_silhouette_sql('s')} AS silhouette, {_BLOB_COST} AS cost) "
+          "SELECT 'kmeans' AS algorithm, silhouette, cost AS inertia FROM t UNION ALL SELECT 'dbscan', silhouette, NULL FROM t "
+          "UNION ALL SELECT 'meanshift', silhouette, NULL FROM t")
+def _q_run_summary(spark, sf):
+    rows = []
+    for alg in ("kmeans", "dbscan", "meanshift"):
+        _, info = _run_blobs(spark, sf, alg)
+        rows.append((alg, round(info["silhouette"], 4), info.get("inertia")))
+    return spark.createDataFrame(rows, "algorithm string, silhouette double, inertia double")
+
+
+@register("clu_best_k_groups", f"WITH s AS MATERIALIZED {_STD_BLOB} SELECT 3 AS k, {_BLOB_COST} AS inertia, "
+                               f"{_silhouette_sql('s')} AS silhouette, true AS best")
+def _q_best_k_groups(spark, sf):
+    return CL.best_k(CL.prepare_matrix(_blobs(spark, sf), "p_partkey", ["a", "b"]), "p_partkey", 6).where("best")
+
+
+@register("clu_bandwidth",
+          "WITH s AS (SELECT s_suppkey AS v, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS x, "
+          "(s_nationkey - avg(s_nationkey) OVER ()) / stddev_pop(s_nationkey) OVER () AS y FROM supplier), d AS (SELECT a.v, "
+          "row_number() OVER (PARTITION BY a.v ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS r, "
+          "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM s a, s b) SELECT round(avg(d), 4) AS bandwidth FROM d "
+          "WHERE r = (SELECT CAST(floor(count(*) * 0.3) AS BIGINT) FROM supplier)")
+def _q_bandwidth(spark, sf):
+    mat = CL.prepare_matrix(T(spark, sf, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"])
+    return spark.createDataFrame([(round(CL.estimate_bandwidth(mat, "s_suppkey"), 4),)], "bandwidth double")
 
 
 @register("clu_report_groups",

@@ -256,8 +256,9 @@ def test_kmeans_cost_and_silhouettes(spark):
             out.append((b - a) / max(a, b))
         return np.mean(out)
     both = lab.join(df, "id")
-    assert abs(CL.silhouette(both, "id") - silhouette(D ** 2)) < 1e-6
-    assert abs(CL.silhouette(both, "id", sample=1000) - silhouette(D)) < 1e-6
+    assert abs(CL.silhouette(both, "id", squared=True) - silhouette(D ** 2)) < 1e-6
+    assert abs(CL.silhouette(both, "id") - silhouette(D)) < 1e-9
+    assert abs(CL.silhouette(both, "id", sample=1000) - silhouette(D)) < 1e-9
     tried = CL.best_k(df, "id", 5).collect()
     best = next(r for r in tried if r["best"])
     assert len(tried) == 4 and best["silhouette"] == max(r["silhouette"] for r in tried) > 0.6
