@@ -3,7 +3,7 @@
 The field (``Crf``) labels white-space tokens from word-shape features of a token and
 its neighbours.  It is trained on the driver from a small labelled table of lines
 and decoded by Viterbi in numpy batches: all token runs of a batch, padded to the
-same length, take each step together.  A token without a digit, ``@`` or a written
+same length, take each step together; a run is decoded whole, however long.  A token without a digit, ``@`` or a written
 "at" is always outside (a hard constraint of the lattice), so only runs of other
 tokens need decoding, each with its neighbours as context.
 
@@ -34,7 +34,8 @@ from loomstat.llm.kernels import steps, tidy, utf8
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 STATES = ("O", "email", "ip", "B-card", "I-card", "B-phone", "I-phone")
-LONGEST_RUN = 64
+#: Tokens that one step of the decoder holds (a longer single run is a step of its own).
+DECODE_TOKENS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -65,7 +66,16 @@ LABELLED = [
     "Call {phone:(212) 555-0147} now", "phone {phone:(030) 901-8204}, ask for Ann", "tel {phone:212-555-0147}",
     "tel: {phone:415-555-2671} ext 12", "my number is {phone:(646) 555-0190}", "phone {phone:020 7946 0958}",
     "call {phone:555-010-9988} today", "{phone:(303) 555-0110} is busy", "Telefon {phone:030 9018 2040}",
+    "mail {email:dev@node12}", "write to {email:me@srv07}, please", "from {email:ops@box3} to all",
+    "ring {phone:0171 496 0123} tomorrow", "tel {phone:07700 900456}", "mobile {phone:07911 123456}, evenings",
+    "call {phone:0161 496 0777}", "phone {phone:01632 960983} or write", "Tel. {phone:0131 496 0555}", "fax {phone:020 7946 0321}",
+    "call me on {phone:07700 900789}", "mobile: {phone:0151 496 0888}", "{phone:0171 496 0611}", "ring {phone:01632 960471} at 9",
+    "lines 12 13 14 15 {phone:(212) 555-0168}", "1 2 3 {phone:(646) 555-0121} 4 5", "12 12 12 12 12 12 {phone:(303) 555-0177}",
+    "{ip:10.1.2.3} 22 80 443 {ip:10.1.2.4}", "7 8 9 {card:4111111111111111} 10 11", "from 10 to 20 call {phone:212-555-0129}",
     # Lines without personal data.
+    "item 555 1234 567", "item 204 3310 882 in stock", "part 300 4521 000 of the plan", "lot 12 3456 789", "serial 4471 2209 331",
+    "batch 07700 900", "order 555 010 9988", "ref 0171 496 22", "invoice 2023 0441 9982", "item 0171 4960 000", "serial 07700 900123",
+    "12 12 12 12 12 12 12 12", "1 22 333 4444 55555", "10 20 30 (40) 50 60", "part 415-555-2671", "3 (2) 1 (0)",
     "In 1998 there were 12 of them.", "on 2021-03-04 at 10:30", "version 1.2.3 and 4.0", "Version 2.0.",
     "pages 120-135 of 400", "it cost 1,250.00 in 2019", "room 4.12, floor 3", "section 3.1.4", "1 2 3 4 5 6 7 8",
     "from 01/02/2003 to 05/06/2007", "the 20th of May 1875", "score 3-2 and 10-9", "a ratio of 0.375 or 37.5%",
@@ -129,9 +139,9 @@ def _run(n: int, steps_: tuple[int, ...]) -> str:
 
 
 def features(token: str) -> list[str]:
-    """Word-shape features of a token (a very long one is told by its first 64 characters and its length)."""
+    """Word-shape features of a token; of one longer than 64 characters, those of its first 64, and that it is long."""
     if len(token) > 64:
-        return ["long"]
+        return [*features(token[:64]), "long"]
     shape, counts, i = [], {}, 0
     while i < len(token):
         c = token[i]
@@ -154,7 +164,7 @@ def features(token: str) -> list[str]:
 
 # Words before or after a span that tell its kind.
 _CUES = frozenset("call phone tel telefon fax ring number card visa mail e-mail email to contact ip host server from "
-                  "ping version page pages section id token build order isbn zip".split())
+                  "ping version page pages section id token build order isbn zip mobile item part lot serial batch ref invoice".split())
 
 
 def is_live(token: str) -> bool:
@@ -240,8 +250,12 @@ class Crf:
         """Best state sequence of each run of emissions, all runs of similar length together."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
         order = sorted(range(len(runs)), key=lambda r: len(runs[r]))
-        for lo in range(0, len(order), 512):
-            block = order[lo:lo + 512]
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and hi - lo < 512 and (hi - lo + 1) * len(runs[order[hi]]) <= DECODE_TOKENS:
+                hi += 1
+            block, lo = order[lo:hi], hi
             length = np.array([len(runs[r]) for r in block])
             e = np.zeros((len(block), length.max(), len(STATES)))
             for a, r in enumerate(block):
@@ -304,26 +318,28 @@ def fit(lines: list[str] | None = None) -> Crf:
 
 
 def _live_runs(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """Runs of live tokens of each line, with one token of context on either side."""
+    """Runs of live tokens of each line, with one token of context on either side, whole whatever their length."""
     at = 0
     while (m := _LIVE.search(text, at)) is not None:
         a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
         b = len(text) if b < 0 else b
-        # The run around this place: context is cut to a window of the line that grows with the run only.
         start = m.start()
         while start > a and not text[start - 1].isspace():
             start -= 1
-        pieces, end = [], start
+        end = start
         for t in _TOKEN.finditer(text, start, b):
-            live = is_live(t[0]) or t[0].startswith(("+", "("))
-            pieces.append((t.start(), t.end()))
             end = t.end()
-            if not live or len(pieces) >= LONGEST_RUN:
+            if not (is_live(t[0]) or t[0].startswith(("+", "("))):
                 break
-        before = text[max(a, start - 128):start].split()
+        # The token before: one run has it as the token before, so each is looked at once so.
         first = start
-        if before:
-            first = text.rfind(before[-1], max(a, start - 128), start)
+        while first > a and text[first - 1].isspace():
+            first -= 1
+        if first > a:
+            while first > a and not text[first - 1].isspace():
+                first -= 1
+        else:
+            first = start
         tokens, places = _tokens(text[first:end])
         if tokens:
             yield tokens, [(first + x, first + y) for x, y in places]
