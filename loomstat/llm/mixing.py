@@ -24,7 +24,8 @@ Edge cases: null or empty text has no tokens and the classifier's prior as its
 posterior; without labelled rows, or with one domain only, every document belongs to
 that one domain; a domain without tokens gets rate steps of 0; repeated rows each
 count; ties in the most likely domain go to the first in alphabetical order; targets
-that cannot be met are met in the least-squares sense (``Mix.residual`` tells); an
+that cannot be met are met in the least-squares sense (``Mix.residual`` tells, and a fit that ends at
+``MAX_ITERATIONS`` warns); an
 empty table gives no rows; extra columns are kept by ``repeat_rows`` and ignored
 otherwise.
 """
@@ -32,6 +33,7 @@ otherwise.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +51,8 @@ LETTERS = 3  # 0: whole words, for domains that differ in topic
 MAX_FIT = 20_000
 MAX_DOMAINS = 32
 TEMPERATURE, SLACK = 0.7, 0.01
+#: Target shares of the registered query, by language; a domain that is not listed weighs as much as the last one.
+WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 #: Steps end when every total is this near its target (as a share of all target tokens), or when a step changes the
 #: rates by less than ``LEAST_CHANGE`` (root mean square over tokens): the least-squares solution.
 MAX_ITERATIONS, TOLERANCE, LEAST_CHANGE = 50, 1e-6, 1e-4
@@ -142,8 +146,10 @@ class Mix:
 
 
 def default_targets(totals: np.ndarray, temperature: float = TEMPERATURE) -> np.ndarray:
-    """Totals flattened by ``temperature`` and scaled up, so that no domain shrinks and, with a little slack, rates of
-    at least one can meet them although posteriors are not sharp."""
+    """Totals flattened by ``temperature`` and scaled up: targets for a mix that repeats documents but drops none (floor 1).
+
+    The domain that grows least keeps its tokens.  Posteriors are not sharp, so raising the other domains raises its
+    expected total too, and no rates of at least one would meet its present total: ``SLACK`` leaves room for that."""
     live = totals > 0
     shares = np.where(live, np.maximum(totals, 1e-300) ** temperature, 0.0)
     if not live.any():
@@ -190,6 +196,10 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float]
         residual = float(np.abs(now - targets).max() / scale)
         if (row[2 * k] or 0.0) < LEAST_CHANGE:
             break
+    else:
+        if residual >= TOLERANCE:
+            warnings.warn(f"mixing rates still moved after {MAX_ITERATIONS} steps; the largest distance left is {residual:.2e} of "
+                          "all target tokens", stacklevel=2)
     return Mix(domains, steps, floor, targets, now, residual)
 
 
@@ -199,13 +209,18 @@ def copies_column(rate: Column, *keys: Column) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
+def memberships(docs: DataFrame, model: DomainModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _u, _n, _p) of every row: id, draw, tokens and posterior, written once."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    members = model.posteriors(rows, "_text").withColumn("_u", F.xxhash64("_id", "_text"))
+    return materialize(members.select("_id", "_u", "_n", "_p"), "members")
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, total: float | None = None,
         floor: float = 0.0, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Mix, DomainModel]:
     """(members, fitted mix, model); ``members`` holds _id, _u (draw), _n and _p of every row."""
     model = fit_domains(docs, labelled, doc_id, text)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    members = model.posteriors(rows, "_text").withColumn("_u", F.xxhash64("_id", "_text"))
-    members = materialize(members.select("_id", "_u", "_n", "_p"), "members")
+    members = memberships(docs, model, doc_id, text)
     return members, fit_rates(members, model.domains, weights, total, floor), model
 
 
@@ -227,14 +242,27 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("lang").alias("domain")).dropna().join(known, "doc_id")
 
 
+def weights_for(domains: list[str], weights: dict[str, float] = WEIGHTS) -> dict[str, float]:
+    """The weight of each domain; one that is not listed weighs as much as the last listed."""
+    rest = list(weights.values())[-1]
+    return {d: weights.get(d, rest) for d in domains}
+
+
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates and copies of every document, towards flattened language totals; no document is left out (floor 1)."""
+    """Rates and copies of every document towards the target shares ``WEIGHTS`` of the present tokens (floor 0: languages
+    above their share shrink); ``target`` and ``total`` are those of the document's most likely language, ``residual`` is
+    the largest distance of any total from its target, as a share of all target tokens."""
     docs = table(spark, sf_dir, "documents")
-    members, fitted, _ = mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), floor=1.0)
-    names = F.array(*[F.lit(d) for d in fitted.domains])
+    model = fit_domains(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
+    members = memberships(docs, model)
+    fitted = fit_rates(members, model.domains, weights_for(model.domains))
+    names, targets, totals = (F.array(*[F.lit(x) for x in c]) for c in (
+        fitted.domains, [float(t) for t in fitted.targets], [float(t) for t in fitted.totals]))
     best = F.array_max("_p")
+    at = F.array_position(F.col("_p"), best).cast("int")
     rate = fitted.rate(F.col("_p"))
     return members.select(
-        F.col("_id").alias("doc_id"), F.col("_n").alias("n_tokens"),
-        F.element_at(names, F.array_position("_p", best).cast("int")).alias("domain"), best.alias("posterior"),
-        rate.alias("rate"), copies_column(rate, F.col("_u")).alias("copies"))
+        F.col("_id").alias("doc_id"), F.col("_n").alias("n_tokens"), F.element_at(names, at).alias("domain"),
+        best.alias("posterior"), rate.alias("rate"), copies_column(rate, F.col("_u")).alias("copies"),
+        F.element_at(targets, at).alias("target"), F.element_at(totals, at).alias("total"),
+        F.lit(fitted.residual).alias("residual"))

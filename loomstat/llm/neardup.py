@@ -1,6 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document's set holds its distinct 4-word shingles (hashed to 64 bits).  In each
+A document's set holds its distinct shingles of ``size`` words (hashed to 64 bits): ``SHINGLE`` = 5, the contract's 4 in
+the registered query.  In each
 of ``TREES`` independent trees a document walks down several paths: at a node it
 picks the ``BRANCH`` tokens of its set that are smallest under the node's own hash
 (minwise tokens) and follows one branch per token.  Similar sets pick the same
@@ -14,7 +15,7 @@ further.  Then, on classes, with components joined up after every step:
    of a maximum spanning forest over those that may be linked are confirmed on full
    sets (a group of n near copies costs n confirmations, not n squared);
 2. nodes that still hold several components give every pair across components that
-   may be linked, each pair once, to be confirmed as well;
+   may be linked, each pair once (from the smallest of the small nodes that both are in), to be confirmed as well;
 3. in larger nodes the members meet ``PIVOTS`` pivots first; those that still hold
    several components branch one level deeper and go through the steps again;
 4. nodes that are still large after ``MAX_ROUNDS`` levels are cut into blocks, and all
@@ -26,29 +27,30 @@ out only when its sizes or its sketches do so: a sketch holds two bits of each o
 ``MAX_DIFFERENT`` lies 4.5 standard deviations above.
 
 Edge cases: a document without words (or with null text) has an empty set and is
-linked with nothing; with fewer than 4 words the whole sequence is its one
+linked with nothing; with fewer than ``size`` words the whole sequence is its one
 shingle; very long texts are taken whole; rows that share a ``doc_id`` are one
-node of the graph and each gives a result row; a row with a null ``doc_id`` is
+node of the graph and each gives a result row (``keep_first`` keeps the smallest of them, column by column); a row with a null ``doc_id`` is
 linked with nothing (component null, kept); an empty table gives no rows; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import materialize, table
+from loomstat.llm.common import materialize, table, unused
 from loomstat.llm.graph import components
 from loomstat.llm.kernels import MIX, WordHashes, mix64, rolled, tidy, utf8
 
-SHINGLE = 4
+SHINGLE, QUERY_SHINGLE = 5, 4
 NUMERATOR, DENOMINATOR = 4, 5  # link: DENOMINATOR * |A & B| >= NUMERATOR * |A | B|
 TREES, BRANCH, START_DEPTH = 4, 2, 2
 PIVOTS = 3
@@ -59,7 +61,7 @@ SKETCH, MAX_DIFFERENT = 1024, 205
 BROADCAST_IDS = 1_000_000
 
 
-def shingle_set(text: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: bytes, hashes: WordHashes, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     words = text.lower().split()
     if not words:
@@ -133,34 +135,38 @@ def differences(bits: np.ndarray, n: np.ndarray, group: np.ndarray) -> Iterator[
 _ROOTS = [int(x) for x in mix64(np.arange(1, TREES + 1, dtype=np.uint64) * MIX)]
 
 
-def _signature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        sizes, classes, paths = [], [], []
-        with np.errstate(over="ignore"):
-            for text in utf8(batch.column(1)):
-                tokens = shingle_set(text, hashes)
-                sizes.append(len(tokens))
-                classes.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                leaves = [p for root in _ROOTS for p in walk(tokens, root, START_DEPTH)] if len(tokens) else []
-                paths.append(np.array(leaves, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
-             pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "paths"])
-
-
-def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        texts = utf8(batch.column(0))
-        for lo in range(0, len(texts), 200):
+def _signature_task(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sizes, classes, paths = [], [], []
             with np.errstate(over="ignore"):
-                sets = [shingle_set(t, hashes) for t in texts[lo:lo + 200]]
-                bits = [sketch(s) if len(s) else b"" for s in sets]
+                for text in utf8(batch.column(1)):
+                    tokens = shingle_set(text, hashes, size)
+                    sizes.append(len(tokens))
+                    classes.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                    leaves = [p for root in _ROOTS for p in walk(tokens, root, START_DEPTH)] if len(tokens) else []
+                    paths.append(np.array(leaves, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array(bits, pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "sketch", "tokens"])
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
+                 pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "paths"])
+    return run
+
+
+def _set_task(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for lo in range(0, len(texts), 200):
+                with np.errstate(over="ignore"):
+                    sets = [shingle_set(t, hashes, size) for t in texts[lo:lo + 200]]
+                    bits = [sketch(s) if len(s) else b"" for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                     pa.array(bits, pa.binary()),
+                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "sketch", "tokens"])
+    return run
 
 
 def _deeper_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +312,10 @@ def _blocks(members: DataFrame) -> DataFrame:
         "own", "other")
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, cls, paths) of every row: set size, class of equal sets, leaves of all trees."""
     pairs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return pairs.mapInArrow(tidy(_signature_task), "doc_id long, n long, cls binary, paths array<long>")
+    return pairs.mapInArrow(tidy(_signature_task(size)), "doc_id long, n long, cls binary, paths array<long>")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -320,10 +326,10 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi")
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``, by shingles of ``size`` words."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sig = materialize(signatures(docs), "signatures")
+    sig = materialize(signatures(docs, size), "signatures")
     live = sig.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(live.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "paths")).alias("s"))
                           .select("cls", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"),
@@ -339,7 +345,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "cls", "rep", "n", "paths")
     members = materialize(_in_company(found), "nodes")
     sets = _texts_of(docs, members).select("text").mapInArrow(
-        tidy(_set_task), "cls binary, sketch binary, tokens array<long>")
+        tidy(_set_task(size)), "cls binary, sketch binary, tokens array<long>")
     sets = materialize(sets.dropDuplicates(["cls"]) if repeated else sets, "sets")
     members = materialize(members.join(sets.select("cls", "sketch"), "cls").withColumn("component", F.col("rep")),
                           "nodes")
@@ -350,6 +356,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             pairs = pairs.unionByName(_with_pivots(large, level))
         links = materialize(links.unionByName(_confirm(pairs, sets)), "links")
         linked = components(links)
+        if level == 0 and any_large:  # a pair's node must be one of those that give pairs
+            own = small.groupBy("cls").agg(F.collect_set("path").alias("paths"))  # at most the leaves of a class
+            small = small.drop("paths").join(own, "cls")
         pairs = _candidates(_mixed(small, linked), every=True, once=level == 0)
         if any_large:
             large = materialize(_mixed(large, linked), "nodes")
@@ -383,13 +392,18 @@ def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
     return named.join(several.select("path"), "path", "left_semi")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row of each component (that of its smallest id, once); rows with a null id stay as they are."""
-    kept = link(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    name, place = unused(docs, "_kept"), unused(docs, "_place")
+    kept = link(docs, size=size).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(name), "left_semi")
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        order = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        named = named.withColumn(place, F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
+        named = named.filter(F.col(place) == 1).drop(place)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of ``documents``."""
-    return link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Near-duplicate components of ``documents``, by the contract's shingles of four words."""
+    return link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=QUERY_SHINGLE)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomstat.llm import mixing as M
@@ -7,9 +8,42 @@ from loomstat.llm import mixing as M
 def test_query_meets_its_targets(spark, sf):
     out = M.op4_soft_mixing(spark, sf).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert len(out) == len(docs) and all(r.rate >= 1 and abs(r.copies - r.rate) < 1 for r in out)
+    assert len(out) == len(docs) and all(r.rate >= 0 and abs(r.copies - r.rate) < 1 for r in out)
     assert sum(docs[r.doc_id].lang == r.domain for r in out) / len(out) > 0.9
     assert all(r.n_tokens == len(docs[r.doc_id].text.split()) for r in out)
+    tokens = sum(r.n_tokens for r in out)
+    named = {r.domain: r for r in out}
+    assert named.keys() == M.WEIGHTS.keys()
+    for d, r in named.items():
+        assert abs(r.target - M.WEIGHTS[d] * tokens) < 1e-6 * tokens and abs(r.total - r.target) <= r.residual * tokens + 1e-6
+        # posteriors are near one here, so what the most likely language is given is near its target
+        assert abs(sum(x.rate * x.n_tokens for x in out if x.domain == d) - r.target) < 0.1 * r.target
+    assert out[0].residual < 1e-3
+    present = {d: sum(r.n_tokens for r in out if r.domain == d) for d in named}
+    assert present["en"] > 1.2 * named["en"].target  # so English shrinks
+    english = [r.rate for r in out if r.domain == "en"]
+    assert np.mean(english) < 0.95 and min(x.rate for x in out if x.domain == "es") > 1
+
+
+def test_bounds_are_active(spark):
+    """A domain with no weight: its documents fall to the floor, by the optimality conditions of the bounded problem."""
+    df, n, p = members(spark, 2)
+    fitted = M.fit_rates(df, ["a", "b", "c"], {"a": 0.75, "b": 0.25, "c": 0.0})
+    r = np.array([x.r for x in df.select(fitted.rate(F.col("_p")).alias("r")).collect()])
+    slope = p @ np.linalg.inv((p.T * n) @ p) @ (p.T @ (r * n) - fitted.targets)
+    assert (r == 0).mean() > 0.1 and (r[p[:, 2] > 0.9] < 0.05).all()
+    assert np.abs(np.where(r > 0, slope, np.minimum(slope, 0))).max() < 0.05
+
+
+def test_a_fit_that_does_not_end_warns(spark, monkeypatch):
+    df, _, _ = members(spark, 1)
+    monkeypatch.setattr(M, "MAX_ITERATIONS", 2)
+    with pytest.warns(UserWarning, match="after 2 steps"):
+        M.fit_rates(df, ["a", "b", "c"], {"a": 0.98, "b": 0.01, "c": 0.01}, floor=0.5)
+
+
+def test_weights_of_unlisted_domains():
+    assert M.weights_for(["en", "it"], {"en": 0.6, "de": 0.3}) == {"en": 0.6, "it": 0.3}
 
 
 def members(spark, seed=0, n=400):

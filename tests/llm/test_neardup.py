@@ -11,12 +11,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(texts):
+def brute(texts, size=4):
     """(set size, component) of each id, over all pairs that share a shingle."""
     sets, where = {}, defaultdict(list)
     for i, t in texts.items():
         w = WORD.findall((t or "").translate(LOWER))
-        n = min(4, len(w))
+        n = min(size, len(w))
         sets[i] = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} if w else set()
         for s in sets[i]:
             where[s].append(i)
@@ -35,11 +35,11 @@ def brute(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def check(spark, texts):
+def check(spark, texts, size=4):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    out = {r.doc_id: r for r in N.link(df).collect()}
+    out = {r.doc_id: r for r in N.link(df, size=size).collect()}
     assert out.keys() == texts.keys()
-    for i, (n, c) in brute(texts).items():
+    for i, (n, c) in brute(texts, size).items():
         assert (out[i].n_shingles, out[i].component_id, out[i].kept) == (n, c, c == i), i
 
 
@@ -119,3 +119,45 @@ def test_components_of_random_links(spark):
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shingles_of_five_words(spark, prose):
+    """The stage's size: pairs between the two thresholds are linked by one size and not by the other."""
+    texts = {}
+    for g in range(40):
+        words = prose(120, 40 + g).split()
+        texts[2 * g] = " ".join(words)
+        for k in range(6, 120, 120 // (2 + g % 3)):
+            words[k] = f"edit{g}x{k}"
+        texts[2 * g + 1] = " ".join(words)
+    check(spark, texts, 5)
+    assert brute(texts, 5) != brute(texts, 4) and N.SHINGLE == 5
+
+
+def test_pairs_whose_smallest_common_leaf_is_large(spark, prose, monkeypatch):
+    """A passage that all texts share makes large leaves beside small ones; pairs at the threshold lose no link."""
+    monkeypatch.setattr(N, "SMALL", 8)
+    rng, texts = random.Random(11), {}
+    passage = prose(45, 1)
+    for g in range(60):
+        words = (prose(45, 3000 + g) + " " + passage).split()
+        texts[3 * g] = " ".join(words)
+        for j in (1, 2):
+            other = list(words)
+            for k in rng.sample(range(45), 2):
+                other[k] = f"new{g}x{j}x{k}"
+            texts[3 * g + j] = " ".join(other)
+    want = brute(texts)
+    assert sum(c != i for i, (_, c) in want.items()) >= 60
+    check(spark, texts)
+
+
+def test_clashing_columns_and_repeated_ids(spark, prose):
+    names = ["_kept", "_place", "cls", "rep", "n", "node", "component", "path", "paths", "size", "tokens", "a", "b"]
+    rows = [(3, prose(40, 1), *["z"] * len(names)), (3, prose(40, 1), *["a"] * len(names)), (4, prose(40, 1), *["b"] * len(names)),
+            (None, None, *["c"] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = N.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r["_kept"]) for r in kept.collect()) == [(0, "c"), (3, "a")]
+    assert N.link(df).count() == 4
