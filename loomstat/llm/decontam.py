@@ -20,15 +20,15 @@ of a TF-IDF matrix (squared idf weights, unit rows).
    words, whichever the others are.
 6. Check candidates by longest common subsequence against every stretch of the text
    around them: a leak holds ``VERBATIM`` of the item's words in order, or
-   ``PARAPHRASE`` of them and most of its answer (an ``answer`` column, else the
-   item's last words).  With step 5 the result is that of checking every stretch of
-   every text against every item.
+   ``PARAPHRASE`` of them and most of its answer (an ``answer`` column, else the last words of an item of ``OWN_ANSWER``
+   words or more; the tail of a shorter one proves nothing).  An item below ``WHOLE`` words is only found word for word,
+   or by ``VERBATIM`` and its answer where it has one; one below ``TINY`` words only as the whole text.  With step 5 the
+   result is that of checking every stretch of every text against every item.
 
-Steps 4 to 6 are one map over the documents; nothing is shuffled.  ``cosine`` is the
-one of the best passage at the stretch, 0 when none there has two terms.
+Steps 4 to 6 are one map over the documents for each block of items, whose task holds that block alone; nothing is
+shuffled.  ``cosine`` is the one of the best passage at the stretch, 0 when none there has two terms.
 
-Edge cases: null or empty texts have no passages; items with fewer than ``MIN_ITEM``
-words cannot be told from chance and match nothing; an empty benchmark or an empty
+Edge cases: null or empty texts have no passages; items without words match nothing; an empty benchmark or an empty
 table gives no rows; ties between stretches go to the first; repeated rows are each
 searched; very long texts are taken whole, in steps; extra columns are ignored.
 """
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import bounded_rows, materialize, table
+from loomstat.llm.common import bounded_rows, materialize, table, unused
 from loomstat.llm.kernels import steps, tidy, utf8
 
 PASSAGE, STRIDE = 32, 16
@@ -53,7 +53,7 @@ RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
 MIN_COSINE = 0.15
 RARE, PAIRS = 4, 2_000_000
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.6
-ANSWER_WORDS, MIN_ITEM = 5, 5
+ANSWER_WORDS, OWN_ANSWER, WHOLE, TINY = 5, 12, 8, 3
 MAX_ITEMS = 1_000
 SEED = 3
 _BLOCK = 64
@@ -189,6 +189,14 @@ def _masks(words: list[bytes]) -> dict[bytes, int]:
     return out
 
 
+def rule(size: int, answered: bool) -> tuple[int, int]:
+    """Words of an item that a stretch must hold in order to be a leak, and how many with its answer."""
+    verbatim, paraphrase = (-int(-(share * size - 1e-9) // 1) for share in (VERBATIM, PARAPHRASE))
+    if size < WHOLE:
+        return size, verbatim if answered else size
+    return verbatim, paraphrase if answered else verbatim
+
+
 class Searcher:
     """Everything a task needs to search texts for one block of items."""
 
@@ -200,19 +208,27 @@ class Searcher:
         self.counts = [Counter(w) for w in self.words]
         self.masks = [_masks(w) for w in self.words]
         self.answers = [(len(a), _masks(a)) for _, _, a in items]
+        self.rules = [rule(len(w), bool(a)) for _, w, a in items]  # (words for a leak, words with the answer)
+        self.tiny: dict[tuple, list[int]] = {}
+        for q, w in enumerate(self.words):
+            if len(w) < TINY:
+                self.tiny.setdefault(tuple(w), []).append(q)
         latent = np.zeros((len(items), basis.shape[1]), np.float32)
         for q, w in enumerate(self.words):
             terms = np.array(sorted({vocabulary[x] for x in w if x in vocabulary}), np.int64)
             if len(terms):
                 latent[q] = weight[terms] @ basis[terms]
+        self.long = np.array([len(w) >= TINY for w in self.words])
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         # Exact count: hits needed of each item's rarest words, and the items of each such word.
         sizes = np.array([len(w) for w in self.words])
-        self.spans = sizes + np.maximum(3, sizes // 4)
-        need = np.ceil(PARAPHRASE * sizes - 1e-9).astype(np.int64)
+        need = np.array([min(r) for r in self.rules])
+        self.spans = np.where(need == sizes, sizes, sizes + np.maximum(3, sizes // 4))
         self.hits = np.minimum(RARE, need)
         owners: dict[bytes, list[int]] = {}
         for q, w in enumerate(self.words):
+            if sizes[q] < TINY:
+                continue
             for x in set(sorted(w, key=lambda x: (frequency[x], x))[:sizes[q] - need[q] + self.hits[q]]):
                 owners.setdefault(x, []).append(q)
         self.lookup = {w: t for t, w in enumerate(dict.fromkeys([*vocabulary, *owners]))}
@@ -228,7 +244,8 @@ class Searcher:
         Every stretch is met: one that starts elsewhere holds no more than one that starts at a word of the item.
         """
         size, span, masks, count = len(self.words[q]), int(self.spans[q]), self.masks[q], self.counts[q]
-        lo, need, full = max(0, lo), PARAPHRASE * size, (1 << size) - 1
+        alone, answered = self.rules[q]
+        lo, need, full = max(0, lo), min(alone, answered), (1 << size) - 1
         region = words[lo:hi]
         own = [(at, w) for at, w in enumerate(region) if w in count]
         if len(own) < need or sum(min(n, count[w]) for w, n in Counter(w for _, w in own).items()) < need:
@@ -250,7 +267,7 @@ class Searcher:
             stretch = region[at:at + span]
             n, answers = self.answers[q]
             answer = n > 0 and common_subsequence(answers, n, stretch) >= ANSWER * n
-            if (found >= VERBATIM * size or answer) and (best is None or found > best[0]):
+            if (found >= alone or answer and found >= answered) and (best is None or found > best[0]):
                 best = (found, answer, lo + at, len(stretch))
                 if found == size:
                     break
@@ -297,6 +314,9 @@ class Searcher:
         words = [words_of(t) for t in texts]
         ids = [word_ids(w, self.lookup) for w in words]
         owner, passages, sizes, terms = ([np.zeros(0, np.int64)] for _ in range(4))
+        for i, w in enumerate(words):
+            for q in self.tiny.get(tuple(w), []) if len(w) < TINY else []:
+                out[i][q] = (0.0, 1.0, False, 0, len(w))
         for i, x in enumerate(ids):
             passage, term, _ = passage_terms(self.kept[x])
             if len(term):
@@ -316,7 +336,7 @@ class Searcher:
 
         for lo in range(0, len(sizes), 4000):
             cosine = cosines(lo, min(lo + 4000, len(sizes)))
-            for p, q in np.argwhere(cosine >= MIN_COSINE):
+            for p, q in np.argwhere((cosine >= MIN_COSINE) & self.long):
                 i, at, size = int(owner[lo + p]), int(passages[lo + p]) * STRIDE, len(self.words[q])
                 found = self._check(words[i], int(q), at - size, at + PASSAGE + size)
                 if found and (q not in out[i] or found[0] > out[i][q][1]):
@@ -343,18 +363,17 @@ def _item_blocks(benchmark: DataFrame, item_id: str, text: str, answer: str | No
         for r in sorted(bounded_rows(mine, 2 * MAX_ITEMS, "benchmark items of a block"),
                         key=lambda r: (r["i"] is not None, r["i"], r["t"])):
             words = words_of(r["t"].encode())
-            if len(words) >= MIN_ITEM:
-                own = words_of(r["a"].encode()) if r["a"] else words[-ANSWER_WORDS:]
+            own = words_of(r["a"].encode()) if r["a"] else words[-ANSWER_WORDS:] if len(words) >= OWN_ANSWER else []
+            if words:
                 items.append((r["i"], words, own))
         if items:
             yield items
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-              item_text: str = "text") -> list[Searcher]:
-    """A fitted ``Searcher`` for each block of benchmark items."""
+              item_text: str = "text") -> Iterator[Searcher]:
+    """A fitted ``Searcher`` for each block of benchmark items, one after another."""
     texts = docs.select(F.col(f"`{text}`").alias("text"))
-    out = []
     for items in _item_blocks(benchmark, item_id, item_text, "answer" if "answer" in benchmark.columns else None):
         every: dict[bytes, int] = {}
         for _, words, _ in items:
@@ -371,48 +390,77 @@ def searchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
         vocabulary = {w: i for i, w in enumerate(w for w, t in every.items() if keep[t])}
         weight = np.log((2 + passages) / (1 + df[:-1][keep])) ** 2
         rows = materialize(texts.mapInArrow(tidy(_rows_task(vocabulary)), "terms array<int>"), "passages")
-        out.append(Searcher(items, vocabulary, weight, latent_basis(rows, weight), {w: int(df[t]) for w, t in every.items()}))
-    return out
-
+        yield Searcher(items, vocabulary, weight, latent_basis(rows, weight), {w: int(df[t]) for w, t in every.items()})
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document and item it leaks (columns of ``SCHEMA``)."""
-    found = searchers(docs, benchmark, text)
 
+def _leaks_of(docs: DataFrame, searcher: Searcher) -> DataFrame:
+    """Leaks of one block of items in ``docs`` (doc_id, text): the columns of ``SCHEMA``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ids = utf8(batch.column(1)), batch.column(0).cast(pa.int64()).to_pylist()
             for lo, hi in steps(raw):
-                rows = []
-                for s in found:
-                    for i, hits in enumerate(s.search(raw[lo:hi])):
-                        rows += [(ids[lo + i], s.ids[q], a, n, c, share, answer)
-                                 for q, (c, share, answer, a, n) in sorted(hits.items())]
+                rows = [(ids[lo + i], searcher.ids[q], a, n, c, share, answer)
+                        for i, hits in enumerate(searcher.search(raw[lo:hi]))
+                        for q, (c, share, answer, a, n) in sorted(hits.items())]
                 names = [f.split()[0] for f in SCHEMA.split(", ")]
                 kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
                                                  names=names)
+    return docs.mapInArrow(tidy(run), SCHEMA)
+
 
+def _n_blocks(benchmark: DataFrame, item_text: str = "text") -> int:
+    return -(-benchmark.filter(F.col(f"`{item_text}`").isNotNull()).count() // MAX_ITEMS)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document and item it leaks (columns of ``SCHEMA``).  Several blocks of items are searched one after
+    another, each in jobs of its own."""
     pairs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return pairs.mapInArrow(tidy(run), SCHEMA)
+    several = _n_blocks(benchmark) > 1
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    for searcher in searchers(docs, benchmark, text):
+        found = _leaks_of(pairs, searcher)
+        out = out.unionByName(materialize(found, "leaks")) if several else found
+    return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
-    found = searchers(docs, benchmark, text)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns: one map for a single block of items, else without
+    the rows whose text is that of a leak."""
     at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, mask = utf8(batch.column(at)), []
-            for lo, hi in steps(raw):
-                clean = [True] * (hi - lo)
-                for s in found:
-                    clean = [c and not hits for c, hits in zip(clean, s.search(raw[lo:hi]))]
-                mask += clean
-            yield batch.filter(pa.array(mask, pa.bool_()))
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+    def clean_of(searcher: Searcher):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, mask = utf8(batch.column(at)), []
+                for lo, hi in steps(raw):
+                    mask += [not hits for hits in searcher.search(raw[lo:hi])]
+                yield batch.filter(pa.array(mask, pa.bool_()))
+        return run
+
+    if _n_blocks(benchmark) <= 1:
+        for searcher in searchers(docs, benchmark, text):
+            docs = docs.mapInArrow(tidy(clean_of(searcher)), docs.schema)
+        return docs
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    own, key = unused(docs, "_own"), unused(docs, "_key")
+
+    def leaking(searcher: Searcher):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = utf8(batch.column(0))
+                for lo, hi in steps(raw):
+                    found = [bool(hits) for hits in searcher.search(raw[lo:hi])]
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo).filter(pa.array(found, pa.bool_()))], names=[key])
+        return run
+
+    texts = docs.select(F.col(f"`{text}`").alias("text"), digest.alias("digest"))
+    bad = docs.sparkSession.createDataFrame([], f"{key} string")
+    for searcher in searchers(docs, benchmark, text):
+        bad = bad.unionByName(materialize(texts.mapInArrow(tidy(leaking(searcher)), f"{key} string"), "leaks"))
+    marked = docs.withColumn(own, digest).join(bad.distinct(), F.col(own) == F.col(key), "left_anti")
+    return marked.drop(own)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,9 @@ def test_blocks_of_items_give_the_same(corpus, monkeypatch):
     monkeypatch.setattr(D, "MAX_ITEMS", 12)
     out = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items).collect() if r.doc_id is not None}
     assert out == truth
+    clean = D.keep_clean(docs, items)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in truth} - {None}
 
 
 def test_given_table(spark, sf):
@@ -86,26 +89,62 @@ def test_common_subsequence_against_a_table():
 
 def test_empty_tables(spark, odd_docs, no_docs, prose):
     none = spark.createDataFrame([], "item_id long, text string")
-    some = spark.createDataFrame([(1, prose(20, 77)), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
+    some = spark.createDataFrame([(1, prose(20, 77)), (2, None), (3, "too short to stand there"), (4, "")], "item_id long, text string")
     assert D.find_leaks(odd_docs, none).count() == 0 and D.keep_clean(odd_docs, none).count() == 12
     assert D.find_leaks(no_docs, some).count() == 0 and D.find_leaks(odd_docs, some).count() == 0
 
 
-def brute(text, item):
+def brute(text, item, answer=None):
     """Whether some stretch of the text leaks the item: every start, no candidates."""
     words, own = D.words_of(text.encode()), D.words_of(item.encode())
     size, span = len(own), len(own) + max(3, len(own) // 4)
-    tail = own[-D.ANSWER_WORDS:]
+    if size < D.TINY:
+        return words == own
+    tail = D.words_of(answer.encode()) if answer else own[-D.ANSWER_WORDS:] if size >= D.OWN_ANSWER else []
     for at in range(len(words)):
+        if size < D.WHOLE and not tail:
+            if words[at:at + size] == own:
+                return True
+            continue
         stretch = words[at:at + span]
         found = D.common_subsequence(D._masks(own), size, stretch)
-        if found >= D.VERBATIM * size:
+        if found >= (D.VERBATIM * size if size >= D.WHOLE else size):
             return True
-        if found >= D.PARAPHRASE * size and D.common_subsequence(D._masks(tail), len(tail), stretch) >= D.ANSWER * len(tail):
+        with_answer = found >= (D.PARAPHRASE if size >= D.WHOLE else D.VERBATIM) * size
+        if with_answer and tail and D.common_subsequence(D._masks(tail), len(tail), stretch) >= D.ANSWER * len(tail):
             return True
     return False
 
 
+def test_short_items(spark):
+    """Clean documents beside short items stay; whole ones are found, also below five words; a real answer counts."""
+    items = [(1, "what is the capital of france", None), (2, "what is the speed of light", None), (3, "name it", None),
+             (4, "who wrote the old book", "jane roe"), (5, "the quick brown fox jumps over one lazy dog", None), (6, "word", None), (7, "Word.", None)]
+    texts = ["we went to the capital of france last year", "so what is the capital of france then", "what is the capital of spain",
+             "Name it!", "you may name it", "who wrote the book, it was jane roe", "who wrote the old book is not known",
+             "who wrote the new book", "a quick brown fox jumps over the lazy dog", "the quick brown cat runs over one lazy dog",
+             "fox jumps over one lazy dog", "word", "word by word", "what is the speed of sound", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench).collect()}
+    want = {(i, q) for i, t in enumerate(texts) for q, x, a in items if brute(t, x, a)}
+    assert got == want
+    assert {(1, 1), (3, 3), (5, 4), (6, 4), (8, 5), (11, 6)} <= got and not {d for d, _ in got} & {0, 2, 4, 7, 12, 13, 14}
+    assert {r.doc_id for r in D.keep_clean(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
+def test_clashing_columns(spark, prose):
+    names = ["_own", "_key", "item_id", "terms", "n", "cosine", "block", "data", "digest"]
+    item = prose(20, 5)
+    docs = spark.createDataFrame([(1, item, *["x"] * len(names)), (2, prose(30, 6), *["y"] * len(names))],
+                                 "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    for copies in (1, 3):
+        bench = spark.createDataFrame([(q, item, 1, "z") for q in range(copies)], "item_id long, text string, digest int, _key string")
+        kept = D.keep_clean(docs, bench)
+        assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+        assert D.find_leaks(docs, bench).count() == copies
+
+
 def test_edited_items_against_brute_force(spark, prose):
     """Items whose rarest words were replaced in place, by prose words, at several shares: as every stretch checked."""
     rng = random.Random(8)
