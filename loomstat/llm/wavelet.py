@@ -20,6 +20,7 @@ its own; an empty table gives no shards; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import sys
 import types
@@ -349,9 +350,11 @@ class WordEncoder:
                 if table.n + 2 * len(new) > table.ENTRIES:
                     table.clear()
                     new = np.flatnonzero(n > 0)
-                once = new[np.unique(h[0, new], return_index=True)[1]]
-                self._learn(b, raw, s[once], n[once], h[:, once])
-                entry[new] = table.find(h[:, new])
+                while len(new):  # chunks that share one of the two hashes are learned one after another
+                    once = new[np.unique(h[0, new], return_index=True)[1]]
+                    self._learn(b, raw, s[once], n[once], h[:, once])
+                    entry[new] = table.find(h[:, new])
+                    new = new[entry[new] < 0]
             ids, ends = table.gather(entry)
             found.append(ids)
             sizes.append(np.diff(ends, prepend=0))
@@ -360,10 +363,45 @@ class WordEncoder:
         return np.concatenate(found), np.diff(edge[np.concatenate([[0], last])])
 
 
-def _encoder(path: str) -> WordEncoder:
+# What a tokenizer file must say for ``WordEncoder`` to be right.
+_CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None}
+_CHUNKED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None,
+                  "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
+
+
+class PlainEncoder:
+    """Ids of whole texts by the library itself, for any tokenizer file."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids], np.int64)
+
+
+def is_chunked(path: str) -> bool:
+    """Whether a tokenizer file describes the splitting that ``WordEncoder`` relies on."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told.get("model", {})
+    return all(told.get(k) == v for k, v in _CHUNKED.items()) and all(model.get(k) == v for k, v in _CHUNKED_MODEL.items())
+
+
+def _encoder(path: str) -> WordEncoder | PlainEncoder:
+    """The encoder for a tokenizer file: through remembered chunks where the file allows it."""
     store = process_store("word_encoders")
     if path not in store:
-        store[path] = WordEncoder(path)
+        store[path] = WordEncoder(path) if is_chunked(path) else PlainEncoder(path)
     return store[path]
 
 

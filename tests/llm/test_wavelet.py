@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -79,3 +80,30 @@ def test_small_shards_odd_rows_and_order(spark, odd_docs, no_docs, tmp_path):
     sizes = [r.n_tokens for r in shards.collect() if r.n_docs > 1]
     assert len(shards.collect()) > 3 and max(sizes) <= 100
     assert W.read_shards(W.write_shards(no_docs, f"{tmp_path}/b")).count() == 0
+
+
+def test_other_tokenizers_go_through_the_library(spark, tmp_path):
+    """A file with another normaliser or splitter is not taken for the one that chunks are right for."""
+    other = W.TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    assert W.is_chunked(W.TOKENIZER) and not W.is_chunked(other)
+    told = json.load(open(W.TOKENIZER))
+    told["normalizer"]["normalizers"].pop()  # keeps capitals
+    path = f"{tmp_path}/cased.json"
+    json.dump(told, open(path, "w"))
+    assert not W.is_chunked(path)
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    for file in (other, path):
+        plain = W.PlainEncoder(file).tokenizer
+        out = {r.doc_id: r for r in W.read_shards(W.write_shards(df, f"{tmp_path}/s{len(file)}", tokenizer=file, end_id=2)).collect()}
+        for i, t in enumerate(HARD):
+            ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4")
+            assert (out[i].n_tokens, out[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_chunks_that_share_a_hash(encoder, monkeypatch):
+    monkeypatch.setattr(W.WordEncoder, "_hashes", lambda self, b, raw, start, length, real=W.WordEncoder._hashes: real(
+        self, b, raw, start, length) & np.array([[7], [(1 << 64) - 1]], np.uint64))
+    small = W.WordEncoder(W.TOKENIZER)
+    texts = ["12 34 56 78 90 a1 b2 c3 d4 e5 f6 == ++ -- 1.5"]
+    ids, _ = small.encode([t.encode() for t in texts])
+    assert ids.tolist() == small.tokenizer.encode(texts[0], add_special_tokens=False).ids
