@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 
 from loomstat.functions.exprs import (NULL_TEXT, col_of, is_datetime_type, is_missing, is_numeric_type,
                                       is_string_type, nan_to_null, numeric_of, text_of)
-from loomstat.functions.ordered import BROADCAST_MAX_ROWS, dense_positions, fill_forward
+from loomstat.functions.ordered import dense_positions, fill_forward
 from loomstat.functions.quantiles import column_quantiles
 
 FILL_STRATEGIES = ("mean", "median", "mode", "ffill", "bfill", "zero")
 SCALE_METHODS = ("standard", "minmax")
+#: Categories that become columns of their own; more become one sparse column.
 MAX_ONEHOT_CATEGORIES = 1000
+#: Bytes of the largest category mapping that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_MAX_BYTES = 64 << 20
 DATE_PARTS = {
     "year": F.year, "month": F.month, "day": F.dayofmonth, "dayofweek": F.weekday, "weekday": F.weekday,
     "hour": F.hour, "minute": F.minute, "second": F.second, "quarter": F.quarter, "dayofyear": F.dayofyear,
@@ -54,7 +57,8 @@ def mode_value(df: DataFrame, column: str):
     return r[0]["v"] if r else None
 
 
-def fill_nulls(df: DataFrame, column: str, strategy: str = "median", order_by: str | None = None):
+def fill_nulls(df: DataFrame, column: str, strategy: str = "median", order_by: str | list[str] | None = None):
+    """``order_by``: the key of the row order (ffill, bfill), or a list of it and the columns that order equal keys."""
     _need(df, column)
     if strategy not in FILL_STRATEGIES:
         raise OpError(f"strategy '{strategy}' not valid")
@@ -77,7 +81,8 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "median", order_by: s
     else:
         if not order_by:
             raise OpError(f"strategy '{strategy}' needs order_by (the row order key)")
-        out = fill_forward(df, [column], order_by, backward=(strategy == "bfill"))
+        key, *ties = [order_by] if isinstance(order_by, str) else order_by
+        out = fill_forward(df, [column], key, backward=(strategy == "bfill"), ties=ties)
     return out, {"op": "fill_nulls", "column": column, "strategy": strategy}
 
 
@@ -109,12 +114,20 @@ def label_mapping(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     return pos.select("value", F.col("pos").cast("long").alias("code")), n
 
 
+def mapping_bytes(mapping: DataFrame) -> int:
+    """About what a mapping takes in memory: its texts and a row's overhead."""
+    return mapping.agg(F.coalesce(F.sum(F.octet_length("value") + 48), F.lit(0))).first()[0]
+
+
 def apply_mapping(df: DataFrame, column: str, mapping: DataFrame, n_mapping: int | None = None,
                   unseen: int | None = None) -> DataFrame:
-    """Replace ``column`` by the code of its text value; unseen values get ``unseen``."""
+    """Replace ``column`` by the code of its text value; unseen values get ``unseen``.
+
+    The mapping is broadcast when its size, measured in bytes, is at most ``BROADCAST_MAX_BYTES`` (``n_mapping`` rows alone
+    can rule that out)."""
     tmp = f"__code_{column}"
     m = mapping.select(F.col("value").alias("__v"), F.col("code").alias(tmp))
-    if n_mapping is not None and n_mapping <= BROADCAST_MAX_ROWS:
+    if (n_mapping is None or n_mapping * 48 <= BROADCAST_MAX_BYTES) and mapping_bytes(mapping) <= BROADCAST_MAX_BYTES:
         m = F.broadcast(m)
     j = df.withColumn("__v", text_of(column)).join(m, "__v", "left")
     code = F.col(tmp) if unseen is None else F.coalesce(F.col(tmp), F.lit(unseen).cast("long"))
@@ -132,13 +145,15 @@ def onehot_encode(df: DataFrame, column: str, max_categories: int = MAX_ONEHOT_C
     null rows are all false; the source column is dropped.
 
     The output schema depends on the data, so the distinct values are read
-    first — bounded by ``max_categories`` (checked with ``limit``)."""
+    first — bounded by ``max_categories`` (checked with ``limit``).  More categories become one sparse column
+    ``{column}_onehot``: a struct of ``size`` (categories), ``indices`` (the sorted position of the row's value; empty for
+    null) and ``values`` (ones)."""
     _need(df, column)
     c = col_of(column)
     vals = [r[0] for r in df.where(c.isNotNull()).select(c).distinct().orderBy(c)
             .limit(max_categories + 1).collect()]
     if len(vals) > max_categories:
-        raise OpError(f"more than {max_categories} categories")
+        return _onehot_sparse(df, column)
     new = []
     for v in vals:
         name = f"{column}_{_py_text(v)}"
@@ -147,6 +162,17 @@ def onehot_encode(df: DataFrame, column: str, max_categories: int = MAX_ONEHOT_C
     return out, {"op": "onehot_encode", "column": column, "new_columns": [f"{column}_{_py_text(v)}" for v in vals]}
 
 
+def _onehot_sparse(df: DataFrame, column: str):
+    places, n = dense_positions(df.where(col_of(column).isNotNull()).select(col_of(column).alias("__v")), "__v")
+    coded = df.join(places.select("__v", F.col("pos").alias("__pos")), col_of(column) == F.col("__v"), "left")
+    at = F.when(F.col("__pos").isNull(), F.array().cast("array<int>")).otherwise(F.array(F.col("__pos").cast("int")))
+    ones = F.when(F.col("__pos").isNull(), F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0)))
+    name = f"{column}_onehot"
+    vector = F.struct(F.lit(n).cast("int").alias("size"), at.alias("indices"), ones.alias("values")).alias(name)
+    out = coded.select(*[col_of(x) for x in df.columns if x != column], vector)
+    return out, {"op": "onehot_encode", "column": column, "new_columns": [name], "categories": n, "sparse": True}
+
+
 def _py_text(v) -> str:
     if isinstance(v, float) and v.is_integer():
         return repr(v)

@@ -5,7 +5,9 @@ coalesced for a full outer join); a non-key column present on both sides keeps
 its name on the left and gets ``_right`` on the right; null keys match null
 keys (``<=>``).  Catalyst turns ``<=>`` into ordinary hash keys, so the join
 is still a sort-merge or hash join; with AQE on, a small side found at run
-time is broadcast and skewed key partitions are split.
+time is broadcast and skewed key partitions are split.  Adaptive execution does not split a
+full outer join, so that is a left join plus the right rows that no left key matches, and both halves split
+their hot keys (the null key above all).
 """
 
 from __future__ import annotations
@@ -41,8 +43,15 @@ def merge(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "le
     for k in keys:
         e = F.col(lk[k]).eqNullSafe(F.col(rk[k])) if null_keys_match else F.col(lk[k]) == F.col(rk[k])
         cond = e if cond is None else cond & e
-    spark_how = {"outer": "full_outer"}.get(how, how)
-    j = L.join(R, cond, spark_how)
+    if how == "outer":
+        # The left's keys, each once: whatever hot key the right has, the side that it meets is small.
+        met = L.select(*[F.col(c) for c in lk.values()]).distinct()
+        alone = R.join(met, cond, "left_anti").select(
+            *[F.lit(None).cast(left.schema[k].dataType).alias(lk[k]) for k in keys],
+            *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in l_other], *[F.col(f"`{c}`") for c in R.columns])
+        j = L.join(R, cond, "left").unionByName(alone)
+    else:
+        j = L.join(R, cond, how)
     key_cols = []
     for k in keys:
         if how in ("left", "inner"):

@@ -89,9 +89,17 @@ def distinct_summary(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def target_candidates(df: DataFrame, max_unique: int = 20, max_results: int | None = None) -> DataFrame:
-    """Columns that look like a target: boolean type or ≤ ``max_unique`` distinct values."""
+    """Columns that look like a target: boolean type or ≤ ``max_unique`` distinct values.
+
+    A sketch of each column (no shuffle of values) rules most out; only the rest are counted exactly."""
     bools = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
-    ds = distinct_summary(df)
+    known = nan_to_null(df)
+    sketch = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(col_of(c).cast("string")).alias("h"), col_of(c).isNull().alias("no"))
+                       for i, c in enumerate(df.columns)])
+    near = known.select(F.inline(sketch)).groupBy("i").agg(F.approx_count_distinct(F.when(~F.col("no"), F.col("h")), 0.02).alias("d")).collect()
+    few = [df.columns[r["i"]] for r in near if r["d"] <= 1.2 * max_unique + 2]
+    keep = [c for c in df.columns if c in few or c in bools]
+    ds = distinct_summary(df, keep) if keep else distinct_summary(df.limit(0), df.columns[:1])
     pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     found = (ds.where((F.col("nunique") <= max_unique) | F.col("column_name").isin(bools or [""]))
              .select("column_name", "nunique", pos[F.col("column_name")].alias("position")).orderBy("position"))

@@ -26,17 +26,15 @@ def hash_order(key: str | Column, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
-def _alloc(class_counts: dict, n_test: int) -> dict:
-    """Per-class test sizes: proportional floors, the remainder to the largest
-    fractional parts (ties by class order)."""
-    n = sum(class_counts.values())
-    cont = {c: cnt * n_test / n for c, cnt in class_counts.items()}
-    floor = {c: math.floor(v) for c, v in cont.items()}
-    need = n_test - sum(floor.values())
-    order = sorted(class_counts, key=lambda c: (-(cont[c] - floor[c]), str(c)))
-    for c in order[:need]:
-        floor[c] += 1
-    return floor
+def _alloc(sizes: DataFrame, group: str, n: int, n_test: int) -> DataFrame:
+    """``(group, _limit)``: per-class test sizes, proportional floors and the remainder to the largest fractional parts
+    (ties by class order).  Exact integers; the classes are ranked like any other rows."""
+    share = F.col("n") * F.lit(n_test)
+    c = sizes.select(F.col(f"`{group}`").alias("_class"), F.expr(f"(n * {n_test}L) div {n}L").alias("_limit"),
+                     (-(share % F.lit(n))).alias("_rest"), F.col(f"`{group}`").cast("string").alias("_name"))
+    need = n_test - (c.agg(F.sum("_limit")).first()[0] or 0)
+    ranked, _ = row_positions(c, ["_rest", "_name"], out="_place")
+    return ranked.select("_class", (F.col("_limit") + F.when(F.col("_place") < need, 1).otherwise(0)).alias("_limit"))
 
 
 def split_dataset(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
@@ -47,18 +45,15 @@ def split_dataset(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 4
     d = df.withColumn(HASH, hash_order(key, seed))
     groups = [stratify] if stratify else []
     pos, sizes = row_positions(d, [HASH, key], groups, out="_pos")
-    n = sum(sizes.values())
+    n = d.count()
     n_test = math.ceil(n * test_size)
     if stratify:
-        alloc = _alloc({g[0]: c for g, c in sizes.items()}, n_test)
-        lim = F.create_map(*[x for c, m in alloc.items() if c is not None for x in (F.lit(c), F.lit(m))])
-        null_lim = alloc.get(None)
-        limit = F.when(col_of(stratify).isNull(), F.lit(null_lim)).otherwise(lim[col_of(stratify)]) \
-            if null_lim is not None else lim[col_of(stratify)]
+        alloc = _alloc(sizes, stratify, n, n_test)
+        pos = pos.join(alloc, col_of(stratify).eqNullSafe(F.col("_class")))  # a row per class
     else:
-        limit = F.lit(n_test)
-    return pos.withColumn(out, F.when(F.col("_pos") < limit, F.lit("test")).otherwise(F.lit("train"))) \
-              .drop(HASH, "_pos")
+        pos = pos.withColumn("_limit", F.lit(n_test))
+    return pos.withColumn(out, F.when(F.col("_pos") < F.col("_limit"), F.lit("test")).otherwise(F.lit("train"))) \
+              .drop(HASH, "_pos", "_limit", "_class")
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | None = None,
@@ -71,12 +66,12 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | N
     """
     d = df.withColumn(HASH, hash_order(key, seed))
     groups = [stratify] if stratify else []
-    pos, sizes = row_positions(d, [HASH, key], groups, out="_pos")
+    pos, _ = row_positions(d, [HASH, key], groups, out="_pos")
     p = F.col("_pos")
     if stratify:
         fold = p % k
     else:
-        n = sum(sizes.values())
+        n = d.count()
         big, r = n // k + 1, n % k
         fold = F.when(p < big * r, F.floor(p / big)).otherwise(
             F.lit(r) + F.floor((p - big * r) / max(n // k, 1)))

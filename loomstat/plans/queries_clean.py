@@ -193,6 +193,20 @@ def _q_bfill(spark, sf):
     return C.fill_nulls(events_n(spark, sf), "value", "bfill", order_by="event_id")[0]
 
 
+# A key with three values: each holds a third of the rows, ordered by a second column.
+@_op("fill_ffill_hot_key", f"SELECT event_id, user_id, event_type, last_value(value IGNORE NULLS) OVER (ORDER BY event_id % 3, event_id "
+                           f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM {EVENTS_N_SQL}")
+def _q_ffill_hot(spark, sf):
+    df = events_n(spark, sf).withColumn("k", F.col("event_id") % 3)
+    return C.fill_nulls(df, "value", "ffill", order_by=["k", "event_id"])[0].drop("k")
+
+
+@_op("fill_bfill_hot_key", f"SELECT event_id, user_id, event_type, first_value(value IGNORE NULLS) OVER (ORDER BY event_type, event_id "
+                           f"ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM {EVENTS_N_SQL}")
+def _q_bfill_hot(spark, sf):
+    return C.fill_nulls(events_n(spark, sf), "value", "bfill", order_by=["event_type", "event_id"])[0]
+
+
 @_op("drop_outliers_iqr",
      f"SELECT {LI_COLS} FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, "
      f"quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem) WHERE l_extendedprice >= q1 - 1.5 * (q3 - q1) "
