@@ -2,7 +2,7 @@
 
 Both work on the standardised ``(key, vec)`` matrix.  FastICA (parallel,
 log-cosh contrast) whitens with the PCA of the data and runs each
-fixed-point step as one distributed aggregate of ``E[z·g(Wz)ᵀ]`` and
+fixed-point step as one tree of sums (one array comes back a round) of ``E[z·g(Wz)ᵀ]`` and
 ``E[g'(Wz)]`` — a k×k result — followed by symmetric decorrelation.
 """
 
@@ -11,13 +11,14 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.functions.blocks import batch_matrix, tree_reduce
+
 
 def _fit_pca(mat: DataFrame, n: int):
     d = mat.withColumn("features", array_to_vector("vec"))
@@ -55,29 +56,25 @@ def ica(mat: DataFrame, key: str, n: int = 2, seed: int = 42, max_iter: int = 20
     K = comps[:, :n] / np.sqrt(lam)[None, :]  # whitening: z = x·K
     zcols = [F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in K[:, j]]), lambda a, b: a * b),
                          F.lit(0.0), lambda s, x: s + x) for j in range(n)]
-    Z = mat.select(key, F.array(*zcols).alias("z")).persist(StorageLevel.MEMORY_AND_DISK)
+    whitened = mat.select(key, F.array(*zcols).alias("z"))
+    Z = whitened.persist(StorageLevel.MEMORY_AND_DISK)
     W = _sym_decorrelate(np.random.default_rng(seed).normal(size=(n, n)))
     it = 0
     for it in range(1, max_iter + 1):
         Wb = W.copy()
 
         def step(batches, Wb=Wb):
-            acc_g = np.zeros((n, n))
-            acc_d = np.zeros(n)
-            cnt = 0
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                X = np.stack(pdf["z"].to_numpy())
-                G = np.tanh(X @ Wb.T)  # rows × n
-                acc_g += G.T @ X
-                acc_d += (1 - G ** 2).sum(0)
-                cnt += len(X)
-            yield pd.DataFrame({"g": [acc_g.ravel().tolist()], "d": [acc_d.tolist()], "c": [cnt]})
-        parts = Z.select("z").mapInPandas(step, "g array<double>, d array<double>, c long").collect()
-        g = sum(np.array(r["g"]) for r in parts).reshape(n, n)
-        dsum = sum(np.array(r["d"]) for r in parts)
-        c = sum(r["c"] for r in parts)
+            total = np.zeros((n, n + 2))  # g(Wz) z', then the derivatives and the rows
+            for batch in batches:
+                if batch.num_rows:
+                    X = batch_matrix(batch, "z")
+                    G = np.tanh(X @ Wb.T)  # rows × n
+                    total[:, :n] += G.T @ X
+                    total[:, n] += (1 - G ** 2).sum(0)
+                    total[:, n + 1] += len(X)
+            return {0: total}
+        sums = tree_reduce(Z.select("z"), step)[0]
+        g, dsum, c = sums[:, :n], sums[:, n], sums[0, n + 1]
         W_new = _sym_decorrelate(g / c - (dsum / c)[:, None] * W)
         lim = np.max(np.abs(np.abs(np.einsum("ij,ij->i", W_new, W)) - 1))
         W = W_new
@@ -87,7 +84,7 @@ def ica(mat: DataFrame, key: str, n: int = 2, seed: int = 42, max_iter: int = 20
         warnings.warn(f"FastICA did not reach tol={tol} in {max_iter} rounds", stacklevel=2)
     S = [F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in W[j]]), lambda a, b: a * b),
                      F.lit(0.0), lambda s, x: s + x).alias(f"component_{j + 1}") for j in range(n)]
-    out = Z.select(key, *S)
-    return out, it
+    Z.unpersist()
+    return whitened.select(key, *S), it
 
 

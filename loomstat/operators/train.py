@@ -39,6 +39,7 @@ from loomstat.functions.exprs import col_of, is_datetime_type, is_numeric_type,
 from loomstat.functions.quantiles import column_quantiles
 from loomstat.operators import metrics as M
 from loomstat.operators.boosting import NewtonBoost
+from loomstat.operators.least_squares import LeastSquares
 from loomstat.operators.split import kfold, split_dataset
 from loomstat.operators.stages import TextCodes
 
@@ -177,7 +178,7 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
         if model == "lir":
             return LinearRegression(solver="normal", regParam=0.0, **kw, **wk)
         if model == "pr":
-            return LinearRegression(solver="normal", regParam=0.0, **kw, **wk)
+            return LeastSquares(**kw)
         if model == "lar":
             # (1/2n)·RSS + α‖w‖₁ is MLlib's L1 objective as is (checked against the 1-D closed form)
             return LinearRegression(regParam=float(p.get("alpha", 0.01)), elasticNetParam=1.0,
@@ -206,9 +207,9 @@ def build_pipeline(df: DataFrame, target: str, model: str, task: str, n_rows: in
     degree = int(params.get("degree", 5)) if model == "pr" else None
     stages, fcol = feature_stages(df, plan, scale, degree)
     if model == "svm":
-        from loomstat.operators.svm import RffSvmClassifier
-        est = RffSvmClassifier(featuresCol=fcol, labelCol=LABEL, C=float(params.get("C", 1.0)), weightCol=weight_col,
-                               kernel=params.get("kernel", "rbf"), seed=seed)
+        from loomstat.operators.svm import NystroemSvmClassifier
+        est = NystroemSvmClassifier(featuresCol=fcol, labelCol=LABEL, C=float(params.get("C", 1.0)), weightCol=weight_col,
+                                    kernel=params.get("kernel", "rbf"))
     elif model == "knn":
         from loomstat.operators.knn import KnnClassifier
         est = KnnClassifier(featuresCol=fcol, labelCol=LABEL, k=int(params.get("n_neighbors", 5)))
