@@ -305,6 +305,8 @@ class Prepared:
         return len(self.plan.labels or [])
 
     def fit(self, rows: DataFrame, model: str, n_rows: int, weight_col: str | None = None, **params) -> PipelineModel:
+        if model == "rr" and "label_std" not in params:  # of the rows that are fitted
+            params = {**params, "label_std": rows.agg(F.stddev_pop(LABEL)).first()[0]}
         pipe = build_pipeline(self.data, self.plan.target, model, self.task, n_rows, self.plan, weight_col, self.seed,
                               **params)
         return name_classes(pipe.fit(rows), self.plan.labels)
@@ -366,8 +368,10 @@ def train_model(df: DataFrame, target: str, model: str = "rf", task: str = "clas
     ``result.extra["confusion"]`` is the confusion table of a classifier."""
     _check_model(model, task)
     p = prepare(df, target, task, key, seed)
-    _, train, test = _split(p, test_size)
-    return _train_on(p, train, test, model, test_size, class_weight, return_train_score, **params)
+    both, train, test = _split(p, test_size)
+    result = _train_on(p, train, test, model, test_size, class_weight, return_train_score, **params)
+    both.unpersist()
+    return result
 
 
 def _folds(p: Prepared, n_splits: int) -> DataFrame:
@@ -415,7 +419,7 @@ def compare_models(df: DataFrame, target: str, task: str = "classification", mod
     Ranked by (f1, accuracy) or (r2, -rmse)."""
     models = models or list(CLASSIFIERS if task == "classification" else REGRESSORS)
     p = prepare(df, target, task, key, seed)
-    _, train, test = _split(p, test_size)
+    both, train, test = _split(p, test_size)
 
     def one(m: str) -> tuple:
         try:
@@ -427,6 +431,7 @@ def compare_models(df: DataFrame, target: str, task: str = "classification", mod
             return (m, "failed", None, None, str(e)[:200]), None
 
     done = _parallel(df.sparkSession, one, models)
+    both.unpersist()
     done.sort(key=lambda x: (x[1] is None, *((-x[0][2], -x[0][3]) if x[1] else (0, 0)), x[0][0]))
     rows = [(*row, rank) for rank, (row, _) in enumerate(done, 1)]
     table = df.sparkSession.createDataFrame(

@@ -53,4 +53,4 @@ def cols(table: str, kind: str | None = None) -> list[str]:
 def load_all() -> None:
     """Import the modules that register queries."""
     from loomstat.plans import (queries_cases, queries_clean, queries_ml, queries_model,  # noqa: F401
-                                queries_profile, queries_sources)
+                                queries_profile, queries_sources, queries_trained)
