@@ -26,11 +26,11 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import (IndexToString, PolynomialExpansion, SQLTransformer, StandardScaler,
                                 StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +42,7 @@ from loomstat.operators.boosting import NewtonBoost
 from loomstat.operators.least_squares import LeastSquares
 from loomstat.operators.split import kfold, split_dataset
 from loomstat.operators.stages import TextCodes
+from loomstat.operators.trees import ExactTree
 
 CLASSIFIERS = ("lr", "svm", "rf", "dtc", "knn", "nb", "xgb")
 REGRESSORS = ("lir", "pr", "lar", "rr", "dtr", "rfr", "xgb")
@@ -166,7 +167,7 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
             return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth,
                                           featureSubsetStrategy="sqrt", maxMemoryInMB=512, seed=seed, **kw, **wk)
         if model == "dtc":
-            return DecisionTreeClassifier(maxDepth=depth, seed=seed, **kw, **wk)
+            return ExactTree(n_classes=n_classes, max_depth=p.get("max_depth"), **kw, **wk)
         if model == "nb":
             return NaiveBayes(modelType="gaussian", **kw, **wk)
         if model == "xgb":
@@ -190,7 +191,7 @@ def make_estimator(model: str, task: str, n_rows: int, n_classes: int, features_
             return LinearRegression(regParam=float(p.get("alpha", 0.01)) * y_std / max(n_rows, 1), elasticNetParam=0.0,
                                     standardization=False, solver="normal", **kw, **wk)
         if model == "dtr":
-            return DecisionTreeRegressor(maxDepth=depth, seed=seed, **kw, **wk)
+            return ExactTree(max_depth=p.get("max_depth"), **kw, **wk)
         if model == "rfr":
             return RandomForestRegressor(numTrees=int(p.get("n_estimators", 10)), maxDepth=depth,
                                          featureSubsetStrategy="all", maxMemoryInMB=512, seed=seed, **kw, **wk)

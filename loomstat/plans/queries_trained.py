@@ -3,11 +3,13 @@ its evaluation, search and learning curve, saved models, JSON scoring, report pa
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from loomstat.operators import anomaly as AN
 from loomstat.operators import train as TR
+from loomstat.operators.trees import ExactTree
 from loomstat.plans.catalog import ORACLE, T, cols, register
 from loomstat.plans.queries_ml import _h, _strat_sql
 from loomstat.plans.queries_profile import CUSTOMER_N_SQL, customer_n, sql_box, sql_describe, sql_histogram, sql_pearson
@@ -61,6 +63,46 @@ ORACLE["score_head"] = (
     "o_orderpriority, CAST(strpos('FOP', predicted) - 1 AS DOUBLE) AS prediction, predicted AS predicted_label, probability FROM s "
     "JOIN p ON p.k = s.o_orderkey JOIN h ON h.k = s.o_orderkey ORDER BY o_orderkey LIMIT 20")
 
+# ------------------------------------------------------------------ the first split of an exact tree
+_CUT_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _cut_sql(stat: str, columns: list[str], score: str) -> str:
+    """The best midpoint: ``stat`` lists the statistics of a row (s0, s1, ...), ``score`` what a side of them is worth ({0}: prefix)."""
+    names = [x.split(" AS ")[1] for x in stat.split(", ")]
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS i, CAST({c} AS DOUBLE) AS x, {stat} FROM lineitem" for i, c in enumerate(columns))
+    sums = ", ".join(f"sum({n}) AS {n}" for n in names)
+    runs = ", ".join(f"sum({n}) OVER w AS l_{n}, sum({n}) OVER (PARTITION BY feature) AS t_{n}" for n in names)
+    rest = ", ".join(f"t_{n} - l_{n} AS r_{n}" for n in names)
+    return (f"WITH v AS (SELECT feature, i, x, {sums} FROM ({cells}) GROUP BY 1, 2, 3), r AS (SELECT feature, i, (x + lead(x) OVER w) / 2 AS "
+            f"threshold, {runs} FROM v WINDOW w AS (PARTITION BY feature ORDER BY x)), k AS (SELECT *, {rest} FROM r WHERE threshold IS NOT NULL) "
+            f"SELECT feature, round(threshold, 6) AS threshold, round(gain, 3) AS gain FROM (SELECT feature, i, threshold, {score.format('l_')} + "
+            f"{score.format('r_')} - {score.format('t_')} AS gain FROM k) ORDER BY gain DESC, i, threshold LIMIT 1")
+
+
+def _first_cut(spark, sf, label, classes):
+    """(feature, threshold, gain) of the root, the threshold as the midpoint of the values on either side of it (a large node's
+    cut is a histogram's)."""
+    li = T(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _CUT_COLUMNS], label.alias("label"))
+    m = ExactTree(n_classes=classes, max_depth=1).fit(VectorAssembler(inputCols=_CUT_COLUMNS, outputCol="features").transform(li))
+    f, t = F.col(_CUT_COLUMNS[m.tree["feature"][0]]), float(m.tree["threshold"][0])
+    ends = li.agg(F.max(F.when(f <= t, f)).alias("a"), F.min(F.when(f > t, f)).alias("b")).first()
+    cut = (_CUT_COLUMNS[m.tree["feature"][0]], round((ends["a"] + ends["b"]) / 2, 6), round(float(m.tree["gain"][0]), 3))
+    return spark.createDataFrame([cut], "feature string, threshold double, gain double")
+
+
+@register("clf_dtc_split", _cut_sql(", ".join(f"CASE WHEN l_returnflag = '{c}' THEN 1.0 ELSE 0.0 END AS s{i}" for i, c in enumerate("ANR")),
+                                    _CUT_COLUMNS, "({0}s0 * {0}s0 + {0}s1 * {0}s1 + {0}s2 * {0}s2) / ({0}s0 + {0}s1 + {0}s2)"))
+def _q_first_cut_class(spark, sf):
+    label = F.array_position(F.array(*[F.lit(x) for x in "ANR"]), F.col("l_returnflag")).cast("double") - 1
+    return _first_cut(spark, sf, label, 3)
+
+
+@register("reg_dtr_split", _cut_sql("1.0 AS s0, l_tax * 1000 + l_discount AS s1", _CUT_COLUMNS, "{0}s1 * {0}s1 / {0}s0"))
+def _q_first_cut_number(spark, sf):
+    return _first_cut(spark, sf, F.col("l_tax") * 1000 + F.col("l_discount"), 0)
+
+
 # ------------------------------------------------------------------ one column, least squares
 _LI = "(SELECT o_orderkey AS k, CAST(o_custkey AS DOUBLE) AS x, o_totalprice / 1000 + o_custkey / 10.0 AS y FROM orders)"
 
