@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,17 @@ from loomstat.session import ensure_checkpoint_dir
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of the Arrow batches that executors pass to Python: texts are long, and a batch is held several times over.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder.  Arrow batches of the session are bounded to ``BATCH_BYTES`` (a smaller setting stays)."""
+    size, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", spark.conf.get(_BATCH_SETTING).lower()).groups()
+    now = int(size) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,9 +32,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
+#: Names this process's folder below the checkpoint folder.
+RUN = uuid.uuid4().hex
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all intermediate tables of this process, below the shared checkpoint folder of the session."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/loomstat-{RUN}"
+
+
 def fresh_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below the shared checkpoint folder of the session."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/loomstat-{tag}-{uuid.uuid4().hex}"
+    """A new folder in the run's folder."""
+    return f"{run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove_run(spark: SparkSession) -> None:
+    """Delete the run's folder.  Results of operators are lazy and read from it: call this when they are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -41,7 +41,7 @@ TOP_TERMS = 50
 UNIT, PRIOR = 1_000_000_000, 5
 BLOCK_TERMS, BLOCK_GROUPS, MAX_COLUMNS = 2048, 64, 1024
 #: Entries that a counting task holds before it gives them out, and bytes of a text that it splits at once.
-HELD_TERMS, PIECE = 400_000, 4 << 20
+HELD_TERMS, PIECE = 800_000, 4 << 20
 SCHEMA = "lang string, source string, part string, item string, value long, rank int"
 
 # Letters, and all bytes of longer characters, stay; A-Z become a-z; the rest separates.
@@ -73,7 +73,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])[order]
             names = pa.array(list(sources), pa.string()).take(pa.array(source))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(place), pa.string()), pa.array(list(place), pa.binary()).cast(pa.string()),
+                [pa.repeat(pa.scalar(lang, pa.string()), len(place)), pa.array(list(place), pa.binary()).cast(pa.string()),
                  pa.array(docs.values(), pa.int64()), pa.ListArray.from_arrays(ends, names),
                  pa.ListArray.from_arrays(ends, pa.array(n))], names=["lang", "term", "docs", "sources", "n"])
         found.clear()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,9 +22,21 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
-def tidy(task: Callable) -> Callable:
-    """A task that gives freed memory back to the system when it ends: Python workers live on between tasks."""
+def process_store(name: str) -> dict:
+    """A dict that the Python worker process keeps from task to task, until a task that does not use it begins."""
+    home = sys.modules.setdefault("_loomstat_process_store", types.ModuleType("_loomstat_process_store"))
+    return home.__dict__.setdefault(name, {})
+
+
+def tidy(task: Callable, keep: str | None = None) -> Callable:
+    """A task that gives freed memory back to the system: Python workers live on between tasks.
+
+    What earlier tasks left in process stores is dropped first, except the store named ``keep``, which this task uses."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = sys.modules.get("_loomstat_process_store")
+        for name, store in list(vars(home).items()) if home else []:
+            if isinstance(store, dict) and name != keep and not name.startswith("__"):
+                store.clear()
         yield from task(batches)
         pa.default_memory_pool().release_unused()
         try:

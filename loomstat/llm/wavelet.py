@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import json
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -38,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.llm.common import fresh_folder, table
-from loomstat.llm.kernels import steps, tidy, utf8
+from loomstat.llm.kernels import process_store, steps, tidy, utf8
 
 END_ID = 2
 SHARD_IDS = 1 << 19
@@ -177,12 +175,6 @@ def unpack(blob: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return WaveletMatrix(n, planes, zeros), [int(x) if k else None for x, k in zip(names, known)], lengths
 
 
-def process_store(name: str) -> dict:
-    """A dict that the Python worker process keeps from task to task."""
-    home = sys.modules.setdefault("_loomstat_process_store", types.ModuleType("_loomstat_process_store"))
-    return home.__dict__.setdefault(name, {})
-
-
 class ChunkTable:
     """Ids of remembered chunks, found by two 64-bit hashes through open addressing in numpy arrays."""
 
@@ -250,7 +242,7 @@ class WordEncoder:
     many words at a time and cut at the ids that end a word.
     """
 
-    PIECE, TOGETHER, LONGEST = 200_000, 400, 256
+    PIECE, TOGETHER, LONGEST, AT_ONCE = 100_000, 400, 256, 20_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -280,16 +272,18 @@ class WordEncoder:
         return h
 
     def _add_whole(self, h: np.ndarray, chunks: list[str]) -> None:
-        if chunks:
-            ids = self._ids(chunks)
-            self.table.add(h, np.array(list(chain.from_iterable(ids)), np.uint32),
+        for lo in range(0, len(chunks), self.AT_ONCE):
+            ids = self._ids(chunks[lo:lo + self.AT_ONCE])
+            self.table.add(h[:, lo:lo + self.AT_ONCE], np.array(list(chain.from_iterable(ids)), np.uint32),
                            np.fromiter(map(len, ids), np.int64, len(ids)), False)
 
     def _add_letters(self, h: np.ndarray, words: list[str]) -> None:
         """Words of letters only: each ends with exactly one id that ends a word."""
         lots = [words[i:i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
         take, ids, size = [], [], []
-        for k, (lot, found) in enumerate(zip(lots, self._ids([" ".join(x) for x in lots]))):
+        some = self.AT_ONCE // self.TOGETHER  # the library's results take far more room than the ids
+        found_lots = (x for i in range(0, len(lots), some) for x in self._ids([" ".join(lot) for lot in lots[i:i + some]]))
+        for k, (lot, found) in enumerate(zip(lots, found_lots)):
             found = np.array(found, np.uint32)
             last = np.flatnonzero(self.ends[found])
             mine = np.arange(k * self.TOGETHER, k * self.TOGETHER + len(lot))
@@ -465,7 +459,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    shards = rows.select("doc_id", "text").mapInArrow(tidy(_pack_task(tokenizer, end_id, shard_ids)),
+    shards = rows.select("doc_id", "text").mapInArrow(tidy(_pack_task(tokenizer, end_id, shard_ids), keep="word_encoders"),
                                                       "shard long, n_tokens long, n_docs long, blob binary")
     shards.write.parquet(path)
     return docs.sparkSession.read.schema(shards.schema).parquet(path)

@@ -5,7 +5,7 @@ import numpy as np
 
 import corpus_pipeline as P
 from loomstat.llm import decontam, quality, wavelet
-from loomstat.llm.common import materialize
+from loomstat.llm.common import materialize, remove_run, run_folder
 
 
 def test_stages_against_plain_rules(spark, sf):
@@ -22,7 +22,7 @@ def test_stages_against_plain_rules(spark, sf):
     assert sorted(ids[0]) == sorted(i for i, k in verdict.items() if k)
     texts = {r.doc_id: r.text for r in seen[0][1].collect()}
     from test_neardup import brute
-    assert sorted(ids[1]) == sorted(i for i, (_, c) in brute(texts).items() if c == i)
+    assert sorted(ids[1]) == sorted(i for i, (_, c) in brute(texts, 5).items() if c == i)
     items = [b" ".join(decontam.words_of(r.text.encode())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     plain = {i: b" " + b" ".join(decontam.words_of(t.encode())) + b" " for i, t in texts.items()}
     assert all(b" " + x + b" " not in plain[i] for i in ids[2] for x in items)
@@ -51,4 +51,23 @@ def test_registered(spark):
     names = E.queries()
     assert "pipeline" in names
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op") and re.match(r"op\d+_", n)) == list(
-        range(1, 11))
+        range(1, 14))
+
+
+def test_a_run_has_one_folder(spark, no_docs):
+    import os
+    kept = materialize(spark.range(5), "numbers")
+    place = run_folder(spark).removeprefix("file://")
+    assert kept.count() == 5 and os.listdir(place)
+    remove_run(spark)
+    assert not os.path.exists(place)
+    assert materialize(no_docs, "again").count() == 0
+
+
+def test_batches_are_bounded(spark, sf):
+    from loomstat.llm import common as C
+    for given, want in (("64m", C.BATCH_BYTES), ("-1", C.BATCH_BYTES), ("1m", 1 << 20), ("2097152b", 2 << 20)):
+        spark.conf.set(C._BATCH_SETTING, given)
+        C.table(spark, sf, "labels")
+        size, unit = re.fullmatch(r"(\d+)([mb]?)", spark.conf.get(C._BATCH_SETTING)).groups()
+        assert int(size) << (20 if unit == "m" else 0) == want
