@@ -66,7 +66,7 @@ def test_a_run_has_one_folder(spark, no_docs):
 
 def test_batches_are_bounded(spark, sf):
     from loomstat.llm import common as C
-    for given, want in (("64m", C.BATCH_BYTES), ("-1", C.BATCH_BYTES), ("1m", 1 << 20), ("2097152b", 2 << 20)):
+    for given, want in (("64m", C.BATCH_BYTES), ("1m", 1 << 20), ("2097152b", 2 << 20)):
         spark.conf.set(C._BATCH_SETTING, given)
         C.table(spark, sf, "labels")
         size, unit = re.fullmatch(r"(\d+)([mb]?)", spark.conf.get(C._BATCH_SETTING)).groups()
