@@ -242,7 +242,7 @@ class WordEncoder:
     many words at a time and cut at the ids that end a word.
     """
 
-    PIECE, TOGETHER, LONGEST, AT_ONCE = 100_000, 400, 256, 20_000
+    PIECE, TOGETHER, LONGEST, AT_ONCE = 200_000, 400, 256, 50_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -476,7 +476,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     starts = sizes.withColumn("in_part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part")
     starts = starts.select("shard", (F.col("part_start") + F.col("in_part")).alias("shard_start"))
     docs = shards.select("shard", "blob").mapInArrow(
-        tidy(_read_task), "shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+        tidy(_read_task, keep="word_encoders"), "shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return docs.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"),
                                              "n_tokens", "ids_crc32")
 
