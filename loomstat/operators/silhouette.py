@@ -7,20 +7,27 @@ returns one sum per row, and Spark adds the blocks.
 For one labelling, most clusters need not be met: the mean distance of x to a cluster with centroid c and variance v lies
 between ``|x - c|`` and ``sqrt(|x - c|^2 + v)``, so only those whose lower bound is not above the smallest upper bound can be
 the nearest.  For several labellings of the same rows (the k's of a search), every distance is computed once and added to all
-of them.  The work is quadratic in the rows either way; a caller with too many passes a sample.
+of them.  In one or two dimensions the sums of many rows come from a quadtree (``far_field``), in n log n.  In more the work is
+quadratic in the rows; a caller with too many passes a sample.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstat.operators.far_field import MAX_DIM, hot, sums_by_leaf
 from loomstat.operators.knn import MAX_PIVOT_BYTES, QUERY_CHUNK, _block_join, _by_rows, _distances, _slack
 from loomstat.session import cut_lineage
 
+#: Rows from which, in few dimensions, a quadtree takes the place of all pairs (``far_field``), and the most clusters for it.
+TREE_ROWS, TREE_CLUSTERS = 50_000, 64
+
 
 def exact_distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     """Distances by a matrix product; those that rounding could blur are computed term by term."""
@@ -32,7 +39,7 @@ def exact_distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     return d
 
 
-def mean_silhouette(points: DataFrame, key: str, label: str) -> float | None:
+def mean_silhouette(points: DataFrame, key: str, label: str, tree_rows: int = TREE_ROWS) -> float | None:
     """Mean silhouette of ``(key, vec, label)``; None below two clusters.  Centroids of all clusters must fit
     ``MAX_PIVOT_BYTES`` (checked)."""
     coded = points.select(F.col(key).alias("qid"), "vec", F.col(label).alias("_l")).where("_l IS NOT NULL")
@@ -54,6 +61,9 @@ def mean_silhouette(points: DataFrame, key: str, label: str) -> float | None:
                                     T.StructType([T.StructField("_l", coded.schema["_l"].dataType), T.StructField("cell", T.IntegerType()),
                                                   T.StructField("n", T.LongType())]))
     numbers = F.broadcast(numbers)
+    if dim <= MAX_DIM and len(stats) <= TREE_CLUSTERS and sum(r["n"] for r in stats) > tree_rows:
+        numbered = coded.join(numbers, "_l").select("qid", "vec", F.array("cell").alias("labels"))
+        return silhouettes_of_labellings(numbered, "qid", [{i: r["n"] for i, r in enumerate(stats)}], tree_rows)[0]
     C = np.array([r["c"] for r in stats])
     V = np.maximum(np.array([r["q"] for r in stats]) - (C * C).sum(1), 0.0)
     shared = spark.sparkContext.broadcast((C, V))
@@ -98,55 +108,75 @@ def mean_silhouette(points: DataFrame, key: str, label: str) -> float | None:
     return float(per.agg(F.avg(s)).first()[0])
 
 
-def silhouettes_of_labellings(points: DataFrame, key: str, sizes: list[dict[int, int]]) -> list[float | None]:
+def _scores(S: np.ndarray, L: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    """(k, v, n): sum of the silhouettes of some rows and their number, by labelling; ``S`` holds the rows' sums of distances."""
+    out, rows = [], np.arange(len(L))
+    for k, lo in enumerate(starts[:-1]):
+        if np.count_nonzero(counts[lo:starts[k + 1]]) < 2:
+            out.append(0.0)  # one cluster has no silhouette
+            continue
+        n, s = counts[lo:starts[k + 1]], S[:, lo:starts[k + 1]]
+        own = L[:, k]
+        a = s[rows, own] / np.maximum(n[own] - 1, 1)
+        mean = np.where(n > 0, s / np.maximum(n, 1), np.inf)
+        mean[rows, own] = np.inf
+        b = mean.min(1)
+        top = np.maximum(a, b)
+        out.append(np.where((n[own] <= 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1, top)).sum())
+    return pd.DataFrame({"k": np.arange(len(out), dtype="int32"), "v": out, "n": len(L)})
+
+
+def _sums_by_block(points: DataFrame, dim: int, n: int, starts: np.ndarray, width: int, use, schema: str) -> DataFrame:
+    """``use`` of the rows of each block and their sums of distances to each cluster, from all pairs of blocks.
+
+    A block is one packed row; blocks meet in Spark's cartesian product, which writes no copies of them, and a task adds up
+    what its blocks met before it hands on a sum."""
+    blocks, m = max(1, -(-n // QUERY_CHUNK)), len(starts) - 1
+    parts = max(1, min(blocks, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    side = math.isqrt(4 * parts - 1) + 1  # partitions of each side: a few pairs for every slot
+    dealt = points.select("vec", "labels", F.pmod(F.xxhash64("vec", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
+
+    def pack(key, pdf):
+        X, L = np.stack(pdf["vec"].to_numpy()).astype(float), np.stack(pdf["labels"].to_numpy()).astype("int32")
+        return pd.DataFrame({"block": [key[0]], "x": [X.tobytes()], "l": [L.tobytes()]})
+    packed = cut_lineage(cut_lineage(dealt).groupBy("block").applyInPandas(pack, "block int, x binary, l binary"))
+    spread = cut_lineage(packed.repartition(min(side, blocks), "block"))
+    pairs = spread.crossJoin(spread.select(F.col("x").alias("rx"), F.col("l").alias("rl")))
+
+    def meet(it):
+        held: dict[int, np.ndarray] = {}
+        for pdf in it:
+            for b, x, rx, rl in zip(pdf["block"], pdf["x"], pdf["rx"], pdf["rl"]):
+                s = exact_distances(np.frombuffer(x).reshape(-1, dim), np.frombuffer(rx).reshape(-1, dim)) @ hot(
+                    np.frombuffer(rl, "int32").reshape(-1, m), starts[:-1], width)
+                held[b] = held[b] + s if b in held else s
+        for b, s in held.items():
+            yield pd.DataFrame({"block": [b], "s": [s.tobytes()]})
+    sums = pairs.select("block", "x", "rx", "rl").mapInPandas(meet, "block int, s binary")
+
+    def finish(key, mine, got):
+        S = sum((np.frombuffer(s).reshape(-1, width) for s in got["s"]), np.zeros(1))
+        return use(S, np.frombuffer(mine["l"].iloc[0], "int32").reshape(-1, m))
+    return packed.select("block", "l").groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(finish, schema)
+
+
+def silhouettes_of_labellings(points: DataFrame, key: str, sizes: list[dict[int, int]], tree_rows: int = TREE_ROWS) -> list[float | None]:
     """Mean silhouette of each labelling in ``labels`` (array column next to ``key`` and ``vec``); ``sizes`` holds the rows of
-    each cluster of each labelling.  One set of block pairs for all of them."""
+    each cluster of each labelling.  One set of block pairs for all of them, or in up to ``far_field.MAX_DIM`` dimensions and
+    beyond ``tree_rows`` rows one quadtree."""
     starts = np.cumsum([0] + [max(s) + 1 for s in sizes])
-    width = int(starts[-1])
+    width, n = int(starts[-1]), sum(sizes[0].values())
     counts = np.zeros(width)
     for lo, s in zip(starts, sizes):
-        for c, n in s.items():
-            counts[lo + c] = n
-    rows = points.select(F.col(key).alias("qid"), "vec", "labels")
-    chunks = max(1, -(-sum(sizes[0].values()) // QUERY_CHUNK))
-    side = F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    left = rows.select("qid", "vec", "labels", side.alias("_qc")).withColumn("_rc", every)
-    right = rows.select("vec", "labels", side.alias("_rc")).withColumn("_qc", every)
-    key_type = rows.schema["qid"].dataType
-
-    def block(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"qid": pd.Series(dtype=object), "labels": pd.Series(dtype=object), "s": pd.Series(dtype=object)})
-        d = exact_distances(np.stack(qpdf["vec"].to_numpy()), np.stack(rpdf["vec"].to_numpy()))
-        hot = np.zeros((len(rpdf), width))
-        at = np.stack(rpdf["labels"].to_numpy()) + starts[:-1]
-        hot[np.arange(len(rpdf))[:, None], at] = 1.0
-        return pd.DataFrame({"qid": qpdf["qid"], "labels": qpdf["labels"], "s": list(d @ hot)})
-    schema = T.StructType([T.StructField("qid", key_type), T.StructField("labels", T.ArrayType(T.IntegerType())),
-                           T.StructField("s", T.ArrayType(T.DoubleType()))])
-    parts = left.groupBy("_qc", "_rc").cogroup(right.groupBy("_qc", "_rc")).applyInPandas(block, schema)
-    # A row of ``chunks`` partial sums; each is an array over all clusters.
-    total = parts.groupBy("qid").agg(F.first("labels").alias("labels"), F.collect_list("s").alias("s"))
-
-    def score(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            S = np.array([np.sum(np.stack(list(x)), 0) for x in pdf["s"]])
-            L = np.stack(pdf["labels"].to_numpy())
-            out, rows_ = [], np.arange(len(L))
-            for k, lo in enumerate(starts[:-1]):
-                n, s = counts[lo:starts[k + 1]], S[:, lo:starts[k + 1]]
-                own = L[:, k]
-                a = s[rows_, own] / np.maximum(n[own] - 1, 1)
-                mean = np.where(n > 0, s / np.maximum(n, 1), np.inf)
-                mean[rows_, own] = np.inf
-                b = mean.min(1)
-                top = np.maximum(a, b)
-                v = np.where((n[own] <= 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1, top))
-                out.append(v)
-            yield pd.DataFrame({"k": np.repeat(np.arange(len(out), dtype="int32"), len(L)), "v": np.concatenate(out)})
-    means = total.mapInPandas(score, "k int, v double").groupBy("k").agg(F.avg("v").alias("v")).collect()
-    found = {r["k"]: r["v"] for r in means}
-    return [found.get(k) if len(s) >= 2 else None for k, s in enumerate(sizes)]
+        for c, size in s.items():
+            counts[lo + c] = size
+    dim = points.select(F.size("vec").alias("d")).first()["d"]
+
+    def use(S: np.ndarray, L: np.ndarray) -> pd.DataFrame:
+        return _scores(S, L, starts, counts)
+    if dim <= MAX_DIM and n > tree_rows:
+        each = sums_by_leaf(points, dim, n, starts[:-1], width, use, "k int, v double, n long")
+    else:
+        each = _sums_by_block(points, dim, n, starts, width, use, "k int, v double, n long")
+    found = {r["k"]: r for r in each.groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
+    return [found[k]["v"] / found[k]["n"] if len(s) >= 2 else None for k, s in enumerate(sizes)]
