@@ -8,9 +8,9 @@ rules and reaches the threshold.  The threshold is ``MIN_SCORE``, or lower where
 the trusted documents themselves score lower (their 1 % quantile less ``MARGIN``):
 a small or uneven labelled table must not reject what it calls good.
 
-The raw corpus is counted over all documents.  The trusted target is the model's
-labelled sample: at most ``MAX_TARGET`` labelled ids (the first by a hash of the
-id), so their broadcast is bounded.  Each task adds its documents up in one vector
+The raw corpus is counted over all documents, the trusted target over all that are
+labelled good.  Up to ``BROADCAST_IDS`` of their ids are broadcast, so that texts
+stay where they are; more meet the texts in Spark's own join.  Each task adds its documents up in one vector
 of ``BUCKETS`` counts and emits it once; Spark sums the vectors, and only the sums
 (a fixed number of buckets) reach the driver.
 
@@ -35,7 +35,7 @@ from loomstat.llm.kernels import MIX, WordHashes, rolled, steps, tidy, utf8
 BITS = 16
 BUCKETS = 1 << BITS
 GRAM = 4
-MAX_TARGET = 20_000
+BROADCAST_IDS = 2_000_000
 MIN_SCORE = -0.15
 TRUSTED_QUANTILE, MARGIN = 0.01, 0.1
 SMOOTH = 5.0
@@ -82,18 +82,16 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      names=["bucket", "raw", "target"])
 
 
-def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality",
-                limit: int = MAX_TARGET) -> DataFrame:
-    """Ids labelled good: all of them up to ``limit``, else the first ``limit`` by a hash of the id."""
+def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """Ids labelled good, all of them."""
     ids = labels.filter((F.col(f"`{quality}`") == 1) & F.col(f"`{doc_id}`").isNotNull())
-    ids = ids.select(F.col(f"`{doc_id}`").alias("_trusted")).distinct()
-    return ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(limit)
+    return ids.select(F.col(f"`{doc_id}`").alias("_trusted")).distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """log p_target - log p_raw of every bucket, both smoothed; zeros when either side is empty."""
     flagged = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    flagged = flagged.join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
+    flagged = flagged.join(trusted, F.col("_id") == F.col("_trusted"), "left")
     counts = flagged.select("_text", F.col("_trusted").isNotNull().alias("_good")).mapInArrow(
         tidy(_count_task), "bucket int, raw long, target long")
     sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
@@ -156,8 +154,10 @@ def _score_task(ratios: np.ndarray, min_score: float) -> Callable:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
-    """(log ratios, threshold) of a corpus; at most ``MAX_TARGET`` labelled ids are broadcast."""
-    trusted = F.broadcast(materialize(trusted_ids(labels, limit=MAX_TARGET), "trusted"))
+    """(log ratios, threshold) of a corpus."""
+    trusted = materialize(trusted_ids(labels), "trusted")
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)
     ratios = log_ratios(docs, trusted, doc_id, text)
     pairs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     good = pairs.join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi")

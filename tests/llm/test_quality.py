@@ -54,3 +54,17 @@ def test_junk_is_rejected_and_prose_kept(spark, prose):
                                    "doc_id long, quality int, toxic int")
     out = {r.doc_id: r.kept for r in Q.judge(docs, labels).collect()}
     assert all(out[i] for i in range(120)) and not any(out[1000 + i] for i in range(40))
+
+
+def test_every_trusted_id_counts(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert Q.trusted_ids(labels.unionByName(labels)).count() == 30_000
+
+
+def test_trusted_ids_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('some words of text number ', id % 7, repeat(' more of it', id % 5)) AS text")
+    labels = spark.range(0, 300, 2).selectExpr("id AS doc_id", "int(id % 4 == 0) AS quality", "0 AS toxic")
+    one, low = Q.fit(docs, labels)
+    monkeypatch.setattr(Q, "BROADCAST_IDS", 0)
+    two, low2 = Q.fit(docs, labels)
+    assert (one == two).all() and one.any() and abs(low - low2) < 1e-12
