@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.operators.far_field import MAX_DIM, hot, sums_by_leaf
-from loomstat.operators.knn import MAX_PIVOT_BYTES, QUERY_CHUNK, _block_join, _by_rows, _distances, _slack
+from loomstat.operators.knn import MAX_PIVOT_BYTES, QUERY_CHUNK, _block_join, _by_pairs, _by_rows, _distances, _slack
 from loomstat.session import cut_lineage
 
 #: Rows from which, in few dimensions, a quadtree takes the place of all pairs (``far_field``), and the most clusters for it.
@@ -87,8 +87,9 @@ def mean_silhouette(points: DataFrame, key: str, label: str, tree_rows: int = TR
                 meet = np.sqrt(d2) <= (upper.min(1) + slack)[:, None]
                 meet[rows, own] = True
                 i, c = np.nonzero(meet)
-                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[s][i], "cell": c.astype("int32"), "_u": 0.0,
-                                    "_qv": [X[k].tolist() for k in i]})
+                names = pdf["qid"].to_numpy()[s]
+                for at in _by_pairs(len(i), dim):
+                    yield pd.DataFrame({"qid": names[i[at]], "cell": c[at].astype("int32"), "_u": 0.0, "_qv": list(X[i[at]])})
     cand = members.select("qid", "vec", "cell").mapInPandas(candidates, T.StructType([
         T.StructField("qid", key_type), T.StructField("cell", T.IntegerType()), T.StructField("_u", T.DoubleType()),
         T.StructField("_qv", T.ArrayType(T.DoubleType()))]))

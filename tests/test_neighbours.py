@@ -69,3 +69,27 @@ def test_pivot_bytes_bound_the_tree(spark, monkeypatch):
         got.setdefault(r.qid, []).append((r.dist, r.rid))
     for i, x in X.items():
         assert sorted(got[i]) == sorted((float(np.sqrt(((x - y) ** 2).sum())), j) for j, y in X.items())[:3]
+
+
+def test_pairs_leave_a_task_in_bounded_slices(spark):
+    """In 64 dimensions every query meets every cell: no batch may hold the vectors of all pairs."""
+    import loomstat.operators.knn as K
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(0, 1, (3000, 64)))], "rid long, vec array<double>")
+    state = K.assign_cells(rows, n_pivots=50)
+    seen = {}
+
+    class Probe:
+        def __init__(self, df):
+            self.schema = df.schema
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, task, schema):
+            seen["task"] = task
+    K._candidates(Probe(rows.withColumnRenamed("rid", "qid")), "qid", "vec", state, own=False, eps=100.0)
+    batch = rows.withColumnRenamed("rid", "qid").toPandas()
+    sizes = [len(out) for out in seen["task"](iter([batch]))]
+    assert sum(sizes) == 3000 * 50 and max(sizes) * 64 * 8 <= 32 << 20
+    assert K._pivots(120_000, 64) == 64 and K._pivots(120_000, 2) == 346 and K._pivots(2000, 64) == 44
