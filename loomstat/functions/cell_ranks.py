@@ -10,6 +10,7 @@ partitions + lists rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from loomstat.session import cut_lineage
 
+#: Cells of a partition: a task holds them, and sorts them, in Python.
+TASK_CELLS = 500_000
+
 
 def _count_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Smaller and equal cells of the same list in this partition."""
@@ -64,7 +68,7 @@ def _corrections(summary: list) -> list[tuple]:
 def average_cell_ranks(cells: DataFrame, partitions: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """``(list, row, rank)`` of cells ``(list int, value double, row long)``, and the number of cells of each list."""
     spark = cells.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), math.ceil(cells.count() / TASK_CELLS))
     cells = cells.select("list", F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("value")).alias("value"), "row")
     counted = cut_lineage(cells.repartitionByRange(n, "list", "value", "row").mapInArrow(
         _count_local, "pid int, list int, value double, row long, less long, same long"))

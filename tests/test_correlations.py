@@ -101,3 +101,16 @@ def test_alerts_on_awkward_tables(spark):
     assert Q.quality_alerts(df.limit(0)).count() == 0 and Q.quality_alerts(df.select("word"), mode="eda").count() >= 1
     assert P.pearson_pairs(df.limit(0)).where("r IS NOT NULL").count() == 0
     assert P.spearman_pairs(df.limit(0), None, "key").where("r IS NOT NULL").count() == 0
+
+
+def test_more_cells_make_more_partitions(spark, monkeypatch):
+    """What a task holds of the ranks does not grow with the table."""
+    from loomstat.functions import cell_ranks as CR
+    cells = spark.range(4000).selectExpr("int(id % 2) AS list", "double(id % 97) AS value", "id AS row")
+    want = {(r["list"], r["row"]): r["rank"] for r in CR.average_cell_ranks(cells)[0].collect()}
+    monkeypatch.setattr(CR, "TASK_CELLS", 100)
+    seen, whole = [], CR.cut_lineage
+    monkeypatch.setattr(CR, "cut_lineage", lambda df: seen.append(whole(df)) or seen[-1])
+    got = {(r["list"], r["row"]): r["rank"] for r in CR.average_cell_ranks(cells)[0].collect()}
+    assert got == want and len(got) == 4000
+    assert max(r["count"] for r in seen[0].groupBy("pid").count().collect()) <= 300
