@@ -200,16 +200,16 @@ def hot(labels: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width: int, use, out_schema: str,
                  leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``use(S, labels)`` for the rows of each leaf: S holds a row's sums of distances to each cluster of each labelling.
+    """``use(S, labels, codes)`` for the rows of each leaf: S holds a row's sums of distances to each cluster of each labelling.
 
-    ``points`` has ``vec`` and ``labels`` (an array of cluster numbers, one for each entry of ``starts``)."""
+    ``points`` has ``vec``, ``labels`` (an array of cluster numbers, one for each entry of ``starts``) and a number ``code``."""
     from loomstat.operators.silhouette import exact_distances
     leaf_rows = max(leaf_rows, math.ceil(n * NODES ** dim * width * 8 * 2 / MAX_PIVOT_BYTES))
     m = len(starts)
     xs, ls = [f"x{j}" for j in range(dim)], [f"l{j}" for j in range(m)]
     slots = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(points.select(*[F.col("vec")[j].alias(x) for j, x in enumerate(xs)],
-                                     *[F.col("labels")[j].alias(x) for j, x in enumerate(ls)]).repartition(slots))
+                                     *[F.col("labels")[j].alias(x) for j, x in enumerate(ls)], "code").repartition(slots))
     box = rows.agg(*[F.min(x) for x in xs], *[F.max(x) for x in xs]).first()
     lo, hi = np.array(box[:dim]), np.array(box[dim:])
     space = Space(lo, float((hi - lo).max()) * (1 + 1e-9) or 1.0)
@@ -229,12 +229,13 @@ def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width:
     def pack(key, pdf):
         X, L = pdf[xs].to_numpy(float), pdf[ls].to_numpy("int32")
         w = shared.value.member_weights(key[0], X).T @ hot(L, starts, width)
-        return pd.DataFrame({"leaf": [key[0]], "chunk": [key[1]], "x": [X.tobytes()], "l": [L.tobytes()], "w": [w.tobytes()]})
-    fields = ", ".join([f"{x} double" for x in xs] + [f"{x} int" for x in ls])
+        return pd.DataFrame({"leaf": [key[0]], "chunk": [key[1]], "x": [X.tobytes()], "l": [L.tobytes()],
+                             "c": [pdf["code"].to_numpy("int64").tobytes()], "w": [w.tobytes()]})
+    fields = ", ".join([f"{x} double" for x in xs] + [f"{x} int" for x in ls] + ["code long"])
     # A small table holds much work: without a number, its few bytes would be put into a few tasks.
     spread = max(slots, min(4 * slots, tree.n_leaves // 8))
     placed = rows.mapInPandas(place, f"{fields}, leaf int, chunk int").repartition(spread, "leaf", "chunk")
-    packed = cut_lineage(placed.groupBy("leaf", "chunk").applyInPandas(pack, "leaf int, chunk int, x binary, l binary, w binary"))
+    packed = cut_lineage(placed.groupBy("leaf", "chunk").applyInPandas(pack, "leaf int, chunk int, x binary, l binary, c binary, w binary"))
     W = np.zeros((tree.n_leaves, NODES ** dim, width))
     for r in packed.select("leaf", "w").toLocalIterator():
         W[r["leaf"]] += np.frombuffer(r["w"]).reshape(-1, width)
@@ -247,14 +248,16 @@ def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width:
                 yield pd.DataFrame({"leaf": leaf, "chunk": chunk, "other": np.array(near, "int32")})
 
     pairs = packed.select("leaf", "chunk").mapInPandas(meet, "leaf int, chunk int, other int")
-    around = pairs.join(packed.select(F.col("leaf").alias("other"), "x", "l"), "other").select("leaf", "chunk", F.lit(False).alias("own"), "x", "l")
-    every = around.unionByName(packed.select("leaf", "chunk", F.lit(True).alias("own"), "x", "l"))
+    around = pairs.join(packed.select(F.col("leaf").alias("other"), "x", "l"), "other").select("leaf", "chunk", F.lit(False).alias("own"), "x", "l",
+                                                                                                  F.lit(b"").alias("c"))
+    every = around.unionByName(packed.select("leaf", "chunk", F.lit(True).alias("own"), "x", "l", "c"))
 
     def solve(key, pdf):
         tree, W = shared.value, moments.value
         c = tree.centre[key[0]]
         read = [(np.frombuffer(x).reshape(-1, dim) - c, np.frombuffer(y, "int32").reshape(-1, m)) for x, y in zip(pdf["x"], pdf["l"])]
-        X, L = read[int(np.flatnonzero(pdf["own"])[0])]
+        mine = int(np.flatnonzero(pdf["own"])[0])
+        X, L = read[mine]
         S = np.zeros((len(X), width))
         for own, (Y, other) in zip(pdf["own"], read):
             if not own:
@@ -264,5 +267,5 @@ def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width:
         for i in range(0, len(far), step):
             cells = far[i:i + step]
             S += _distances(X, tree.points(cells) - c) @ W[cells].reshape(-1, width)
-        return use(S, L)
+        return use(S, L, np.frombuffer(pdf["c"].iloc[mine], "int64"))
     return every.repartition(spread, "leaf", "chunk").groupBy("leaf", "chunk").applyInPandas(solve, out_schema)

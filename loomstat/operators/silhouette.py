@@ -135,12 +135,12 @@ def _sums_by_block(points: DataFrame, dim: int, n: int, starts: np.ndarray, widt
     blocks, m = max(1, -(-n // QUERY_CHUNK)), len(starts) - 1
     parts = max(1, min(blocks, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     side = math.isqrt(4 * parts - 1) + 1  # partitions of each side: a few pairs for every slot
-    dealt = points.select("vec", "labels", F.pmod(F.xxhash64("vec", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
+    dealt = points.select("vec", "labels", F.pmod(F.xxhash64("vec", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "code")
 
     def pack(key, pdf):
         X, L = np.stack(pdf["vec"].to_numpy()).astype(float), np.stack(pdf["labels"].to_numpy()).astype("int32")
-        return pd.DataFrame({"block": [key[0]], "x": [X.tobytes()], "l": [L.tobytes()]})
-    packed = cut_lineage(cut_lineage(dealt).groupBy("block").applyInPandas(pack, "block int, x binary, l binary"))
+        return pd.DataFrame({"block": [key[0]], "x": [X.tobytes()], "l": [L.tobytes()], "c": [pdf["code"].to_numpy("int64").tobytes()]})
+    packed = cut_lineage(cut_lineage(dealt).groupBy("block").applyInPandas(pack, "block int, x binary, l binary, c binary"))
     spread = cut_lineage(packed.repartition(min(side, blocks), "block"))
     pairs = spread.crossJoin(spread.select(F.col("x").alias("rx"), F.col("l").alias("rl")))
 
@@ -157,14 +157,14 @@ def _sums_by_block(points: DataFrame, dim: int, n: int, starts: np.ndarray, widt
 
     def finish(key, mine, got):
         S = sum((np.frombuffer(s).reshape(-1, width) for s in got["s"]), np.zeros(1))
-        return use(S, np.frombuffer(mine["l"].iloc[0], "int32").reshape(-1, m))
-    return packed.select("block", "l").groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(finish, schema)
+        return use(S, np.frombuffer(mine["l"].iloc[0], "int32").reshape(-1, m), np.frombuffer(mine["c"].iloc[0], "int64"))
+    return packed.select("block", "l", "c").groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(finish, schema)
 
 
 def silhouettes_of_labellings(points: DataFrame, key: str, sizes: list[dict[int, int]], tree_rows: int = TREE_ROWS) -> list[float | None]:
     """Mean silhouette of each labelling in ``labels`` (array column next to ``key`` and ``vec``); ``sizes`` holds the rows of
     each cluster of each labelling.  One set of block pairs for all of them, or in up to ``far_field.MAX_DIM`` dimensions and
-    beyond ``tree_rows`` rows one quadtree."""
+    beyond ``tree_rows`` rows one quadtree.  Rows that share a key count once, with the sum of their distances."""
     starts = np.cumsum([0] + [max(s) + 1 for s in sizes])
     width, n = int(starts[-1]), sum(sizes[0].values())
     counts = np.zeros(width)
@@ -173,11 +173,31 @@ def silhouettes_of_labellings(points: DataFrame, key: str, sizes: list[dict[int,
             counts[lo + c] = size
     dim = points.select(F.size("vec").alias("d")).first()["d"]
 
-    def use(S: np.ndarray, L: np.ndarray) -> pd.DataFrame:
-        return _scores(S, L, starts, counts)
+    shared = points.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = cut_lineage(shared.select("_key", F.monotonically_increasing_id().alias("code")))
+    points = points.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+        "vec", "labels", F.coalesce("code", F.lit(-1).cast("long")).alias("code"))
+
+    def use(S: np.ndarray, L: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
+        alone = codes < 0
+        out = _scores(S[alone], L[alone], starts, counts).assign(code=-1, labels=None, s=None)
+        if alone.all():
+            return out
+        rest = pd.DataFrame({"k": -1, "v": 0.0, "n": 0, "code": codes[~alone], "labels": list(L[~alone]), "s": list(S[~alone])})
+        return pd.concat([out, rest], ignore_index=True)
+
+    def score_shared(it):
+        for pdf in it:
+            if len(pdf):
+                yield _scores(np.stack(pdf["s"].to_numpy()), np.stack(pdf["labels"].to_numpy()), starts, counts)
+    schema = "k int, v double, n long, code long, labels array<int>, s array<double>"
     if dim <= MAX_DIM and n > tree_rows:
-        each = sums_by_leaf(points, dim, n, starts[:-1], width, use, "k int, v double, n long")
+        each = sums_by_leaf(points, dim, n, starts[:-1], width, use, schema)
     else:
-        each = _sums_by_block(points, dim, n, starts, width, use, "k int, v double, n long")
+        each = _sums_by_block(points, dim, n, starts, width, use, schema)
+    each = cut_lineage(each)
+    together = each.where("k < 0").groupBy("code").agg(F.first("labels").alias("labels"),
+                                                       F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"))
+    each = each.where("k >= 0").select("k", "v", "n").unionByName(together.select("labels", "s").mapInPandas(score_shared, "k int, v double, n long"))
     found = {r["k"]: r for r in each.groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
     return [found[k]["v"] / found[k]["n"] if len(s) >= 2 else None for k, s in enumerate(sizes)]

@@ -51,6 +51,22 @@ def test_work_of_the_quadtree_is_not_quadratic():
 
 def test_block_pairs_are_not_copied(spark):
     """The pairs of blocks come from a cartesian product or broadcast, not from a shuffle of a copy for every pair."""
-    rows = spark.range(50).selectExpr("id", "array(id * 1.0, 1.0, 2.0) AS vec", "array(cast(id % 2 AS int)) AS labels")
-    plan = S._sums_by_block(rows, 3, 50, np.array([0, 2]), 2, lambda s, l: None, "k int")._jdf.queryExecution().toString()
+    rows = spark.range(50).selectExpr("id", "array(id * 1.0, 1.0, 2.0) AS vec", "array(cast(id % 2 AS int)) AS labels", "id AS code")
+    plan = S._sums_by_block(rows, 3, 50, np.array([0, 2]), 2, lambda s, l, c: None, "k int")._jdf.queryExecution().toString()
     assert "sequence(" not in plan and ("CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan)
+
+
+@pytest.mark.parametrize("tree_rows", [0, 10_000])
+def test_rows_of_one_key_count_once(spark, tree_rows):
+    X = cases()["blobs"][::4]
+    L = np.arange(len(X)) % 3
+    at = np.r_[np.arange(len(X)), np.arange(50)]  # 50 keys, one of them null, have two equal rows
+    rows = spark.createDataFrame([(None if i == 7 else int(i), X[i].tolist(), [int(L[i])]) for i in at],
+                                 "id long, vec array<double>, labels array<int>").repartition(3)
+    d = np.sqrt(((X[:, None] - X[at][None]) ** 2).sum(2))
+    n = np.bincount(L[at])
+    s = np.stack([d[:, L[at] == k].sum(1) for k in range(3)], 1)
+    own = L[:, None] == np.arange(3)
+    a, b = s[own] / (n[L] - 1), np.where(own, np.inf, s / n).min(1)
+    got = S.silhouettes_of_labellings(rows, "id", [{k: int(n[k]) for k in range(3)}], tree_rows)
+    assert abs(got[0] - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
