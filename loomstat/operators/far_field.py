@@ -151,6 +151,16 @@ class Tree:
         self.spot[:first] = self.sizes > leaf_rows
         self.is_leaf = np.arange(len(self.level)) < first
 
+    def parts(self) -> dict:
+        """What is broadcast: arrays and lists only, so that executors need no class to read them."""
+        return vars(self) | {"space": (self.space.lo, self.space.side)}
+
+    @classmethod
+    def of(cls, parts: dict) -> "Tree":
+        tree = cls.__new__(cls)
+        vars(tree).update(parts | {"space": Space(*parts["space"])})
+        return tree
+
     def leaf_of(self, X: np.ndarray) -> np.ndarray:
         p, out = self.space.places(X), np.full(len(X), -1)
         for level, code, first in self.by_level:
@@ -215,10 +225,10 @@ def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width:
     space = Space(lo, float((hi - lo).max()) * (1 + 1e-9) or 1.0)
     tree = Tree(space, dim, find_leaves(rows, space, dim, n, leaf_rows), leaf_rows)
     sc = points.sparkSession.sparkContext
-    shared = sc.broadcast(tree)
+    shared = sc.broadcast(tree.parts())
 
     def place(it):
-        tree = shared.value
+        tree = Tree.of(shared.value)
         chunks = -(-tree.sizes // leaf_rows)
         for pdf in it:
             if len(pdf):
@@ -228,7 +238,7 @@ def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width:
 
     def pack(key, pdf):
         X, L = pdf[xs].to_numpy(float), pdf[ls].to_numpy("int32")
-        w = shared.value.member_weights(key[0], X).T @ hot(L, starts, width)
+        w = Tree.of(shared.value).member_weights(key[0], X).T @ hot(L, starts, width)
         return pd.DataFrame({"leaf": [key[0]], "chunk": [key[1]], "x": [X.tobytes()], "l": [L.tobytes()],
                              "c": [pdf["code"].to_numpy("int64").tobytes()], "w": [w.tobytes()]})
     fields = ", ".join([f"{x} double" for x in xs] + [f"{x} int" for x in ls] + ["code long"])
@@ -244,7 +254,7 @@ def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width:
     def meet(it):
         for pdf in it:
             for leaf, chunk in zip(pdf["leaf"], pdf["chunk"]):
-                near, _ = shared.value.near_and_far(leaf)
+                near, _ = Tree.of(shared.value).near_and_far(leaf)
                 yield pd.DataFrame({"leaf": leaf, "chunk": chunk, "other": np.array(near, "int32")})
 
     pairs = packed.select("leaf", "chunk").mapInPandas(meet, "leaf int, chunk int, other int")
@@ -253,7 +263,7 @@ def sums_by_leaf(points: DataFrame, dim: int, n: int, starts: np.ndarray, width:
     every = around.unionByName(packed.select("leaf", "chunk", F.lit(True).alias("own"), "x", "l", "c"))
 
     def solve(key, pdf):
-        tree, W = shared.value, moments.value
+        tree, W = Tree.of(shared.value), moments.value
         c = tree.centre[key[0]]
         read = [(np.frombuffer(x).reshape(-1, dim) - c, np.frombuffer(y, "int32").reshape(-1, m)) for x, y in zip(pdf["x"], pdf["l"])]
         mine = int(np.flatnonzero(pdf["own"])[0])
