@@ -111,3 +111,62 @@ def test_train_save_and_limits(spark, tmp_path, monkeypatch):
         D.ExactTree().fit(frame(spark, np.ones((1, 1)), [1.0]).where("id < 0"))
     flat = D.ExactTree().fit(frame(spark, np.ones((5, 2)), np.arange(5)))
     assert flat.tree["feature"].tolist() == [-1]
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_more_nodes_than_the_driver_holds(spark, tmp_path, monkeypatch, classes):
+    """A tree above the limit of nodes goes on in a table of pieces: same predictions, importances, stored and streamed."""
+    rng = np.random.default_rng(8)
+    X = np.stack([rng.integers(0, 40, 700), rng.normal(size=700).round(2)], 1).astype(float)
+    y = rng.integers(0, classes, 700).astype(float) if classes else rng.normal(size=700)
+    df = frame(spark, X, y)
+    whole = D.ExactTree(n_classes=classes).fit(df)
+    for name, value in (("NODE_ROWS", 200), ("LOCAL_NODES", 0), ("PIECE_NODES", 16), ("MAX_NODES", 600)):
+        monkeypatch.setattr(D, name, value)
+    large = D.ExactTree(n_classes=classes).fit(df)
+    assert whole.pieces is None and large.pieces.count() > 20 and len(large.tree["feature"]) < 600 < len(whole.tree["feature"])
+    assert abs(sum(large.importances) - 1) < 1e-9
+    large.write().save(f"{tmp_path}/m")
+    df.write.parquet(f"{tmp_path}/rows")
+    stream = large.transform(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/rows")).select("id", "prediction")
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").start()
+    q.processAllAvailable()
+    q.stop()
+    # Grown to the end, a leaf holds the rows with equal features.
+    group = np.unique(X, axis=0, return_inverse=True)[1].ravel()
+    counts = np.stack([np.bincount(group, y == c) for c in range(classes)], 1) if classes else None
+    want = counts.argmax(1)[group] if classes else (np.bincount(group, y) / np.bincount(group))[group]
+    for scored in (large.transform(df), D.ExactTreeModel.load(f"{tmp_path}/m").transform(df), spark.read.parquet(f"{tmp_path}/out")):
+        assert np.allclose([r.prediction for r in scored.orderBy("id").select("prediction").collect()], want)
+
+
+def test_forest_in_pieces_equals_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(900, 4)).round(2)
+    y = (X[:, 0] + X[:, 1] > 0).astype(float) + (X[:, 2] > 1)
+    df = frame(spark, X, y).cache()
+    one = D.ExactForest(n_classes=3, trees=8).fit(df)
+    assert len(one.roots) == 8 and abs(sum(one.importances) - 1) < 1e-9 and np.argmin(one.importances) == 3
+    with monkeypatch.context() as m:
+        m.setattr(D, "LOCAL_NODES", 0)
+        m.setattr(D, "PIECE_NODES", 8)
+        two = D.ExactForest(n_classes=3, trees=8).fit(df)
+    a, b = ([(r.prediction, *r.p) for r in f.transform(df).orderBy("id").select("prediction", vector_to_array("probability").alias("p")).collect()] for f in (one, two))
+    assert two.pieces is not None and np.allclose(a, b) and np.allclose(one.importances, two.importances)
+    assert np.mean([r[0] for r in a] == y) > 0.97 and np.allclose([sum(r[1:]) for r in a], 1)
+    monkeypatch.setattr(D, "NODE_ROWS", 100)  # large nodes first: another forest, as good
+    three = [r.prediction for r in D.ExactForest(n_classes=3, trees=8).fit(df).transform(df).orderBy("id").select("prediction").collect()]
+    assert np.mean(three == y) > 0.97
+    mean = D.ExactForest(trees=5).fit(df.withColumn("label", df.label * 2))
+    assert np.corrcoef([r.prediction for r in mean.transform(df).orderBy("id").select("prediction").collect()], y)[0, 1] > 0.95
+
+
+def test_draws_are_poisson_and_features_are_few():
+    ids = np.arange(200_000)
+    w = D.drawn(ids, np.uint64(5))
+    assert abs(w.mean() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.01 and (w != D.drawn(ids, np.uint64(6))).any()
+    keys = D.mix(np.arange(1000, dtype=np.uint64))
+    differs = np.ones((4, 1000), bool)
+    differs[2, :500] = False
+    some = D.some_features(keys, differs, 2)
+    assert (some.sum(0) == 2).all() and not some[2, :500].any() and (abs(some[:, 500:].mean(1) - 0.5) < 0.1).all()
