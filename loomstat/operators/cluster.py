@@ -8,6 +8,7 @@ Inputs are prepared once: numeric feature columns (nulls handled by
 
 from __future__ import annotations
 
+import itertools
 import warnings
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,44 +186,158 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5) ->
     """``(key, cluster)``; −1 is noise.
 
     Core points have ≥ ``min_samples`` neighbours within ``eps`` (itself
-    included).  Degrees are partial counts of bounded blocks; core points are
-    joined up through each block's spanning forest, never through a list of all
-    close pairs, by min-label propagation with pointer jumping until nothing
-    changes (each round is cut with a reliable checkpoint); a border point joins the
+    included); a border point joins the
     adjacent cluster with the smallest label; clusters are numbered by their
-    smallest key.
+    smallest key.  In at most ``GRID_DIMS`` dimensions cells of a grid whose points are all within ``eps`` stand for them
+    (``_grid_cores``), so a dense group costs no more than its rows.  In more, core points are
+    joined up through the spanning forest of each bounded block, never through a list of all
+    close pairs.  Labels spread by min-label propagation with pointer jumping until nothing
+    changes (each round is cut with a reliable checkpoint).
     """
     points = mat.select(F.col(key).alias("v"), "vec")
-    state = assign_cells(points.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
-    deg = range_sums(points, "v", state, eps, sums=False)
-    marked = cut_lineage(points.join(deg, "v", "left").withColumn("core", F.coalesce(F.col("n") >= min_samples, F.lit(False))))
-    core = marked.where("core").select("v", "vec")
-    if core.isEmpty():
+    side = _grid_side(points, eps)
+    marked, lab = _pivot_cores(points, eps, min_samples) if side is None else _grid_cores(points, eps, min_samples, side)
+    lab = cut_lineage(lab)
+    if lab.isEmpty():
         return mat.select(key, F.lit(-1).alias("cluster"))
-    core_cells = assign_cells(core.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
-    links = range_forest(core, "v", core_cells, eps)
+    rest, all_lab = marked.where("NOT core").select("v", "vec"), lab
+    if not rest.isEmpty():
+        labelled = marked.where("core").join(lab, "v").select(F.col("v").alias("rid"), "vec", "lab")
+        near = range_min(rest, "v", assign_cells(labelled, "rid", "vec", extra=["lab"]), eps, "lab")
+        all_lab = lab.unionByName(near.select("v", F.col("m").alias("lab")))
+    ids, _n = dense_positions(all_lab.select("lab"), "lab")
+    named = all_lab.join(ids, "lab").select(F.col("v").alias(key), F.col("pos").cast("int").alias("cluster"))
+    return mat.select(key).join(named, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def _spread_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(v, lab)``: the smallest of the ``nodes`` (column v) that ``links`` (a, b) connect each one with."""
     edges = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    lab = core.select("v", F.col("v").alias("lab"))
+    lab = nodes.select("v", F.col("v").alias("lab"))
     while True:
         prop = edges.join(lab.withColumnRenamed("v", "b").withColumnRenamed("lab", "lb"), "b") \
                     .groupBy("a").agg(F.min("lb").alias("m"))
         new = lab.join(prop.withColumnRenamed("a", "v"), "v", "left") \
                  .select("v", F.least("lab", F.coalesce("m", "lab")).alias("lab"))
-        # pointer jumping: a label is itself a core vertex, so take its label too (log-depth convergence)
+        # pointer jumping: a label is itself a node, so take its label too (log-depth convergence)
         hop = new.select(F.col("v").alias("lab"), F.col("lab").alias("lab2"))
         new = new.join(hop, "lab", "left").select("v", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
         new = cut_lineage(new)
         changed = not new.join(lab.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).isEmpty()
         lab = new
         if not changed:
+            return lab
+
+
+def _pivot_cores(points: DataFrame, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """``(v, vec, core)`` and ``(v, lab)`` of the core points, from partial counts and spanning forests of bounded blocks."""
+    state = assign_cells(points.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
+    deg = range_sums(points, "v", state, eps, sums=False)
+    marked = cut_lineage(points.join(deg, "v", "left").select("v", "vec", F.coalesce(F.col("n") >= min_samples, F.lit(False)).alias("core")))
+    core = marked.where("core").select("v", "vec")
+    if core.isEmpty():
+        return marked, core.select("v", F.col("v").alias("lab"))
+    core_cells = assign_cells(core.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
+    return marked, _spread_labels(core.select("v").distinct(), range_forest(core, "v", core_cells, eps))
+
+
+#: Dimensions up to which DBSCAN works on a grid, and how far (in eps) from 0 its cells are still told apart safely.
+GRID_DIMS, GRID_REACH = 3, 1e6
+
+
+def _grid_side(points: DataFrame, eps: float) -> float | None:
+    """The side of cells whose points are all within ``eps`` of each other; None where a grid does not serve."""
+    far = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    r = points.agg(F.min(F.size("vec")).alias("d"), F.max(F.size("vec")).alias("e"), F.max(far).alias("far")).first()
+    if r["d"] is None or r["d"] != r["e"] or not 1 <= r["d"] <= GRID_DIMS or not eps > 0 or r["far"] is None or not r["far"] <= GRID_REACH * eps:
+        return None
+    return eps / r["d"] ** 0.5 * (1 - 1e-9)
+
+
+def _box(dim: int) -> list:
+    """Corners of a group's points, and its first and last point."""
+    v = F.col("vec")
+    return [F.array(*[F.min(v[i]) for i in range(dim)]).alias("lo"), F.array(*[F.max(v[i]) for i in range(dim)]).alias("hi"),
+            F.min(v).alias("p"), F.max(v).alias("q")]
+
+
+def _length(parts) -> Column:
+    return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def _judged(pairs: DataFrame, eps: float) -> DataFrame:
+    """Pairs of boxes (columns of a and, with 2, of b) that may be within ``eps``, and whether they surely are: ``sure``.
+
+    A box's points lie between the smallest and the largest distance of the corners, also in rounded arithmetic, as the
+    distance of a pair is the same sum of squares."""
+    def minus(x, y):
+        return F.zip_with(x, y, lambda a, b: a - b)
+    apart = F.zip_with(minus("lo2", "hi"), minus("lo", "hi2"), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    across = F.zip_with(minus("hi2", "lo"), minus("hi", "lo2"), lambda a, b: F.greatest(a, b))
+    sure = _length(across) <= eps
+    for x in ("p", "q"):
+        for y in ("p2", "q2"):
+            sure = sure | (_length(minus(x, y)) <= eps)
+    return pairs.where(_length(apart) <= eps).withColumn("sure", sure)
+
+
+def _second(boxes: DataFrame) -> DataFrame:
+    return boxes.select(*[F.col(c).alias(f"{c}2") for c in boxes.columns])
+
+
+def _grid_cores(points: DataFrame, eps: float, min_samples: int, side: float) -> tuple[DataFrame, DataFrame]:
+    """``(v, vec, core)`` and ``(v, lab)`` of the core points.
+
+    A cell with ``min_samples`` rows has core points only, so neighbours are counted for the rows of other cells alone.  Core
+    points of a cell are linked.  Cells near one another are linked if two of their core points are within ``eps``: decided
+    by the boxes around them where these are near or far enough, else by those of the boxes' parts, and so on down to single
+    points; only pairs of cells that nothing else has linked yet go down."""
+    dim = points.select(F.size("vec")).first()[0]
+    d = points.withColumn("cell", F.transform("vec", lambda x: F.floor(x / F.lit(side))))
+    full = d.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("cell", F.lit(True).alias("dense"))
+    d = cut_lineage(d.join(full, "cell", "left").withColumn("dense", F.coalesce("dense", F.lit(False))))
+    found, few = d.where("dense").select("v"), d.where("NOT dense").select("v", "vec")
+    if not few.isEmpty():
+        state = assign_cells(points.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
+        found = found.unionByName(range_sums(few, "v", state, eps, sums=False).where(F.col("n") >= min_samples).select("v"))
+    found = found.distinct().withColumn("core", F.lit(True))
+    marked = cut_lineage(d.join(found, "v", "left").select("v", "vec", "cell", F.coalesce("core", F.lit(False)).alias("core")))
+    core = marked.where("core").select("v", "vec", "cell")
+    boxes = cut_lineage(core.groupBy("cell").agg(F.min("v").alias("first"), *_box(dim)).withColumn("node", F.col("cell")))
+    cells = boxes.select("cell", F.col("first").alias("lab"))
+    boxes = boxes.drop("first")
+    # Rows that share a key are one point.
+    same = core.groupBy("v").agg(F.min("cell").alias("cell"), F.max("cell").alias("_last"), F.collect_set("cell").alias("_all")) \
+               .where(F.col("cell") != F.col("_last")).select("cell", F.explode("_all").alias("cell2"))
+    steps = [o for o in itertools.product(range(-2, 3), repeat=dim) if o > (0,) * dim]
+    steps = F.explode(F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in steps]))
+    near = boxes.withColumn("_o", steps).withColumn("cell2", F.zip_with("cell", "_o", lambda a, b: a + b)).drop("_o")
+    pairs = cut_lineage(_judged(near.join(_second(boxes), "cell2"), eps))
+    links, parts = pairs.where("sure").select("cell", "cell2").unionByName(same), 4 if dim < 3 else 2
+    rows = core.select("vec", "cell", F.col("cell").alias("node"))
+    while True:
+        labels = cells.select(F.col("cell").alias("cell2"), F.col("lab").alias("lab2"))
+        joined = links.join(cells, "cell").join(labels, "cell2").where("lab <> lab2").select(F.col("lab").alias("a"), F.col("lab2").alias("b"))
+        joined = cut_lineage(joined.distinct())
+        if not joined.isEmpty():
+            lowest = _spread_labels(cells.select(F.col("lab").alias("v")).distinct(), joined).withColumnRenamed("lab", "_new")
+            cells = cut_lineage(cells.join(lowest, F.col("lab") == F.col("v")).select("cell", F.col("_new").alias("lab")))
+            labels = cells.select(F.col("cell").alias("cell2"), F.col("lab").alias("lab2"))
+        open_ = pairs.where("NOT sure").select("node", "node2", "cell", "cell2", "lo", "hi", "lo2", "hi2")
+        open_ = cut_lineage(open_.join(cells, "cell").join(labels, "cell2").where("lab <> lab2").drop("lab", "lab2"))
+        if open_.isEmpty():
             break
-    labelled = core.join(lab, "v").select(F.col("v").alias("rid"), "vec", "lab")
-    near = range_min(marked.where("NOT core").select("v", "vec"), "v",
-                     assign_cells(labelled, "rid", "vec", extra=["lab"]), eps, "lab")
-    all_lab = lab.unionByName(near.select("v", F.col("m").alias("lab")))
-    ids, _n = dense_positions(all_lab.select("lab"), "lab")
-    named = all_lab.join(ids, "lab").select(F.col("v").alias(key), F.col("pos").cast("int").alias("cluster"))
-    return mat.select(key).join(named, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+        ends = open_.select("node", "lo", "hi").unionByName(open_.select(F.col("node2").alias("node"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))).distinct()
+        place = F.array(*[F.when(F.col("hi")[i] > F.col("lo")[i], F.least(F.floor((F.col("vec")[i] - F.col("lo")[i]) / (F.col("hi")[i] - F.col("lo")[i]) * parts),
+                                                                            F.lit(parts - 1))).otherwise(F.lit(0)).cast("long") for i in range(dim)])
+        rows = cut_lineage(rows.join(ends, "node").select("vec", "cell", F.col("node").alias("up"), F.concat("node", place).alias("node")))
+        boxes = cut_lineage(rows.groupBy("cell", "up", "node").agg(*_box(dim)))
+        rows = rows.drop("up")
+        down = open_.select(F.col("node").alias("up"), F.col("node2").alias("up2"))
+        pairs = cut_lineage(_judged(down.join(boxes, "up").join(_second(boxes), "up2"), eps))
+        links = pairs.where("sure").select("cell", "cell2").distinct()
+    lab = core.join(cells, "cell").groupBy("v").agg(F.min("lab").alias("lab"))
+    return marked.select("v", "vec", "core"), lab
 
 
 # ------------------------------------------------------------------ mean-shift

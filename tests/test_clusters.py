@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomstat.operators import cluster as CL
 from loomstat.operators import silhouette as S
@@ -97,3 +98,46 @@ def test_mean_shift_finds_the_groups(spark):
     assert len(set(got)) == centres.count() == 4 and got[180:] == [3] * 20
     with pytest.raises(ValueError):
         CL.mean_shift(points(spark, np.zeros((30, 2))), "id")
+
+
+def _plain_dbscan(ids, X, eps, least):
+    """All pairs, keys as points."""
+    near = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)) <= eps
+    keys = sorted({i for i in ids if i is not None})
+    degree = {k: sum(int(near[r].sum()) for r in range(len(ids)) if ids[r] == k) for k in keys}
+    core = {k for k in keys if degree[k] >= least}
+    lab = {k: k for k in core}
+    while True:
+        new = {k: min([lab[k]] + [lab[ids[c]] for r in range(len(ids)) if ids[r] == k for c in np.flatnonzero(near[r]) if ids[c] in core]) for k in core}
+        if new == lab:
+            break
+        lab = new
+    for k in (k for k in keys if k not in core):
+        found = [lab[ids[c]] for r in range(len(ids)) if ids[r] == k for c in np.flatnonzero(near[r]) if ids[c] in core]
+        if found:
+            lab = lab | {k: min(found)}
+    number = {x: i for i, x in enumerate(sorted(set(lab.values())))}
+    return sorted(((i, number[lab[i]] if i in lab else -1) for i in ids), key=str)
+
+
+def test_dbscan_on_a_grid_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    for dim, eps, least in ((1, 0.1, 3), (2, 0.1, 3), (3, 0.5, 5)):
+        rings = rng.normal(0, 1, (60, dim))
+        rings = rings / np.sqrt((rings ** 2).sum(1))[:, None] * 1.1
+        X = np.vstack([rng.normal(0, 0.05, (60, dim)), rings, np.round(rng.uniform(-2, 2, (70, dim)), 1), np.full((6, dim), 1.5)])
+        X = np.vstack([X, X[:5] + 0.7])
+        ids = [*range(196), 3, 70, 150, None, None]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, X)], "id long, vec array<double>")
+        got = sorted(((r["id"], r["cluster"]) for r in CL.dbscan(df, "id", eps, least).collect()), key=str)
+        assert got == _plain_dbscan(ids, X, eps, least), dim
+
+
+def test_dbscan_of_a_dense_group_compares_no_pairs(spark, monkeypatch):
+    def refuse(*a, **k):
+        raise AssertionError("compared the rows of a dense group in blocks")
+    for name in ("range_sums", "range_forest", "range_min"):
+        monkeypatch.setattr(CL, name, refuse)
+    x = F.array((F.col("id") % 997) / 1e5 + F.col("id") % 2 * 5, (F.col("id") % 1009) / 1e5)
+    out = CL.dbscan(spark.range(20_000).select("id", x.alias("vec")), "id", 0.3, 5)
+    assert {(r["id"] % 2, r["cluster"]) for r in out.collect()} == {(0, 0), (1, 1)}
