@@ -27,7 +27,7 @@ from loomstat.operators.clean import scale
 from loomstat.operators.knn import _by_rows, assign_cells, knn_join, range_forest, range_join, range_min, range_sums
 from loomstat.operators.silhouette import exact_distances, mean_silhouette, silhouettes_of_labellings
 from loomstat.operators.split import sample_n
-from loomstat.session import cut_lineage
+from loomstat.session import cut_lineage, rewritten
 
 
 def prepare_matrix(df: DataFrame, key: str, features: list[str] | None = None, nulls: str = "error",
@@ -192,7 +192,7 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5) ->
     (``_grid_cores``), so a dense group costs no more than its rows.  In more, core points are
     joined up through the spanning forest of each bounded block, never through a list of all
     close pairs.  Labels spread by min-label propagation with pointer jumping until nothing
-    changes (each round is cut with a reliable checkpoint).
+    changes (each round is written and read again).
     """
     points = mat.select(F.col(key).alias("v"), "vec")
     side = _grid_side(points, eps)
@@ -212,21 +212,21 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5) ->
 
 def _spread_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(v, lab)``: the smallest of the ``nodes`` (column v) that ``links`` (a, b) connect each one with."""
-    edges = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    lab = nodes.select("v", F.col("v").alias("lab"))
+    edges = rewritten(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    lab = rewritten(nodes.select("v", F.col("v").alias("lab")))
     while True:
         prop = edges.join(lab.withColumnRenamed("v", "b").withColumnRenamed("lab", "lb"), "b") \
                     .groupBy("a").agg(F.min("lb").alias("m"))
-        new = lab.join(prop.withColumnRenamed("a", "v"), "v", "left") \
-                 .select("v", F.least("lab", F.coalesce("m", "lab")).alias("lab"))
-        # pointer jumping: a label is itself a node, so take its label too (log-depth convergence)
-        hop = new.select(F.col("v").alias("lab"), F.col("lab").alias("lab2"))
-        new = new.join(hop, "lab", "left").select("v", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
-        new = cut_lineage(new)
-        changed = not new.join(lab.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).isEmpty()
-        lab = new
-        if not changed:
+        new = rewritten(lab.join(prop.withColumnRenamed("a", "v"), "v", "left")
+                        .select("v", F.col("lab").alias("old"), F.least("lab", F.coalesce("m", "lab")).alias("lab")))
+        if new.where(F.col("lab") != F.col("old")).isEmpty():
             return lab
+        # pointer jumping: a label is itself a node, so take its label too, twice (log-depth convergence)
+        for _ in range(2):
+            hop = new.select(F.col("v").alias("lab"), F.col("lab").alias("lab2"))
+            new = new.select("v", "lab").join(hop, "lab", "left").select("v", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
+            new = rewritten(new)
+        lab = new
 
 
 def _pivot_cores(points: DataFrame, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
@@ -321,16 +321,16 @@ def _grid_cores(points: DataFrame, eps: float, min_samples: int, side: float) ->
         joined = cut_lineage(joined.distinct())
         if not joined.isEmpty():
             lowest = _spread_labels(cells.select(F.col("lab").alias("v")).distinct(), joined).withColumnRenamed("lab", "_new")
-            cells = cut_lineage(cells.join(lowest, F.col("lab") == F.col("v")).select("cell", F.col("_new").alias("lab")))
+            cells = rewritten(cells.join(lowest, F.col("lab") == F.col("v")).select("cell", F.col("_new").alias("lab")))
             labels = cells.select(F.col("cell").alias("cell2"), F.col("lab").alias("lab2"))
         open_ = pairs.where("NOT sure").select("node", "node2", "cell", "cell2", "lo", "hi", "lo2", "hi2")
-        open_ = cut_lineage(open_.join(cells, "cell").join(labels, "cell2").where("lab <> lab2").drop("lab", "lab2"))
+        open_ = rewritten(open_.join(cells, "cell").join(labels, "cell2").where("lab <> lab2").drop("lab", "lab2"))
         if open_.isEmpty():
             break
         ends = open_.select("node", "lo", "hi").unionByName(open_.select(F.col("node2").alias("node"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))).distinct()
         place = F.array(*[F.when(F.col("hi")[i] > F.col("lo")[i], F.least(F.floor((F.col("vec")[i] - F.col("lo")[i]) / (F.col("hi")[i] - F.col("lo")[i]) * parts),
                                                                             F.lit(parts - 1))).otherwise(F.lit(0)).cast("long") for i in range(dim)])
-        rows = cut_lineage(rows.join(ends, "node").select("vec", "cell", F.col("node").alias("up"), F.concat("node", place).alias("node")))
+        rows = rewritten(rows.join(ends, "node").select("vec", "cell", F.col("node").alias("up"), F.concat("node", place).alias("node")))
         boxes = cut_lineage(rows.groupBy("cell", "up", "node").agg(*_box(dim)))
         rows = rows.drop("up")
         down = open_.select(F.col("node").alias("up"), F.col("node2").alias("up2"))
