@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from loomstat.operators import svm as SV
 from loomstat.operators import train as TR
 from loomstat.operators.split import hash_order, split_dataset
 from loomstat.operators.stages import TextCodes
@@ -43,3 +46,17 @@ def test_stored_rows_are_dealt_evenly(spark, monkeypatch):
     sizes = [r["count"] for r in both.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 20 and sum(sizes) == 400 and test.count() == 80
     both.unpersist()
+
+
+def test_svm_stores_the_raw_features_only(spark, monkeypatch):
+    seen = {}
+
+    def machines(rows, k, dim, C, folds=0, lift=None):
+        seen["stored"] = max(len(r["z"]) for r in rows.select("z").collect())
+        seen["lifted"] = lift(np.zeros((1, 2))).shape[1]
+        return np.zeros((folds + 1, k, dim + 1))
+    monkeypatch.setattr(SV, "fit_machines", machines)
+    rows = [(float(i % 17), float(i % 13), float(i % 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "a double, b double, label double").select(array_to_vector(F.array("a", "b")).alias("features"), "label")
+    SV.NystroemSvmClassifier().fit(df)
+    assert seen["stored"] == 2 and seen["lifted"] > 2
