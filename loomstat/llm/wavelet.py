@@ -21,6 +21,7 @@ its own; an empty table gives no shards; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from loomstat.llm.kernels import process_store, steps, tidy, utf8
 
 END_ID = 2
 SHARD_IDS = 1 << 19
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 _MAGIC = b"WVM1"
 
@@ -242,7 +243,7 @@ class WordEncoder:
     many words at a time and cut at the ids that end a word.
     """
 
-    PIECE, TOGETHER, LONGEST, AT_ONCE = 200_000, 400, 256, 50_000
+    PIECE, TOGETHER, LONGEST, AT_ONCE = 50_000, 400, 256, 10_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -393,6 +394,7 @@ def is_chunked(path: str) -> bool:
 
 def _encoder(path: str) -> WordEncoder | PlainEncoder:
     """The encoder for a tokenizer file: through remembered chunks where the file allows it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread of the library keeps memory of its own
     store = process_store("word_encoders")
     if path not in store:
         store[path] = WordEncoder(path) if is_chunked(path) else PlainEncoder(path)

@@ -1,5 +1,9 @@
 import json
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -107,3 +111,29 @@ def test_chunks_that_share_a_hash(encoder, monkeypatch):
     texts = ["12 34 56 78 90 a1 b2 c3 d4 e5 f6 == ++ -- 1.5"]
     ids, _ = small.encode([t.encode() for t in texts])
     assert ids.tolist() == small.tokenizer.encode(texts[0], add_special_tokens=False).ids
+
+
+PEAK = """
+import numpy as np, psutil
+from loomstat.llm import wavelet as W
+
+encoder = W._encoder(W.TOKENIZER)
+rng, letters = np.random.default_rng(2), np.array(list("abcdefghijklmnopqrstuvwxyz"))
+words = ["".join(w) for w in letters[rng.integers(0, 26, (300_000, 9))]]
+texts = [" ".join(words[i:i + 500]).encode() for i in range(0, len(words), 500)]
+before, most, plain = psutil.Process().memory_info().rss, 0, encoder._ids
+def watched(some):
+    global most
+    out = plain(some)
+    most = max(most, psutil.Process().memory_info().rss - before)
+    return out
+encoder._ids = watched
+encoder.encode(texts)
+print(most >> 20)
+"""
+
+
+def test_new_words_are_encoded_in_little_memory():
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": str(Path(W.__file__).parents[2])}
+    took = subprocess.run([sys.executable, "-c", PEAK], env=env, capture_output=True, text=True, check=True, timeout=300)
+    assert int(took.stdout) < 100  # MB above the loaded tokenizer
