@@ -4,10 +4,12 @@ quality floors for the learners."""
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from loomstat.operators import anomaly as AN
 from loomstat.operators import cluster as CL
+from loomstat.operators import metrics as M
 from loomstat.operators import train as TR
 from loomstat.operators.knn import knn_join
 
@@ -192,6 +194,23 @@ def test_search_returns_the_best_model(spark):
     assert TR.importance_report(best)[0][0][0] == "x"
 
 
+def test_one_vs_rest_roc_counts_scores_once_a_class(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    k = rng.integers(0, 3, 90)
+    df = spark.createDataFrame([(i, float(v), f"c{c}") for i, (v, c) in enumerate(zip(rng.normal(size=90) + k, k))], ["id", "x", "y"])
+    model, asked, plain = TR.train_model(df, "y", "nb", key="id").model, [], M.score_counts
+    monkeypatch.setattr(M, "score_counts", lambda *a: asked.append(a[3]) or plain(*a))
+    points, areas = TR.roc_by_class(model, df, "y")
+    assert sorted(asked) == ["0.0", "1.0", "2.0"]
+    scored = TR.with_label(model.transform(df), "y", ["c0", "c1", "c2"])
+    for i in range(3):
+        own = scored.select("label", vector_to_array("probability")[i].alias("s"))
+        want = M.auc_exact(own, "label", "s", f"{float(i)}", 4).first()
+        assert tuple(areas.where(f"class = 'c{i}'").first())[1:] == tuple(want)
+        curve = points.where(f"class = 'c{i}'").drop("class")
+        assert sorted(map(str, curve.collect())) == sorted(map(str, M.roc_points(own, "label", "s", f"{float(i)}").collect()))
+
+
 def _points(spark, X):
     return spark.createDataFrame(pd.DataFrame({"id": range(len(X)), "vec": [list(map(float, r)) for r in X]}))
 
