@@ -1,6 +1,8 @@
 """Model-side operators: exactness of the custom distributed algorithms and
 quality floors for the learners."""
 
+import ast
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,6 +14,7 @@ from loomstat.operators import cluster as CL
 from loomstat.operators import metrics as M
 from loomstat.operators import train as TR
 from loomstat.operators.knn import knn_join
+from loomstat.operators.stages import TextCodes
 
 
 def test_knn_join_is_exact(spark):
@@ -211,6 +214,44 @@ def test_one_vs_rest_roc_counts_scores_once_a_class(spark, monkeypatch):
         assert sorted(map(str, curve.collect())) == sorted(map(str, M.roc_points(own, "label", "s", f"{float(i)}").collect()))
 
 
+def _text_table(spark):
+    rng = np.random.default_rng(8)
+    x, g = rng.uniform(-3, 3, 150), rng.integers(0, 3, 150)
+    return spark.createDataFrame([(i, float(v), "abc"[c], "in" if abs(v) < 1 + c / 2 else "out") for i, (v, c) in enumerate(zip(x, g))],
+                                 ["id", "x", "g", "y"])
+
+
+def _count_code_fits(monkeypatch):
+    fits, plain = [], TextCodes._fit
+    monkeypatch.setattr(TextCodes, "_fit", lambda self, rows: fits.append(1) or plain(self, rows))
+    return fits
+
+
+def test_search_fits_the_features_once_a_fold(spark, monkeypatch):
+    df = _text_table(spark)
+    fits = _count_code_fits(monkeypatch)
+    found = TR.tune(df, "y", "dtc", grid={"max_depth": [1, 2, 4]}, cv=2, key="id")
+    assert len(fits) == 3  # a fold each, and the refit
+    for r in found.table.collect():
+        _, summary, _ = TR.cross_validate(df, "y", "dtc", n_splits=2, key="id", **ast.literal_eval(r["params"]))
+        assert (summary["f1_weighted_mean"], summary["f1_weighted_std"]) == (r["mean_score"], r["std_score"])
+    assert TR.tune(df.drop("y"), "x", "pr", "regression", grid={"degree": [1, 2]}, cv=2, key="id").table.count() == 2
+
+
+def test_comparison_fits_shared_features_once(spark, monkeypatch):
+    df = _text_table(spark)
+    fits = _count_code_fits(monkeypatch)
+    table, best = TR.compare_models(df, "y", models=["nb", "dtc", "lr", "knn"], key="id")
+    assert len(fits) == 2  # plain and scaled features
+    for r in table.collect():
+        m = TR.train_model(df, "y", r["model"], key="id").metrics
+        assert (r["status"], r["primary"], r["secondary"]) == ("ok", m["f1_weighted"], m["accuracy"])
+    again = TR.train_model(df, "y", best.metrics["model"], key="id")
+    assert best.metrics == again.metrics
+    rows = [sorted(map(tuple, b.predictions.select("id", "predicted_label").collect())) for b in (best, again)]
+    assert rows[0] == rows[1] and sorted(map(str, best.extra["confusion"].collect())) == sorted(map(str, again.extra["confusion"].collect()))
+
+
 def _points(spark, X):
     return spark.createDataFrame(pd.DataFrame({"id": range(len(X)), "vec": [list(map(float, r)) for r in X]}))
 
