@@ -27,7 +27,7 @@ from loomstat.operators.clean import scale
 from loomstat.operators.knn import _by_rows, assign_cells, knn_join, range_forest, range_join, range_min, range_sums
 from loomstat.operators.silhouette import exact_distances, mean_silhouette, silhouettes_of_labellings
 from loomstat.operators.split import sample_n
-from loomstat.session import cut_lineage, rewritten
+from loomstat.session import FEW_ROWS, cut_lineage, rewritten, sized
 
 
 def prepare_matrix(df: DataFrame, key: str, features: list[str] | None = None, nulls: str = "error",
@@ -202,29 +202,33 @@ def dbscan(mat: DataFrame, key: str, eps: float = 3.0, min_samples: int = 5) ->
         return mat.select(key, F.lit(-1).alias("cluster"))
     rest, all_lab = marked.where("NOT core").select("v", "vec"), lab
     if not rest.isEmpty():
-        labelled = marked.where("core").join(lab, "v").select(F.col("v").alias("rid"), "vec", "lab")
+        labelled = marked.where("core").join(lab.hint("merge"), "v").select(F.col("v").alias("rid"), "vec", "lab")
         near = range_min(rest, "v", assign_cells(labelled, "rid", "vec", extra=["lab"]), eps, "lab")
         all_lab = lab.unionByName(near.select("v", F.col("m").alias("lab")))
     ids, _n = dense_positions(all_lab.select("lab"), "lab")
-    named = all_lab.join(ids, "lab").select(F.col("v").alias(key), F.col("pos").cast("int").alias("cluster"))
-    return mat.select(key).join(named, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    named = all_lab.join(sized(ids), "lab").select(F.col("v").alias(key), F.col("pos").cast("int").alias("cluster"))
+    return cut_lineage(mat.select(key).join(named.hint("merge"), key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster")))
 
 
 def _spread_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(v, lab)``: the smallest of the ``nodes`` (column v) that ``links`` (a, b) connect each one with."""
     edges = rewritten(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = rewritten(nodes.select("v", F.col("v").alias("lab")))
+    few = lab.count() <= FEW_ROWS
+
+    def side(df: DataFrame) -> DataFrame:  # at most a row per node
+        return F.broadcast(df) if few else df.hint("merge")
     while True:
-        prop = edges.join(lab.withColumnRenamed("v", "b").withColumnRenamed("lab", "lb"), "b") \
+        prop = edges.join(side(lab.withColumnRenamed("v", "b").withColumnRenamed("lab", "lb")), "b") \
                     .groupBy("a").agg(F.min("lb").alias("m"))
-        new = rewritten(lab.join(prop.withColumnRenamed("a", "v"), "v", "left")
+        new = rewritten(lab.join(side(prop.withColumnRenamed("a", "v")), "v", "left")
                         .select("v", F.col("lab").alias("old"), F.least("lab", F.coalesce("m", "lab")).alias("lab")))
         if new.where(F.col("lab") != F.col("old")).isEmpty():
             return lab
         # pointer jumping: a label is itself a node, so take its label too, twice (log-depth convergence)
         for _ in range(2):
             hop = new.select(F.col("v").alias("lab"), F.col("lab").alias("lab2"))
-            new = new.select("v", "lab").join(hop, "lab", "left").select("v", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
+            new = new.select("v", "lab").join(side(hop), "lab", "left").select("v", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
             new = rewritten(new)
         lab = new
 
@@ -233,7 +237,7 @@ def _pivot_cores(points: DataFrame, eps: float, min_samples: int) -> tuple[DataF
     """``(v, vec, core)`` and ``(v, lab)`` of the core points, from partial counts and spanning forests of bounded blocks."""
     state = assign_cells(points.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
     deg = range_sums(points, "v", state, eps, sums=False)
-    marked = cut_lineage(points.join(deg, "v", "left").select("v", "vec", F.coalesce(F.col("n") >= min_samples, F.lit(False)).alias("core")))
+    marked = cut_lineage(points.join(deg.hint("merge"), "v", "left").select("v", "vec", F.coalesce(F.col("n") >= min_samples, F.lit(False)).alias("core")))
     core = marked.where("core").select("v", "vec")
     if core.isEmpty():
         return marked, core.select("v", F.col("v").alias("lab"))
@@ -295,13 +299,13 @@ def _grid_cores(points: DataFrame, eps: float, min_samples: int, side: float) ->
     dim = points.select(F.size("vec")).first()[0]
     d = points.withColumn("cell", F.transform("vec", lambda x: F.floor(x / F.lit(side))))
     full = d.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("cell", F.lit(True).alias("dense"))
-    d = cut_lineage(d.join(full, "cell", "left").withColumn("dense", F.coalesce("dense", F.lit(False))))
+    d = cut_lineage(d.join(sized(cut_lineage(full)), "cell", "left").withColumn("dense", F.coalesce("dense", F.lit(False))))
     found, few = d.where("dense").select("v"), d.where("NOT dense").select("v", "vec")
     if not few.isEmpty():
         state = assign_cells(points.select(F.col("v").alias("rid"), "vec"), "rid", "vec")
         found = found.unionByName(range_sums(few, "v", state, eps, sums=False).where(F.col("n") >= min_samples).select("v"))
     found = found.distinct().withColumn("core", F.lit(True))
-    marked = cut_lineage(d.join(found, "v", "left").select("v", "vec", "cell", F.coalesce("core", F.lit(False)).alias("core")))
+    marked = cut_lineage(d.join(found.hint("merge"), "v", "left").select("v", "vec", "cell", F.coalesce("core", F.lit(False)).alias("core")))
     core = marked.where("core").select("v", "vec", "cell")
     boxes = cut_lineage(core.groupBy("cell").agg(F.min("v").alias("first"), *_box(dim)).withColumn("node", F.col("cell")))
     cells = boxes.select("cell", F.col("first").alias("lab"))
@@ -312,31 +316,31 @@ def _grid_cores(points: DataFrame, eps: float, min_samples: int, side: float) ->
     steps = [o for o in itertools.product(range(-2, 3), repeat=dim) if o > (0,) * dim]
     steps = F.explode(F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in steps]))
     near = boxes.withColumn("_o", steps).withColumn("cell2", F.zip_with("cell", "_o", lambda a, b: a + b)).drop("_o")
-    pairs = cut_lineage(_judged(near.join(_second(boxes), "cell2"), eps))
+    pairs = cut_lineage(_judged(near.join(sized(_second(boxes)), "cell2"), eps))
     links, parts = pairs.where("sure").select("cell", "cell2").unionByName(same), 4 if dim < 3 else 2
     rows = core.select("vec", "cell", F.col("cell").alias("node"))
     while True:
         labels = cells.select(F.col("cell").alias("cell2"), F.col("lab").alias("lab2"))
-        joined = links.join(cells, "cell").join(labels, "cell2").where("lab <> lab2").select(F.col("lab").alias("a"), F.col("lab2").alias("b"))
+        joined = links.join(sized(cells), "cell").join(sized(labels), "cell2").where("lab <> lab2").select(F.col("lab").alias("a"), F.col("lab2").alias("b"))
         joined = cut_lineage(joined.distinct())
         if not joined.isEmpty():
             lowest = _spread_labels(cells.select(F.col("lab").alias("v")).distinct(), joined).withColumnRenamed("lab", "_new")
-            cells = rewritten(cells.join(lowest, F.col("lab") == F.col("v")).select("cell", F.col("_new").alias("lab")))
+            cells = rewritten(cells.join(sized(lowest), F.col("lab") == F.col("v")).select("cell", F.col("_new").alias("lab")))
             labels = cells.select(F.col("cell").alias("cell2"), F.col("lab").alias("lab2"))
         open_ = pairs.where("NOT sure").select("node", "node2", "cell", "cell2", "lo", "hi", "lo2", "hi2")
-        open_ = rewritten(open_.join(cells, "cell").join(labels, "cell2").where("lab <> lab2").drop("lab", "lab2"))
+        open_ = rewritten(open_.join(sized(cells), "cell").join(sized(labels), "cell2").where("lab <> lab2").drop("lab", "lab2"))
         if open_.isEmpty():
             break
         ends = open_.select("node", "lo", "hi").unionByName(open_.select(F.col("node2").alias("node"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))).distinct()
         place = F.array(*[F.when(F.col("hi")[i] > F.col("lo")[i], F.least(F.floor((F.col("vec")[i] - F.col("lo")[i]) / (F.col("hi")[i] - F.col("lo")[i]) * parts),
                                                                             F.lit(parts - 1))).otherwise(F.lit(0)).cast("long") for i in range(dim)])
-        rows = rewritten(rows.join(ends, "node").select("vec", "cell", F.col("node").alias("up"), F.concat("node", place).alias("node")))
+        rows = rewritten(rows.join(sized(ends), "node").select("vec", "cell", F.col("node").alias("up"), F.concat("node", place).alias("node")))
         boxes = cut_lineage(rows.groupBy("cell", "up", "node").agg(*_box(dim)))
         rows = rows.drop("up")
         down = open_.select(F.col("node").alias("up"), F.col("node2").alias("up2"))
-        pairs = cut_lineage(_judged(down.join(boxes, "up").join(_second(boxes), "up2"), eps))
+        pairs = cut_lineage(_judged(down.join(sized(boxes), "up").join(sized(_second(boxes)), "up2"), eps))
         links = pairs.where("sure").select("cell", "cell2").distinct()
-    lab = core.join(cells, "cell").groupBy("v").agg(F.min("lab").alias("lab"))
+    lab = core.join(sized(cells), "cell").groupBy("v").agg(F.min("lab").alias("lab"))
     return marked.select("v", "vec", "core"), lab
 
 
@@ -511,6 +515,6 @@ def run_clustering(df: DataFrame, key: str, features: list[str] | None = None, a
         info.update(n_clusters=centres.count())
     else:
         raise ValueError(f"Unknown algorithm '{algorithm}'")
-    info["silhouette"] = silhouette(lab.join(mat, key), key, sample=silhouette_sample)
-    return (df.join(lab, key, "left") if save_labels else lab), info
+    info["silhouette"] = silhouette(lab.join(mat.hint("merge"), key), key, sample=silhouette_sample)
+    return (df.join(lab.hint("merge"), key, "left") if save_labels else lab), info
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from loomstat.operators.far_field import MAX_DIM, hot, sums_by_leaf
 from loomstat.operators.knn import MAX_PIVOT_BYTES, QUERY_CHUNK, _block_join, _by_pairs, _by_rows, _distances, _slack
-from loomstat.session import cut_lineage
+from loomstat.session import cut_lineage, sized
 
 #: Rows from which, in few dimensions, a quadtree takes the place of all pairs (``far_field``), and the most clusters for it.
 TREE_ROWS, TREE_CLUSTERS = 50_000, 64
@@ -175,7 +175,7 @@ def silhouettes_of_labellings(points: DataFrame, key: str, sizes: list[dict[int,
 
     shared = points.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = cut_lineage(shared.select("_key", F.monotonically_increasing_id().alias("code")))
-    points = points.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+    points = points.join(sized(shared), F.col(key).eqNullSafe(F.col("_key")), "left").select(
         "vec", "labels", F.coalesce("code", F.lit(-1).cast("long")).alias("code"))
 
     def use(S: np.ndarray, L: np.ndarray, codes: np.ndarray) -> pd.DataFrame:

@@ -141,3 +141,23 @@ def test_dbscan_of_a_dense_group_compares_no_pairs(spark, monkeypatch):
     x = F.array((F.col("id") % 997) / 1e5 + F.col("id") % 2 * 5, (F.col("id") % 1009) / 1e5)
     out = CL.dbscan(spark.range(20_000).select("id", x.alias("vec")), "id", 0.3, 5)
     assert {(r["id"] % 2, r["cluster"]) for r in out.collect()} == {(0, 0), (1, 1)}
+
+
+def test_dbscan_says_how_it_joins(spark, monkeypatch):
+    """No join is left to Spark's guess from compressed bytes, and none broadcasts a table of a row per point."""
+    from loomstat import session
+    rng = np.random.default_rng(4)
+    X = np.vstack([rng.normal(c, 0.05, (30, 2)) for c in ((0, 0), (3, 0), (6, 6))])
+    plans = []
+
+    def seen(df, cut=CL.cut_lineage):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+    monkeypatch.setattr(CL, "cut_lineage", seen)
+    for module in (session, CL):
+        monkeypatch.setattr(module, "FEW_ROWS", 0)
+    found = {r["id"]: r["cluster"] for r in CL.dbscan(points(spark, X), "id", 1.0, 5).collect()}
+    assert found == {i: i // 30 for i in range(90)}
+    joins = [line for p in plans for line in p.splitlines() if "Join " in line]
+    assert len(joins) > 5 and all("strategy=" in j for j in joins)
+    assert not [j for j in joins if "strategy=broadcast" in j and "(v#" in j]
