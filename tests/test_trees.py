@@ -170,3 +170,22 @@ def test_draws_are_poisson_and_features_are_few():
     differs[2, :500] = False
     some = D.some_features(keys, differs, 2)
     assert (some.sum(0) == 2).all() and not some[2, :500].any() and (abs(some[:, 500:].mean(1) - 0.5) < 0.1).all()
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_equal_rows_are_added_up_first(spark, monkeypatch, classes):
+    """A table of few different rows gives the trees of all its rows, without a pass per level."""
+    rng = np.random.default_rng(6)
+    X = np.c_[rng.integers(0, 7, 900), rng.integers(0, 3, 900) / 8, rng.integers(0, 4, 900)].astype(float)
+    y = rng.integers(0, 3, 900).astype(float) if classes else rng.normal(size=900)
+    df = frame(spark, X, y).checkpoint()
+    forest = D.ExactForest(n_classes=classes, trees=4, seed=5)
+    want = forest.fit(df)
+    monkeypatch.setattr(D, "NODE_ROWS", 100)
+    monkeypatch.setattr(D.ExactTree, "_top", None)
+    got = forest.fit(df)
+    assert np.array_equal(got.tree["feature"], want.tree["feature"]) and np.allclose(got.tree["threshold"], want.tree["threshold"])
+    assert np.allclose(got.tree["stats"], want.tree["stats"]) and np.allclose(got.importances, want.importances)
+    one = D.ExactTree(n_classes=classes).fit(df).tree
+    whole = D.grow(X, y, np.ones(900), classes, None)
+    assert sorted(zip(one["feature"], one["threshold"])) == sorted(zip(whole["feature"], whole["threshold"]))
