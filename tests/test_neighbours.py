@@ -93,3 +93,29 @@ def test_pairs_leave_a_task_in_bounded_slices(spark):
     sizes = [len(out) for out in seen["task"](iter([batch]))]
     assert sum(sizes) == 3000 * 50 and max(sizes) * 64 * 8 <= 32 << 20
     assert K._pivots(120_000, 64) == 64 and K._pivots(120_000, 2) == 346 and K._pivots(2000, 64) == 44
+
+
+def test_many_dimensions_copy_no_query_for_a_cell(spark, monkeypatch):
+    """Neighbours, counts and links in 20 dimensions equal all pairs, and a query is written once, not once a cell."""
+    from loomstat.operators import cluster as CL
+    for name, value in (("REF_CHUNK", 16), ("QUERY_CHUNK", 50), ("PACK_BYTES", 20_000), ("MANY_DIM_CELLS", 4)):
+        monkeypatch.setattr(K, name, value)
+    copies = []
+
+    def cut(df, real=K.cut_lineage):
+        out = real(df)
+        if "_qv" in out.columns:
+            copies.append(out.count())
+        return out
+    monkeypatch.setattr(K, "cut_lineage", cut)
+    X = np.random.default_rng(1).normal(size=(260, 20))
+    X[250:] = X[:10]
+    df = points(spark, X)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    found = {(r["qid"], r["rank"]): r["rid"] for r in K.knn_join(points(spark, X, "qid"), points(spark, X, "rid"), 3, exclude_self=True).collect()}
+    assert found == {(i, k + 1): j for i in range(260) for k, j in enumerate(np.lexsort((np.arange(260), D[i]))[:3])}
+    assert max(copies) <= 260
+    copies.clear()
+    assert {r["id"]: r["cluster"] for r in CL.dbscan(df, "id", 40.0, 5).collect()} == dict.fromkeys(range(260), 0)
+    assert max(copies) == 0  # every cell lies within reach as a whole
